@@ -9,8 +9,9 @@ compared, never copies. Each class keeps the k smallest hashes of its set.
    short list must consist mostly of values in long lists on both sides; such classes, and only those,
    go to buckets of two retained values each. A bucket of any size is linked through pivots: all members
    against one, then against those that are still in another component than most, until none is left.
-3. A pair's similarity is estimated from the union of both sketches, and those that may reach the
-   threshold are verified on the full sets of the texts. Pairs already in one component are skipped.
+   Blocks of members meet blocks of pivots, on their full sets.
+3. The similarity of a listed pair is estimated from the union of both sketches, and pairs that may reach
+   the threshold are verified on the full sets of the texts. Pairs already in one component are skipped.
 4. Components are found by joins that shorten paths; nothing but counts reaches the driver.
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and form a component of
@@ -38,8 +39,11 @@ LIST_LIMIT = 40
 BUCKETS = 16
 #: Values in long lists up to which they are broadcast.
 MAX_BROADCAST_VALUES = 500_000
-#: Pivots a bucket gets in round r after the first: PIVOTS * 4 ** (r - 2).
-PIVOTS = 8
+#: Pivots a bucket gets in round r after the first: PIVOTS * 8 ** (r - 2), MAX_PIVOTS at most; what is left follows in the next.
+PIVOTS = 32
+MAX_PIVOTS = 512
+#: Members of a bucket in one task's block.
+BLOCK = 500
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -198,15 +202,53 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int = PERCENT, k: i
 
 
 def verified(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b, linked) from the full sets of both texts. ``bodies``: (node, text), one row for each class."""
+    """(a, b) of the pairs that are linked by their full sets. ``bodies``: (node, set), one row for each class."""
     rows = pairs.join(bodies.toDF("a", "ta"), "a").join(bodies.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in slices(batches, 256):
-            ok = [linked(shingles(x), shingles(y), percent) for x, y in zip(texts(batch.column(2)), texts(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], ["a", "b", "linked"])
+            sets = ([np.frombuffer(x, np.uint64) for x in batch.column(i).to_pylist()] for i in (2, 3))
+            mask = pa.array([linked(x, y, percent) for x, y in zip(*sets, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+
+    return rows.mapInArrow(run, "a binary, b binary")
 
-    return rows.mapInArrow(run, "a binary, b binary, linked boolean")
+
+def block_links(members: DataFrame, pivots: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(a, b) of members linked with a pivot of their bucket in another component, by their full sets.
+
+    members: (key, parts, node, label), pivots: (key, parts, node, label). A bucket's members are dealt to
+    ``parts`` groups of about BLOCK, each with the bucket's pivots, whose number is bounded.
+    """
+    kept = ["key", "part", "node", "label", "set"]
+    left = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(bodies, "node").select(*kept)
+    right = pivots.join(bodies, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", F.col("part").cast("long")).select(*kept)
+    right = right.toDF(*(f"pivot_{c}" for c in kept))
+
+    def run(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
+        nodes, labels = (a.column(c).to_pylist() for c in ("node", "label"))
+        sets = [np.frombuffer(x, np.uint64) for x in a.column("set").to_pylist()]
+        sizes = np.array([len(x) for x in sets])
+        starts = np.cumsum(sizes) - sizes
+        wanted = [np.frombuffer(x, np.uint64) for x in b.column("pivot_set").to_pylist()]
+        known = np.unique(np.concatenate(wanted))
+        every = np.concatenate(sets)
+        at = np.minimum(np.searchsorted(known, every), len(known) - 1)
+        at[known[at] != every] = len(known)
+        x, y = [], []
+        for node, label, own in zip(b.column("pivot_node").to_pylist(), b.column("pivot_label").to_pylist(), wanted, strict=True):
+            mark = np.zeros(len(known) + 1, np.int32)
+            mark[np.searchsorted(known, own)] = 1
+            both = np.add.reduceat(mark[at], starts)
+            for i in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
+                if labels[i] != label:
+                    x.append(nodes[i])
+                    y.append(node)
+        return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
+
+    return left.groupBy("key", "part").cogroup(right.groupBy("pivot_key", "pivot_part")).applyInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,67 +283,61 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
     held = written(rare_and_buckets(classes, common, max_broadcast), "rare")
     listed = written(estimated(list_pairs(held, list_limit), classes, percent), "listed")
     members = written(held.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node"), "members")
-    buckets = members.join(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "key").select("key", "node")
+    sizes = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    buckets = members.join(sizes, "key").select("key", F.ceil(F.col("c") / BLOCK).alias("parts"), "node")
     buckets = written(buckets, "buckets")
     any_bucket = buckets.limit(1).count() > 0
     bodies = bodies_for(listed.select(F.col("a").alias("node")).union(listed.select("b")).union(buckets.select("node")).distinct())
 
-    labels, links, tested, used, turn = None, None, None, None, 0
+    labels, used, turn = None, None, 0
     while True:
         turn += 1
-        parts = []
+        found = []
         if turn == 1:  # a path through each group: every class with its smallest partner
-            parts.append(listed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
+            found.append(verified(listed.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), bodies, percent))
         elif turn == 2:  # all that this did not join
             left = _labelled(_labelled(listed, labels, "a", "la"), labels, "b", "lb")
-            parts.append(left.where("la <> lb").select("a", "b"))
+            found.append(verified(left.where("la <> lb").select("a", "b"), bodies, percent))
         if any_bucket:
+            own = _labelled(buckets, labels, "node", "label")
             if turn == 1:
-                pivots = buckets.groupBy("key").agg(F.min("node").alias("pivot"))
-                near = buckets.join(pivots, "key").where(F.col("node") != F.col("pivot"))
+                some = own.groupBy("key", "parts").agg(F.min("node").alias("node")).withColumn("label", F.col("node"))
             else:
-                own = _labelled(buckets, labels, "node", "label")
                 sizes = own.groupBy("key", "label").agg(F.count("*").alias("c"))
                 main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
-                rest = own.join(main, "key").where(F.col("label") != F.col("main")).select("key", "node", "label")
+                rest = own.join(main, "key").where(F.col("label") != F.col("main")).select("key", "parts", "node", "label")
                 if used is not None:
                     rest = rest.join(used, ["key", "node"], "left_anti")
-                first = F.row_number().over(W.partitionBy("key").orderBy("node"))
-                some = written(rest.withColumn("_n", first).where(F.col("_n") <= PIVOTS * 4 ** (turn - 2)).select("key", F.col("node").alias("pivot"), F.col("label").alias("pl")), "pivots")
-                if some.limit(1).count() == 0 and turn > 2:
+                place = F.row_number().over(W.partitionBy("key").orderBy("node"))
+                some = rest.withColumn("_n", place).where(F.col("_n") <= min(MAX_PIVOTS, PIVOTS * 8 ** (turn - 2))).drop("_n")
+                some = written(some, "pivots")
+                if turn > 2 and some.limit(1).count() == 0:
                     break
-                used = some.select("key", F.col("pivot").alias("node")) if used is None else used.union(some.select("key", F.col("pivot").alias("node")))
-                near = own.join(some, "key").where(F.col("label") != F.col("pl"))
-            pairs = near.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-            parts.append(estimated(pairs.distinct(), classes, percent))
-        elif turn > 2:
-            break
-        todo = parts[0]
-        for p in parts[1:]:
-            todo = todo.union(p)
-        todo = todo.distinct()
-        if tested is not None:
-            todo = todo.join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        done = written(verified(todo, bodies, percent), "verified")
-        tested = done if tested is None else tested.union(done)
-        fresh = done.where("linked").select("a", "b")
-        if fresh.limit(1).count():
-            # components so far stand for their links
-            links = fresh if labels is None else fresh.union(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
-            labels = components(links)
+                mine = some.select("key", "node")
+                used = mine if used is None else used.union(mine)
+                own = own.join(some.select("key").distinct(), "key", "left_semi")
+            found.append(block_links(own, some, bodies, percent))
+        fresh = found[0] if len(found) == 1 else found[0].union(found[1])
+        # components so far stand for their links
+        links = fresh if labels is None else fresh.union(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
+        labels = components(links)
         if turn >= 2 and not any_bucket:
             break
-    if labels is None:
-        return classes.select("node", F.col("node").alias("label")).limit(0)
     return labels
 
 
 def bodies_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, doc_id: str, text: str, repeats: bool, max_broadcast: int) -> DataFrame:
-    """(node, text), written: the text of one document of each needed class."""
+    """(node, set), written: the full set of each needed class, sorted, 8 bytes a shingle."""
     wanted = written(classes.join(needed, "node").select(F.col("rep.id").alias("_id"), F.col("rep.h").alias("_h"), "node"), "needed")
     whole = docs.select(F.col(doc_id).cast("long").alias("_id"), F.xxhash64(text).alias("_h"), F.col(text).alias("text"))
     found = whole.join(broadcast_within(wanted, max_broadcast), ["_id", "_h"]).select("node", "text")
-    return written(found.groupBy("node").agg(F.first("text").alias("text")) if repeats else found, "bodies")
+    found = found.groupBy("node").agg(F.first("text").alias("text")) if repeats else found
+
+    def run(batches):
+        for batch in slices(batches, 256):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t).tobytes() for t in texts(batch.column(1))], pa.binary())], ["node", "set"])
+
+    return written(found.mapInArrow(run, "node binary, set binary"), "bodies")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", list_limit: int = LIST_LIMIT, max_broadcast: int = MAX_BROADCAST_VALUES, percent: int = PERCENT) -> DataFrame:
