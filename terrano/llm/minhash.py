@@ -39,9 +39,10 @@ LIST_LIMIT = 40
 BUCKETS = 16
 #: Values in long lists up to which they are broadcast.
 MAX_BROADCAST_VALUES = 500_000
-#: Pivots a bucket gets in round r after the first: PIVOTS * 8 ** (r - 2), MAX_PIVOTS at most; what is left follows in the next.
-PIVOTS = 32
+#: Pivots a bucket gets in a round after the first; what is left follows in the next.
 MAX_PIVOTS = 512
+#: Nodes with links up to which labels are broadcast (about 20 MB).
+MAX_BROADCAST_NODES = 400_000
 #: Members of a bucket in one task's block.
 BLOCK = 500
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -215,12 +216,12 @@ def verified(pairs: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def block_links(members: DataFrame, pivots: DataFrame, bodies: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b) of members linked with a pivot of their bucket in another component, by their full sets.
+    """(a, b): labels of components to join, because a member is linked with a pivot of its bucket by their full sets.
 
     members: (key, parts, node, label), pivots: (key, parts, node, label). A bucket's members are dealt to
     ``parts`` groups of about BLOCK, each with the bucket's pivots, whose number is bounded.
     """
-    kept = ["key", "part", "node", "label", "set"]
+    kept = ["key", "part", "label", "set"]
     left = members.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).join(bodies, "node").select(*kept)
     right = pivots.join(bodies, "node").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("part", F.col("part").cast("long")).select(*kept)
     right = right.toDF(*(f"pivot_{c}" for c in kept))
@@ -228,7 +229,7 @@ def block_links(members: DataFrame, pivots: DataFrame, bodies: DataFrame, percen
     def run(a: pa.Table, b: pa.Table) -> pa.Table:
         if not a.num_rows or not b.num_rows:
             return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
-        nodes, labels = (a.column(c).to_pylist() for c in ("node", "label"))
+        labels = a.column("label").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in a.column("set").to_pylist()]
         sizes = np.array([len(x) for x in sets])
         starts = np.cumsum(sizes) - sizes
@@ -238,36 +239,73 @@ def block_links(members: DataFrame, pivots: DataFrame, bodies: DataFrame, percen
         at = np.minimum(np.searchsorted(known, every), len(known) - 1)
         at[known[at] != every] = len(known)
         x, y = [], []
-        for node, label, own in zip(b.column("pivot_node").to_pylist(), b.column("pivot_label").to_pylist(), wanted, strict=True):
+        trees = Forest()
+        for label, own in zip(b.column("pivot_label").to_pylist(), wanted, strict=True):
             mark = np.zeros(len(known) + 1, np.int32)
             mark[np.searchsorted(known, own)] = 1
             both = np.add.reduceat(mark[at], starts)
             for i in np.flatnonzero(100 * both >= percent * (sizes + len(own) - both)).tolist():
-                if labels[i] != label:
-                    x.append(nodes[i])
-                    y.append(node)
+                if labels[i] != label and trees.join(labels[i], label):
+                    x.append(labels[i])
+                    y.append(label)
         return pa.table({"a": pa.array(x, pa.binary()), "b": pa.array(y, pa.binary())})
 
     return left.groupBy("key", "part").cogroup(right.groupBy("pivot_key", "pivot_part")).applyInArrow(run, "a binary, b binary")
 
 
-def components(edges: DataFrame) -> DataFrame:
+class Forest:
+    """Union-find over hashable nodes; the smallest node of a tree is its root."""
+
+    def __init__(self) -> None:
+        self.up: dict = {}
+
+    def root(self, x):
+        up = self.up
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = up[y]
+            x = up[x]
+        return x
+
+    def join(self, x, y) -> bool:
+        x, y = sorted((self.root(x), self.root(y)))
+        self.up[y] = x
+        return x != y
+
+
+def forest(edges: DataFrame) -> DataFrame:
+    """(a, b): each node b of a partition's edges with the smallest node a that these join it to."""
+
+    def run(batches):
+        trees = Forest()
+        for batch in batches:
+            for x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                trees.join(x, y)
+        nodes = list(trees.up)
+        for at in range(0, len(nodes), 50_000):
+            part = nodes[at : at + 50_000]
+            yield pa.RecordBatch.from_arrays([pa.array([trees.root(x) for x in part], pa.binary()), pa.array(part, pa.binary())], ["a", "b"])
+
+    return edges.select("a", "b").mapInArrow(run, "a binary, b binary")
+
+
+def components(edges: DataFrame, max_broadcast: int = MAX_BROADCAST_NODES) -> DataFrame:
     """(node, label), label: the smallest node of its component; for nodes with edges.
 
-    Every node takes the smallest label around it, and then its label's label, which shortens paths by
-    half or more each round.
+    Each partition first turns its own edges into stars. Then every label hooks onto the smallest label
+    that an edge joins it to, hooks are followed twice, and so on until no edge joins two labels: at most
+    half of a component's labels are left by each round.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    stars = written(forest(edges), "stars")
+    hint = F.broadcast if stars.limit(max_broadcast + 1).count() <= max_broadcast else lambda df: df
+    labels = written(stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("label")), "labels")
     while True:
-        near = both.join(labels.toDF("b", "lb"), "b").groupBy("a").agg(F.min("lb").alias("m"))
-        low = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
-        # the smallest label offered to an old label reaches all that hold it
-        offers = low.groupBy("old").agg(F.min("label").alias("to"))
-        new = written(low.join(offers, "old").select("node", "old", F.least("label", "to").alias("label")), "labels")
-        if new.where(F.col("label") != F.col("old")).limit(1).count() == 0:
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+        ends = stars.join(hint(labels.toDF("a", "la")), "a").join(hint(labels.toDF("b", "lb")), "b").where("la <> lb")
+        ends = written(ends.select(F.greatest("la", "lb").alias("label"), F.least("la", "lb").alias("to")), "ends")
+        if not ends.limit(1).count():
+            return labels
+        hooks = written(ends.groupBy("label").agg(F.min("to").alias("to")), "hooks")
+        twice = hooks.join(hint(hooks.toDF("to", "next")), "to", "left").select("label", F.coalesce("next", "to").alias("to"))
+        labels = written(labels.join(hint(twice), "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
 
 
 def _labelled(df: DataFrame, labels: DataFrame | None, node: str, name: str) -> DataFrame:
@@ -309,7 +347,7 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
                 if used is not None:
                     rest = rest.join(used, ["key", "node"], "left_anti")
                 place = F.row_number().over(W.partitionBy("key").orderBy("node"))
-                some = rest.withColumn("_n", place).where(F.col("_n") <= min(MAX_PIVOTS, PIVOTS * 8 ** (turn - 2))).drop("_n")
+                some = rest.withColumn("_n", place).where(F.col("_n") <= MAX_PIVOTS).drop("_n")
                 some = written(some, "pivots")
                 if turn > 2 and some.limit(1).count() == 0:
                     break
@@ -317,7 +355,11 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
                 used = mine if used is None else used.union(mine)
                 own = own.join(some.select("key").distinct(), "key", "left_semi")
             found.append(block_links(own, some, bodies, percent))
-        fresh = found[0] if len(found) == 1 else found[0].union(found[1])
+        fresh = written(found[0] if len(found) == 1 else found[0].union(found[1]), "fresh")
+        if labels is not None and not fresh.limit(1).count():
+            if not any_bucket:
+                break
+            continue
         # components so far stand for their links
         links = fresh if labels is None else fresh.union(labels.where("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))
         labels = components(links)
