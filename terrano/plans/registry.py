@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+from terrano.plans.listing_queries import QUERIES
+from terrano.plans.listing_sql import SQL
+
+__all__ = ["QUERIES", "SQL"]
