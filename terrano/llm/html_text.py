@@ -39,6 +39,9 @@ SKIPPED_NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|widget|menu|nav\w*|breadcrumbs?|"
     r"header|footer|masthead|comments?|comment\w*|replies|respond|disqus|related|recommended|share|sharing|social|tags|pagination|pager|toolbar|search)(?:$|[\s_-])"
 )
+COMMENT_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:comment\w*|reply|replies|teaser|related|promo\w*|sponsor\w*|ad|advert\w*)(?:$|[\s_-])")
+#: Classes that only tell of other parts, such as has-sidebar.
+TOLD_NAMES = re.compile(r"(?i)(?:^|\s)(?:has|with|no|without|is)[_-]\S+")
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MIN_WORDS, LONG_WORDS, LOW_STOP, HIGH_STOP, MAX_LINK = 10, 25, 0.10, 0.25, 0.5
 
@@ -52,11 +55,12 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 def _skips(tag: str, attributes: str) -> bool:
     if tag in SKIPPED_TAGS:
         return True
-    if not attributes or tag in ("html", "body", "article", "main"):
+    if not attributes or tag in ("html", "body"):
         return False
+    names = COMMENT_NAMES if tag in ("article", "main") else SKIPPED_NAMES
     for name, value in _NAMED.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
-        if name in ("class", "id") and SKIPPED_NAMES.search(value) or name == "role" and value.lower() in SKIPPED_ROLES:
+        if name in ("class", "id") and names.search(TOLD_NAMES.sub(" ", value)) or name == "role" and value.lower() in SKIPPED_ROLES:
             return True
         if name == "hidden" or name == "aria-hidden" and value == "true":
             return True
@@ -136,6 +140,11 @@ def blocks(page: str) -> list[Block]:
                     number += 1
                 articles += 1
             skip = _skips(tag, m[3])
+            if starts and not skip:  # no menu, header or footer holds an article: it was left unclosed
+                for i, (name, on, article) in enumerate(stack):
+                    if on and name in ("nav", "header", "footer", "head", "form"):
+                        stack[i] = (name, False, article)
+                        skipped -= 1
             skipped += skip
             links += tag == "a"
             stack.append((tag, skip, starts))
