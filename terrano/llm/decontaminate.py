@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from terrano.llm.arrow_map import LOWER, plain_words, slices, texts, with_arrow_columns
+from terrano.session import written
 
 WINDOW = 13
 #: Distinct (window, item) rows up to which the hash set is broadcast (about 50 MB).
@@ -164,31 +165,30 @@ def _scan_by_join(docs: DataFrame, grams: DataFrame, text: str, window: int, kee
     Distinct texts are scanned once, keyed by digest, so that repeated rows multiply nothing.
     """
     key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    words = F.filter(
-        F.split(F.translate(F.coalesce(F.col(text), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"),
-        lambda w: w != "",
-    )
-    base = docs.select(key.alias("_key"), words.alias("_w")).dropDuplicates(["_key"])
-    sizes = [r[0] for r in grams.select("size").distinct().collect()]  # at most `window` values
-    parts = [
-        base.where(F.size("_w") >= size).select(
-            "_key",
-            F.lit(size).alias("size"),
-            F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_w") - (size - 1)), lambda i, size=size: F.array_join(F.slice(F.col("_w"), i, size), " "))).alias("_at", "gram"),
-        )
-        for size in sizes
-    ]
-    counts = base.select("_key", F.size("_w").cast("long").alias("n_words"))
-    if parts:
-        found = parts[0]
-        for part in parts[1:]:
-            found = found.unionByName(part)
-        found = found.join(grams, ["size", "gram"])
-        hit = found.select("_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("size") - 1)).alias("_p")).distinct().groupBy("_key").agg(F.count("*").alias("n_hit"))
-        items = found.select("_key", "item").distinct().groupBy("_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
-        counts = counts.join(hit, "_key", "left").join(items, "_key", "left")
-    else:
-        counts = counts.withColumns({"n_hit": F.lit(None).cast("long"), "items": F.lit(None).cast("array<string>")})
+    sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # at most `window` values
+    base = docs.select(key.alias("_key"), F.col(text).alias("_text")).groupBy("_key").agg(F.first("_text").alias("_text"))
+
+    def cut(batches):
+        """(key, size, at, gram) of every window; size 0 and at: how many words."""
+        for batch in slices(batches, 256):
+            for k, tx in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
+                w = plain_words(tx)
+                for size in (0, *sizes):
+                    for start in range(0, len(w) - size + 1 if size else 1, 10_000):
+                        places = range(start, min(start + 10_000, len(w) - size + 1)) if size else [len(w)]
+                        found = [b" ".join(w[i : i + size]).decode() for i in places]
+                        n = len(found)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([k] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(found, pa.string())],
+                            ["_key", "size", "_at", "gram"],
+                        )
+
+    windows = written(base.mapInArrow(cut, "_key string, size int, _at long, gram string"), "windows")
+    counts = windows.where("size = 0").select("_key", F.col("_at").alias("n_words"))
+    found = windows.where("size > 0").join(grams, ["size", "gram"])
+    hit = found.select("_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("size") - 1)).alias("_p")).distinct().groupBy("_key").agg(F.count("*").alias("n_hit"))
+    items = found.select("_key", "item").distinct().groupBy("_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    counts = counts.join(hit, "_key", "left").join(items, "_key", "left")
     counts = counts.select(
         "_key",
         "n_words",
