@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: Fixed values of the listing domain.
@@ -30,6 +32,11 @@ TYPE_WORDS = {
 ACCENTED, PLAIN = "áéíóúüñàèìòùâêîôûäëïöçÁÉÍÓÚÜÑ", "aeiouunaeiouaeiouaeiocAEIOUUN"
 
 
+def let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once, however often ``of`` uses it."""
+    return F.transform(F.array(value), of)[0]
+
+
 def clean(x: Column) -> Column:
     """White space stripped, of every kind; null if nothing is left."""
     return F.nullif(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""), F.lit(""))
@@ -68,12 +75,15 @@ def locale_number(x: Column) -> Column:
 
 def operation(x: Column) -> Column:
     """Canonical operation; consultar for null, blank and unknown values."""
-    key = F.lower(squeeze(x))
-    known = F.when(key.isin(*OPERATIONS), key)
-    for word, to in OPERATION_WORDS.items():
-        known = known.when(key == word, to)
-    both = F.rlike(key, F.lit(SALE_WORDS)) & F.rlike(key, F.lit(RENT_WORDS))
-    return F.coalesce(known.when(both, "venta_y_alquiler"), F.lit("consultar"))
+
+    def named(key: Column) -> Column:
+        known = F.when(key.isin(*OPERATIONS), key)
+        for word, to in OPERATION_WORDS.items():
+            known = known.when(key == word, to)
+        both = F.rlike(key, F.lit(SALE_WORDS)) & F.rlike(key, F.lit(RENT_WORDS))
+        return F.coalesce(known.when(both, "venta_y_alquiler"), F.lit("consultar"))
+
+    return let(F.lower(squeeze(x)), named)
 
 
 def display_operation(x: Column) -> Column:

@@ -26,10 +26,19 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
     Missing data costs points and never rejects. A hash is a duplicate if it is known or if an earlier
     valid row has it; only valid rows block later ones.
     """
-    df = raw.withColumn("_price", N.locale_number(F.col("precio")))
+    # each of these is used several times below, and the joins keep them from being computed anew
+    df = raw.withColumns(
+        {
+            "_price": N.locale_number(F.col("precio")),
+            "_operation": N.operation(F.col("operacion")),
+            "_original": F.lower(N.clean(F.col("operacion"))),
+            "_no_place": _blank("ciudad") & _blank("provincia"),
+            "_no_address": _blank("direccion") | F.coalesce(F.contains("direccion", F.lit("@")), F.lit(False)),
+        }
+    )
     given = ~_blank("precio")
     currency = F.upper(N.clean(F.col("moneda")))
-    operation = N.operation(F.col("operacion"))
+    operation, original, no_place, no_address = (F.col(c) for c in ("_operation", "_original", "_no_place", "_no_address"))
     hard = [
         F.when(_blank("hash_dedup"), "missing_hash"),
         F.when(_agency().isNull(), "missing_inmobiliaria_id"),
@@ -49,12 +58,9 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
     again = F.coalesce(F.col("_known"), F.lit(False)) | F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))
     df = df.withColumn("hard", F.concat("hard", F.when(again, F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))))
 
-    no_place = _blank("ciudad") & _blank("provincia")
     bad_address = F.contains("direccion", F.lit("@"))
-    no_address = _blank("direccion") | F.coalesce(bad_address, F.lit(False))
     some_point = F.col("latitud").isNotNull() | F.col("longitud").isNotNull()
     in_country = F.coalesce(F.col("latitud").between(-55, -21) & F.col("longitud").between(-74, -53), F.lit(False))
-    original = N.clean(F.col("operacion"))
     soft = [
         (no_place, "missing_location", 15),
         (_blank("tipo_propiedad"), "missing_type", 15),
@@ -64,7 +70,7 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
         (F.coalesce(bad_address, F.lit(False)), "invalid_address", 5),
         (no_address & ~no_place, "geocoding_skipped_approx_location", 5),
         (some_point & ~in_country, "invalid_coordinates", 10),
-        ((operation == "consultar") & original.isNotNull() & (F.lower(original) != "consultar"), "operacion_normalizada_consultar", 0),
+        ((operation == "consultar") & original.isNotNull() & (original != "consultar"), "operacion_normalizada_consultar", 0),
         (operation == "venta_y_alquiler", "operacion_venta_y_alquiler", 0),
     ]
     penalty = sum((F.when(c, p).otherwise(0) for c, _, p in soft), F.lit(0))
@@ -79,7 +85,7 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
             "status": F.when(F.size("hard") == 0, "staging").otherwise("rejected"),
         }
     )
-    return out.drop("_price", "_known", "_first")
+    return out.drop("_price", "_operation", "_original", "_no_place", "_no_address", "_known", "_first")
 
 
 def queue_skip_reason(min_score: int, allow_pending: bool) -> Column:
