@@ -61,3 +61,68 @@ def bounds(df: DataFrame) -> DataFrame:
 def issue_counts(validated: DataFrame) -> DataFrame:
     """(issue, n) over hard and soft issues."""
     return validated.select(F.explode(F.concat("hard", "soft")).alias("issue")).groupBy("issue").agg(F.count("*").alias("n"))
+
+
+def problem_counts(agencies: DataFrame, problems: Column) -> DataFrame:
+    """(problem, n) over lists of problems."""
+    return agencies.select(F.explode(problems).alias("problem")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+def last_runs(items: DataFrame, n_runs: int = 5, n_errors: int = 5) -> DataFrame:
+    """One row for each of the latest runs: items by status, new listings, its most frequent error types (ties: by name)."""
+    runs = items.select("run_id").distinct().orderBy(F.desc("run_id")).limit(n_runs)
+    recent = items.join(F.broadcast(runs), "run_id", "left_semi")
+    counts = recent.groupBy("run_id").agg(
+        *(F.count_if(F.col("status") == s).alias(s) for s in ("success", "error", "pending")),
+        F.sum(F.coalesce("nuevas", F.lit(0))).alias("nuevas"),
+    )
+    kinds = recent.where("status = 'error'").groupBy("run_id", F.coalesce("error_type", F.lit("")).alias("error_type")).agg(F.count("*").alias("k"))
+    order = F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "error_type")))
+    top = kinds.groupBy("run_id").agg(F.transform(F.slice(order, 1, n_errors), lambda e: F.concat(e["error_type"], F.lit("="), (-e["k"]).cast("string"))).alias("_top"))
+    return counts.join(top, "run_id", "left").withColumn("errores", F.coalesce(F.array_join("_top", ","), F.lit(""))).drop("_top")
+
+
+def status_counts(df: DataFrame, status: str, excluded: DataFrame | None = None, key: str | None = None) -> DataFrame:
+    """(status, n), without the keys of ``excluded``."""
+    rows = df if excluded is None else df.join(excluded.select(key), key, "left_anti")
+    return rows.groupBy(status).agg(F.count("*").alias("n"))
+
+
+def audit(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """One row: total, and for each check the number of rows that fail it; a null fails."""
+    return df.agg(F.count("*").alias("total"), *(F.count_if(~F.coalesce(c, F.lit(False))).alias(n) for n, c in checks.items()))
+
+
+def gate(df: DataFrame, by: list[str], failed: Column, limit: float) -> DataFrame:
+    """Rows, failures, rate and whether the rate is within the limit, for each group; a null counts as no failure."""
+    rows = df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed"))
+    return rows.withColumn("rate", F.when(F.col("n") > 0, F.col("failed") / F.col("n")).otherwise(0.0)).withColumn("ok", F.col("rate") <= limit)
+
+
+def top_counts(df: DataFrame, by: str, n: int = 20) -> DataFrame:
+    """The most frequent values, ties by value: the report's length is its feature."""
+    return df.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(n)
+
+
+def stuck(df: DataFrame, status: str, key: str, n: int = 5) -> DataFrame:
+    """The first few keys in a state that no row should be in."""
+    return df.where(F.col("status") == status).select(key).orderBy(key).limit(n)
+
+
+def before_after(before: DataFrame, after: DataFrame, key: str, value: str) -> DataFrame:
+    """(change, n, antes, despues) of a count by key: recovered, lost, gained, reduced, same; an absent key counts zero."""
+    both = before.select(key, F.col(value).alias("_b")).join(after.select(key, F.col(value).alias("_a")), key, "full")
+    b, a = (F.coalesce(c, F.lit(0)) for c in ("_b", "_a"))
+    change = F.when((b == 0) & (a > 0), "recovered").when((b > 0) & (a == 0), "lost").when(a > b, "gained").when(a < b, "reduced").otherwise("same")
+    return both.groupBy(change.alias("change")).agg(F.count("*").alias("n"), F.sum(b).alias("antes"), F.sum(a).alias("despues"))
+
+
+def enrichment_stats(agencies: DataFrame, points: Column, site: Column, phone: Column) -> DataFrame:
+    """One row: total, con_web, sin_telefono, sin_provincia, confianza (mean points, null if there are no rows)."""
+    return agencies.agg(
+        F.count("*").alias("total"),
+        F.count_if(site).alias("con_web"),
+        F.count_if(~phone).alias("sin_telefono"),
+        F.count_if(F.coalesce("provincia", F.lit("")) == "").alias("sin_provincia"),
+        F.avg(points).alias("confianza"),
+    )

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from terrano.plans.listing_queries import QUERIES
-from terrano.plans.listing_sql import SQL
+from terrano.plans import listing_queries, listing_sql, place_queries, place_sql
+
+QUERIES = {**listing_queries.QUERIES, **place_queries.QUERIES}
+SQL = {**listing_sql.SQL, **place_sql.SQL}
 
 __all__ = ["QUERIES", "SQL"]
