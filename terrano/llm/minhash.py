@@ -138,15 +138,19 @@ def rare_and_buckets(classes: DataFrame, common: DataFrame, max_broadcast: int)
 
 
 def bucket_keys(values: np.ndarray) -> list[int]:
-    """One key for each residue class of the values: its two smallest. Short sketches: every value."""
+    """One key for each residue class of the values: its two smallest. Short sketches: every value.
+
+    Sketches that a short one may be linked with (at most 4/3 of its size, so still whole sets) get both kinds.
+    """
+    out = values.view(np.int64).tolist() if PERCENT * len(values) <= 100 * (2 * BUCKETS - 1) else []
     if len(values) < 2 * BUCKETS:
-        return values.view(np.int64).tolist()
-    out = []
+        return out
+    digests = []
     for j in range(BUCKETS):
         own = values[(values >> np.uint64(7)) % np.uint64(BUCKETS) == j][:2]
         if len(own):
-            out.append(xxhash.xxh3_64_intdigest(own.tobytes(), seed=j))
-    return np.array(out, np.uint64).view(np.int64).tolist()
+            digests.append(xxhash.xxh3_64_intdigest(own.tobytes(), seed=j))
+    return out + np.array(digests, np.uint64).view(np.int64).tolist()
 
 
 def list_pairs(rare: DataFrame, list_limit: int) -> DataFrame:

@@ -153,6 +153,15 @@ def test_minhash_equals_brute_force(spark, list_limit, bound):
     assert got == {i: (c, i == c) for i, c in want.items()}
 
 
+@pytest.mark.parametrize("words", [33, 35, 38])
+def test_minhash_links_across_the_short_bound(spark, words):
+    base = [f"b{i}" for i in range(words)]
+    edits = [lambda i: [*base[:-1], f"x{i}"], lambda i: [*base, f"y{i}"], lambda i: [f"z{i}", *base[1:]], lambda i: [*base, f"u{i}", f"v{i}"]]
+    docs = [(4 * i + k, " ".join(edit(i))) for i in range(45) for k, edit in enumerate(edits)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == brute(docs) and set(got.values()) == {0}
+
+
 def test_minhash_cases(odd, none):
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(odd.withColumn("node", F.lit(1))).collect())
     assert got[0] == (-1, 3, None, True) and (1, 0, 1, True) in got and (2, 0, 2, True) in got and got.count((4, 1, 3, False)) == 2
