@@ -2,7 +2,7 @@
 
 Offsets count code points. Base kinds are matched leftmost without overlap within a kind and kept when
 their check holds (address parts up to 255, Luhn, digit counts). The other kinds, bank account numbers
-(mod 97) and social numbers, are kept when pattern, checksum and nearby words together score enough.
+(length by country, mod 97) and social numbers, are kept when pattern, checksum and nearby words together score enough.
 
 Defined cases: null counts as empty and gives no span; long runs of one character are matched in linear
 time; equal or overlapping spans of different kinds are all reported, and merged for redaction; input
@@ -21,7 +21,16 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za
 IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}(?![\x20-]?[0-9])"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])"
+#: Characters of an account number by country code, in the registry and in wider use.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: A whole number, single spaces allowed. Matches take its first four characters, so that a wrong candidate hides none that starts in it.
+IBAN_WHOLE = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])"
+IBAN = f"(?<![A-Za-z0-9])(?={IBAN_WHOLE})[A-Z]{{2}}[0-9]{{2}}"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
 #: Words within CONTEXT characters before a span that raise its score.
@@ -80,6 +89,8 @@ RULES: dict[str, tuple[str, Callable[[Column], Column], Callable[[Column], Colum
     "iban": (IBAN, lambda t: F.rlike(t, F.lit("[A-Z]{2}[0-9]{2}")), mod97),
     "social": (SOCIAL, lambda t: F.rlike(t, F.lit("[0-9]{3}-[0-9]{2}-")), lambda m: F.lit(True)),
 }
+#: Kinds whose pattern matches the start of a span only: the whole span, and the most characters to read for it.
+WHOLE = {"iban": (IBAN_WHOLE, 2 * max(IBAN_LENGTHS))}
 SPAN = "struct<start:int,rank:int,kind:string,end:int,score:double>"
 
 
@@ -93,6 +104,8 @@ def spans_of(text: Column, kind: str) -> Column:
     def span(m: Column, i: Column) -> Column:
         start = lengths(F.slice(between, F.lit(1), i + 1)) + lengths(F.slice(found, F.lit(1), i))
         near = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
+        if kind in WHOLE:
+            m = F.regexp_extract(F.substring(text, start + 1, F.lit(WHOLE[kind][1])), f"^{WHOLE[kind][0]}", 0)
         score = F.lit(PATTERN_SCORE[kind]) + F.when(F.rlike(near, F.lit(NEARBY[kind])), CONTEXT_SCORE).otherwise(0.0)
         return F.struct(
             start.alias("start"),

@@ -124,6 +124,26 @@ def test_pii_cases(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_accounts_end_by_country(spark):
+    texts = {
+        "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF": "iban:5:32",
+        "pay DE89 3704 0044 0532 0130 00 EUR": "iban:4:31",
+        "DE89370400440532013000 12345": "iban:0:22",
+        "DE89 3704 0044 0532 0130 00 GB82 WEST 1234 5698 7654 32": "iban:0:27,iban:28:55",
+        "AT12 DE89 3704 0044 0532 0130 00": "iban:5:32",
+        "AB12 NO93 8601 1117 947 X": "iban:5:23",
+        "MT84 MALT 0110 0001 2345 MTLC AST0 01S 7": "iban:0:38",
+        "😀 NL91 ABNA 0417 1643 00 A1": "iban:2:24",
+        "DE89 3704 0044 0532 0130 01 EUR": "",
+        "DE89 3704 0044 0532 0130 00EUR": "",
+        "AT12 " * 300: "",
+    }
+    df = spark.createDataFrame(list(texts.items()), "text string, want string")
+    got = {r["text"]: r["got"] for r in pii.with_spans(df).select("text", pii.listed(F.col("spans")).alias("got")).collect()}
+    assert got == texts
+    assert pii.redact(df).where("text = '[IBAN] [IBAN]'").count() == 1
+
+
 def brute(docs):
     sets = [(i, minhash.shingles(t.encode() if t else b"")) for i, t in docs]
     up = minhash.Forest()
