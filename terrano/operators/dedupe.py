@@ -53,18 +53,46 @@ def groups(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min(id_column).alias("first_id"), F.max(id_column).alias("last_id")).where("n > 1")
 
 
-def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column, ratio: float = 0.92) -> DataFrame:
-    """Pairs of different names of one block that reach a Ratcliff-Obershelp ratio, with the first id of each name.
+def _cuts(length: int, ratio: float) -> tuple[list[int], int]:
+    """Bounds of the pieces of a shorter name, and how many characters a pair at the ratio may leave unmatched: fewer than pieces."""
+    longest = int(length * (2 / ratio - 1) + 1e-6)
+    free = int((1 - ratio) * (length + longest) + 1e-6)
+    return [k * length // (free + 1) for k in range(free + 2)], free
 
-    Equal names count once, so copies make no pairs; blocks are meant to be small by construction (a long prefix).
+
+def _own_pieces(x: str, ratio: float) -> list[str]:
+    cuts, _ = _cuts(len(x), ratio)
+    return [f"{len(x)}:{k}:{x[a:b]}" for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+
+
+def _pieces_within(x: str, ratio: float) -> list[str]:
+    """What the pieces of any name up to this one's length, that reaches the ratio with it, may be."""
+    out = set()
+    for n in range(max(1, int(len(x) * ratio / (2 - ratio) - 1e-6)), len(x) + 1):
+        cuts, free = _cuts(n, ratio)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            out.update(f"{n}:{k}:{x[at : at + b - a]}" for at in range(max(0, a - free), min(len(x) - b + a, a + free) + 1))
+    return list(out)
+
+
+def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column | None = None, ratio: float = 0.92) -> DataFrame:
+    """Pairs of different names (of one block, if given) that reach a Ratcliff-Obershelp ratio, with the first id of each name.
+
+    Equal names count once, so copies make no pairs. A pair at the ratio leaves few characters unmatched, so of one
+    piece more than that in the shorter name, one stands whole in the longer near its place: only such pairs are compared.
     """
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+        made = (SequenceMatcher(None, x, y) for x, y in zip(a, b, strict=True))
+        return pd.Series([m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0 for m in made])
 
-    rows = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(id_column).alias(id_column)).select(id_column, name, block.alias("_block"))
-    a, b = rows.toDF("id_a", "name_a", "_block"), rows.toDF("id_b", "name_b", "_block")
-    pairs = a.join(b, "_block").where("id_a < id_b").withColumn("ratio", alike("name_a", "name_b"))
+    own = F.pandas_udf(lambda x: x.map(lambda t: _own_pieces(t, ratio)), "array<string>", F.PandasUDFType.SCALAR)
+    within = F.pandas_udf(lambda x: x.map(lambda t: _pieces_within(t, ratio)), "array<string>", F.PandasUDFType.SCALAR)
+    rows = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(id_column).alias(id_column)).select(id_column, name, (F.lit(0) if block is None else block).alias("_block"))
+    short = rows.select("_block", F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("x"), F.explode(own(name)).alias("piece"))
+    long = rows.select("_block", F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("y"), F.explode(within(name)).alias("piece"))
+    met = short.join(long, ["_block", "piece"]).where("x.id <> y.id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = met.select(F.col("a.id").alias("id_a"), F.col("a.name").alias("name_a"), F.col("b.id").alias("id_b"), F.col("b.name").alias("name_b")).withColumn("ratio", alike("name_a", "name_b"))
     return pairs.where(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")

@@ -188,8 +188,8 @@ def ded11_dup_groups(s: S, d: str) -> D:
 
 
 def ded13_fuzzy(s: S, d: str) -> D:
-    parts = table(s, d, "part")
-    return dedupe.fuzzy_pairs(parts, "p_partkey", "p_name", F.left("p_name", F.lit(8)), 0.92)
+    parts = table(s, d, "part").select("p_partkey", N.search_key("p_name").alias("p_name"))
+    return dedupe.fuzzy_pairs(parts, "p_partkey", "p_name", None, 0.92)
 
 
 def joi01_view(s: S, d: str) -> D:
