@@ -1,5 +1,6 @@
 """Nulls, empty and long texts, ties, repeats, empty tables and clashing columns; the ways beyond broadcast bounds."""
 
+import fractions
 import json
 
 import numpy as np
@@ -61,20 +62,60 @@ def test_packing_cases(odd, none):
     assert packing.pack(none).count() == 0
 
 
-@pytest.mark.parametrize("weights", [None, {"a": 1, "b": 3}])
+def round_robin(totals, window, quantum, weights):
+    """(queue, k) in order of service, by a plain deficit round-robin with counters."""
+    names, left = sorted(totals), {q: totals[q] // quantum for q in totals}
+    share = {q: fractions.Fraction(str(weights.get(q, 0))) if weights is not None else fractions.Fraction(left[q]) for q in names}
+    active = [q for q in names if share[q] > 0]
+    deficit, done, out = {q: fractions.Fraction(quantum, 2) for q in active}, dict.fromkeys(names, 0), []
+    while any(left[q] for q in active):
+        for q in active:
+            deficit[q] += window * share[q] / sum(share.values())
+            while deficit[q] >= quantum and left[q]:
+                out.append((q, done[q]))
+                deficit[q] -= quantum
+                left[q] -= 1
+                done[q] += 1
+            assert not left[q] or deficit[q] < quantum
+    return out + [(q, done[q] + i) for q in names if share[q] == 0 for i in range(left[q])]
+
+
+@pytest.mark.parametrize("seed", range(8))
 @pytest.mark.parametrize("kind", [np.int64, object])
-def test_schedule_is_a_permutation(weights, kind):
-    plan = packing.Schedule({"a": 3000, "b": 2000, "c": 10, "d": 256}, 1024, 256, weights)
-    plan.kind = kind
-    slots = [s for i, n in enumerate(plan.full) for s in plan.slots(i, np.arange(n)).tolist()]
-    assert sorted(slots) == list(range(sum(plan.full)))
-    taken = sorted(p for q, n in (("a", 3000), ("b", 2000), ("c", 10), ("d", 256)) for _, m, at in plan.pieces(q, 0, n) for p in range(at, at + m))
-    assert taken == list(range(5266))
-
-
-def test_packing_folds_many_sources(spark):
-    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.col("id").cast("string").alias("source"))
-    assert packing.tokenize(docs, packing.vocabulary_path(), max_queues=8).select("queue").distinct().count() <= 8
+def test_schedule_equals_sequential_deficit_round_robin(seed, kind):
+    rng = np.random.default_rng(seed)
+    totals = {f"s{i}": int(rng.integers(0, 9000)) for i in range(rng.integers(1, 9))}
+    for weights in (None, {q: round(float(rng.random()), 3) for q in totals}, {q: int(rng.integers(0, 4)) for q in list(totals)[1:]}):
+        plan = packing.Schedule(totals, 1024, 256, weights)
+        plan.kind = kind
+        plan.credit = plan.credit.astype(kind)
+        got = {}
+        for i, q in enumerate(plan.names):
+            k = np.arange(plan.full[i])
+            got |= {int(s): (q, int(x)) for s, x in zip(plan.slots(np.full(len(k), i), k), k, strict=True)}
+        assert [got[s] for s in range(len(got))] == round_robin(totals, 1024, 256, weights)
+
+
+def test_weights_are_kept_in_proportion(spark):
+    assert packing.whole_weights({"a": 0.9, "b": 0.1, "c": 0}) == {"a": 9, "b": 1}
+    for bad in (-1, float("nan"), float("inf")):
+        with pytest.raises(ValueError):
+            packing.whole_weights({"a": bad})
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.repeat(F.lit("and so on "), 40)).alias("text"), F.when(F.col("id") % 3 == 0, "a").when(F.col("id") % 3 == 1, "b").otherwise("c").alias("source"))
+    got = packing.pack(docs, weights={"a": 0.25, "b": 0.75}).join(docs, "doc_id")
+    first = {r["source"]: r["n"] for r in got.where("sequence_id < 24").groupBy("source").agg(F.sum("length").alias("n")).collect()}
+    assert set(first) == {"a", "b"} and abs(first["a"] - 6 * 1024) <= 512 and abs(first["b"] - 18 * 1024) <= 512
+    last = got.where("source = 'c'").agg(F.min("sequence_id")).first()[0]
+    assert last >= got.where("source <> 'c' and length = 256").agg(F.max("sequence_id")).first()[0]
+
+
+@pytest.mark.parametrize("weights", [None, {"s1": 0.5, "s2": 1.5, "s7": 3}])
+def test_ranked_quanta_equal_the_closed_form(spark, weights):
+    rows = [(i, " ".join(["many words"] * (i * 37 % 900)), None if i % 23 == 0 else f"s{i % 19}") for i in range(150)]
+    docs = spark.createDataFrame([*rows, rows[5], (None, None, None)], "doc_id long, text string, source string").repartition(5, "doc_id")
+    key = lambda df: sorted(map(repr, df.collect()))
+    one, two = (packing.pack(docs, weights=weights, max_held=m, with_ids=True) for m in (4096, 3))
+    assert key(one) == key(two) and one.count() > 150
 
 
 def test_fingerprint_cases(spark, odd, none):
