@@ -1,8 +1,10 @@
 """Benchmark decontamination by word windows.
 
 The normalised windows of the benchmark (13 words; a shorter item is one window) form a hash set that
-is broadcast while it is proven small, else joined by hash. Documents are scanned window by window,
-hash hits are verified word by word, and spans or whole documents are removed.
+is broadcast while it is proven small. Beyond that a bit table of their hashes, of fixed size, is broadcast
+instead: it passes few windows but those of the benchmark, and these meet the benchmark's in a join.
+Documents are scanned window by window, hash hits are verified word by word, and spans or whole documents
+are removed, however large the benchmark is.
 
 Defined cases: a null or wordless text has no words and no hits; a null or wordless item has no window;
 an item without id still marks words but is not listed; equal windows of several items count for each;
@@ -17,6 +19,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from terrano.llm.arrow_map import LOWER, plain_words, slices, texts, with_arrow_columns
@@ -27,6 +30,9 @@ WINDOW = 13
 MAX_BROADCAST_WINDOWS = 400_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BITS = 20
+#: Bits of the table that stands for a benchmark beyond the bound: 16 MB, whatever the benchmark holds.
+_FILTER_BITS = 27
+_BLOCK_BITS = 15
 _WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 REPORT = T.StructType(
@@ -41,8 +47,8 @@ REPORT = T.StructType(
 
 
 def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Distinct (size, gram, item) of the benchmark; gram: the window's words joined by spaces."""
-    schema = "size int, gram string, item string"
+    """Distinct (size, gram, item, h) of the benchmark; gram: the window's words joined by spaces; h: its hash."""
+    schema = "size int, gram string, item string, h long"
 
     def run(batches):
         for batch in slices(batches, 512):
@@ -50,23 +56,31 @@ def item_windows(benchmark: DataFrame, item: str = "item_id", text: str = "text"
             for it, tx in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 w = plain_words(tx)
                 size = min(window, len(w))
-                rows += [(size, b" ".join(w[i : i + size]).decode(), it) for i in range(len(w) - size + 1 if w else 0)]
-            cols = list(zip(*rows, strict=True)) or [(), (), ()]
+                hashes = window_hashes(w, size).view(np.int64).tolist() if w else []
+                rows += [(size, b" ".join(w[i : i + size]).decode(), it, h) for i, h in enumerate(hashes)]
+            cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
-                ["size", "gram", "item"],
+                [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64())],
+                ["size", "gram", "item", "h"],
             )
 
     return benchmark.select(F.col(item).cast("string"), F.col(text)).mapInArrow(run, schema).distinct()
 
 
+def window_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """The hash of every window of ``size`` words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    n = len(words) - size + 1
+    return WindowSet._hash([h[k : k + n] for k in range(size)]) if n > 0 else np.empty(0, np.uint64)
+
+
 class WindowSet:
     """The broadcast form: word ids, a bit table over window hashes, and the windows themselves."""
 
-    def __init__(self, rows: list[tuple[int, str, str | None]]) -> None:
+    def __init__(self, rows: list[tuple]) -> None:
         self.ids: dict[bytes, int] = {}
         self.items: dict[int, dict[tuple[int, ...], set[str]]] = {}
-        for size, gram, item in rows:
+        for size, gram, item, *_ in rows:
             key = tuple(self.ids.setdefault(w, len(self.ids) + 1) for w in gram.encode().split(b" "))
             self.items.setdefault(size, {}).setdefault(key, set()).update([item] if item is not None else [])
         self.tables = {}
@@ -159,33 +173,57 @@ def scan(
     return with_arrow_columns(docs, REPORT, make, drop=() if keep_text else (text,))
 
 
-def _scan_by_join(docs: DataFrame, grams: DataFrame, text: str, window: int, keep_text: bool) -> DataFrame:
-    """As scan(), for a benchmark beyond the broadcast bound: windows of both sides meet in a hash join.
+def bit_table(grams: DataFrame) -> np.ndarray:
+    """One bit for each hash of the benchmark's windows: at most 4,096 rows of 4 KB reach the driver, whatever their number."""
+    bit = F.shiftrightunsigned("h", 64 - _FILTER_BITS)
+    rows = grams.groupBy(F.shiftright(bit, _BLOCK_BITS).alias("block")).agg(F.bitmap_construct_agg((bit % (1 << _BLOCK_BITS)).cast("long")).alias("bits")).collect()
+    table = np.zeros((1 << (_FILTER_BITS - _BLOCK_BITS), 1 << (_BLOCK_BITS - 3)), np.uint8)
+    for r in rows:
+        table[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return table.reshape(-1)
+
+
+def _windows_by_join(docs: DataFrame, grams: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, n_words) of every distinct text and (_key, _at, size, item) of its verified windows, for a benchmark beyond the broadcast bound.
 
     Distinct texts are scanned once, keyed by digest, so that repeated rows multiply nothing.
     """
-    key = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+    grams = written(grams, "grams")
     sizes = sorted(r[0] for r in grams.select("size").distinct().collect())  # at most `window` values
-    base = docs.select(key.alias("_key"), F.col(text).alias("_text")).groupBy("_key").agg(F.first("_text").alias("_text"))
+    held = docs.sparkSession.sparkContext.broadcast(bit_table(grams))
+    base = docs.select(_text_key(text).alias("_key"), F.col(text).alias("_text")).groupBy("_key").agg(F.first("_text").alias("_text"))
 
-    def cut(batches):
-        """(key, size, at, gram) of every window; size 0 and at: how many words."""
+    def run(batches):
+        """(key, size, at, gram) of the windows whose bit is set; size 0 and at: how many words."""
+        table = held.value
         for batch in slices(batches, 256):
             for k, tx in zip(batch.column(0).to_pylist(), texts(batch.column(1)), strict=True):
                 w = plain_words(tx)
                 for size in (0, *sizes):
-                    for start in range(0, len(w) - size + 1 if size else 1, 10_000):
-                        places = range(start, min(start + 10_000, len(w) - size + 1)) if size else [len(w)]
-                        found = [b" ".join(w[i : i + size]).decode() for i in places]
-                        n = len(found)
+                    places = np.array([len(w)])
+                    if size:
+                        h = window_hashes(w, size)
+                        bit = h >> np.uint64(64 - _FILTER_BITS)
+                        places = np.flatnonzero((table[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1)
+                    for start in range(0, len(places), 10_000):
+                        part = places[start : start + 10_000].tolist()
+                        n, found = len(part), [b" ".join(w[i : i + size]).decode() for i in part]
                         yield pa.RecordBatch.from_arrays(
-                            [pa.array([k] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(places, pa.int64()), pa.array(found, pa.string())],
+                            [pa.array([k] * n, pa.string()), pa.array([size] * n, pa.int32()), pa.array(part, pa.int64()), pa.array(found, pa.string())],
                             ["_key", "size", "_at", "gram"],
                         )
 
-    windows = written(base.mapInArrow(cut, "_key string, size int, _at long, gram string"), "windows")
-    counts = windows.where("size = 0").select("_key", F.col("_at").alias("n_words"))
-    found = windows.where("size > 0").join(grams, ["size", "gram"])
+    windows = written(base.mapInArrow(run, "_key string, size int, _at long, gram string"), "windows")
+    return windows.where("size = 0").select("_key", F.col("_at").alias("n_words")), windows.where("size > 0").join(grams, ["size", "gram"]).select("_key", "_at", "size", "item")
+
+
+def _text_key(text: str):
+    return F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
+
+
+def _scan_by_join(docs: DataFrame, grams: DataFrame, text: str, window: int, keep_text: bool) -> DataFrame:
+    """As scan(), for a benchmark beyond the broadcast bound."""
+    counts, found = _windows_by_join(docs, grams, text)
     hit = found.select("_key", F.explode(F.sequence(F.col("_at"), F.col("_at") + F.col("size") - 1)).alias("_p")).distinct().groupBy("_key").agg(F.count("*").alias("n_hit"))
     items = found.select("_key", "item").distinct().groupBy("_key").agg(F.sort_array(F.collect_list("item")).alias("items"))
     counts = counts.join(hit, "_key", "left").join(items, "_key", "left")
@@ -197,8 +235,7 @@ def _scan_by_join(docs: DataFrame, grams: DataFrame, text: str, window: int, kee
     ).withColumn("n_items", F.size("items").cast("long"))
     counts = counts.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
     clash = [c for c in docs.columns if c in {f.name for f in REPORT.fields}]
-    left = docs.drop(*clash).withColumn("_key", key)
-    out = left.join(counts, "_key", "left").drop("_key")
+    out = docs.drop(*clash).withColumn("_key", _text_key(text)).join(counts, "_key", "left").drop("_key")
     return out if keep_text else out.drop(text)
 
 
@@ -207,33 +244,43 @@ def remove_documents(docs: DataFrame, benchmark: DataFrame, **options) -> DataFr
     return scan(docs, benchmark, **options).where(~F.col("contaminated")).select(*docs.columns)
 
 
+def without_windows(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
+    """The text without its words from ``first`` on, ``size`` of them, and what stands between those words, for each (first, size)."""
+    if not spans:
+        return raw
+    at = [m.span() for m in _WORD.finditer(raw.translate(LOWER))]
+    kept, end = [], 0
+    for first, size in sorted(spans):
+        a, b = at[first][0], at[first + size - 1][1]
+        if a > end:
+            kept.append(raw[end:a])
+        end = max(end, b)
+    return b"".join([*kept, raw[end:]])
+
+
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW, max_broadcast: int = MAX_BROADCAST_WINDOWS) -> DataFrame:
-    """``docs`` whose texts lose the words inside benchmark windows, with what stands between those words.
+    """``docs`` whose texts lose the words inside benchmark windows, with what stands between those words."""
+    grams = item_windows(benchmark, item, item_text, window)
+    rows = grams.limit(max_broadcast + 1).collect()  # at most max_broadcast + 1 rows reach the driver
+    new = T.StructType([T.StructField(text, T.StringType())])
+    if len(rows) <= max_broadcast:
+        held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in rows]))
 
-    For a benchmark within the broadcast bound; beyond it, remove documents instead.
-    """
-    rows = item_windows(benchmark, item, item_text, window).limit(max_broadcast + 1).collect()
-    if len(rows) > max_broadcast:
-        raise ValueError(f"more than {max_broadcast} windows: use remove_documents")
-    held = docs.sparkSession.sparkContext.broadcast(WindowSet([tuple(r) for r in rows]))
+        def cut(raw: bytes) -> bytes:
+            return without_windows(raw, [h[:2] for h in held.value.hits(plain_words(raw))])
 
-    def cut(windows: WindowSet, raw: bytes) -> bytes:
-        spans = windows.hits(plain_words(raw))
-        if not spans:
-            return raw
-        at = [m.span() for m in _WORD.finditer(raw.translate(LOWER))]
-        kept, end = [], 0
-        for first, size, _ in sorted(spans, key=lambda s: s[:2]):
-            a, b = at[first][0], at[first + size - 1][1]
-            if a > end:
-                kept.append(raw[end:a])
-            end = max(end, b)
-        return b"".join([*kept, raw[end:]])
+        make = lambda: lambda batch: {text: [None if not v else cut(b).decode() for v, b in zip(batch.column(text).is_valid().to_pylist(), texts(batch.column(text)), strict=True)]}
+        return with_arrow_columns(docs, new, make).select(*docs.columns)
+    _, found = _windows_by_join(docs, grams, text)
+    spans = found.select("_key", F.struct("_at", "size").alias("_s")).distinct().groupBy("_key").agg(F.collect_list("_s").alias("_spans"))
+    marked = docs.withColumn("_key", _text_key(text)).join(spans, "_key", "left").drop("_key")
 
-    def make():
-        return lambda batch: {text: [None if not v else cut(held.value, b).decode() for v, b in zip(batch.column(text).is_valid().to_pylist(), texts(batch.column(text)), strict=True)]}
+    def of(batch):
+        spans = [[(x["_at"], x["size"]) for x in s or []] for s in batch.column("_spans").to_pylist()]
+        valid = batch.column(text).is_valid().to_pylist()
+        return {text: [None if not v else without_windows(b, s).decode() for v, b, s in zip(valid, texts(batch.column(text)), spans, strict=True)]}
 
-    return with_arrow_columns(docs, T.StructType([T.StructField(text, T.StringType())]), make).select(*docs.columns)
+    return with_arrow_columns(marked, new, lambda: of, drop=("_spans",)).select(*docs.columns)
 
 
 def items_digest(items: list[str]) -> str:
