@@ -1,19 +1,22 @@
 """Quality scores by a factorisation machine.
 
-Features: hashed words of the text (weighted by the log of their counts, scaled to unit length) and
-statistics of its structure, such as lengths, shares of character classes and repeats, in ranges. Every pair of features interacts
-through vectors of low rank; the sum-of-squares identity scores a document in linear time. Weights are fitted by Adam on a bounded
+Features: hashed words of the text (weighted by the log of their counts, scaled to unit length), statistics of
+its structure, such as lengths, shares of character classes and repeats, in ranges, and numeric metadata columns
+(by default the character count that the table states, where it has one), in ranges. Labels, language, source and
+id are no features. All statistics are read from the whole text. Every pair of features interacts through vectors of low rank; the sum-of-squares identity scores a document in linear time. Weights are fitted by Adam on a bounded
 sample of labelled rows, on the driver, and broadcast; all documents are scored where they lie.
 
 Defined cases: null counts as an empty text and is scored like any other; rows whose label is null or that
-have no document are not learnt from; equal texts have equal scores; without labelled rows every score is
-the prior 0.5; input columns that clash with results are replaced.
+have no document are not learnt from; of repeated labels or documents of an id the smallest is learnt from;
+equal texts with equal metadata have equal scores; missing or negative metadata is a range of its own; without
+labelled rows every score is the prior 0.5; input columns that clash with results are replaced.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from terrano.llm.arrow_map import space_words, with_arrow_columns
+from terrano.llm.arrow_map import slices, space_words, with_arrow_columns
 
 HASH_BITS = 14
 RANK = 8
@@ -35,9 +38,14 @@ FOLDS = 5
 SEED = 7
 STATS = 16
 LEVELS = 12
-FEATURES = (1 << HASH_BITS) + STATS * LEVELS
-_DIGITS = bytes(1 if 48 <= c <= 57 else 0 for c in range(256))
+#: Numeric columns that describe a document, where the table has them; ranges of each, by powers of two.
+METADATA = ("n_chars",)
+META_LEVELS = 24
+FEATURES = (1 << HASH_BITS) + STATS * LEVELS + len(METADATA) * META_LEVELS
 _COUNT = re.compile(rb"[.!?]")
+_UPPER, _LOWER, _DIGITS, _MARKS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"#$%&*!|=<>{}_~@/"
+#: Words whose hashes a worker keeps at once.
+_KEPT_WORDS = 500_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -55,45 +63,71 @@ def structure(text: bytes, words: list[bytes]) -> list[int]:
     n, w = max(1, len(text)), max(1, len(words))
     lines = text.split(b"\n")
     count = text.count
-    upper = sum(map(count, (b"A", b"E", b"H", b"I", b"N", b"O", b"R", b"T", b"D", b"S")))
-    lower = sum(map(count, (b"a", b"e", b"h", b"i", b"n", b"o", b"r", b"t", b"d", b"s")))
-    marks = sum(map(count, (b"#", b"$", b"%", b"&", b"*", b"!", b"|", b"=", b"<", b">", b"{", b"}", b"_", b"~", b"@", b"/")))
-    distinct = len(set(words))
+    of = lambda chars: len(text) - len(text.translate(None, chars))
+    upper, lower = of(_UPPER), of(_LOWER)
+    times = Counter(words)
     values = [
         min(1.0, len(words) / 4000),
         min(1.0, len(words) / 100),
         min(1.0, (n / w) / 30),
-        distinct / w,
+        len(times) / w,
         upper / max(1, upper + lower),
-        min(1.0, 4 * marks / w),
-        min(1.0, sum(map(count, (b"0", b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9"))) / n * 4),
+        min(1.0, 4 * of(_MARKS) / w),
+        min(1.0, of(_DIGITS) / n * 4),
         min(1.0, len(_COUNT.findall(text)) / w * 4),
         min(1.0, count(b",") / w * 4),
         1 - len(set(lines)) / len(lines),
         min(1.0, len(lines) / w * 4),
-        min(1.0, max(map(len, words), default=0) / 60),
+        min(1.0, max(map(len, times), default=0) / 60),
         min(1.0, count(b"|") / w),
         min(1.0, count(b"!") / w),
-        max((words.count(x) for x in set(words[:: max(1, w // 8)])), default=0) / w,
+        max(times.values(), default=0) / w,
         len(set(zip(words, words[1:], strict=False))) / max(1, len(words) - 1),
     ]
     first = 1 << HASH_BITS
     return [first + i * LEVELS + _level(v) for i, v in enumerate(values)]
 
 
-def features(text: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Indices and values of a text's non-zero features."""
-    words = space_words(text)
-    stats = structure(text, words)
-    if words:
-        h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)) >> np.uint64(64 - HASH_BITS)
-        counts = np.bincount(h.astype(np.int64), minlength=1 << HASH_BITS)
-        at = np.flatnonzero(counts)
-        value = np.log1p(counts[at])
-        value /= np.sqrt((value**2).sum())
-    else:
-        at, value = np.empty(0, np.int64), np.empty(0)
-    return np.concatenate([at, stats]), np.concatenate([value, np.full(STATS, 0.5)])
+def described(values: tuple) -> list[int]:
+    """The metadata's features: one range of each value, by its power of two; the first for missing ones."""
+    first = (1 << HASH_BITS) + STATS * LEVELS
+    level = lambda v: 0 if v is None or v != v or v < 0 else min(META_LEVELS - 1, 1 + int(v).bit_length())
+    return [first + i * META_LEVELS + level(v) for i, v in enumerate(values)]
+
+
+class _Buckets(dict):
+    """Bucket of each word, hashed once while it is kept."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KEPT_WORDS:
+            self.clear()
+        self[word] = got = xxhash.xxh3_64_intdigest(word) >> (64 - HASH_BITS)
+        return got
+
+
+_buckets = _Buckets()
+
+
+def features(texts: list[bytes], metadata: list[tuple]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices, values, features of each text) of the texts' non-zero features, text by text."""
+    words = [space_words(t) for t in texts]
+    sizes = np.array([len(x) for x in words], np.int64)
+    found = np.fromiter((b for x in words for b in map(_buckets.__getitem__, x)), np.int64, int(sizes.sum()))
+    keys, counts = np.unique((np.repeat(np.arange(len(words)), sizes) << HASH_BITS) | found, return_counts=True)
+    own, at = keys >> HASH_BITS, keys & ((1 << HASH_BITS) - 1)
+    value = np.log1p(counts)
+    value /= np.sqrt(np.bincount(own, value * value, len(words)))[own]
+    more = STATS + len(METADATA)
+    fixed = np.array([structure(t, x) + described(m) for t, x, m in zip(texts, words, metadata, strict=True)], np.int64).reshape(-1)
+    owner = np.concatenate([own, np.repeat(np.arange(len(words)), more)])
+    order = np.argsort(owner, kind="stable")
+    return np.concatenate([at, fixed])[order], np.concatenate([value, np.full(len(fixed), 0.5)])[order], np.bincount(owner, minlength=len(words))
+
+
+def _metadata(batch: pa.RecordBatch) -> list[tuple]:
+    names = set(batch.schema.names)
+    columns = [batch.column(m).to_pylist() if m in names else [None] * batch.num_rows for m in METADATA]
+    return list(zip(*columns, strict=True)) if columns else [()] * batch.num_rows
 
 
 @dataclass
@@ -104,13 +138,17 @@ class Machine:
     w: np.ndarray
     v: np.ndarray
 
-    def margin(self, at: np.ndarray, x: np.ndarray) -> float:
+    def margins(self, at: np.ndarray, x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Of several texts: ``sizes`` features each, one at least."""
+        first = np.cumsum(sizes) - sizes
         xv = self.v[at] * x[:, None]
-        s = xv.sum(0)
-        return float(self.bias + self.w[at] @ x + 0.5 * (s @ s - (xv * xv).sum()))
+        s = np.add.reduceat(xv, first)
+        return self.bias + np.add.reduceat(self.w[at] * x, first) + 0.5 * ((s * s).sum(1) - np.add.reduceat((xv * xv).sum(1), first))
 
-    def score(self, text: bytes) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.margin(*features(text)), -30, 30))))
+    def scores(self, texts: list[bytes], metadata: list[tuple]) -> np.ndarray:
+        if not texts:
+            return np.empty(0)
+        return 1 / (1 + np.exp(-np.clip(self.margins(*features(texts, metadata)), -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rank: int = RANK, seed: int = SEED) -> Machine:
@@ -158,23 +196,26 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     Their features, not their texts, reach the driver.
     """
     known = labels.select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_y").isin(0, 1) & (fold(F.col("_id")) != 0))
-    known = known.orderBy(F.xxhash64("_id"), "_id", "_y").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).join(F.broadcast(known), "_id")
+    known = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
+    meta = [m for m in METADATA if m in docs.columns]
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), *meta).join(F.broadcast(known), "_id")
+    rows = rows.groupBy("_id", "_y").agg(F.min(F.struct("_text", *meta)).alias("_d")).select("_id", "_y", "_d.*")  # one row for each labelled id
 
     def run(batches):
-        for batch in batches:
-            made = [features(t.encode() if t else b"") for t in batch.column(2).to_pylist()]
+        for batch in slices(batches, 256):
+            at, x, sizes = features([t.encode() if t else b"" for t in batch.column("_text").to_pylist()], _metadata(batch))
+            ends = np.cumsum(sizes)[:-1]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(1),
-                    pa.array([a.astype("<i4").tobytes() for a, _ in made], pa.binary()),
-                    pa.array([x.astype("<f4").tobytes() for _, x in made], pa.binary()),
+                    pa.array([a.astype("<i4").tobytes() for a in np.split(at, ends)], pa.binary()),
+                    pa.array([v.astype("<f4").tobytes() for v in np.split(x, ends)], pa.binary()),
                 ],
                 ["id", "y", "at", "x"],
             )
 
-    got = rows.select("_id", "_y", "_text").mapInArrow(run, "id long, y int, at binary, x binary").limit(max_rows).toArrow()
+    got = rows.mapInArrow(run, "id long, y int, at binary, x binary").toArrow()  # at most max_rows rows
     data = sorted(zip(got["id"].to_pylist(), got["at"].to_pylist(), got["x"].to_pylist(), got["y"].to_pylist(), strict=True))
     return fit([(np.frombuffer(a, "<i4"), np.frombuffer(x, "<f4").astype(float)) for _, a, x, _ in data], [y for *_, y in data])
 
@@ -190,7 +231,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", threshold: floa
         own = held.value
 
         def of(batch):
-            got = [own.score(t.encode() if t else b"") for t in batch.column(text).to_pylist()]
+            got = own.scores([t.encode() if t else b"" for t in batch.column(text).to_pylist()], _metadata(batch)).tolist()
             return {"score": got, "predicted": [int(s >= threshold) for s in got]}
 
         return of

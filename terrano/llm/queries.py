@@ -67,7 +67,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
     machine = quality.train(docs, read(spark, sf_dir, "labels"))
     out = quality.score(docs, machine, keep_text=False)
     return out.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")

@@ -268,7 +268,26 @@ def test_quality_cases(spark, odd, none):
     got = [(r["text"], r["score"]) for r in quality.score(odd.withColumn("score", F.lit("clash")), machine).collect()]
     assert len(got) == len(ODD) and all(0 <= s <= 1 for _, s in got) and len({s for t, s in got if t == "one two three"}) == 1
     assert quality.score(none, machine).count() == 0
-    assert quality.train(none, labels).score(b"x") == 0.5
+    assert quality.train(none, labels).scores([b"x", b""], [(1,), (None,)]).tolist() == [0.5, 0.5]
+    assert quality.described((None,)) == quality.described((-1,)) != quality.described((0,)) != quality.described((900,))
+    twice = spark.createDataFrame([(3, 1), (3, 0), (5, 0)], "doc_id long, quality int")
+    assert (quality.train(odd, twice).w == quality.train(odd.unionByName(odd), twice.limit(3)).w).all()
+
+
+def test_quality_statistics_read_the_whole_text():
+    level = lambda words: quality.structure(b" ".join(words), words)[14] - (1 << quality.HASH_BITS) - 14 * quality.LEVELS
+    words = [b"spam" if i % 5 in (1, 3) else b"w%d" % i for i in range(1000)]
+    assert level(words) == quality._level(0.4) > level([b"w%d" % i for i in range(1000)])
+    shouted = lambda word: quality.structure(word * 50, [word])[4]
+    assert shouted(b"ZUGVJ") == shouted(b"AEHIN")
+
+
+def test_quality_scores_a_batch_like_single_texts():
+    rng = np.random.default_rng(2)
+    m = quality.Machine(0.2, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, 4)))
+    texts, meta = [b"a b c a", b"", b"one " * 300, "ä ö".encode()], [(7,), (0,), (None,), (3,)]
+    at, x, sizes = quality.features(texts, meta)
+    assert np.allclose(m.scores(texts, meta), [m.scores([t], [d])[0] for t, d in zip(texts, meta, strict=True)]) and sizes.tolist() == [3 + 17, 17, 1 + 17, 2 + 17] and len(at) == len(x)
 
 
 def test_interactions_equal_the_sum_over_pairs():
@@ -276,7 +295,7 @@ def test_interactions_equal_the_sum_over_pairs():
     m = quality.Machine(0.1, rng.normal(size=6), rng.normal(size=(6, 3)))
     at, x = np.arange(6), rng.normal(size=6)
     pairs = sum(m.v[i] @ m.v[j] * x[i] * x[j] for i in range(6) for j in range(i))
-    assert abs(m.margin(at, x) - (0.1 + m.w @ x + pairs)) < 1e-9
+    assert abs(m.margins(at, x, np.array([6]))[0] - (0.1 + m.w @ x + pairs)) < 1e-9
 
 
 def test_ledger(spark, odd):

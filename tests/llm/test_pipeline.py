@@ -14,7 +14,7 @@ def test_stages(spark, sf):
     one = low(spark, docs, sf)
     machine = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
     kept = text(one)
-    assert one.columns == columns and set(kept) == {d for d, t in text(docs).items() if machine.score((t or "").encode()) >= 0.3}
+    assert one.columns == columns and set(kept) == {r["doc_id"] for r in docs.collect() if machine.scores([(r["text"] or "").encode()], [(r["n_chars"],)])[0] >= 0.3}
 
     two = near(spark, one, sf)
     sets = {d: minhash.shingles((t or "").encode()) for d, t in kept.items()}
