@@ -4,9 +4,12 @@ Offsets count code points. Base kinds are matched leftmost without overlap withi
 their check holds (address parts up to 255, Luhn, digit counts). The other kinds, bank account numbers
 (length by country, mod 97) and social numbers, are kept when pattern, checksum and nearby words together score enough.
 
+Context is what stands within CONTEXT characters before and after a span, as far as the next matches of its kind.
+
 Defined cases: null counts as empty and gives no span; long runs of one character are matched in linear
-time; equal or overlapping spans of different kinds are all reported, and merged for redaction; input
-columns that clash with results are replaced.
+time, and time grows in proportion to the number of matches (but for sums over at most three levels of BLOCK
+values); equal or overlapping spans of different kinds are all reported, and merged for redaction, under the
+name of the first; input columns that clash with results are replaced.
 """
 
 from __future__ import annotations
@@ -33,8 +36,11 @@ IBAN_WHOLE = "(?:" + "|".join(f"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\\x20?[A-Z
 IBAN = f"(?<![A-Za-z0-9])(?={IBAN_WHOLE})[A-Z]{{2}}[0-9]{{2}}"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 
-#: Words within CONTEXT characters before a span that raise its score.
+#: Words within CONTEXT characters of a span that raise its score.
 CONTEXT = 40
+#: Values summed at once on each of the levels of a running total; characters of a text's chunks.
+BLOCK = 64
+CHUNK, CHUNKS = 1024, 64
 NEARBY = {
     "email": r"(?i)e-?mail|contact|correo|kontakt|write to",
     "ip": r"(?i)\bip\b|address|host|server|login",
@@ -94,30 +100,67 @@ WHOLE = {"iban": (IBAN_WHOLE, 2 * max(IBAN_LENGTHS))}
 SPAN = "struct<start:int,rank:int,kind:string,end:int,score:double>"
 
 
+def _let(value: Column, of: Callable[[Column], Column]) -> Column:
+    """``of(value)`` with the value computed once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _levels(values: Column, fold: Callable[[Column], Column]) -> Column:
+    """struct(a, b, c): the values, and folds of every BLOCK of them, twice."""
+    up = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / BLOCK).cast("int")), lambda i: fold(F.slice(a, i * BLOCK + 1, F.lit(BLOCK))))
+    none = lambda a: F.slice(a, F.lit(1), F.lit(0))
+    over = lambda a: F.when(F.size(a) > 0, up(a)).otherwise(none(a))
+    return _let(values, lambda a: _let(over(a), lambda b: F.struct(a.alias("a"), b.alias("b"), over(b).alias("c"))))
+
+
+def _before(levels: Column, i: Column, fold: Callable[[Column], Column]) -> Column:
+    """array of the folds of the values before place i, level by level: at most BLOCK values of each of the lower two are read."""
+    part = lambda a, start, end: fold(F.slice(a, start + 1, end - start))
+    wide, block = F.floor(i / (BLOCK * BLOCK)).cast("int"), F.floor(i / BLOCK).cast("int")
+    return F.array(part(levels["c"], F.lit(0), wide), part(levels["b"], wide * BLOCK, block), part(levels["a"], block * BLOCK, i))
+
+
+def _sum(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+
+def _max(a: Column) -> Column:
+    return F.coalesce(F.array_max(a), F.lit(0))
+
+
 def spans_of(text: Column, kind: str) -> Column:
-    """array<SPAN> of one kind: the text between matches and the matches themselves give the offsets."""
+    """array<SPAN> of one kind: running lengths of the matches and of the text between them give the offsets."""
     pattern, hint, check = RULES[kind]
     rank = KINDS.index(kind)
-    lengths = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + F.length(x))
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), 0)
-
-    def span(m: Column, i: Column) -> Column:
-        start = lengths(F.slice(between, F.lit(1), i + 1)) + lengths(F.slice(found, F.lit(1), i))
-        near = F.substring(text, F.greatest(start - CONTEXT, F.lit(0)) + 1, F.least(start, F.lit(CONTEXT)))
-        if kind in WHOLE:
-            m = F.regexp_extract(F.substring(text, start + 1, F.lit(WHOLE[kind][1])), f"^{WHOLE[kind][0]}", 0)
-        score = F.lit(PATTERN_SCORE[kind]) + F.when(F.rlike(near, F.lit(NEARBY[kind])), CONTEXT_SCORE).otherwise(0.0)
-        return F.struct(
-            start.alias("start"),
-            F.lit(rank).alias("rank"),
-            F.lit(kind).alias("kind"),
-            (start + F.length(m)).alias("end"),
-            F.when(check(m), score).otherwise(-1.0).alias("score"),
-        )
-
     least = 0.0 if kind in BASE else MIN_SCORE
-    kept = F.filter(F.transform(found, span), lambda s: s["score"] >= least)
-    return F.when(hint(text), kept).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def of(got: Column) -> Column:
+        between, found = got["between"], got["found"]
+        steps = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, m: F.length(g) + F.length(m))
+
+        def spans(levels: Column) -> Column:
+            def span(m: Column, i: Column) -> Column:
+                start = _sum(_before(levels, i, _sum)) + F.length(F.get(between, i))
+                near = F.concat(F.right(F.get(between, i), F.lit(CONTEXT)), F.lit(" "), F.left(F.get(between, i + 1), F.lit(CONTEXT)))
+                if kind in WHOLE:  # what follows the match, from as many gaps and matches as the longest span may cover
+                    whole, most = WHOLE[kind]
+                    rest = F.zip_with(F.slice(between, i + 2, F.lit(most // 4)), F.slice(found, i + 2, F.lit(most // 4)), lambda g, x: F.concat(F.left(g, F.lit(most)), F.coalesce(x, F.lit(""))))
+                    m = F.regexp_extract(F.concat(m, F.left(F.array_join(rest, ""), F.lit(most))), f"^{whole}", 0)
+                score = F.lit(PATTERN_SCORE[kind]) + F.when(F.rlike(near, F.lit(NEARBY[kind])), CONTEXT_SCORE).otherwise(0.0)
+                return F.struct(
+                    start.alias("start"),
+                    F.lit(rank).alias("rank"),
+                    F.lit(kind).alias("kind"),
+                    (start + F.length(m)).alias("end"),
+                    F.when(check(m), score).otherwise(-1.0).alias("score"),
+                )
+
+            return F.filter(F.transform(found, span), lambda s: s["score"] >= least)
+
+        return _let(_levels(steps, _sum), spans)
+
+    parts = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), 0).alias("found"))
+    return F.when(hint(text), _let(parts, of)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
 def with_spans(docs: DataFrame, text: str = "text", spans: str = "spans") -> DataFrame:
@@ -135,30 +178,47 @@ def listed(spans: Column) -> Column:
 
 
 def merged(spans: Column) -> Column:
-    """Ordered spans without overlap: of those that overlap one remains, from the first start to the last end."""
-    shape = "array<struct<start:int,end:int,kind:string>>"
-    add = lambda a, s: F.concat(a, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    last = lambda a: F.element_at(a, -1)
-    grow = lambda a, s: F.concat(
-        F.slice(a, F.lit(1), F.size(a) - 1),
-        F.array(F.struct(last(a)["start"].alias("start"), F.greatest(last(a)["end"], s["end"]).alias("end"), last(a)["kind"].alias("kind"))),
-    )
-    step = lambda a, s: F.when((F.size(a) > 0) & (F.try_element_at(a, F.lit(-1))["end"] > s["start"]), grow(a, s)).otherwise(add(a, s))
-    return F.aggregate(spans, F.array().cast(shape), step)
+    """array<struct<start,end,kind>>: ordered spans without overlap; of those that overlap one remains, from the first start to the last end."""
+
+    def of(spans: Column, levels: Column) -> Column:
+        ends = lambda i: _max(_before(levels, i, _max))  # noqa: E731  the last end of the spans before place i
+        first = F.filter(F.transform(spans, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), i.alias("i"))), lambda s: s["start"] >= ends(s["i"]))
+        last = lambda heads: F.transform(
+            heads, lambda h, j: F.struct(h["start"].alias("start"), ends(F.coalesce(F.get(heads, j + 1)["i"], F.size(spans))).alias("end"), h["kind"].alias("kind"))
+        )
+        return _let(first, last)
+
+    # each value is named once, so that no later filter or projection multiplies the work
+    return _let(spans, lambda held: _let(_levels(F.transform(held, lambda s: s["end"]), _max), lambda levels: of(held, levels)))
+
+
+def _chunks(text: Column, size: int) -> Column:
+    return F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.length(text), F.lit(1)) - 1) / size).cast("int")), lambda i: F.substring(text, i * size + 1, F.lit(size)))
 
 
 def redacted(text: Column, merged: Column) -> Column:
-    """The text with each span replaced by its kind in brackets."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, s: F.struct(
-        s["end"].alias("at"),
-        F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-    )
-    return F.aggregate(merged, start, step, lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)))
+    """The text with each span replaced by its kind in brackets. Cut from chunks, so that no piece is sought from the text's start."""
+
+    def of(text: Column, merged: Column, chunks: Column) -> Column:
+        def piece(start: Column, end: Column) -> Column:
+            a, b = F.floor(start / CHUNK).cast("int"), F.floor(end / CHUNK).cast("int")
+            tail = F.concat(
+                F.substring(F.get(chunks, a), start - a * CHUNK + 1, F.lit(CHUNK)),
+                F.array_join(F.slice(chunks, a + 2, F.greatest(b - a - 1, F.lit(0))), ""),
+                F.substring(F.coalesce(F.get(chunks, b), F.lit("")), F.lit(1), end - b * CHUNK),
+            )
+            return F.when(end <= start, "").when(a == b, F.substring(F.get(chunks, a), start - a * CHUNK + 1, end - start)).otherwise(tail)
+
+        mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        parts = F.transform(merged, lambda s, i: F.concat(piece(F.coalesce(F.get(merged, i - 1)["end"], F.lit(0)), s["start"]), mark(s)))
+        return F.concat(F.array_join(parts, ""), piece(F.coalesce(F.try_element_at(merged, F.lit(-1))["end"], F.lit(0)), F.length(text)))
+
+    chunks = lambda t: F.flatten(F.transform(_chunks(t, CHUNK * CHUNKS), lambda c: _chunks(c, CHUNK)))
+    held = F.struct(text.alias("text"), merged.alias("merged"))
+    cut = lambda h: _let(chunks(h["text"]), lambda c: of(h["text"], h["merged"], c))
+    return _let(held, lambda h: F.when(F.size(h["merged"]) == 0, h["text"]).otherwise(cut(h)))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced; a null text stays null."""
-    step = with_spans(docs, text, "_spans").withColumn("_merged", merged(F.col("_spans")))
-    clean = F.when(F.size("_merged") == 0, F.col(text)).otherwise(redacted(F.col(text), F.col("_merged")))
-    return step.withColumn(text, clean).select(*docs.columns)
+    return with_spans(docs, text, "_spans").withColumn(text, redacted(F.col(text), merged(F.col("_spans")))).select(*docs.columns)

@@ -50,7 +50,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.with_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
-    return out.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    return out.select("doc_id", *(count(k) for k in pii.BASE), F.sha2(pii.listed(base), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_number(s["score"], 2)), ",").alias("scores"))
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import fractions
 import json
+import re
+import time
 
 import numpy as np
 import pytest
@@ -167,6 +169,45 @@ def test_pii_cases(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_pii_many_matches(spark):
+    """100,000 addresses in one text: offsets, overlaps and redaction stay linear."""
+    n = 100_000
+    many = " ".join(f"é{i} user{i}@mail.example" for i in range(n))
+    df = spark.createDataFrame([(many,), ("a@b.co " * 5000 + "+54 341 412 3456",)], "text string")
+    t = time.perf_counter()
+    got = pii.with_spans(df).select(pii.listed(F.col("spans")).alias("s")).collect()
+    want = ",".join(f"email:{m.start()}:{m.end()}" for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", many))
+    assert got[0]["s"] == want and got[1]["s"].endswith("email:34993:34999,phone:35000:35016")
+    clean = [r["text"] for r in pii.redact(df).collect()]
+    assert clean[0] == " ".join(f"é{i} [EMAIL]" for i in range(n)) and clean[1] == "[EMAIL] " * 5000 + "[PHONE]"
+    assert time.perf_counter() - t < 60
+
+
+def test_pii_merges_overlaps(spark):
+    spans = [(0, 5, "email"), (3, 4, "ip"), (4, 9, "card"), (9, 12, "phone"), (20, 21, "ip"), (20, 30, "card")]
+    spans += [(100 + 3 * i, 102 + 3 * i + i % 3, "ip") for i in range(300)]
+    df = spark.createDataFrame([(spans, "x" * 3000)], "s array<struct<start:int,end:int,kind:string>>, t string")
+    r = df.select(pii.merged(F.col("s")).alias("m"), pii.redacted(F.col("t"), pii.merged(F.col("s"))).alias("r")).first()
+    want = []
+    for a, b, k in spans:
+        if want and want[-1][1] > a:
+            want[-1] = (want[-1][0], max(want[-1][1], b), want[-1][2])
+        else:
+            want.append((a, b, k))
+    assert [tuple(x) for x in r["m"]] == [(a, b, k) for a, b, k in want]
+    out, at = "", 0
+    for a, b, k in want:
+        out, at = out + "x" * (a - at) + f"[{k.upper()}]", b
+    assert r["r"] == out + "x" * (3000 - at)
+    assert df.select(pii.redacted(F.lit(""), F.slice(pii.merged(F.col("s")), 1, 0)).alias("r")).first()["r"] == ""
+
+
+def test_pii_context_on_both_sides(spark):
+    df = spark.createDataFrame([("123-45-6789 is my ssn",), ("123-45-6789 and then " + "x" * 40 + " ssn",), ("mail to a@b.co, e-mail",)], "text string")
+    got = [[(s["kind"], round(s["score"], 2)) for s in r["spans"]] for r in pii.with_spans(df).collect()]
+    assert got == [[("social", 0.6)], [], [("email", 1.0)]]
+
+
 def test_pii_accounts_end_by_country(spark):
     texts = {
         "IBAN DE89 3704 0044 0532 0130 00 BIC COBADEFF": "iban:5:32",
