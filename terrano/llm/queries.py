@@ -110,16 +110,22 @@ c AS (SELECT source, lang, 'bytes-1' AS tokenizer_version, strlen(t) AS n FROM d
 SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL""",
     "op3_tool_calls": rf"""
 WITH t AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-a AS (SELECT conv_id, turn, coalesce(text, '') AS q, len({_WORDS % "coalesce(text, '')"}) AS n,
-  EXISTS (SELECT 1 FROM t b WHERE b.conv_id = t.conv_id AND b.turn = t.turn - 2 AND b.role = 'user') AS before FROM t WHERE role = 'user'),
+a AS (SELECT conv_id, turn, to_json(coalesce(text, ''))::VARCHAR AS q, coalesce(text, '') = '' AS blank, len({_WORDS % "coalesce(text, '')"}) AS n, (31 * conv_id + turn) % 12 AS k, (conv_id + turn) % 9 AS s FROM t WHERE role = 'user'),
+e AS (SELECT a.*, b.k AS kb, c.k AS kc, d.turn IS NOT NULL AS far FROM a LEFT JOIN a b ON b.conv_id = a.conv_id AND b.turn = a.turn - 2 LEFT JOIN a c ON c.conv_id = a.conv_id AND c.turn = a.turn + 2 LEFT JOIN a d ON d.conv_id = a.conv_id AND d.turn = a.turn + 4),
+o AS (SELECT *, k = 7 AND kc IS NOT NULL OR coalesce(kb = 7, false) AS cycle, k IN (1, 3, 7) AND kc IS NULL OR k = 5 AS lost,
+  CASE WHEN k = 1 AND kc IS NOT NULL AND far THEN 2 WHEN k IN (1, 3) AND kc IS NOT NULL THEN 1 ELSE 0 END AS up,
+  list_sort(list_filter([CASE WHEN kb NOT IN (1, 3) THEN 'c' || (turn - 2) END, CASE WHEN k IN (1, 3, 7) THEN 'c' || (turn + 2) END, CASE WHEN k = 5 THEN 'x' || turn END], lambda x: x IS NOT NULL)) AS deps,
+  CASE s WHEN 0 THEN '{{"query":5,"words":' || n || '}}' WHEN 1 THEN '{{"query":' || q || ',"words":"7"}}' WHEN 2 THEN '{{"extra":[{{"a":[],"b":1.5}}],"query":' || q || ',"words":' || n || '}}' WHEN 3 THEN 'null'
+    WHEN 4 THEN '{{"a":{{"x":true,"y":null}},"z":1}}' WHEN 5 THEN '{{"query":' || q || '}}' WHEN 6 THEN '[' || n || ']' ELSE '{{"query":' || q || ',"words":' || n || '}}' END AS args,
+  list_filter([CASE WHEN s = 0 OR blank AND s IN (1, 2, 5, 7, 8) THEN 'bad:query' END, CASE WHEN s = 1 OR n = 0 AND s IN (0, 2, 7, 8) THEN 'bad:words' END, CASE WHEN s = 3 THEN 'missing:query' END, CASE WHEN s IN (3, 5) THEN 'missing:words' END,
+    CASE WHEN s = 3 THEN 'not_json' END, CASE WHEN s = 6 THEN 'not_object' END, CASE WHEN s = 2 THEN 'unknown:extra' END, CASE WHEN s = 4 THEN 'unknown_tool' END,
+    CASE WHEN k IN (1, 3, 7) AND kc IS NULL OR k = 5 THEN 'missing_dependency' END, CASE WHEN k = 7 AND kc IS NOT NULL OR kb = 7 THEN 'no_order' END], lambda x: x IS NOT NULL) AS wrong FROM e),
 r AS (SELECT conv_id, turn - 1 AS turn, text, turn AS seen FROM t WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY text) = 1)
-SELECT conv_id, 'c' || turn AS call_id, coalesce(a.turn, r.seen) AS order_turn, 0::BIGINT AS order_depth, q IS NOT NULL AND seen IS NOT NULL AS linked,
-  q IS NOT NULL AND n > 0 AS valid,
-  CASE WHEN q IS NULL THEN 'orphan_result' WHEN q = '' THEN 'bad:query,bad:words' WHEN n = 0 THEN 'bad:words' ELSE '' END AS issues,
-  '{{"arguments":' || CASE WHEN q IS NULL THEN 'null' ELSE '{{"query":' || to_json(q)::VARCHAR || ',"words":' || n || '}}' END ||
-  ',"depends_on":[' || CASE WHEN before THEN '"c' || (turn - 2) || '"' ELSE '' END || '],"id":"c' || turn || '","name":' ||
-  CASE WHEN q IS NULL THEN 'null' ELSE '"answer"' END || ',"result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}}' AS json
-FROM a FULL JOIN r USING (conv_id, turn)""",
+SELECT conv_id, 'c' || turn AS call_id, CASE WHEN cycle THEN turn ELSE coalesce(turn + 2 * up, r.seen) END AS order_turn, (CASE WHEN cycle THEN 0 ELSE coalesce(up, 0) END)::BIGINT AS order_depth, q IS NOT NULL AND seen IS NOT NULL AS linked,
+  q IS NOT NULL AND len(wrong) = 0 AS valid, CASE WHEN q IS NULL THEN 'orphan_result' ELSE array_to_string(wrong, ',') END AS issues,
+  '{{"arguments":' || coalesce(args, 'null') || ',"depends_on":[' || coalesce(array_to_string(list_transform(deps, lambda x: '"' || x || '"'), ','), '') || '],"id":"c' || turn || '","name":' ||
+  CASE WHEN q IS NULL THEN 'null' WHEN s = 4 THEN '"search"' ELSE '"answer"' END || ',"result":' || coalesce(to_json(r.text)::VARCHAR, 'null') || '}}' AS json
+FROM o FULL JOIN r USING (conv_id, turn)""",
     "op5_fingerprint": rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lead(coalesce(text, '')) OVER o, first_value(coalesce(text, '')) OVER o) AS nt FROM documents WINDOW o AS (ORDER BY doc_id)),
 e AS (SELECT *, substr(t, 1, length(t) - length(t) // 4) || substr(nt, 1, length(t) // 4) AS et FROM d),

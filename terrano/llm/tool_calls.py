@@ -2,15 +2,20 @@
 
 Calls meet results in a hash join on conversation and identifier. Each call gets an order key
 (turn, depth) that is greater than that of every call it depends on: its own turn, unless it depends on a
-later call, whose key it then follows. Keys settle in as many joins as such late dependencies chain up,
-usually one; calls on a cycle get no key. Arguments are checked against a schema by name, and each call is
-written as JSON with sorted keys and no spaces.
+later call, whose key it then follows. Only calls with such late dependencies move: each follows the
+dependency that binds it, chains of these are followed by doubling pointers, and whoever stands on a
+circle of them is on a cycle and gets no key, so both long chains and cycles settle in logarithmic rounds.
+Arguments are parsed to VARIANT and checked against a schema by name and JSON type, and each call is written
+as JSON with sorted keys at every level and no spaces.
 
 Defined cases: a call without result keeps a null result; results no call asked for, and rows with a null
 identifier, are returned as orphans; of several results for one identifier the one with the
 smallest turn, then content, is linked; repeated calls are all returned; a dependency that does not exist
-is an issue; null arguments are invalid; empty tables give an empty result. No conversation is gathered
-in one task, so that one may hold any share of all rows.
+is an issue; calls that depend on a cycle, without being on it, are ordered by their other dependencies;
+null arguments, and JSON with a repeated key, are not_json and written as null; JSON that is no object is
+not_object; arguments that the schema lacks are kept and reported as unknown:name; those of an unknown tool are kept
+and written canonically; empty tables give an empty result. No conversation is gathered in one task, so that
+one may hold any share of all rows.
 """
 
 from __future__ import annotations
@@ -25,46 +30,81 @@ SCHEMAS: dict[str, list[tuple[str, str, bool, int]]] = {
 }
 
 
+def _field(parsed: Column, name: str) -> Column:
+    return F.try_variant_get(parsed, "$['" + name + "']", "variant")
+
+
 def issues(name: Column, arguments: Column, schemas: dict[str, list[tuple[str, str, bool, int]]] = SCHEMAS) -> Column:
-    """What is wrong with the arguments (a JSON object as text), as sorted names."""
-    found = [F.when(~F.coalesce(name.isin(*schemas), F.lit(False)), "unknown_tool"), F.when(F.get_json_object(arguments, "$").isNull(), "not_json")]
+    """What is wrong with the arguments (a VARIANT; null if they are no JSON), as sorted names."""
+    shape = F.schema_of_variant(arguments)
+    is_object = F.coalesce(shape.startswith("OBJECT"), F.lit(False))
+    none = F.array().cast("array<string>")
+    found = [
+        F.when(~F.coalesce(name.isin(*schemas), F.lit(False)), "unknown_tool"),
+        F.when(arguments.isNull(), "not_json"),
+        F.when(arguments.isNotNull() & ~is_object, "not_object"),
+    ]
+    extra = none
     for tool, fields in schemas.items():
+        mine = (name == tool) & (is_object | arguments.isNull())
         for field, kind, required, least in fields:
-            value = F.get_json_object(arguments, f"$.{field}")
-            bad = F.length(value) < least if kind == "string" else F.coalesce(F.try_to_number(F.when(F.rlike(value, F.lit("^-?[0-9]{1,18}$")), value), F.lit("S" + "9" * 18)).cast("long") < least, F.lit(True))
-            found.append(F.when((name == tool) & value.isNull() & F.lit(required), f"missing:{field}"))
-            found.append(F.when((name == tool) & value.isNotNull() & bad, f"bad:{field}"))
-    return F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull()))
+            value = _field(arguments, field)
+            held = F.schema_of_variant(value)
+            if kind == "string":
+                good = (held == "STRING") & (F.length(F.try_variant_get(arguments, f"$['{field}']", "string")) >= least)
+            else:  # whole numbers beyond 64 bits are decimals without places
+                good = ((held == "BIGINT") | F.rlike(held, F.lit(r"^DECIMAL\(\d+,0\)$"))) & (F.try_variant_get(arguments, f"$['{field}']", "decimal(38,0)") >= least)
+            found.append(F.when(mine & value.isNull() & F.lit(required), f"missing:{field}"))
+            found.append(F.when(mine & value.isNotNull() & ~F.coalesce(good, F.lit(False)), f"bad:{field}"))
+        names = F.array_except(F.json_object_keys(F.when(is_object, F.to_json(arguments))), F.array(*(F.lit(f[0]) for f in fields)))
+        extra = F.when(name == tool, F.coalesce(F.transform(names, lambda n: F.concat(F.lit("unknown:"), n)), none)).otherwise(extra)
+    return F.array_sort(F.concat(F.filter(F.array(*found), lambda x: x.isNotNull()), extra))
+
+
+def _roots(steps: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """(conv_id, call_id, root, dist) of the calls whose steps lead to a call without one; (conv_id, call_id) of those on a circle.
+
+    steps: conv_id, call_id, to. Pointers double in each round until they pass ``most`` calls.
+    """
+    at, length = written(steps.select("conv_id", "call_id", "to", F.lit(1).cast("long").alias("dist"), F.lit(False).alias("done")), "steps"), 1
+    while True:
+        ahead = at.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("dist").alias("more"), F.col("done").alias("ends"))
+        at = at.join(ahead, ["conv_id", "to"], "left").select(
+            "conv_id", "call_id", F.coalesce("next", "to").alias("to"), (F.col("dist") + F.coalesce("more", F.lit(0))).alias("dist"), (F.col("done") | F.col("next").isNull() | F.coalesce("ends", F.lit(False))).alias("done")
+        )
+        at, length = written(at, "steps"), 2 * length
+        if length > most or not at.where("not done").limit(1).count():
+            break
+    return at.where("done").select("conv_id", "call_id", F.col("to").alias("root"), "dist"), at.where("not done").select("conv_id", F.col("to").alias("call_id")).distinct()
 
 
 def order_keys(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, key, missing): key struct<turn,depth>, null on a cycle. ``calls``: conv_id, call_id, turn, depends_on."""
-    nodes = calls.where("conv_id is not null and call_id is not null").groupBy("conv_id", "call_id").agg(F.min("turn").alias("turn"), F.flatten(F.collect_set("depends_on")).alias("deps"))
+    ids = ["conv_id", "call_id"]
+    nodes = calls.where("conv_id is not null and call_id is not null").groupBy(*ids).agg(F.min("turn").alias("turn"), F.flatten(F.collect_set("depends_on")).alias("deps"))
     nodes = nodes.withColumn("key", F.struct(F.coalesce("turn", F.lit(0)).cast("long").alias("turn"), F.lit(0).cast("long").alias("depth")))
     # a call's dependencies are listed with the call, so they are bounded by its own size
     edges = nodes.select("conv_id", F.col("call_id").alias("to"), F.explode(F.array_distinct("deps")).alias("call_id"))
-    edges = written(edges.join(nodes.select("conv_id", "call_id", F.col("key.turn").alias("turn"), F.lit(True).alias("known")), ["conv_id", "call_id"], "left"), "edges")
+    edges = written(edges.join(nodes.select(*ids, F.lit(True).alias("known")), ids, "left"), "edges")
     missing = edges.where("known is null").groupBy("conv_id", F.col("to").alias("call_id")).agg(F.count("*").alias("missing"))
-    edges = edges.where("known").select("conv_id", "to", F.col("call_id").alias("of"), "turn")
-    late = edges.join(nodes.select("conv_id", F.col("call_id").alias("to"), F.col("key.turn").alias("own")), ["conv_id", "to"])
-    keys = nodes.select("conv_id", "call_id", "key")
-    size = None
-    turn = 0
-    while late.where("turn >= own").limit(1).count() or turn:
-        # from here on keys move along dependencies until they are stable
-        turn += 1
-        up = edges.join(keys.select("conv_id", F.col("call_id").alias("of"), "key"), ["conv_id", "of"]).where("key is not null")
-        up = up.groupBy("conv_id", F.col("to").alias("call_id")).agg(F.max(F.struct(F.col("key.turn").alias("turn"), (F.col("key.depth") + 1).alias("depth"))).alias("least"))
-        grown = keys.join(up, ["conv_id", "call_id"], "left").withColumn("moved", F.col("key").isNotNull() & (F.col("least") > F.col("key")))
-        grown = written(grown.select("conv_id", "call_id", F.when(F.col("moved"), F.col("least")).otherwise(F.col("key")).alias("key"), F.coalesce("moved", F.lit(False)).alias("moved")), "keys")
-        keys = grown.select("conv_id", "call_id", "key")
-        if not grown.where("moved").limit(1).count():
-            break
-        if turn % 8 == 0:  # a depth of as many calls as the conversation has means a cycle
-            size = size if size is not None else written(nodes.groupBy("conv_id").agg(F.count("*").alias("calls")), "sizes")
-            keys = keys.join(size, "conv_id").select("conv_id", "call_id", F.when(F.col("key.depth") < F.col("calls"), F.col("key")).alias("key"))
-            keys = written(keys, "keys")
-    return keys.join(missing, ["conv_id", "call_id"], "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
+    edges = edges.where("known").select("conv_id", F.col("to").alias("call_id"), F.col("call_id").alias("of"))
+    keys = written(nodes.select(*ids, "key"), "keys")
+    most = None
+    while True:
+        ahead = keys.select("conv_id", F.col("call_id").alias("of"), F.col("key").alias("k")).where("k is not null")
+        binding = edges.join(ahead, ["conv_id", "of"]).groupBy(*ids).agg(F.max(F.struct("k", "of")).alias("b"))
+        # a call is bound by a dependency whose key its own just exceeds, and must move if it does not exceed it
+        above = F.struct(F.col("b.k.turn").alias("turn"), (F.col("b.k.depth") + 1).alias("depth"))
+        moved = keys.join(binding, ids).where(F.col("key").isNotNull() & (above >= F.col("key"))).select(*ids, F.col("b.of").alias("to"), (above > F.col("key")).alias("moves"))
+        moved = written(moved, "moved")
+        if not moved.where("moves").limit(1).count():
+            return keys.join(missing, ids, "left").withColumn("missing", F.coalesce("missing", F.lit(0)).cast("long"))
+        most = most or nodes.groupBy("conv_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+        far, circle = _roots(moved, most)
+        far = far.join(keys.select("conv_id", F.col("call_id").alias("root"), F.col("key").alias("k")), ["conv_id", "root"])
+        far = far.select(*ids, F.struct(F.col("k.turn").alias("turn"), (F.col("k.depth") + F.col("dist")).alias("depth")).alias("least"))
+        grown = keys.join(far, ids, "left").join(circle.withColumn("circle", F.lit(True)), ids, "left")
+        keys = written(grown.select(*ids, F.when(F.col("circle").isNull(), F.greatest("key", F.coalesce("least", "key"))).alias("key")), "keys")
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[tuple[str, str, bool, int]]] = SCHEMAS) -> DataFrame:
@@ -80,13 +120,14 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[tuple[str
     # every call meets one result at most, however often its identifier repeats
     orphans = first.join(asked.select(*ids).distinct(), ids, "left_anti")
     rows = asked.join(first, ids, "left").unionByName(orphans, allowMissingColumns=True).join(keys, ids, "left")
+    rows = rows.withColumn("_parsed", F.try_parse_json("arguments"))
     wrong = F.concat(
-        F.when(F.col("asked").isNull(), F.array(F.lit("orphan_result"))).otherwise(issues(F.col("name"), F.col("arguments"), schemas)),
+        F.when(F.col("asked").isNull(), F.array(F.lit("orphan_result"))).otherwise(issues(F.col("name"), F.col("_parsed"), schemas)),
         F.when(F.col("missing") > 0, F.array(F.lit("missing_dependency"))).otherwise(F.array().cast("array<string>")),
         F.when(F.col("asked") & F.col("key").isNull(), F.array(F.lit("no_order"))).otherwise(F.array().cast("array<string>")),
     )
     rows = rows.withColumn("issues", wrong)
-    arguments = F.when(F.exists("issues", lambda x: x == "not_json"), F.lit("null")).otherwise(canonical_arguments(F.col("name"), F.col("arguments"), schemas))
+    arguments = F.coalesce(F.to_json("_parsed"), F.lit("null"))  # VARIANT holds an object's fields in order of name
     text = lambda c: F.coalesce(quoted(c), F.lit("null"))
     listed = F.concat(F.lit("["), F.array_join(F.transform(F.array_sort(F.coalesce("depends_on", F.array().cast("array<string>"))), quoted), ","), F.lit("]"))
     line = F.concat(
@@ -104,45 +145,48 @@ def link(calls: DataFrame, results: DataFrame, schemas: dict[str, list[tuple[str
 
 
 def quoted(text: Column) -> Column:
-    """A JSON string; null for null."""
-    body = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    for raw, name in (("\n", "n"), ("\r", "r"), ("\t", "t"), ("\b", "b"), ("\f", "f")):
-        body = F.replace(body, F.lit(raw), F.lit("\\" + name))
-    return F.concat(F.lit('"'), body, F.lit('"'))
-
-
-def canonical_arguments(name: Column, arguments: Column, schemas: dict[str, list[tuple[str, str, bool, int]]]) -> Column:
-    """The schema's fields that are present, sorted by name; the arguments as they are for an unknown tool."""
-    out = arguments
-    for tool, fields in schemas.items():
-        parts = []
-        for field, kind, _, _ in sorted(fields):
-            value = F.get_json_object(arguments, f"$.{field}")
-            body = F.when(F.rlike(value, F.lit("^-?[0-9]{1,18}$")), value.try_cast("long").cast("string")).otherwise(quoted(value)) if kind == "integer" else quoted(value)
-            parts.append(F.concat(F.lit(f'"{field}":'), body))
-        whole = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ","), F.lit("}"))
-        out = F.when(name == tool, whole).otherwise(out)
-    return F.coalesce(out, F.lit("null"))
+    """A JSON string, control characters escaped; null for null."""
+    body = F.to_json(F.struct(text.alias("x")))
+    return F.when(text.isNotNull(), F.substring(body, 6, F.length(body) - 6))
 
 
 def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Calls and results of plain conversations: each user turn calls the tool 'answer', the assistant's turn after it is the result.
+    """Calls and results of plain conversations: each user turn is a call, the assistant's turn after it the result.
 
-    A call depends on the call before it in its conversation, where there is one two turns earlier.
+    The table holds no calls, so their dependencies and arguments are derived from conversation and turn. By
+    (31 conv_id + turn) modulo 12: 1, 3 and 7 depend on the user turn after the next, 5 on one that does not exist; any call
+    but those after 1 and 3 depends on the call two turns before it, if there is one. So chains of late dependencies and cycles of
+    two occur. By (conv_id + turn) modulo 9 the arguments are mistyped, incomplete, too many, no object or no JSON, or the tool is unknown.
     """
     turns = turns.where("conv_id is not null and turn is not null")
     asked = turns.where("role = 'user'")
     text = F.coalesce(F.col("text"), F.lit(""))
-    n = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    n = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("string")
     before = asked.select("conv_id", (F.col("turn") + 2).alias("turn"), F.lit(True).alias("_before")).distinct()
     name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    kind = lambda t: F.pmod(31 * F.col("conv_id") + t, F.lit(12))
+    turn, shape = F.col("turn"), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(9))
+    query = quoted(text)
+    deps = F.array_compact(
+        F.array(
+            F.when(F.col("_before") & ~kind(turn - 2).isin(1, 3), name(turn - 2)),
+            F.when(kind(turn).isin(1, 3, 7), name(turn + 2)),
+            F.when(kind(turn) == 5, F.concat(F.lit("x"), turn.cast("string"))),
+        )
+    )
+    body = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    arguments = (
+        F.when(shape == 0, body('{"query": 5, "words": ', n, "}"))
+        .when(shape == 1, body('{"words": "7", "query": ', query, "}"))
+        .when(shape == 2, body('{"words": ', n, ', "extra": [{"b": 1.5, "a": []}], "query": ', query, "}"))
+        .when(shape == 3, body('{"query": ', query))
+        .when(shape == 4, body('{"z": 1, "a": {"y": null, "x": true}}'))
+        .when(shape == 5, body('{"query": ', query, "}"))
+        .when(shape == 6, body("[", n, "]"))
+        .otherwise(body('{"words": ', n, ', "query": ', query, "}"))
+    )
     calls = asked.join(before, ["conv_id", "turn"], "left").select(
-        "conv_id",
-        name(F.col("turn")).alias("call_id"),
-        "turn",
-        F.lit("answer").alias("name"),
-        F.to_json(F.struct(text.alias("query"), n.alias("words"))).alias("arguments"),
-        F.when(F.col("_before"), F.array(name(F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("depends_on"),
+        "conv_id", name(turn).alias("call_id"), "turn", F.when(shape == 4, "search").otherwise("answer").alias("name"), arguments.alias("arguments"), deps.alias("depends_on")
     )
-    results = turns.where("role = 'assistant'").select("conv_id", name(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
+    results = turns.where("role = 'assistant'").select("conv_id", name(turn - 1).alias("call_id"), "turn", F.col("text").alias("content"))
     return calls, results

@@ -386,3 +386,35 @@ def test_tool_calls(spark):
     assert "no_order" in by[2, "x"]["issues"] and "no_order" in by[2, "y"]["issues"] and by[9, "q"]["issues"] == "orphan_result"
     assert len(got) == 11 and sum(r["conv_id"] == 3 for r in got) == 2
     assert tool_calls.link(spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)).count() == 0
+
+
+def test_tool_arguments(spark):
+    args = {
+        '{"query": 5, "words": "7"}': ("bad:query,bad:words", '{"query":5,"words":"7"}'),
+        '{"words": 2, "query": "a", "extra": {"b": [2, 1], "a": null}}': ("unknown:extra", '{"extra":{"a":null,"b":[2,1]},"query":"a","words":2}'),
+        '{"words": 99999999999999999999, "query": "a"}': ("", '{"query":"a","words":99999999999999999999}'),
+        '{"words": 2.5, "query": null}': ("bad:query,bad:words", '{"query":null,"words":2.5}'),
+        '{"query": "a", "query": "b", "words": 1}': ("missing:query,missing:words,not_json", "null"),
+        "[1, {}]": ("not_object", "[1,{}]"),
+        '"text"': ("not_object", '"text"'),
+        "": ("missing:query,missing:words,not_json", "null"),
+    }
+    calls = spark.createDataFrame([(1, f"i{i}", i, "answer", a, []) for i, a in enumerate(args)] + [(1, "u", 50, "other", '{"z": 1, "a": {"c": 1, "b": 2}}', [])], CALLS).withColumn("key", F.lit("clash"))
+    results = spark.createDataFrame([(1, "i0", 1, "".join(map(chr, range(1, 35))) + "\\ é\u2028"), (1, "i1", 1, ""), (1, "i2", 1, "long " * 200_000), (1, "i3", 1, None)], RESULTS)
+    by = {r["call_id"]: r for r in tool_calls.link(calls, results).collect()}
+    for i, (issue, canonical) in enumerate(args.values()):
+        assert by[f"i{i}"]["issues"] == issue and by[f"i{i}"]["json"].startswith(f'{{"arguments":{canonical},"depends_on":')
+    assert by["u"]["issues"] == "unknown_tool" and '{"arguments":{"a":{"b":2,"c":1},"z":1},' in by["u"]["json"]
+    assert json.loads(by["i0"]["json"])["result"] == "".join(map(chr, range(1, 35))) + "\\ é\u2028" and not set(by["i0"]["json"]) & set(map(chr, range(32)))
+    assert len(json.loads(by["i2"]["json"])["result"]) == 1_000_000 and json.loads(by["i3"]["json"])["result"] is None and json.loads(by["i1"]["json"])["result"] == ""
+
+
+def test_tool_call_order(spark):
+    """A chain of 300 late dependencies, a cycle of 200 calls and one behind it settle in a few rounds of doubling."""
+    chain = [(1, f"a{i}", i, "answer", "{}", [f"a{i + 1}"] if i < 299 else []) for i in range(300)]
+    cycle = [(2, f"b{i}", i, "answer", "{}", [f"b{(i + 1) % 200}"]) for i in range(200)] + [(2, "late", 500, "answer", "{}", ["b3"]), (2, "early", 1, "answer", "{}", ["b3", "late"])]
+    t = time.perf_counter()
+    by = {(r["conv_id"], r["call_id"]): r["key"] for r in tool_calls.order_keys(spark.createDataFrame(chain + cycle, CALLS)).collect()}
+    assert all(tuple(by[1, f"a{i}"]) == (299, 299 - i) for i in range(300))
+    assert all(by[2, f"b{i}"] is None for i in range(200)) and tuple(by[2, "late"]) == (500, 0) and tuple(by[2, "early"]) == (500, 1)
+    assert time.perf_counter() - t < 60
