@@ -4,7 +4,8 @@ A document's shingles are its runs of five words (white-space separated; a short
 Each is hashed by MD5, and every hash whose hexadecimal form sorts below ``limit`` is retained: a fixed
 fraction (limit '2': one in eight). Sketches of the same limit merge by union, and the shares of common hashes estimate
 resemblance and containment even between very unequal documents. So that no text with words has an
-empty sketch, the smallest hash always belongs to it.
+empty sketch, the smallest hash stands in where none lies below the limit; merging drops such stand-ins
+again, so the merged sketch is that of both texts' shingles together.
 
 Defined cases: null counts as empty; a text without words has the empty sketch ''; two empty sketches
 are alike (1.0), an empty and a filled one are not (0.0); equal texts have equal sketches; a lone row
@@ -18,10 +19,11 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 SHINGLE = 5
 LIMIT = "2"
-HEX = 8
-#: Bounds of the ordered buckets that pass through the driver, at most; a bucket streams through one task.
-MAX_BUCKETS = 2048
+HEX = 16
+#: Ordered buckets, at most FAN squared; each is sorted in one task, spilling if need be. FAN sampled ids a bucket reach the driver.
+FAN = 128
 ROWS_PER_BUCKET = 2000
+SAMPLES = 20
 
 
 def words(text: Column) -> Column:
@@ -63,9 +65,9 @@ def containment(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).otherwise((shared(a, b) / F.greatest(F.least(F.size(a), F.size(b)), F.lit(1))).cast("double"))
 
 
-def merge(a: Column, b: Column) -> Column:
+def merge(a: Column, b: Column, limit: str = LIMIT) -> Column:
     """The sketch of two documents together."""
-    return F.array_sort(F.array_union(a, b))
+    return retained(F.array_union(a, b), limit)
 
 
 def as_text(sketch: Column) -> Column:
@@ -75,24 +77,28 @@ def as_text(sketch: Column) -> Column:
 def with_next(df: DataFrame, doc_id: str, carried: list[str], prefix: str = "next_") -> DataFrame:
     """``df`` with the ``carried`` columns of the row with the next id; after the last comes the first.
 
-    Rows are dealt to ordered buckets by bounds taken from the ids' own quantiles, with one shuffle; the
-    row on a bound also goes to the bucket before it, where it only serves as the last row's neighbour.
+    Rows are dealt to ordered buckets between sampled ids, with one shuffle; the rows on a bound also go to
+    the bucket before it, where they only serve as the last row's neighbour. Any bounds give the same result.
     """
     key = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)))
     n = df.select(doc_id).count()
-    buckets = max(1, min(MAX_BUCKETS, n // ROWS_PER_BUCKET))
-    steps = [i / buckets for i in range(buckets)]
-    found = df.agg(F.min(key).alias("low"), F.percentile_approx(key, steps, 10 * buckets + 100).alias("at")).first()
-    bounds = sorted({found["low"], *(found["at"] or [])} - {None})
-    if not bounds:
+    buckets = max(1, min(FAN * FAN, n // ROWS_PER_BUCKET))
+    low = df.agg(F.min(key).alias("low")).first()["low"]
+    if low is None:
         return df.select("*", *(F.col(c).alias(prefix + c) for c in carried))
+    some = df.select(key.alias("k")).sample(min(1.0, SAMPLES * buckets / n), 7).limit(2 * SAMPLES * buckets).collect()  # bounded by the buckets
+    some = sorted({r["k"] for r in some})
+    bounds = sorted({low, *(some[i * len(some) // buckets] for i in range(buckets) if some)})
     last = len(bounds) - 1
     held = F.array(*(F.lit(b).cast("long") for b in bounds))
-    bucket = F.size(F.filter(held, lambda b: b <= F.col("_key"))) - 1
-    rows = df.withColumn("_key", key).withColumn("_tie", F.xxhash64(*(F.col(c) for c in carried))).withColumn("_bucket", bucket)
+    at_most = lambda a: F.size(F.filter(a, lambda b: b <= F.col("_key")))
+    coarse = F.array(*(F.lit(b).cast("long") for b in bounds[::FAN]))
+    bucket = F.col("_coarse") * FAN + at_most(F.slice(held, F.col("_coarse") * FAN + 1, F.lit(FAN))) - 1
+    rows = df.withColumn("_key", key).withColumn("_tie", F.xxhash64(*(F.col(c) for c in carried)))
+    rows = rows.withColumn("_coarse", at_most(coarse) - 1).withColumn("_bucket", bucket).drop("_coarse")
     own = F.struct(F.col("_bucket").alias("b"), F.lit(False).alias("wrap"), F.lit(True).alias("own"))
     before = F.struct(F.when(F.col("_bucket") > 0, F.col("_bucket") - 1).otherwise(last).alias("b"), (F.col("_bucket") == 0).alias("wrap"), F.lit(False).alias("own"))
-    rows = rows.withColumn("_to", F.explode(F.when(F.array_contains(held, F.col("_key")), F.array(own, before)).otherwise(F.array(own))))
+    rows = rows.withColumn("_to", F.explode(F.when(F.get(held, F.col("_bucket")) == F.col("_key"), F.array(own, before)).otherwise(F.array(own))))
     order = W.partitionBy("_to.b").orderBy("_to.wrap", "_key", "_tie", F.col("_to.own").desc())
     out = rows.select("*", *(F.lead(c).over(order).alias(prefix + c) for c in carried))
     return out.where(F.col("_to.own")).drop("_key", "_tie", "_bucket", "_to")

@@ -78,8 +78,8 @@ QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_tool
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(%s, '[^\x20\x09-\x0D]+')"
 
-_SHINGLES = r"""CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 8))
-  WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 8)] ELSE []::VARCHAR[] END"""
+_SHINGLES = r"""CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: substr(md5(array_to_string(w[i:i + 4], ' ')), 1, 16))
+  WHEN len(w) > 0 THEN [substr(md5(array_to_string(w, ' ')), 1, 16)] ELSE []::VARCHAR[] END"""
 _KEPT = """CASE WHEN len(list_filter(h, lambda x: x < '2')) > 0 THEN list_sort(list_distinct(list_filter(h, lambda x: x < '2')))
   WHEN len(h) > 0 THEN [list_min(h)] ELSE h END"""
 _ALIKE = """CASE WHEN len({a}) = 0 AND len({b}) = 0 THEN 1.0::DOUBLE ELSE len(list_intersect({a}, {b}))::DOUBLE / greatest({n}, 1) END"""

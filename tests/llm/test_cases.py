@@ -133,7 +133,8 @@ def test_fingerprint_cases(spark, odd, none):
 
 
 def test_next_crosses_bucket_bounds(spark, monkeypatch):
-    monkeypatch.setattr(fingerprint, "ROWS_PER_BUCKET", 7)
+    monkeypatch.setattr(fingerprint, "ROWS_PER_BUCKET", 3)
+    monkeypatch.setattr(fingerprint, "FAN", 6)
     df = spark.range(100).select((F.col("id") * 3).alias("doc_id"), F.col("id").cast("string").alias("text"))
     got = {r["doc_id"]: r["next_text"] for r in fingerprint.with_next(df, "doc_id", ["text"]).collect()}
     assert got == {i * 3: str((i + 1) % 100) for i in range(100)}
@@ -147,6 +148,16 @@ def test_sketches_estimate_containment_and_merge(spark):
     assert r[0] > 0.95 and 0.15 < r[1] < 0.35
 
 
+def test_merged_sketches_are_those_of_both_texts(spark):
+    """Every text is followed by white space and the next one's words at a distance of a shingle that both lack."""
+    rows = [(f"a{i} b{i} c{i} d{i} e{i}", " ".join(f"x{i}_{j}" for j in range(5 + i % 40))) for i in range(80)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    both = fingerprint.retained(F.array_union(fingerprint.hashes(fingerprint.words(F.col("a"))), fingerprint.hashes(fingerprint.words(F.col("b")))))
+    df = fingerprint.with_sketch(fingerprint.with_sketch(df, "a", "sa"), "b", "sb")
+    assert df.where(fingerprint.merge(F.col("sa"), F.col("sb")) != both).count() == 0
+    assert df.where(fingerprint.merge(F.col("sa"), F.array().cast("array<string>")) != F.col("sa")).count() == 0
+
+
 def test_pii_cases(spark, odd, none):
     texts = {
         "mail a@b.co, x@y.z_q@w.org": "email:5:11,email:13:18,email:18:26",
@@ -285,6 +296,9 @@ def test_url_cases(spark):
     assert url_filter.judge(df, url_filter.rules_frame(spark)).count() == 12
     assert url_filter.judge(df, url_filter.rules_frame(spark).limit(0)).where("rule is not null").count() == 0
     assert url_filter.judge(df.limit(0), url_filter.rules_frame(spark)).count() == 0
+    long = spark.createDataFrame([(1, "http://" + "a." * 50_000 + "example.org/es/" + "p" * 100_000), (2, "http://x.com/de/")] + [(i, "http://b.com/fr/") for i in range(3, 3000)], "page_id long, url string")
+    got = url_filter.judge(long, url_filter.rules_frame(spark)).groupBy("rule").count().collect()
+    assert sorted(map(tuple, got)) == [("com/de/", 1), ("com/fr/", 2997), ("example.org/es/", 1)]
 
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body class="has-sidebar"><header><h1>Site</h1></header><nav><a href=1>Home</a></nav>
