@@ -56,3 +56,19 @@ def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     The count stops at ``max_rows + 1`` rows. Give it cheap or written inputs.
     """
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, counts: DataFrame, share: int = 1000) -> DataFrame:
+    """``left`` left-joined with ``right``, which has each key once at most, where a few keys may hold most rows.
+
+    counts: (key, c), rows of ``left`` by key, written. The keys with more than a ``share``-th of all rows, so fewer than
+    ``share``, are joined by broadcast, rows without key with nothing, and the rest by a shuffle.
+    """
+    total = counts.agg(F.sum("c")).first()[0] or 0
+    hot = counts.where(F.col(key).isNotNull() & (F.col("c") > total // share)).select(key)
+    names = [c for c in right.columns if c != key]
+    none = left.where(F.col(key).isNull()).select("*", *(F.lit(None).cast(right.schema[c].dataType).alias(c) for c in names))
+    known = left.where(F.col(key).isNotNull())
+    cold = known.join(F.broadcast(hot), key, "left_anti").join(right, key, "left")
+    few = hot.join(right, key, "left")
+    return cold.unionByName(known.join(F.broadcast(few), key)).unionByName(none)
