@@ -1,7 +1,7 @@
 """URL rules by host-suffix and path-prefix expressions.
 
-A URL is expanded into every suffix of its host, at label bounds, joined with every prefix of its path
-whose length some rule has. Expressions meet the rules in an equi-join on the first four bytes of their
+A URL is expanded into every suffix of its host, at label bounds, of as many labels as some rule has, joined
+with every prefix of its path whose length some rule has. Expressions meet the rules in an equi-join on the first four bytes of their
 SHA-256, the full digests confirm the match, and the longest fitting rule decides.
 
 Defined cases: a null URL or one without '://' has an empty host and path and fits no rule; ports and
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from terrano.session import broadcast_within
+from terrano.session import broadcast_within, join_hot, written
 
 #: The rules in production, as (host, path, verdict).
 RULES = [
@@ -38,9 +38,10 @@ def path(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def host_suffixes(host: Column) -> Column:
-    labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels) - i + 1), "."))
+def host_suffixes(host: Column, counts: list[int]) -> Column:
+    """The host's last labels, for each of the counts that it has."""
+    labels = F.length(host) - F.length(F.replace(host, F.lit("."), F.lit(""))) + 1
+    return F.array_compact(F.array(*(F.when(labels >= n, F.substring_index(host, ".", -n)) for n in counts)))
 
 
 def rules_frame(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -57,18 +58,21 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = D
     )
     ready = ready.groupBy("rule", "rule_host", "rule_path").agg(F.max("block").alias("block"))
     ready = ready.withColumn("digest", F.sha2("rule", 256)).withColumn("short", F.left("digest", F.lit(PREFIX_HEX)))
-    lengths = [r[0] for r in ready.select("rule_path").distinct().collect()]  # a few: path lengths of rules
+    # a few of each: path lengths of rules, and label counts of their hosts
+    lengths = [r[0] for r in ready.select("rule_path").distinct().collect()]
+    labels = [r[0] for r in ready.select((F.size(F.split(F.left("rule", F.col("rule_host")), r"\.")))).distinct().collect()]
     base = pages.drop("host", "path", "rule", "verdict").withColumn("_url", F.col(url))
-    urls = base.select("_url").distinct().withColumn("_host", host(F.col("_url"))).withColumn("_path", path(F.col("_url")))
+    counts = written(base.groupBy("_url").agg(F.count("*").alias("c")), "urls")
+    urls = counts.select("_url").withColumn("_host", host(F.col("_url"))).withColumn("_path", path(F.col("_url")))
     ends = F.filter(F.array(*(F.lit(n) for n in sorted(lengths))), lambda n: F.length("_path") >= n)
-    grown = urls.where("_host <> ''").select("_url", "_path", F.explode(host_suffixes(F.col("_host"))).alias("_suffix"), ends.alias("_ends"))
+    grown = urls.where("_host <> ''").select("_url", "_path", F.explode(host_suffixes(F.col("_host"), sorted(labels))).alias("_suffix"), ends.alias("_ends"))
     grown = grown.select("_url", F.length("_suffix").alias("_hn"), F.explode("_ends").alias("_pn"), "_suffix", "_path")
     said = grown.withColumn("_digest", F.sha2(F.concat("_suffix", F.left("_path", F.col("_pn"))), 256))
     said = said.select("_url", "_hn", "_pn", "_digest", F.left("_digest", F.lit(PREFIX_HEX)).alias("short"))
     hits = said.join(broadcast_within(ready, MAX_BROADCAST_RULES), "short")
     hits = hits.where((F.col("_digest") == F.col("digest")) & (F.col("_hn") == F.col("rule_host")) & (F.col("_pn") == F.col("rule_path")))
     best = hits.groupBy("_url").agg(F.max(F.struct(F.length("rule").alias("n"), "block", "rule")).alias("_best"))
-    out = base.join(best, "_url", "left").withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
+    out = join_hot(base, best, "_url", counts).withColumn("host", host(F.col("_url"))).withColumn("path", path(F.col("_url")))
     out = out.withColumn("rule", F.col("_best.rule"))
     verdict = F.when(F.col("_best").isNull(), default).when(F.col("_best.block"), "block").otherwise("allow")
     return out.withColumn("verdict", verdict).drop("_url", "_best")
