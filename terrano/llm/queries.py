@@ -20,13 +20,13 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ledger_totals(spark: SparkSession, sf_dir: str, vocabularies: dict[str, str] | None) -> DataFrame:
     """Totals after three batches: all documents; revised counts of those that lose a licence line; deletes of those under five words."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     ledger = token_counts.Ledger(spark, scratch_path(spark, "ledger"))
-    ledger.commit(0, upserts=token_counts.counted(docs))
+    ledger.commit(0, upserts=token_counts.counted(docs, vocabularies=vocabularies))
     cut = docs.where(F.contains("text", F.lit(LICENSE_LINE))).withColumn("text", F.replace("text", F.lit(LICENSE_LINE), F.lit("")))
-    revised = token_counts.counted(cut)
+    revised = token_counts.counted(cut, vocabularies=vocabularies)
     ledger.commit(1, upserts=revised)
     words = token_counts.TOKENIZERS["words-1"](F.coalesce("text", F.lit("")))
     ledger.commit(2, deletes=docs.where(words < 5).select("doc_id"))
@@ -34,6 +34,16 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the tokens of a public vocabulary beside bytes and words."""
+    return _ledger_totals(spark, sf_dir, {"byte_bpe_50k-1": token_counts.VOCABULARIES["byte_bpe_50k-1"]})
+
+
+def token_counts_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same ledger with the versions that SQL can count."""
+    return _ledger_totals(spark, sf_dir, None)
+
+
 def op3_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tool_calls.link(*tool_calls.from_conversations(read(spark, sf_dir, "conversations")))
 
@@ -73,7 +83,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_tool_calls, op4_packing, op5_fingerprint, op6_pii, op7_minhash, op8_url_filter, op9_html_text, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, token_counts_native, op3_tool_calls, op4_packing, op5_fingerprint, op6_pii, op7_minhash, op8_url_filter, op9_html_text, op10_quality)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(%s, '[^\x20\x09-\x0D]+')"
@@ -104,7 +114,7 @@ named AS (SELECT u, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM words LEFT JOIN places USING (u) LEFT JOIN named USING (u)""",
-    "op2_token_counts": rf"""
+    "token_counts_native": rf"""
 WITH d AS (SELECT source, lang, replace(coalesce(text, ''), '{LICENSE_LINE}', '') AS t FROM documents WHERE doc_id IS NOT NULL AND len({_WORDS % "coalesce(text, '')"}) >= 5),
 c AS (SELECT source, lang, 'bytes-1' AS tokenizer_version, strlen(t) AS n FROM d UNION ALL SELECT source, lang, 'words-1', len({_WORDS % "t"}) FROM d)
 SELECT source, lang, tokenizer_version, count(*) AS n_docs, sum(n)::BIGINT AS n_tokens FROM c GROUP BY ALL""",

@@ -1,36 +1,67 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A ledger is a folder of batches. Each batch holds changes of documents (the count that is revoked and the
-count that now holds) and the additive deltas of the totals. A batch counts once its marker is written,
-last; writing a batch again under the same id replaces what an interrupted try left and is ignored after
-the marker. Totals are the sums of all committed deltas, so they never need the documents again.
+count that now holds), in buckets of their ids, and the additive deltas of the totals. A batch counts once its
+marker exists, which is created last and only if absent; writing a batch again under the same id replaces what an interrupted
+try left and is ignored after the marker. Totals are the sums of all committed deltas, so they never need
+the documents again. A commit reads the state of the buckets it touches only; compact() folds all batches
+so far into one snapshot, which later commits and totals start from.
 
 Defined cases: null source or language are groups of their own; a null text has no tokens but counts as a
 document; a delete of an unknown document changes nothing; a revision of an unknown one inserts it; a
-batch that names a document and version more than once must agree, else the largest count holds; changes
-without document id are ignored; an empty batch commits and adds nothing.
+document that a batch both changes and deletes is deleted; a batch that names a document and version more than
+once must agree, else the largest count holds; changes without document id or version are ignored; further columns of
+the changes are ignored; an empty batch commits and adds nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terrano.llm.arrow_map import slices
+from terrano.llm.packing import encoder
+
 KEYS = ["doc_id", "tokenizer_version"]
 GROUPS = ["source", "lang", "tokenizer_version"]
 CHANGE = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long"
+STATE = CHANGE + ", gone boolean, bucket int, batch int"
+DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long, batch int"
+#: Folders that a batch's changes are dealt to by hash of the document id.
+BUCKETS = 16
 
 #: Native tokenizers by version.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
     "bytes-1": lambda t: F.octet_length(t),
     "words-1": lambda t: F.size(F.filter(F.split(t, r"[\x20\x09-\x0D]+"), lambda w: w != "")),
 }
+#: Public vocabularies (rank files) by version.
+VOCABULARIES = {"byte_bpe_50k-1": "byte_bpe_50k.tiktoken", "byte_bpe_multi_50k-1": "byte_bpe_multi_50k.tiktoken"}
+
+
+def with_vocabulary_counts(docs: DataFrame, vocabularies: dict[str, str], text: str = "text") -> DataFrame:
+    """doc_id, source, lang, text and one column of token counts for each version; special tokens' strings are ordinary text."""
+    paths = {v: public_tokenizers.path(name) for v, name in vocabularies.items()}
+
+    def run(batches):
+        for batch in slices(batches, 512):
+            texts = [t or "" for t in batch.column(3).to_pylist()]
+            made = [pa.array([len(x) for x in map(encoder(path).encode_ordinary, texts)], pa.int64()) for path in paths.values()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, *paths])
 
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, text string, " + ", ".join(f"`{v}` long" for v in paths))
 
-def counted(docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] | None = None) -> DataFrame:
-    """A change for each document and tokenizer version."""
-    kinds = tokenizers or TOKENIZERS
+
+def counted(docs: DataFrame, tokenizers: dict[str, Callable[[Column], Column]] | None = None, vocabularies: dict[str, str] | None = None) -> DataFrame:
+    """A change for each document and tokenizer version: of native tokenizers, and of public vocabularies if given."""
+    kinds = dict(TOKENIZERS if tokenizers is None else tokenizers)
+    if vocabularies:
+        docs = with_vocabulary_counts(docs, vocabularies)
+        kinds |= {v: lambda t, v=v: F.col(f"`{v}`") for v in vocabularies}
     text = F.coalesce(F.col("text"), F.lit(""))
     each = F.array(*(F.struct(F.lit(v).alias("v"), f(text).cast("long").alias("n")) for v, f in kinds.items()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.explode(each).alias("_t"))
@@ -46,35 +77,61 @@ class Ledger:
     def _path(self, kind: str, batch: int | None = None) -> str:
         return f"{self.root}/{kind}" + (f"/batch={batch}" if batch is not None else "")
 
-    def _exists(self, path: str) -> bool:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def _fs(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def _named(self, kind: str) -> list[int]:
+        fs, p = self._fs(self._path(kind))
+        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _mark(self, kind: str, batch: int) -> None:
+        """Creates the marker; fails if it is there, so of two writers of a batch one counts."""
+        fs, p = self._fs(self._path(kind, batch))
+        fs.create(p, False).close()
 
     def committed(self) -> list[int]:
         """Ids of the batches that count: one marker each."""
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self._path("markers"))
-        fs = p.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if fs.exists(p) else []
+        return self._named("markers")
 
     def _read(self, kind: str, schema: str) -> DataFrame:
-        paths = [self._path(kind, b) for b in self.committed()]
+        """The latest snapshot and the batches after it."""
+        base = self._named("snapshot-markers")[-1:]
+        paths = [self._path(f"snapshot-{kind}", b) for b in base] + [self._path(kind, b) for b in self.committed() if not base or b > base[0]]
         if not paths:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", self._path(kind)).parquet(*paths)
-
-    def current(self) -> DataFrame:
-        """The counts that hold now (CHANGE), one row for each document and version."""
-        rows = self._read("changes", CHANGE + ", gone boolean, batch int")
+        parts = [self.spark.read.schema(schema).option("basePath", self._path(k)).parquet(*ps) for k in (f"snapshot-{kind}", kind) if (ps := [p for p in paths if p.startswith(self._path(k) + "/")])]
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    def current(self, buckets: list[int] | None = None) -> DataFrame:
+        """The counts that hold now (CHANGE), one row for each document and version; of some buckets of ids only, if given."""
+        rows = self._read("changes", STATE)
+        if buckets is not None:
+            rows = rows.where(F.col("bucket").isin(buckets))
         last = rows.groupBy(*KEYS).agg(F.max_by(F.struct("source", "lang", "n_tokens", "gone"), "batch").alias("x"))
         return last.where(~F.col("x.gone")).select(*KEYS, "x.source", "x.lang", "x.n_tokens")
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer_version, n_docs, n_tokens of all groups that hold documents."""
-        rows = self._read("deltas", "source string, lang string, tokenizer_version string, d_docs long, d_tokens long, batch int")
+        rows = self._read("deltas", DELTA)
         return rows.groupBy(*GROUPS).agg(F.sum("d_docs").alias("n_docs"), F.sum("d_tokens").alias("n_tokens")).where("n_docs <> 0")
 
+    @staticmethod
+    def _bucket() -> Column:
+        return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+
+    def compact(self) -> bool:
+        """Fold all committed batches into a snapshot; False if there is none since the last."""
+        done, last = self.committed(), self._named("snapshot-markers")[-1:]
+        if not done or last and last[0] >= done[-1]:
+            return False
+        rows = self.current().select("*", F.lit(False).alias("gone"), self._bucket())
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(self._path("snapshot-changes", done[-1]))
+        sums = self.totals().select(*GROUPS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
+        sums.write.mode("overwrite").parquet(self._path("snapshot-deltas", done[-1]))
+        self._mark("snapshot-markers", done[-1])
+        return True
+
     def commit(self, batch: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Apply a batch once. upserts: CHANGE rows, inserts or revised counts; deletes: (doc_id, tokenizer_version), or doc_id alone for all versions.
 
@@ -85,34 +142,30 @@ class Ledger:
             return False
         if done and batch < done[-1]:
             raise ValueError(f"batch {batch} comes after {done[-1]}")
-        now = self.current() if done else None
-        parts = []
+        fresh = lambda df, on: df.where(" and ".join(f"{k} is not null" for k in on)).select(*on).distinct()
+        gone = deletes and fresh(deletes, [k for k in KEYS if k in deletes.columns])
+        clean = None
         if upserts is not None:
             clean = upserts.where(F.col("doc_id").isNotNull() & F.col("tokenizer_version").isNotNull())
-            clean = clean.groupBy(*KEYS).agg(F.max(F.struct("n_tokens", "source", "lang")).alias("x"))
-            parts.append(clean.select(*KEYS, "x.source", "x.lang", "x.n_tokens", F.lit(False).alias("gone")))
-        if deletes is not None and now is not None:
-            on = [k for k in KEYS if k in deletes.columns]
-            old = now.join(deletes.select(*on).distinct(), on, "left_semi")
+            clean = clean.groupBy(*KEYS).agg(F.max(F.struct("n_tokens", "source", "lang")).alias("x")).select(*KEYS, "x.source", "x.lang", "x.n_tokens", F.lit(False).alias("gone"))
+            if gone is not None:  # a delete wins over a change of the same batch
+                clean = clean.join(gone, gone.columns, "left_anti")
+        parts = [] if clean is None else [clean]
+        if gone is not None and done:
+            touched = [r[0] for r in gone.select(self._bucket()).distinct().collect()]  # at most BUCKETS
+            old = self.current(touched).join(gone, gone.columns, "left_semi")
             parts.append(old.select(*KEYS, "source", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("gone")))
-        if parts:
-            new = parts[0] if len(parts) == 1 else parts[0].union(parts[1])
-            new.write.mode("overwrite").parquet(self._path("changes", batch))
-            new = self.spark.read.schema(CHANGE + ", gone boolean").parquet(self._path("changes", batch))
-            added = new.where(~F.col("gone")).select(*GROUPS, F.lit(1).alias("d"), "n_tokens")
-            if now is not None:
-                revoked = now.join(new.select(*KEYS).distinct(), KEYS, "left_semi")
-                added = added.union(revoked.select(*GROUPS, F.lit(-1).alias("d"), (-F.col("n_tokens")).alias("n_tokens")))
-            sums = added.groupBy(*GROUPS).agg(F.sum("d").cast("long").alias("d_docs"), F.sum("n_tokens").alias("d_tokens"))
-        else:
-            self.spark.createDataFrame([], CHANGE + ", gone boolean").write.mode("overwrite").parquet(self._path("changes", batch))
-            sums = self.spark.createDataFrame([], "source string, lang string, tokenizer_version string, d_docs long, d_tokens long")
+        new = parts[0] if parts else self.spark.createDataFrame([], CHANGE + ", gone boolean")
+        new = new.unionByName(parts[1]) if len(parts) > 1 else new
+        path = self._path("changes", batch)
+        new.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        new = self.spark.read.schema(CHANGE + ", gone boolean, bucket int").parquet(path)
+        added = new.where(~F.col("gone")).select(*GROUPS, F.lit(1).alias("d"), "n_tokens")
+        if done and parts:
+            touched = [r[0] for r in new.select("bucket").distinct().collect()]  # at most BUCKETS
+            revoked = self.current(touched).join(new.select(*KEYS), KEYS, "left_semi")
+            added = added.union(revoked.select(*GROUPS, F.lit(-1).alias("d"), (-F.col("n_tokens")).alias("n_tokens")))
+        sums = added.groupBy(*GROUPS).agg(F.sum("d").cast("long").alias("d_docs"), F.sum("n_tokens").alias("d_tokens"))
         sums.write.mode("overwrite").parquet(self._path("deltas", batch))
-        self.spark.range(1).write.mode("overwrite").parquet(self._path("pending", batch))
-        jvm = self.spark._jvm
-        made, marker = (jvm.org.apache.hadoop.fs.Path(self._path(k, batch)) for k in ("pending", "markers"))
-        fs = marker.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.mkdirs(marker.getParent())
-        if not fs.rename(made, marker):
-            raise RuntimeError(f"batch {batch} could not be committed")
+        self._mark("markers", batch)
         return True

@@ -364,12 +364,38 @@ def test_ledger(spark, odd):
     ledger.commit(3, deletes=spark.createDataFrame([(3,), (77,)], "doc_id long"))
     assert total()[("s", "en", "words-1")] == (3, 4)
     # a batch that broke off before its marker is written anew
-    spark.range(5).write.parquet(f"{ledger.root}/changes/batch=4")
+    spark.range(5).write.parquet(f"{ledger.root}/changes/batch=4/bucket=3")
     ledger.commit(4, upserts=token_counts.counted(odd.limit(0)))
     ledger.commit(5)
     assert total()[("s", "en", "words-1")] == (3, 4) and ledger.committed() == [1, 2, 3, 4, 5]
     with pytest.raises(ValueError):
         ledger.commit(0)
+    # a change and a delete of one document in a batch: the delete holds, whether it was known or not
+    both = spark.createDataFrame([(8, "now two", "en", "s", 0), (900, "one", "en", "s", 0)], DOCS)
+    ledger.commit(6, upserts=token_counts.counted(both).withColumn("batch", F.lit("clash")), deletes=spark.createDataFrame([(8,), (900,), (None,)], "doc_id long"))
+    assert total()[("s", "en", "words-1")] == (2, 3) and ledger.current().where("doc_id in (8, 900)").count() == 0
+
+
+def test_ledger_equals_a_recount(spark):
+    """Random batches, compacted now and then: totals equal those of the state, and the state what a plain dictionary holds."""
+    rng, held = np.random.default_rng(5), {}
+    ledger = token_counts.Ledger(spark, scratch_path(spark, "ledger"))
+    for batch in range(5):
+        ups = [(int(d), f"v{rng.integers(2)}", f"s{rng.integers(3)}", None if rng.random() < 0.3 else "en", int(rng.integers(50))) for d in rng.integers(0, 40, 25)]
+        gone = sorted({int(d) for d in rng.integers(0, 60, 8)})
+        ledger.commit(batch, spark.createDataFrame(ups, token_counts.CHANGE), spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+        best = {}
+        for d, v, s, l, n in ups:
+            best[d, v] = max(best.get((d, v), (n, s, l or "")), (n, s, l or ""))
+        held = {k: x for k, x in (held | best).items() if k[0] not in gone}
+        if batch in (1, 3):
+            assert ledger.compact() and not ledger.compact()
+    state = {(r["doc_id"], r["tokenizer_version"]): (r["n_tokens"], r["source"], r["lang"] or "") for r in ledger.current().collect()}
+    want = {}
+    for (_, v), (n, s, l) in held.items():
+        docs, tokens = want.get((s, l, v), (0, 0))
+        want[s, l, v] = (docs + 1, tokens + n)
+    assert state == held and {(r["source"], r["lang"] or "", r["tokenizer_version"]): (r["n_docs"], r["n_tokens"]) for r in ledger.totals().collect()} == want
 
 
 CALLS = "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>"

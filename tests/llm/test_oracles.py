@@ -58,6 +58,20 @@ def test_windows_hold_the_mixture(spark, sf):
     assert behind.max() <= packing.QUANTUM / 2 + (share.to_numpy()[None] * packing.WINDOW).max() + packing.QUANTUM
 
 
+def test_token_counts_equal_a_recount(spark, sf):
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    tok.encode_special_tokens = True
+    want = {}
+    for source, lang, t in rows(sf, "SELECT source, lang, coalesce(text, '') FROM {documents}"):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        t = t.replace(queries.LICENSE_LINE, "")
+        if n >= 5:
+            for v, k in (("bytes-1", len(t.encode())), ("words-1", len(re.findall(r"[^\x20\x09-\x0D]+", t))), ("byte_bpe_50k-1", len(tok.encode(t, add_special_tokens=False).ids))):
+                docs, tokens = want.get((source, lang, v), (0, 0))
+                want[source, lang, v] = (docs + 1, tokens + k)
+    assert {tuple(r)[:3]: tuple(r)[3:] for r in queries.op2_token_counts(spark, sf).collect()} == want
+
+
 BASE = {
     "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
     "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
