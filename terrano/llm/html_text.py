@@ -1,11 +1,12 @@
 """Main text of web pages by two-pass block rules.
 
-Markup is cut into blocks at block-level tags. Pass one decides each block from its place in the page
-(menus, headers, footers, side matter, forms, adverts, notices and comments are out), the share of its
-words inside links, its length and its density of stop words: good, bad, or undecided for short and
-ambiguous ones. Pass two gives the undecided the label of their nearest decided neighbours: good if the
-neighbours on both sides are, or the nearer one is. Inside an article or main element nothing but place
-and links speaks against a block, and its bounds count as good neighbours.
+Markup is cut into blocks at block-level tags. Pass one rates every block by the density of stop words among
+its words, its length and the share of its text inside links: good, near good, short (undecided), or bad. Its
+place is one more measure: menus, headers, footers, side matter, forms, adverts, notices and comments are bad;
+inside an article or main element what the densities reject is undecided instead, and beside one what they accept
+is bad, unless the article elements hold no block that is good. Pass two gives the undecided the label of their nearest decided neighbours: good if those on both sides
+are, near good if one is, else short ones the nearer one's. An article's bounds count as good neighbours. Both passes and the cutting are linear
+in the page.
 
 Defined cases: null or empty html gives '' and 0; unclosed or stray tags are tolerated; text outside any
 block element forms blocks of its own; a page without article is judged by densities alone; equal pages
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
@@ -34,6 +36,7 @@ BLOCK_TAGS = frozenset(
 )
 SKIPPED_TAGS = frozenset("head nav header footer aside form button select textarea menu dialog iframe object noscript template svg canvas".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe template svg".split())
+HOLDERS = frozenset("nav header footer head form".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SKIPPED_NAMES = re.compile(
     r"(?i)(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|sidebar|widget|menu|nav\w*|breadcrumbs?|"
@@ -44,9 +47,10 @@ COMMENT_NAMES = re.compile(r"(?i)(?:^|[\s_-])(?:comment\w*|reply|replies|teaser|
 TOLD_NAMES = re.compile(r"(?i)(?:^|\s)(?:has|with|no|without|is)[_-]\S+")
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MIN_WORDS, LONG_WORDS, LOW_STOP, HIGH_STOP, MAX_LINK = 10, 25, 0.10, 0.25, 0.5
+GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S
+    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S
 )
 _NAMED = re.compile(r"""(?i)\b(class|id|role|aria-hidden|hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -83,6 +87,8 @@ def blocks(page: str) -> list[Block]:
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, starts a skipped part, starts an article
+    opened: Counter[str] = Counter()  # tags on the stack
+    held: list[int] = []  # places on the stack of skipped parts that no article can be in
     skipped = articles = links = breaks = number = 0
     raw_until = ""
 
@@ -130,8 +136,9 @@ def blocks(page: str) -> list[Block]:
             continue
         if not m[1]:
             if tag == "p":  # a paragraph does not nest
-                while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a") and any(s[0] == "p" for s in stack):
+                while opened["p"] and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a"):
                     gone = stack.pop()
+                    opened[gone[0]] -= 1
                     links -= gone[0] == "a"
                     skipped -= gone[1]
             starts = tag in ("article", "main")
@@ -140,18 +147,24 @@ def blocks(page: str) -> list[Block]:
                     number += 1
                 articles += 1
             skip = _skips(tag, m[3])
-            if starts and not skip:  # no menu, header or footer holds an article: it was left unclosed
-                for i, (name, on, article) in enumerate(stack):
-                    if on and name in ("nav", "header", "footer", "head", "form"):
-                        stack[i] = (name, False, article)
-                        skipped -= 1
+            if starts and not skip and held:  # no menu, header or footer holds an article: it was left unclosed
+                for i in held:
+                    stack[i] = (stack[i][0], False, stack[i][2])
+                skipped -= len(held)
+                held = []
             skipped += skip
+            if skip and tag in HOLDERS:
+                held.append(len(stack))
             links += tag == "a"
+            opened[tag] += 1
             stack.append((tag, skip, starts))
-        elif any(s[0] == tag for s in stack):
+        elif opened[tag]:
             while True:
                 gone = stack.pop()
+                opened[gone[0]] -= 1
                 skipped -= gone[1]
+                if held and held[-1] == len(stack):
+                    held.pop()
                 articles -= gone[2]
                 links -= gone[0] == "a"
                 if gone[0] == tag:
@@ -160,37 +173,55 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def rating(b: Block) -> str:
+    """A block by its own measures: GOOD, NEAR (good), SHORT (undecided) or BAD."""
+    density = b.stops / max(1, b.words)
+    if b.linked > MAX_LINK:
+        return BAD if b.words else SHORT
+    if b.words < MIN_WORDS:
+        return BAD if b.linked > 0 and not b.inside else SHORT
+    if density >= HIGH_STOP:
+        return GOOD
+    if density >= LOW_STOP:
+        return GOOD if b.words > LONG_WORDS else NEAR
+    return BAD
+
+
+def _nearest(found: list[Block], rated: list[str], order: range) -> list[tuple[int, str] | None]:
+    """For each block the nearest one before it, in the order given, that is decided and of the same part of the page."""
+    out: list[tuple[int, str] | None] = [None] * len(found)
+    last: dict[int, tuple[int, str]] = {}
+    for i in order:
+        part = found[i].inside
+        out[i] = last.get(part)
+        if rated[i] in (GOOD, BAD) and not (part and found[i].out):
+            last[part] = (i, rated[i])
+    return out
+
+
 def label(found: list[Block]) -> None:
     """Both passes: sets every block's label to good or bad."""
-    articles = any(b.inside and not b.out for b in found)
-    for b in found:
-        density = b.stops / max(1, b.words)
+    rated = [rating(b) for b in found]
+    articles = any(b.inside and not b.out and r != BAD for b, r in zip(found, rated, strict=True))
+    for i, b in enumerate(found):
         if b.out or articles and not b.inside:
-            b.label = "bad"
-        elif b.linked > MAX_LINK:
-            b.label = "bad" if b.words or not b.inside else ""
-        elif b.inside:
-            b.label = "good" if b.words >= MIN_WORDS else ""
-        elif b.words < MIN_WORDS:
-            b.label = "bad" if b.linked > 0 else ""
-        elif density >= HIGH_STOP or b.words > LONG_WORDS and density >= LOW_STOP:
-            b.label = "good"
-        elif density < LOW_STOP:
-            b.label = "bad"
-    decided = [b.label for b in found]
+            rated[i] = BAD
+        elif b.inside and rated[i] == BAD and b.linked <= MAX_LINK:
+            rated[i] = SHORT
+    ahead, back = _nearest(found, rated, range(len(found) - 1, -1, -1)), _nearest(found, rated, range(len(found)))
     for i, b in enumerate(found):
-        if b.label:
+        b.label = rated[i]
+        if rated[i] in (GOOD, BAD):
             continue
+        sides = [(abs(i - x[0]), x[1]) for x in (back[i], ahead[i]) if x is not None]
         if b.inside:
-            near = [j for j in range(i - 1, -1, -1) if decided[j] and found[j].inside == b.inside and not found[j].out][:1]
-            near += [j for j in range(i + 1, len(found)) if decided[j] and found[j].inside == b.inside and not found[j].out][:1]
-            b.label = "good" if not near or any(decided[j] == "good" for j in near) or len(near) < 2 else "bad"
-            continue
-        back = next((j for j in range(i - 1, -1, -1) if decided[j]), None)
-        ahead = next((j for j in range(i + 1, len(found)) if decided[j]), None)
-        sides = [(i - back, decided[back])] if back is not None else []
-        sides += [(ahead - i, decided[ahead])] if ahead is not None else []
-        b.label = min(sides, key=lambda s: (s[0], s[1] != "good"))[1] if sides else "good"
+            b.label = GOOD if len(sides) < 2 or any(s[1] == GOOD for s in sides) else BAD
+        elif not sides:
+            b.label = GOOD
+        elif rated[i] == NEAR:
+            b.label = GOOD if any(s[1] == GOOD for s in sides) else BAD
+        else:
+            b.label = min(sides, key=lambda s: (s[0], s[1] != GOOD))[1]
 
 
 def main_text(page: str | None) -> str:
