@@ -11,7 +11,8 @@ compared, never copies. Each class keeps the k smallest hashes of its set.
    against one, then against those that are still in another component than most, until none is left.
    Blocks of members meet blocks of pivots, on their full sets.
 3. The similarity of a listed pair is estimated from the union of both sketches, and pairs that may reach
-   the threshold are verified on the full sets of the texts. Pairs already in one component are skipped.
+   the threshold are verified on the full sets of the texts, as sets of 64-bit hashes of their shingles; classes
+   are told apart by 128-bit digests of these. Pairs already in one component are skipped.
 4. Components are found by joins that shorten paths; nothing but counts reaches the driver.
 
 Defined cases: null or wordless texts have an empty set, are linked with nothing and form a component of
@@ -30,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from terrano.llm.arrow_map import slices, space_words, texts
-from terrano.session import broadcast_within, written
+from terrano.session import broadcast_within, join_hot, written
 
 SHINGLE = 5
 PERCENT = 75
@@ -41,6 +42,8 @@ BUCKETS = 16
 MAX_BROADCAST_VALUES = 500_000
 #: Pivots a bucket gets in a round after the first; what is left follows in the next.
 MAX_PIVOTS = 512
+#: Parts that a bucket's pivots are drawn from, each in a task of its own.
+SALTS = 64
 #: Nodes with links up to which labels are broadcast (about 20 MB).
 MAX_BROADCAST_NODES = 400_000
 #: Members of a bucket in one task's block.
@@ -350,8 +353,8 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
                 rest = own.join(main, "key").where(F.col("label") != F.col("main")).select("key", "parts", "node", "label")
                 if used is not None:
                     rest = rest.join(used, ["key", "node"], "left_anti")
-                place = F.row_number().over(W.partitionBy("key").orderBy("node"))
-                some = rest.withColumn("_n", place).where(F.col("_n") <= MAX_PIVOTS).drop("_n")
+                place = F.row_number().over(W.partitionBy("key", "_s").orderBy("node"))
+                some = rest.withColumn("_s", F.pmod(F.xxhash64("node", "key"), F.lit(SALTS))).withColumn("_n", place).where(F.col("_n") <= MAX_PIVOTS // SALTS).drop("_n", "_s")
                 some = written(some, "pivots")
                 if turn > 2 and some.limit(1).count() == 0:
                     break
@@ -391,14 +394,15 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = written(sketches(docs, doc_id, text), "sets")
     named = sets.where(F.col("node").isNotNull() & F.col("id").isNotNull())
     repeats = named.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
-    classes = written(named.groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n")), "classes")
+    classes = written(named.groupBy("node").agg(F.min(F.struct("id", "h")).alias("rep"), F.first("sketch").alias("sketch"), F.first("n").alias("n"), F.count("*").alias("c")), "classes")
     labels = class_links(
         classes.select("node", "sketch", "n"), lambda needed: bodies_of(docs, classes, needed, doc_id, text, repeats, max_broadcast), list_limit, max_broadcast, percent
     )
     near = classes.select("node", F.col("rep.id").alias("rep")).join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     lowest = near.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = near.join(lowest, "label").select("node", "component_id")
-    out = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "node").join(of_class, "node", "left")
+    own = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    out = join_hot(own, of_class, "node", classes.select("node", "c"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

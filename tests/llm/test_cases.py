@@ -4,6 +4,7 @@ import fractions
 import json
 import re
 import time
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -317,6 +318,51 @@ def test_html_cases(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+MANY = 100_000
+HOSTILE = ["<a " * MANY, '<a "' * MANY, "<a '" * MANY + "x", "<!" * MANY, "<b>" * MANY + "</i>" * MANY, "<article>" * MANY, "<nav><article>" * MANY, "<p>x " * MANY, "<div>ab</div>" * MANY, "<article>" + "<p>ab</p>" * MANY]
+
+
+@pytest.mark.parametrize("page", HOSTILE, ids=lambda p: p[:12])
+def test_html_in_linear_time(page):
+    t = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - t < 10
+
+
+def bare(page):
+    """A page without article elements, names and roles: nothing but the blocks' own words tell them apart."""
+    page = re.sub(r"</?(?:article|main)[^>]*>", "", page)
+    return re.sub(r' (?:class|id|role)="[^"]*"', "", re.sub(r"<(/?)(?:nav|header|footer|aside|section|form)\b[^>]*>", r"<\1div>", page))
+
+
+def test_html_rules_on_pages_without_articles(spark, monkeypatch):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    want = [Counter(html_text.main_text(p).split()) for p in pages]
+
+    def measured():
+        both = found = 0
+        for p, w in zip(pages, want, strict=True):
+            g = Counter(html_text.main_text(bare(p)).split())
+            both, found = both + sum((g & w).values()), found + sum(g.values())
+        return both / max(1, found), both / sum(sum(w.values()) for w in want)
+
+    precision, recall = measured()
+    assert precision > 0.95 and recall > 0.96
+    monkeypatch.setattr(html_text, "_nearest", lambda found, rated, order: [None] * len(found))
+    assert measured()[0] < precision - 0.005  # the second pass matters
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    assert measured()[1] < 0.5  # and so do the stop words
+
+
+def test_html_inside_articles():
+    junk = "<p>" + " ".join(f"<a href={i}>tag{i}</a>" for i in range(12)) + "</p>"
+    words = "<p>Qzx wvut srqp onml kjih gfed cba zyx wvu tsr qpo nml.</p>"
+    good = "<p>The house is on the hill and it was there for all of the years that we were in the town.</p>"
+    assert html_text.main_text(f"<article>{good}{words}{junk}{good}</article><p>{good}") == html_text.main_text(f"<article>{good}{words}{good}</article>")
+    assert len(html_text.main_text(f"<article>{words}</article>").split()) == 12 and html_text.main_text(f"<div>{good}{words}{junk}</div>").count("\n") == 0
+
+
 def test_quality_cases(spark, odd, none):
     labels = spark.createDataFrame([(3, 1), (4, None), (99, 0), (5, 0)], "doc_id long, quality int")
     machine = quality.train(odd, labels)

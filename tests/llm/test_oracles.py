@@ -3,6 +3,7 @@
 import hashlib
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -12,7 +13,7 @@ from tokenizers import Tokenizer
 
 import public_tokenizers
 from oracle import same
-from terrano.llm import html_text, queries
+from terrano.llm import html_text, minhash, queries
 
 
 def rows(sf, sql):
@@ -97,6 +98,32 @@ def test_pii_equals_brute_force(spark, sf):
         assert ",".join(s for s in got[d]["spans"].split(",") if s.split(":")[0] in BASE) == want
 
 
+@pytest.mark.parametrize("list_limit", [40, 2])
+def test_near_duplicates_miss_no_link(spark, list_limit):
+    """Recall against all pairs of plain word sets that share a shingle, over all rows of sf0.01."""
+    big, lists, sets, up = "/root/testdata/sf0.01", {}, {}, {}
+    for d, t in rows(big, "SELECT doc_id, coalesce(text, '') FROM {documents}"):
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t))
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        up[d] = d
+        for g in sets[d]:
+            lists.setdefault(g, []).append(d)
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    both = Counter((a, b) for ds in lists.values() for i, a in enumerate(ds) for b in ds[i + 1 :])
+    for (a, b), n in both.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    docs = spark.read.parquet(f"{big}/documents.parquet")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(docs, list_limit=list_limit).collect()}
+    assert got == {d: (len(s), root(d)) for d, s in sets.items()}
+
+
 def test_main_text_is_the_article(spark, sf):
     import html
 
