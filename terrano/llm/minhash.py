@@ -354,7 +354,9 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
                 if used is not None:
                     rest = rest.join(used, ["key", "node"], "left_anti")
                 place = F.row_number().over(W.partitionBy("key", "_s").orderBy("node"))
-                some = rest.withColumn("_s", F.pmod(F.xxhash64("node", "key"), F.lit(SALTS))).withColumn("_n", place).where(F.col("_n") <= MAX_PIVOTS // SALTS).drop("_n", "_s")
+                # dealt anew by key and part: the join's own partitions hold whole buckets
+                salted = rest.withColumn("_s", F.pmod(F.xxhash64("node", "key"), F.lit(SALTS))).repartition("key", "_s")
+                some = salted.withColumn("_n", place).where(F.col("_n") <= MAX_PIVOTS // SALTS).drop("_n", "_s")
                 some = written(some, "pivots")
                 if turn > 2 and some.limit(1).count() == 0:
                     break
