@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from terrano.functions import normalize as N
+from terrano.functions import normalize as N, places as L
 from terrano.functions.urls import canonical
 
 #: Age in days beyond which rows of a table and status go.
@@ -24,7 +24,8 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
     """``raw`` with hard and soft issues, validation_score, geocoding_status and status staging or rejected.
 
     Missing data costs points and never rejects. A hash is a duplicate if it is known or if an earlier
-    valid row has it; only valid rows block later ones.
+    valid row has it; only valid rows block later ones. Place is the row's own or told by its URL's host (``place``). Rows
+    without hash meet nothing in the joins.
     """
     # each of these is used several times below, and the joins keep them from being computed anew
     df = raw.withColumns(
@@ -32,10 +33,13 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
             "_price": N.locale_number(F.col("precio")),
             "_operation": N.operation(F.col("operacion")),
             "_original": F.lower(N.clean(F.col("operacion"))),
-            "_no_place": _blank("ciudad") & _blank("provincia"),
-            "_no_address": _blank("direccion") | F.coalesce(F.contains("direccion", F.lit("@")), F.lit(False)),
+            "place": L.place_of_signals(F.col("ciudad"), F.col("provincia"), F.col("url")),
+            "_address": L.address_value(F.col("direccion")),
+            # a key of its own for each row without hash, so that these do not gather in one task
+            "_key": F.coalesce(N.clean(F.col("hash_dedup")), F.concat(F.lit("\0"), F.col("pos").cast("string"))),
         }
     )
+    df = df.withColumns({"_no_place": F.col("place.city").isNull() & F.col("place.province").isNull(), "_no_address": F.col("_address.value").isNull()})
     given = ~_blank("precio")
     currency = F.upper(N.clean(F.col("moneda")))
     operation, original, no_place, no_address = (F.col(c) for c in ("_operation", "_original", "_no_place", "_no_address"))
@@ -49,31 +53,31 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
     present = lambda *issues: F.filter(F.array(*issues), lambda x: x.isNotNull())
     df = df.withColumn("hard", present(*hard))
     if known_hashes is not None:
-        df = df.join(known_hashes.select("hash_dedup", F.lit(True).alias("_known")).distinct(), "hash_dedup", "left")
+        df = df.join(known_hashes.select(F.col("hash_dedup").alias("_key"), F.lit(True).alias("_known")).distinct(), "_key", "left")
     else:
         df = df.withColumn("_known", F.lit(None).cast("boolean"))
     valid = (F.size("hard") == 0) & F.col("_known").isNull()
-    first = df.where(valid).groupBy("hash_dedup").agg(F.min("pos").alias("_first"))
-    df = df.join(first, "hash_dedup", "left")
+    first = df.where(valid).groupBy("_key").agg(F.min("pos").alias("_first"))
+    df = df.join(first, "_key", "left")
     again = F.coalesce(F.col("_known"), F.lit(False)) | F.coalesce(F.col("pos") > F.col("_first"), F.lit(False))
     df = df.withColumn("hard", F.concat("hard", F.when(again, F.array(F.lit("duplicate"))).otherwise(F.array().cast("array<string>"))))
 
-    bad_address = F.contains("direccion", F.lit("@"))
     some_point = F.col("latitud").isNotNull() | F.col("longitud").isNotNull()
     in_country = F.coalesce(F.col("latitud").between(-55, -21) & F.col("longitud").between(-74, -53), F.lit(False))
     soft = [
         (no_place, "missing_location", 15),
+        (F.col("place.inferred"), "location_inferred_from_text", 0),
         (_blank("tipo_propiedad"), "missing_type", 15),
         (_blank("titulo"), "missing_title", 5),
         (F.col("n_imagenes") == 0, "missing_images", 10),
-        (F.coalesce(F.col("_price") <= 0, F.lit(True)), "missing_price", 20),
-        (F.coalesce(bad_address, F.lit(False)), "invalid_address", 5),
+        (F.col("_address.reason").isNotNull(), "invalid_address", 5),
         (no_address & ~no_place, "geocoding_skipped_approx_location", 5),
         (some_point & ~in_country, "invalid_coordinates", 10),
         ((operation == "consultar") & original.isNotNull() & (original != "consultar"), "operacion_normalizada_consultar", 0),
         (operation == "venta_y_alquiler", "operacion_venta_y_alquiler", 0),
     ]
-    penalty = sum((F.when(c, p).otherwise(0) for c, _, p in soft), F.lit(0))
+    unpriced = F.coalesce(F.col("_price") <= 0, F.lit(True))  # costs points, but is no issue
+    penalty = sum((F.when(c, p).otherwise(0) for c, _, p in soft), F.when(unpriced, 20).otherwise(0))
     geo = F.when(in_country, "done").when(no_address & ~no_place, "skipped").otherwise("pending")
     out = df.withColumns(
         {
@@ -85,30 +89,34 @@ def validate(raw: DataFrame, known_hashes: DataFrame | None = None) -> DataFrame
             "status": F.when(F.size("hard") == 0, "staging").otherwise("rejected"),
         }
     )
-    return out.drop("_price", "_operation", "_original", "_no_place", "_no_address", "_known", "_first")
+    return out.drop("_price", "_operation", "_original", "_no_place", "_no_address", "_known", "_first", "_key", "_address")
 
 
-def queue_skip_reason(min_score: int, allow_pending: bool) -> Column:
-    """Why a staging row does not enter the queue: the first rule that fails; null if none does."""
+def _no_url(url: str, canonical_url: str | None) -> Column:
+    return _blank(url) & _blank(canonical_url) if canonical_url else _blank(url)
+
+
+def queue_skip_reason(min_score: int, allow_pending: bool, canonical_url: str | None = None) -> Column:
+    """Why a staging row does not enter the queue: the first rule that fails; null if none does. ``canonical_url``: a second column that may hold the URL."""
     geo = ("done", "skipped", "pending", "failed") if allow_pending else ("done", "skipped")
     return (
         F.when(_blank("hash_dedup"), "skip_missing_hash")
         .when(_agency().isNull(), "skip_missing_inmobiliaria")
-        .when(_blank("url"), "skip_missing_url")
+        .when(_no_url("url", canonical_url), "skip_missing_url")
         .when(~F.coalesce(F.lower(N.clean(F.col("operacion"))).isin(*N.OPERATIONS), F.lit(False)), "skip_invalid_operation")
         .when(F.coalesce(F.col("validation_score"), F.lit(0)) < min_score, "skip_low_score")
         .when(~F.coalesce(F.lower(N.clean(F.col("geocoding_status"))).isin(*geo), F.lit(False)), "skip_geocoding_pending")
     )
 
 
-def publish_skip_reason(min_score: int, allow_pending: bool) -> Column:
+def publish_skip_reason(min_score: int, allow_pending: bool, canonical_url: str | None = None) -> Column:
     """Why a queued row is not published; tests status and title too, and place before score."""
     geo = ("done", "skipped", "pending", "failed") if allow_pending else ("done", "skipped")
     return (
         F.when(F.lower(F.coalesce(N.clean(F.col("status")), F.lit(""))) != "queued", "invalid_staging_status")
         .when(_blank("hash_dedup"), "missing_hash")
         .when(_agency().isNull(), "missing_inmobiliaria")
-        .when(_blank("url"), "missing_url")
+        .when(_no_url("url", canonical_url), "missing_url")
         .when(_blank("titulo"), "missing_title")
         .when(~F.coalesce(F.lower(N.clean(F.col("operacion"))).isin(*N.OPERATIONS), F.lit(False)), "invalid_operation")
         .when(~F.coalesce(F.lower(N.clean(F.col("geocoding_status"))).isin(*geo), F.lit(False)), "geocoding_pending")
@@ -127,11 +135,23 @@ def claim(queue: DataFrame, n: int) -> DataFrame:
     return queue.where("status = 'pending'").orderBy("priority", "queued_at", "staging_id").limit(n).withColumn("status", F.lit("publishing"))
 
 
-def reclaim(queue: DataFrame, as_of: str, minutes: int = 30, most: int = 5) -> DataFrame:
-    """Rows stuck in publishing go back to pending with one more attempt, or fail at the last."""
-    stale = (F.col("status") == "publishing") & (F.col("queued_at") < F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(minutes)))
-    tries = F.col("attempts") + F.when(stale, 1).otherwise(0)
-    return queue.withColumns({"status": F.when(stale & (tries >= most), "failed").when(stale, "pending").otherwise(F.col("status")), "attempts": tries})
+def reclaim(queue: DataFrame, as_of: str, minutes: int = 30, most: int = 5, at: Column | None = None) -> DataFrame:
+    """Rows stuck in publishing go back to pending with one more attempt; those of ``most`` attempts stay for a look by hand.
+
+    ``at``: the last attempt, by default queued_at.
+    """
+    late = (at if at is not None else F.col("queued_at")) < F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(minutes))
+    stale = F.coalesce((F.col("status") == "publishing") & late & (F.col("attempts") < most), F.lit(False))
+    return queue.withColumns({"status": F.when(stale, "pending").otherwise(F.col("status")), "attempts": F.col("attempts") + F.when(stale, 1).otherwise(0)})
+
+
+def reset_stale(df: DataFrame, states: dict[str, str], at: str, as_of: str, minutes: int = 120) -> DataFrame:
+    """Rows that have been in one of the states for too long go back to the state given; attempts stay as they are."""
+    old = F.col(at) < F.lit(as_of).cast("timestamp") - F.make_interval(mins=F.lit(minutes))
+    out = F.col("status")
+    for state, to in states.items():
+        out = F.when((F.col("status") == state) & old, to).otherwise(out)
+    return df.withColumn("status", out)
 
 
 def retained(df: DataFrame, table: str, as_of: str, at: str, status: str | None = "status") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from terrano.functions import normalize as N, urls as U
 from terrano.operators import dedupe, lifecycle, merge, reports, search
+from terrano.plans.listing_sql import URL_SHAPES
 from terrano.sources.adapters import AS_OF, agencies, errors, listings, queue, raw_listings, run_items, table
 from terrano.streaming import rollups
 
@@ -49,7 +50,7 @@ def flt11_retry_selection(s: S, d: str) -> D:
 
 
 def flt28_transient_errors(s: S, d: str) -> D:
-    text = F.concat(F.lit("HTTP "), (F.lit(395) + F.col("event_id") % 120).cast("string"), F.when(F.col("event_id") % 7 == 0, " timeout").otherwise(""))
+    text = F.concat(F.lit("HTTP "), (F.lit(395) + F.col("event_id") % 120).cast("string"), F.element_at(F.array(*map(F.lit, (" timeout", "", " Max Retries exceeded", " temporarily moved", " RemoteDisconnected", " WinError 10054", " temporarily unavailable"))), (F.col("event_id") % 7 + 1).cast("int")))
     rows = table(s, d, "events").where("event_type = 'error'").select(N.transient_error(text).alias("transient"))
     return rows.groupBy("transient").agg(F.count("*").alias("n"))
 
@@ -155,12 +156,27 @@ def agg30_named_clusters(s: S, d: str) -> D:
     return search.named_clusters(rows)
 
 
+def shaped_urls(s: S, d: str) -> D:
+    """(id, url): one written URL for each order."""
+    i = F.col("o_orderkey")
+    return table(s, d, "orders").select(i.alias("id"), F.replace(F.element_at(F.array(*map(F.lit, URL_SHAPES)), (i % len(URL_SHAPES) + 1).cast("int")), F.lit("K"), i.cast("string")).alias("url"))
+
+
+def _all_urls(s: S, d: str) -> D:
+    return shaped_urls(s, d).unionByName(table(s, d, "pages").select((-1 - F.col("page_id")).alias("id"), "url"))
+
+
 def ded01_canonical_url(s: S, d: str) -> D:
-    return table(s, d, "pages").select("page_id", U.canonical(F.col("url")).alias("url_normalizada"), U.canonical(F.col("url"), lower_values=False).alias("url_staging"))
+    return _all_urls(s, d).select("id", U.canonical(F.col("url")).alias("url_normalizada"))
+
+
+def ded02_staging_url(s: S, d: str) -> D:
+    return _all_urls(s, d).select("id", U.canonical(F.col("url"), lower_values=False).alias("url_staging"))
 
 
 def ded03_identity_hash(s: S, d: str) -> D:
-    return table(s, d, "pages").select("page_id", U.identity_hash(F.col("page_id") % 10, F.lit(None).cast("string"), F.col("url")).alias("hash_dedup"))
+    outer = F.when(F.col("id") % 3 == 0, F.concat(F.lit(" A b"), F.col("id").cast("string"), F.lit(" ")))
+    return shaped_urls(s, d).select("id", U.identity_hash(F.col("id") % 10, outer, F.col("url")).alias("hash_dedup"))
 
 
 def ded04_first_wins(s: S, d: str) -> D:
@@ -286,7 +302,7 @@ def pip11_retention(s: S, d: str) -> D:
 
 
 def str01_clean(s: S, d: str) -> D:
-    raw = F.concat(F.lit(" \t"), F.left("text", F.lit(40)), F.lit("\n  "))
+    raw = F.concat(F.lit(" \t"), F.col("text"), F.lit("\n  "))
     return table(s, d, "documents").select("doc_id", N.clean(raw).alias("limpio"), N.squeeze(raw).alias("junto"))
 
 
@@ -295,7 +311,7 @@ def str07_search_key(s: S, d: str) -> D:
 
 
 def str27_redact(s: S, d: str) -> D:
-    raw = F.concat(F.lit("get http://u:p@h/x?token=abc&b=1 password: "), F.left(F.coalesce("text", F.lit("")), F.lit(20)), F.lit(" sk-abcdef123456 Authorization: Bearer xyz"))
+    raw = F.concat(F.lit("get http://u:p@h/x?token=abc&b=1 password: "), F.coalesce("text", F.lit("")), F.lit(" sk-abcdef123456 Authorization: Bearer xyz"))
     return table(s, d, "documents").select("doc_id", N.redacted(raw).alias("seguro"))
 
 
@@ -375,4 +391,4 @@ def stm08_first_seen(s: S, d: str) -> D:
     return first.withColumn("orden", F.row_number().over(W.partitionBy("run_id").orderBy("first_id"))).where("orden <= 5").select("run_id", "inmobiliaria_id", "orden")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n not in ("shaped_urls", "_all_urls")}

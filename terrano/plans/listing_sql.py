@@ -17,7 +17,7 @@ AGENCIES = """agencies AS (SELECT c_custkey AS id, c_name AS nombre, n_name AS c
   FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
 RAW = """raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 23 <> 0 THEN sha256((o_orderkey - o_orderkey % 41)::VARCHAR) END AS hash_dedup,
   CASE WHEN o_orderkey % 29 = 0 THEN '0' WHEN o_orderkey % 31 = 0 THEN 'x' ELSE o_custkey::VARCHAR END AS inmobiliaria_id,
-  CASE WHEN o_orderkey % 37 <> 0 THEN 'https://www.site' || (o_custkey % 50) || '.example.com/Propiedad/' || o_orderkey || '/' END AS url,
+  CASE WHEN o_orderkey % 37 <> 0 THEN CASE WHEN o_orderkey % 18 = 0 THEN 'https://www.tandil-hogar.com.ar' WHEN o_orderkey % 27 = 0 THEN 'https://saltamendoza.com' ELSE 'https://www.site' || (o_custkey % 50) || '.example.com' END || '/Propiedad/' || o_orderkey || '/' END AS url,
   CASE WHEN o_orderkey % 13 <> 0 THEN 'Propiedad ' || o_orderkey END AS titulo,
   CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 19 = 0 THEN 'abc' WHEN o_orderkey % 17 = 0 THEN '0'
     WHEN o_orderkey % 5 = 0 THEN (floor(o_totalprice)::BIGINT // 1000) || '.' || lpad((floor(o_totalprice)::BIGINT % 1000)::VARCHAR, 3, '0') || ',5' ELSE floor(o_totalprice)::BIGINT::VARCHAR END AS precio,
@@ -26,30 +26,34 @@ RAW = """raw AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 23 <> 0 THEN sh
   CASE WHEN o_orderkey % 9 <> 0 THEN 'Ciudad ' || (o_orderkey % 20) END AS ciudad,
   CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 4 <> 0 THEN 'Provincia ' || (o_orderkey % 5) END AS provincia,
   CASE WHEN o_orderkey % 14 <> 0 THEN 'Casa' END AS tipo_propiedad, o_orderkey % 4 AS n_imagenes,
-  CASE WHEN o_orderkey % 6 = 0 THEN 'info@mail.example' WHEN o_orderkey % 8 <> 0 THEN 'Calle ' || (o_orderkey % 300) END AS direccion,
+  CASE WHEN o_orderkey % 6 = 0 THEN (['info@correo.example', 'Tel: 4123', 'Llamar al +54 341 412-3456', 'Depto a $ 85.000', '120.000 pesos', 'Mitre 1 2 3 ' || repeat('piso alto ', 9), 'Roca 250', 'Casa en Superficie lote 3'])[(o_orderkey // 6) % 8 + 1] WHEN o_orderkey % 8 <> 0 THEN 'Calle ' || (o_orderkey % 300) END AS direccion,
   CASE WHEN o_orderkey % 10 = 0 THEN -10.0 WHEN o_orderkey % 3 <> 0 THEN -34.5 END AS latitud, CASE WHEN o_orderkey % 3 <> 0 THEN -58.5 END AS longitud FROM orders)"""
-_OP = """CASE WHEN {o} IN ('venta', 'alquiler', 'alquiler_temporario', 'consultar', 'venta_y_alquiler') THEN {o} WHEN {o} IN ('en venta', 'sale', 'for sale') THEN 'venta'
-    WHEN {o} IN ('en alquiler', 'rent', 'for rent') THEN 'alquiler' WHEN {o} IN ('temporario', 'temporaria', 'vacation') THEN 'alquiler_temporario'
+# the words of the operations, as the rules list them
+_OP = """CASE WHEN {o} IN ('venta', 'alquiler', 'alquiler_temporario', 'consultar', 'venta_y_alquiler') THEN {o} WHEN {o} IN ('sale', 'sell', 'compra', 'en venta', 'for sale') THEN 'venta'
+    WHEN {o} IN ('alq', 'rent', 'rental', 'arrendamiento', 'locacion', 'locación', 'en alquiler', 'for rent') THEN 'alquiler'
+    WHEN {o} IN ('temporario', 'temporal', 'temporaria', 'alquiler temporario', 'alquiler temporal', 'vacation', 'turistico', 'turístico', 'por dia', 'por día', 'por semana', 'short term') THEN 'alquiler_temporario'
     WHEN regexp_matches({o}, 'venta|sale|sell|compra') AND regexp_matches({o}, 'alquiler|rent') THEN 'venta_y_alquiler' ELSE 'consultar' END""".format(o="lower(trim(operacion))")
+# reasons by the texts' own kinds, worked by hand: e-mail, phone word, phone, price, price alone, long with numbers, an address, surface
+_REASON = "CASE WHEN direccion IS NULL OR starts_with(direccion, 'Calle') OR direccion = 'Roca 250' THEN NULL WHEN direccion = 'info@correo.example' THEN 'address_is_email' WHEN direccion LIKE '%+54%' THEN 'address_contains_phone' WHEN direccion LIKE 'Depto%' THEN 'address_contains_price' WHEN direccion LIKE '%pesos' THEN 'address_is_price' WHEN starts_with(direccion, 'Mitre') THEN 'address_too_long_numeric' ELSE 'contaminated_address' END"
 
 
 def validated(known: str = "false") -> str:
     """CTEs up to ``v``: the validation of all raw rows. ``known``: condition of a hash that staging has."""
     return f"""{RAW},
 n AS (SELECT *, try_cast(CASE WHEN contains(precio, ',') THEN replace(replace(precio, '.', ''), ',', '.') ELSE precio END AS DOUBLE) AS p, {_OP} AS op, coalesce({known}, false) AS known,
-  (latitud BETWEEN -55 AND -21 AND longitud BETWEEN -74 AND -53) IS TRUE AS inside, ciudad IS NULL AND provincia IS NULL AS no_place, direccion IS NULL OR contains(direccion, '@') AS no_address FROM raw),
+  (latitud BETWEEN -55 AND -21 AND longitud BETWEEN -74 AND -53) IS TRUE AS inside, ciudad IS NULL AND provincia IS NULL AND NOT (o_tandil AND url IS NOT NULL) AS no_place, ciudad IS NULL AND provincia IS NULL AND o_tandil AND url IS NOT NULL AS told, {_REASON} AS reason, direccion IS NULL OR {_REASON} IS NOT NULL AS no_address FROM (SELECT *, id % 18 = 0 AS o_tandil FROM raw)),
 h AS (SELECT *, list_filter([CASE WHEN hash_dedup IS NULL THEN 'missing_hash' END, CASE WHEN coalesce(try_cast(inmobiliaria_id AS BIGINT), 0) <= 0 THEN 'missing_inmobiliaria_id' END,
   CASE WHEN url IS NULL THEN 'missing_url' END, CASE WHEN precio IS NOT NULL AND coalesce(p, 0) <= 0 THEN 'invalid_price' END,
   CASE WHEN p > 0 AND upper(moneda) NOT IN ('ARS', 'USD') THEN 'invalid_currency' END], lambda x: x IS NOT NULL) AS hard0 FROM n),
 f AS (SELECT hash_dedup AS fh, min(id) AS first FROM h WHERE len(hard0) = 0 AND NOT known GROUP BY 1),
 v AS (SELECT h.*, CASE WHEN known OR coalesce(id > first, false) THEN list_append(hard0, 'duplicate') ELSE hard0 END AS hard,
-  list_filter([CASE WHEN no_place THEN 'missing_location' END, CASE WHEN tipo_propiedad IS NULL THEN 'missing_type' END, CASE WHEN titulo IS NULL THEN 'missing_title' END,
-    CASE WHEN n_imagenes = 0 THEN 'missing_images' END, CASE WHEN coalesce(p <= 0, true) THEN 'missing_price' END, CASE WHEN contains(direccion, '@') THEN 'invalid_address' END,
+  list_filter([CASE WHEN no_place THEN 'missing_location' END, CASE WHEN told THEN 'location_inferred_from_text' END, CASE WHEN tipo_propiedad IS NULL THEN 'missing_type' END, CASE WHEN titulo IS NULL THEN 'missing_title' END,
+    CASE WHEN n_imagenes = 0 THEN 'missing_images' END, CASE WHEN reason IS NOT NULL THEN 'invalid_address' END,
     CASE WHEN no_address AND NOT no_place THEN 'geocoding_skipped_approx_location' END, CASE WHEN (latitud IS NOT NULL OR longitud IS NOT NULL) AND NOT inside THEN 'invalid_coordinates' END,
     CASE WHEN op = 'consultar' AND trim(operacion) <> '' AND lower(trim(operacion)) <> 'consultar' THEN 'operacion_normalizada_consultar' END,
     CASE WHEN op = 'venta_y_alquiler' THEN 'operacion_venta_y_alquiler' END], lambda x: x IS NOT NULL) AS soft,
   greatest(0, 100 - 15 * no_place::INT - 15 * (tipo_propiedad IS NULL)::INT - 5 * (titulo IS NULL)::INT - 10 * (n_imagenes = 0)::INT - 20 * coalesce(p <= 0, true)::INT
-    - 5 * coalesce(contains(direccion, '@'), false)::INT - 5 * (no_address AND NOT no_place)::INT - 10 * ((latitud IS NOT NULL OR longitud IS NOT NULL) AND NOT inside)::INT) AS score,
+    - 5 * (reason IS NOT NULL)::INT - 5 * (no_address AND NOT no_place)::INT - 10 * ((latitud IS NOT NULL OR longitud IS NOT NULL) AND NOT inside)::INT) AS score,
   CASE WHEN inside THEN 'done' WHEN no_address AND NOT no_place THEN 'skipped' ELSE 'pending' END AS geo FROM h LEFT JOIN f ON fh = hash_dedup)"""
 
 
@@ -61,20 +65,38 @@ QUEUE = """queue AS (SELECT o_orderkey AS staging_id, o_orderpriority[1]::INT AS
   o_orderkey % 7 AS attempts FROM orders)"""
 _SCORE = f"""CASE WHEN latitud IS NOT NULL AND longitud IS NOT NULL THEN 4.0::DOUBLE ELSE 0 END + CASE WHEN n_imagenes > 0 THEN 3.0::DOUBLE ELSE 0 END + CASE WHEN precio > 0 THEN 2.0::DOUBLE ELSE 0 END
   + greatest(0.0::DOUBLE, 1 - (epoch({AS_OF}) - floor(epoch(created_at))) / 2592000.0::DOUBLE)"""
-_FOLD = "translate(lower({x}), 'áéíóúüñàèìòùâêîôûäëïöçÁÉÍÓÚÜÑ', 'aeiouunaeiouaeiouaeiocAEIOUUN')"
+_FOLD = "strip_accents(lower({x}))"
 _KEY = "trim(regexp_replace(" + _FOLD + r", '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-_HOST = r"regexp_replace(lower(regexp_extract(u, '^(?:[a-zA-Z]+:)?/*(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\.', '')"
-_PATH = r"rtrim(lower(regexp_replace(regexp_extract(u, '^(?:[a-zA-Z]+:)?/*[^/?]*([^?]*)', 1), '/+', '/', 'g')), '/')"
 
 
-def canonical(lower: bool = True) -> str:
-    value = "lower(substr(p, instr(p, '=') + 1))" if lower else "substr(p, instr(p, '=') + 1)"
-    name = "lower(trim(split_part(p, '=', 1)))"
-    pairs = rf"list_sort(list_transform(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: regexp_matches(p, '^[^=]+=.') AND {name} NOT IN ('fbclid', 'gclid', 'igshid', 'mc_cid', 'mc_eid', 'msclkid', 'ref') AND NOT starts_with({name}, 'utm_')), lambda p: {name} || '=' || {value}))"
-    return f"rtrim({_HOST} || {_PATH} || CASE WHEN len({pairs}) > 0 THEN '?' || array_to_string({pairs}, '&') ELSE '' END, '/')"
+def urls(source: str, lower: bool = True) -> str:
+    """CTEs up to ``cu`` (id, c, h): canonical URLs of ``source`` (id, url), by the rules: decode, supply a scheme, cut user, port, www, parameters and fragment, decode path and query again."""
+    names = "('fbclid', 'gclid', 'wbraid', 'gbraid', 'mc_cid', 'mc_eid')" if lower else "('fbclid', 'gclid', 'wbraid', 'gbraid')"
+    value = "lower(trim(url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' '))))" if lower else "trim(url_decode(replace(substr(p, instr(p, '=') + 1), '+', ' ')))"
+    shown = "replace(url_encode({x}), '%20', '+')" if lower else "{x}"
+    tail = "rtrim({x}, '/')" if lower else "{x}"
+    whole = "h || path || CASE WHEN len(q) > 0 THEN '?' || array_to_string(list_transform(q, lambda e: " + shown.format(x="e.k") + " || '=' || " + shown.format(x="e.v") + "), '&') ELSE '' END"
+    return rf"""u0 AS (SELECT id, trim(url_decode(trim(coalesce(url, '')))) AS raw FROM ({source})),
+u1 AS (SELECT id, raw, CASE WHEN regexp_matches(raw, '^(?i)https?://') THEN regexp_replace(raw, '^[^:]*://', '') ELSE ltrim(raw, '/') END AS r FROM u0),
+u2 AS (SELECT id, raw, regexp_extract(r, '^[^/?#]*') AS n, regexp_replace(regexp_extract(r, '^[^/?#]*([^?#]*)', 1), ';[^/]*$', '') AS p, regexp_extract(r, '^[^?#]*\?([^#]*)', 1) AS qs FROM u1),
+u3 AS (SELECT id, raw, regexp_replace(lower(trim(string_split(string_split(n, '@')[-1], ':')[1])), '^www\.', '') AS h, lower(rtrim(trim(regexp_replace(url_decode(p), '/+', '/', 'g')), '/')) AS path,
+  list_filter(list_transform(list_filter(string_split(qs, '&'), lambda p: regexp_matches(p, '^[^=]*=.')), lambda p: {{'k': lower(trim(url_decode(replace(string_split(p, '=')[1], '+', ' ')))), 'v': {value}}}), lambda e: e.k NOT IN {names} AND NOT starts_with(e.k, 'utm_') {"AND e.k <> ''" if lower else ""}) AS q0 FROM u2),
+u4 AS (SELECT id, raw, h, path, list_sort(q0) AS q FROM u3),
+cu AS (SELECT id, CASE WHEN raw = '' THEN '' ELSE {tail.format(x=whole)} END AS c, CASE WHEN raw = '' THEN '' ELSE h END AS h FROM u4)"""
+
+
+#: URLs with escapes, users, ports, blank values, letters beyond ASCII; K stands for the order's key.
+URL_SHAPES = (
+    "https://www.X.com/Casa%20en%20Venta/?b=2&a=A%26K", "HTTP://user:pw@Sub.Example.com:8080//Prop//K/?utm_source=x&Q=a+b&z=", "//cdn.site.com/á/Ñandú-K?ref=%C3%A1&gclid=1", "site.com.ar/p/K;v=2?id=K#foto",
+    "https://x.com/100%25/K?x=%2520&y=a/b", "   ", "https://www.www.net?K=1&A=2&a=1", "https://x.com/a;b/c;d/K/?fbclid=2&msclkid=3&b=~_*-.%20", "https://x.com/%7Eme/K%2Fdetalle?q=%C3%A9&w=ñ%20ü", "/solo/ruta/K?b=1",
+)
+
+
+def url_shapes() -> str:
+    shapes = ", ".join("'" + s + "'" for s in URL_SHAPES)
+    return f"SELECT o_orderkey AS id, replace(([{shapes}])[o_orderkey % {len(URL_SHAPES)} + 1], 'K', o_orderkey::VARCHAR) AS url FROM orders"
 
 
-_PAGES = "pg AS (SELECT page_id, regexp_replace(trim(coalesce(url, '')), '#.*$', '') AS u FROM pages)"
 _RECOVERABLE = "count(*) AS n, sum(recuperable::INT)::BIGINT AS recuperables, max(ocurrido_en) AS ultimo"
 _CONVERT = "CASE WHEN precio > 0 THEN floor(CASE WHEN moneda = '{to}' THEN precio ELSE precio {op} 1000.5::DOUBLE END + 0.5)::BIGINT END"
 _SPACES = r"[\s\p{Z}]"
@@ -95,8 +117,8 @@ c AS (SELECT *, CASE WHEN error_type <> 'timeout' THEN 'error_type' WHEN inmobil
 e AS (SELECT *, CASE WHEN r IS NULL AND row_number() OVER (PARTITION BY inmobiliaria_id, r IS NULL ORDER BY id) > 1 THEN 'repeated' ELSE r END AS reason FROM c),
 g AS (SELECT *, coalesce(sum((reason IS NULL)::INT) OVER (ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM e)
 SELECT id, inmobiliaria_id, CASE WHEN reason IS NULL THEN 'create' ELSE 'skip' END AS decision, reason FROM g WHERE before < 60""",
-    "flt28_transient_errors": """WITH m AS (SELECT lower('HTTP ' || (395 + event_id % 120) || CASE WHEN event_id % 7 = 0 THEN ' timeout' ELSE '' END) AS t FROM events WHERE event_type = 'error')
-SELECT CASE WHEN contains(t, '429') THEN true WHEN regexp_matches(t, '400|401|403|404|409|422') THEN false ELSE regexp_matches(t, '500|502|503|504|timeout|timed out|connection reset|temporarily') END AS transient, count(*) AS n FROM m GROUP BY 1""",
+    "flt28_transient_errors": """WITH m AS (SELECT lower('HTTP ' || (395 + event_id % 120) || ([' timeout', '', ' Max Retries exceeded', ' temporarily moved', ' RemoteDisconnected', ' WinError 10054', ' temporarily unavailable'])[event_id % 7 + 1]) AS t FROM events WHERE event_type = 'error')
+SELECT CASE WHEN contains(t, '429') THEN true WHEN regexp_matches(t, '400|401|403|404|409|422') THEN false ELSE regexp_matches(t, '500|502|503|504|timeout|timed out|connection ?reset|max retries|remotedisconnected|connection aborted|temporarily unavailable|10054') END AS transient, count(*) AS n FROM m GROUP BY 1""",
     "srt05_newest": f"WITH {LISTINGS} SELECT id, created_at FROM listings ORDER BY created_at DESC, id LIMIT 40",
     "srt06_price_sort": f"WITH {LISTINGS} SELECT id, precio FROM listings ORDER BY precio <= 0, precio, id LIMIT 40",
     "srt07_area_rooms": f"WITH {LISTINGS} (SELECT id, area FROM listings ORDER BY area <= 0, area DESC, id LIMIT 30) UNION ALL (SELECT id, area FROM listings ORDER BY ambientes DESC, dormitorios DESC, id LIMIT 30)",
@@ -121,8 +143,9 @@ FROM listings l JOIN agencies a ON a.id = inmobiliaria_id LEFT JOIN h ON l_order
     "agg16_health": f"WITH {LISTINGS} SELECT count(*) AS total, count(*) FILTER (n_imagenes > 0) AS con_imagenes, count(*) FILTER (precio > 0) AS con_precio, count(latitud) AS con_coordenadas, count(*) - count(latitud) AS sin_coordenadas FROM listings",
     "agg29_zone_price": f"WITH {LISTINGS} SELECT tipo, floor(avg((precio / area)::DECIMAL(18, 4)) + 0.5)::BIGINT AS precio_m2 FROM listings WHERE area > 0 AND precio > 0 AND moneda = 'USD' GROUP BY 1",
     "agg30_named_clusters": f"WITH {LISTINGS}, {AGENCIES} SELECT ciudad AS name, count(*) AS n, min(l.id) AS first_id FROM listings l JOIN agencies a ON a.id = inmobiliaria_id GROUP BY 1 HAVING count(*) > 1 ORDER BY first_id LIMIT 3",
-    "ded01_canonical_url": f"WITH {_PAGES} SELECT page_id, {canonical()} AS url_normalizada, {canonical(False)} AS url_staging FROM pg",
-    "ded03_identity_hash": f"WITH {_PAGES}, c AS (SELECT page_id, {canonical()} AS k FROM pg) SELECT page_id, sha256((page_id % 10) || CASE WHEN k <> '' THEN '|url|' || k ELSE '|sin_identidad|' END)[1:32] AS hash_dedup FROM c",
+    "ded01_canonical_url": f"WITH {urls(url_shapes() + ' UNION ALL SELECT -1 - page_id, url FROM pages')} SELECT id, c AS url_normalizada FROM cu",
+    "ded02_staging_url": f"WITH {urls(url_shapes() + ' UNION ALL SELECT -1 - page_id, url FROM pages', False)} SELECT id, c AS url_staging FROM cu",
+    "ded03_identity_hash": f"""WITH {urls(url_shapes())} SELECT id, sha256((id % 10) || CASE WHEN c <> '' THEN '|url|' || c WHEN id % 3 = 0 THEN '|id_externo|ab' || id ELSE '|sin_identidad|' END)[1:32] AS hash_dedup FROM cu""",
     "ded04_first_wins": "SELECT doc_id, source FROM documents WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1",
     "ded05_most_complete": f"""WITH {RAW}, s AS (SELECT 'w' || (id % 997) AS web, id, (titulo IS NOT NULL)::INT + (precio IS NOT NULL AND precio NOT IN ('', '0', '0.0'))::INT + (ciudad IS NOT NULL)::INT + (provincia IS NOT NULL)::INT + (direccion IS NOT NULL)::INT + (url IS NOT NULL)::INT AS completeness FROM raw WHERE id % 50 <> 0)
 SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY web ORDER BY completeness DESC, id) = 1""",
@@ -134,8 +157,8 @@ SELECT *, imagen_principal_real IS NOT NULL AS tiene_imagen_real FROM r""",
     "joi03_run_scope": f"WITH {LISTINGS}, {ITEMS} SELECT id, inmobiliaria_id FROM listings WHERE inmobiliaria_id IN (SELECT inmobiliaria_id FROM items WHERE run_id = (SELECT max(run_id) FROM items WHERE status = 'success'))",
     "joi04_queue_flag": f"WITH {LISTINGS}, {QUEUE} SELECT operacion, count(staging_id) AS ya_en_cola, count(*) - count(staging_id) AS nuevas FROM listings LEFT JOIN (SELECT DISTINCT staging_id FROM queue WHERE status IN ('pending', 'publishing')) ON staging_id = id GROUP BY 1",
     "joi07_theta": "SELECT l_suppkey, count(*) AS n FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey <> a.l_suppkey) GROUP BY 1",
-    "joi08_resolve": f"""WITH {_PAGES}, c AS (SELECT page_id, {canonical()} AS c, {_HOST} AS h FROM pg), s AS (SELECT * FROM c WHERE page_id % 3 = 0)
-SELECT page_id, coalesce((SELECT min(page_id) FROM s WHERE s.c = c.c), (SELECT min(page_id) FROM s WHERE s.h = c.h HAVING count(*) = 1)) AS source_id FROM c""",
+    "joi08_resolve": f"""WITH {urls('SELECT page_id AS id, url FROM pages')}, s AS (SELECT * FROM cu WHERE id % 3 = 0)
+SELECT id AS page_id, coalesce((SELECT min(id) FROM s WHERE s.c = cu.c), (SELECT min(id) FROM s WHERE s.h = cu.h HAVING count(*) = 1)) AS source_id FROM cu""",
     "joi16_bbox": f"WITH {LISTINGS}, b AS (SELECT tipo, min(latitud) AS lo, min(latitud) + 1.0::DOUBLE AS hi FROM listings GROUP BY 1) SELECT tipo, count(*) FILTER (latitud BETWEEN lo AND hi) AS dentro, count(*) FILTER (latitud NOT BETWEEN lo AND hi) AS fuera FROM listings JOIN b USING (tipo) WHERE latitud IS NOT NULL GROUP BY 1",
     "joi21_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)",
     "ups01_merge": f"WITH {LISTINGS} SELECT id, precio, estado FROM listings WHERE id % 3 <> 0 AND id % 2 <> 0 UNION ALL SELECT id, precio + 1, 'activa' FROM listings WHERE id % 2 = 0",
@@ -149,15 +172,16 @@ SELECT CASE WHEN a.k IS NULL THEN 'second_only' WHEN b.k IS NULL THEN 'first_onl
 SELECT id, score AS validation_score, geo AS geocoding_status, CASE WHEN len(hard) = 0 THEN 'staging' ELSE 'rejected' END AS status, op AS operacion_norm, CASE WHEN p > 0 THEN p END AS precio_num, array_to_string(hard, ',') AS hard, array_to_string(soft, ',') AS soft FROM v""",
     "sco06_priority": f"WITH {validated()} SELECT CASE WHEN score >= 90 AND geo = 'done' AND coalesce(p > 0, false) THEN 1 WHEN score >= 70 OR geo = 'done' AND coalesce(p <= 0, true) THEN 2 ELSE 3 END AS priority, count(*) AS n FROM v GROUP BY 1",
     "srt02_claim": f"WITH {QUEUE} SELECT staging_id, priority, 'publishing' AS status FROM queue WHERE status = 'pending' ORDER BY priority, queued_at, staging_id LIMIT 100",
-    "dat02_stale_reclaim": f"""WITH {QUEUE}, s AS (SELECT *, status = 'publishing' AND queued_at < {AS_OF} - INTERVAL 30 MINUTE AS stale FROM queue)
-SELECT CASE WHEN stale AND attempts + 1 >= 5 THEN 'failed' WHEN stale THEN 'pending' ELSE status END AS status, attempts + stale::INT AS attempts, count(*) AS n FROM s GROUP BY 1, 2""",
+    "dat02_stale_reclaim": f"""WITH {QUEUE}, s AS (SELECT *, status = 'publishing' AND queued_at < {AS_OF} - INTERVAL 30 MINUTE AND attempts < 5 AS stale FROM queue)
+SELECT CASE WHEN stale THEN 'pending' ELSE status END AS status, attempts + stale::INT AS attempts, count(*) AS n FROM s GROUP BY 1, 2""",
     "pip11_retention": f"WITH {QUEUE} SELECT status, count(*) AS n FROM queue WHERE NOT (status = 'done' AND queued_at < {AS_OF} - INTERVAL 7 DAY) GROUP BY 1",
-    "str01_clean": rf"""WITH r AS (SELECT doc_id, ' ' || chr(9) || text[1:40] || chr(10) || '  ' AS t FROM documents), c AS (SELECT doc_id, nullif(regexp_replace(t, '^{_SPACES}+|{_SPACES}+$', '', 'g'), '') AS limpio, t FROM r)
+    "str01_clean": rf"""WITH r AS (SELECT doc_id, ' ' || chr(9) || text || chr(10) || '  ' AS t FROM documents), c AS (SELECT doc_id, nullif(regexp_replace(t, '^{_SPACES}+|{_SPACES}+$', '', 'g'), '') AS limpio, t FROM r)
 SELECT doc_id, limpio, nullif(regexp_replace(limpio, '{_SPACES}+', ' ', 'g'), '') AS junto FROM c""",
     "str07_search_key": f"SELECT doc_id, md5({_KEY.format(x=chr(39).join(['coalesce(text, ', '', ')']))}) AS h FROM documents",
-    "str27_redact": r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('get http://u:p@h/x?token=abc&b=1 password: ' || coalesce(text, '')[1:20] || ' sk-abcdef123456 Authorization: Bearer xyz',
-'(://)[^@/\s]+(@)', '\1<redacted>\2', 'g'), '(?i)(authorization\s*:\s*bearer\s+)\S+', '\1<redacted>', 'g'), 'sk-[A-Za-z0-9]{8,}', '<redacted_token>', 'g'),
-'(?i)([?&](?:apikey|api_key|access_token|token|password|passwd|key|secret)=)[^&\s#]+', '\1<redacted>', 'g'), '(?i)\b(service_role|api[_-]?key|password|passwd|secret|token)\b\s*[=:]\s*\S+', '\1=<redacted>', 'g') AS seguro FROM documents""",
+    "str27_redact": r"""WITH r AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace('get http://u:p@h/x?token=abc&b=1 password: ' || coalesce(text, '') || ' sk-abcdef123456 Authorization: Bearer xyz',
+'(://)[^@/\s]+(@)', '\1<redacted>\2', 'g'), '(?i)(authorization\s*:\s*bearer\s+)\S+', '\1<redacted>', 'g'), 'eyJ[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]{6,}\.[A-Za-z0-9_\-]+', '<redacted_jwt>', 'g'), 'sk-[A-Za-z0-9]{8,}', '<redacted_token>', 'g'),
+'(?i)([?&](?:apikey|api_key|access_token|token|password|passwd|key|secret)=)[^&\s#]+', '\1<redacted>', 'g'), '(?i)\b(service_role|api[_-]?key|password|passwd|secret|token)\b\s*[=:]\s*\S+', '\1=<redacted>', 'g') AS t FROM documents)
+SELECT doc_id, CASE WHEN length(t) > 4000 THEN t[1:4000] || '...[truncated]' ELSE t END AS seguro FROM r""",
     "tel01_phone": """WITH r AS (SELECT o_orderkey AS id, regexp_replace((['0' || (3410000000 + o_orderkey), '549' || (3410000000 + o_orderkey), (o_orderkey % 900000 + 100000)::VARCHAR, (3410000000 + o_orderkey)::VARCHAR, '54' || (3410000000 + o_orderkey), (o_orderkey % 9000000 + 1000000)::VARCHAR])[o_orderkey % 6 + 1], '[^0-9]', '', 'g') AS d FROM orders)
 SELECT id, CASE WHEN length(d) = 10 THEN '+54' || d WHEN length(d) = 11 AND d[1] = '0' THEN '+54' || d[2:] WHEN length(d) = 12 AND starts_with(d, '54') OR length(d) = 13 AND starts_with(d, '549') THEN '+' || d WHEN length(d) >= 7 THEN d END AS telefono FROM r""",
     "eml01_emails": r"""WITH e AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}'), lambda x: lower(x)) AS a FROM documents)
@@ -165,7 +189,7 @@ SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(a, x) =
     "num01_locale_number": f"WITH {RAW} SELECT id, try_cast(CASE WHEN contains(precio, ',') THEN replace(replace(precio, '.', ''), ',', '.') ELSE precio END AS DOUBLE) AS precio FROM raw",
     "num02_price_text": r"""WITH r AS (SELECT o_orderkey AS id, (['USD ' || floor(o_totalprice)::BIGINT, '$ 1.200.' || lpad((o_orderkey % 1000)::VARCHAR, 3, '0'), 'Consultar', 'US$' || floor(o_totalprice)::BIGINT, floor(o_totalprice)::BIGINT || ' pesos', '1.200.000,' || (o_orderkey % 90 + 10)])[o_orderkey % 6 + 1] AS t FROM orders),
 g AS (SELECT *, regexp_extract(t, '[0-9]{1,3}(?:[.,][0-9]{3})+(?:[.,][0-9]+)?') AS a FROM r), n AS (SELECT *, try_cast(regexp_replace(CASE WHEN a <> '' THEN a ELSE regexp_extract(t, '[0-9]+') END, '[.,]', '', 'g') AS BIGINT) AS v FROM g)
-SELECT id, CASE WHEN t <> 'Consultar' AND v > 0 THEN v END AS precio, CASE WHEN t = 'Consultar' THEN NULL WHEN contains(t, 'US') THEN 'USD' WHEN regexp_matches(upper(t), 'ARS|PESOS|\$') THEN 'ARS' END AS moneda FROM n""",
+SELECT id, CASE WHEN t <> 'Consultar' AND v > 0 THEN v END AS precio, CASE WHEN t = 'Consultar' THEN NULL WHEN regexp_matches(upper(t), '\b(USD|US\$|U\$S|DÓLAR|DOLAR)\b') THEN 'USD' WHEN regexp_matches(upper(t), '\b(ARS|PESO|PESOS)\b|\$') THEN 'ARS' END AS moneda FROM n""",
     "num03_area": r"""WITH r AS (SELECT o_orderkey AS id, try_cast(regexp_extract(lower('Casa de ' || (o_orderkey % 1200) || ([' m2', 'm²', ' metros cuadrados', ' m2x', ' ha'])[o_orderkey % 5 + 1] || ' y patio'), '([0-9]{1,4})\s*(?:m2|m²|mts2|metros cuadrados)(?:[^a-z0-9_]|$)', 1) AS INT) AS a FROM orders)
 SELECT id, CASE WHEN a BETWEEN 10 AND 10000 THEN a END AS area FROM r""",
     "num06_currency": f"WITH {LISTINGS} SELECT id, {_CONVERT.format(to='ARS', op='*')} AS ars, {_CONVERT.format(to='USD', op='/')} AS usd FROM listings",

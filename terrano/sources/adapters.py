@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: The moment time-dependent operators count from in the registered queries.
 AS_OF = "1998-08-01 00:00:00"
+#: Captured texts that are no address, of each kind, and one that is.
+NO_ADDRESSES = ("info@correo.example", "Tel: 4123", "Llamar al +54 341 412-3456", "Depto a $ 85.000", "120.000 pesos", "Mitre 1 2 3 " + "piso alto " * 9, "Roca 250", "Casa en Superficie lote 3")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +59,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         i.alias("id"),
         F.when(i % 23 != 0, F.sha2((i - i % 41).cast("string"), 256)).alias("hash_dedup"),
         F.when(i % 29 == 0, "0").when(i % 31 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("inmobiliaria_id"),
-        F.when(i % 37 != 0, F.concat(F.lit("https://www.site"), (F.col("o_custkey") % 50).cast("string"), F.lit(".example.com/Propiedad/"), i.cast("string"), F.lit("/"))).alias("url"),
+        F.when(i % 37 != 0, F.concat(F.when(i % 18 == 0, "https://www.tandil-hogar.com.ar").when(i % 27 == 0, "https://saltamendoza.com").otherwise(F.concat(F.lit("https://www.site"), (F.col("o_custkey") % 50).cast("string"), F.lit(".example.com"))), F.lit("/Propiedad/"), i.cast("string"), F.lit("/"))).alias("url"),
         F.when(i % 13 != 0, F.concat(F.lit("Propiedad "), i.cast("string"))).alias("titulo"),
         F.when(i % 7 == 0, None).when(i % 19 == 0, "abc").when(i % 17 == 0, "0").when(i % 5 == 0, local).otherwise(price.cast("string")).alias("precio"),
         pick(("ARS", "usd", "USD", "eur", "ARS")).alias("moneda"),
@@ -66,7 +68,7 @@ def raw_listings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when((i % 9 != 0) & (i % 4 != 0), F.concat(F.lit("Provincia "), (i % 5).cast("string"))).alias("provincia"),
         F.when(i % 14 != 0, "Casa").alias("tipo_propiedad"),
         (i % 4).alias("n_imagenes"),
-        F.when(i % 6 == 0, "info@mail.example").when(i % 8 != 0, F.concat(F.lit("Calle "), (i % 300).cast("string"))).alias("direccion"),
+        F.when(i % 6 == 0, F.element_at(F.array(*map(F.lit, NO_ADDRESSES)), (F.floor(i / 6) % len(NO_ADDRESSES) + 1).cast("int"))).when(i % 8 != 0, F.concat(F.lit("Calle "), (i % 300).cast("string"))).alias("direccion"),
         F.when(i % 10 == 0, -10.0).when(i % 3 != 0, -34.5).alias("latitud"),
         F.when(i % 3 != 0, -58.5).alias("longitud"),
         F.col("o_orderdate").alias("created_at"),
