@@ -53,7 +53,7 @@ def item_url(item: Column) -> Column:
 
 def split(urls: Column, most: int = MOST_KEPT) -> Column:
     """struct(kept, discarded): distinct addresses in order; reading ends with the last that is kept."""
-    distinct = F.array_distinct(F.filter(F.transform(F.coalesce(urls, F.array().cast("array<string>")), F.trim), lambda u: F.coalesce(u != "", F.lit(False))))
+    distinct = F.array_distinct(F.filter(F.transform(F.coalesce(urls, F.array().cast("array<string>")), lambda u: F.trim(u)), lambda u: F.coalesce(u != "", F.lit(False))))
 
     def of(all_: Column) -> Column:
         kept = F.filter(all_, lambda u: ~is_branding(u))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from terrano.session import written
+
 
 def first_wins(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Spark limits groups to one row before the shuffle, so hot keys stay small."""
@@ -96,3 +98,63 @@ def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column | None =
     met = short.join(long, ["_block", "piece"]).where("x.id <> y.id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = met.select(F.col("a.id").alias("id_a"), F.col("a.name").alias("name_a"), F.col("b.id").alias("id_b"), F.col("b.name").alias("name_b")).withColumn("ratio", alike("name_a", "name_b"))
     return pairs.where(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
+
+
+def first_id_most_complete(df: DataFrame, key: str, columns: list[str], order: str, id_column: str = "id") -> DataFrame:
+    """The most complete row of each key, the earliest on ties, under the id of the key's first row; rows without key stay as they are."""
+    rows = df.withColumn("completeness", completeness(columns))
+    keyed = F.coalesce(F.col(key), F.lit("")) != ""
+    best = rows.where(keyed).groupBy(F.col(key).alias("_k")).agg(F.max_by(F.struct("*"), F.struct("completeness", (-F.col(order)).alias("_o"))).alias("_x"), F.min_by(id_column, order).alias("_id"))
+    return best.select("_x.*", "_id").withColumn(id_column, F.col("_id")).drop("_id").unionByName(rows.where(~keyed))
+
+
+def groups_with_samples(df: DataFrame, keys: list[str], id_column: str, most: int = 20) -> DataFrame:
+    """keys, n, samples of keys with more than one row: the smallest ids, ``most`` at most, limited before they are gathered."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(id_column))
+    few = df.withColumn("_n", place).where(F.col("_n") <= most).groupBy(*keys).agg(F.sort_array(F.collect_list(id_column)).alias("samples"))
+    return counts.join(few, keys)
+
+
+def largest_groups(df: DataFrame, keys: list[str], id_column: str, n: int = 200) -> DataFrame:
+    """keys, n, ids (ordered, comma-joined) of the largest groups of more than one row; ties by key. The report's length is its feature."""
+    top = df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), *keys).limit(n)
+    ids = df.join(F.broadcast(top.select(*keys)), keys, "left_semi").groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_list(id_column)), ",").alias("ids"))
+    return top.join(ids, keys)
+
+
+def merged_groups(df: DataFrame, key: str, order: str, gathered: list[str]) -> DataFrame:
+    """The first row of each key with n, its rows, and for each gathered column the distinct values of all of them, sorted."""
+    sets = [F.sort_array(F.collect_set(c)).alias(f"{c}_all") for c in gathered]
+    return df.groupBy(F.col(key).alias("_k")).agg(F.min_by(F.struct("*"), order).alias("_x"), F.count("*").alias("n"), *sets).select("_x.*", "n", *(f"{c}_all" for c in gathered))
+
+
+def changed(df: DataFrame, stored: str, value: Column) -> DataFrame:
+    """Rows whose stored value differs from the one it should be, with nuevo."""
+    return df.withColumn("nuevo", value).where(~F.col("nuevo").eqNullSafe(F.col(stored)))
+
+
+def unseen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Rows in order, each unless one of its keys was on a row kept before it; null keys meet nothing.
+
+    Rounds: undecided rows that come first for all their keys stay, rows that share a key with these go. A round decides at
+    least the first undecided row, usually nearly all.
+    """
+    left = df.select(order, *keys)
+    kept = None
+    while True:
+        left = written(left, "left")
+        if not left.limit(1).count():
+            return df.join(kept, order, "left_semi") if kept is not None else df
+        firsts = left
+        for k in keys:
+            first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
+            firsts = firsts.join(first, k, "left")
+        mine = F.lit(True)
+        for k in keys:
+            mine = mine & (F.col(k).isNull() | (F.col(order) == F.col(f"_first_{k}")))
+        stays = written(firsts.where(mine).select(order, *keys), "stays")
+        kept = stays.select(order) if kept is None else kept.union(stays.select(order))
+        left = left.join(stays.select(order), order, "left_anti")
+        for k in keys:
+            left = left.join(stays.where(F.col(k).isNotNull()).select(k), k, "left_anti")

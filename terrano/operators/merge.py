@@ -41,3 +41,27 @@ def membership(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     right = b.select(key).distinct().withColumn("_b", F.lit(True))
     part = F.when(F.col("_a") & F.col("_b"), "both").when(F.col("_a"), "first_only").otherwise("second_only")
     return left.join(right, key, "full_outer").groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
+def split_new(old: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``new`` to add, rows ignored because their key is there); copies inside the batch are the caller's to drop."""
+    known = old.select(*keys).distinct()
+    return new.join(known, keys, "left_anti"), new.join(known, keys, "left_semi")
+
+
+def patched(old: DataFrame, changes: DataFrame, key: str, fixed: tuple[str, ...] = ("latitud", "longitud", "url")) -> DataFrame:
+    """``old`` with the changes' set values in all columns they share but the fixed ones; null changes nothing."""
+    shared = [c for c in changes.columns if c in old.columns and c != key and c not in fixed]
+    rows = old.join(changes.select(key, *(F.col(c).alias(f"_{c}") for c in shared)), key, "left")
+    return rows.select(*(F.coalesce(f"_{c}", c).alias(c) if c in shared else F.col(c) for c in old.columns))
+
+
+def insert_or_fill(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """``old`` where rows of a new key are added and those of a known one take the new values that are set."""
+    both = old.alias("o").join(new.alias("n"), F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
+    return both.select(*(F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in old.columns))
+
+
+def by_keys(df: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of the keys, each once however often a key is asked for."""
+    return df.join(keys.distinct(), keys.columns, "left_semi")

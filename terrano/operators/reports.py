@@ -126,3 +126,63 @@ def enrichment_stats(agencies: DataFrame, points: Column, site: Column, phone: C
         F.count_if(F.coalesce("provincia", F.lit("")) == "").alias("sin_provincia"),
         F.avg(points).alias("confianza"),
     )
+
+
+#: Categories of sources by what their detail pages gave.
+QUALITY_CATEGORIES = {
+    "regression_warning": "high", "regression_ok": "low", "http_error_on_detail": "medium", "false_positive_links": "high", "detail_parse_ok": "low", "detail_parse_partial": "low", "listing_links_ok_but_detail_weak": "medium",
+    "needs_detail_parser_fix": "medium", "manual_review": "medium",
+}
+
+
+def detail_quality(title: Column, price: Column, operation: Column, kind: Column, place: Column, description: Column) -> Column:
+    """struct(score, label) of a detail page's fields: title and price count two, the others one; a title, place or description must be more than a word."""
+    longer = lambda c, n: F.coalesce(F.length(c) > n, F.lit(False))
+    given = lambda c: F.coalesce(c != "", F.lit(False))
+    rules = [(longer(title, 5), 2), (given(price), 2), (given(operation), 1), (given(kind), 1), (longer(place, 3), 1), (longer(description, 30), 1)]
+    score = sum((F.when(hit, n).otherwise(0) for hit, n in rules), F.lit(0))
+    return F.struct(score.alias("score"), F.when(score >= 6, "high").when(score >= 4, "medium").when(score >= 2, "low").otherwise("very_low").alias("label"))
+
+
+def source_category(group: Column, old_cards: Column, new_cards: Column, all_errors: Column, all_listings: Column, score: Column) -> Column:
+    """struct(category, risk) of a source: regressions by card counts, then errors, pages that are lists, then the best score."""
+    lost = (old_cards > 0) & (new_cards == 0)
+    name = (
+        F.when((group == "regression") & (lost | all_errors), "regression_warning")
+        .when(group == "regression", "regression_ok")
+        .when(all_errors, "http_error_on_detail")
+        .when(all_listings, "false_positive_links")
+        .when(score >= 6, "detail_parse_ok")
+        .when(score >= 4, "detail_parse_partial")
+        .when(score >= 2, "listing_links_ok_but_detail_weak")
+        .when(score == 0, "needs_detail_parser_fix")
+        .otherwise("manual_review")
+    )
+    risk = F.create_map(*(F.lit(v) for kv in QUALITY_CATEGORIES.items() for v in kv))[name]
+    return F.struct(name.alias("category"), F.when((group == "regression") & ~lost & all_errors, "medium").otherwise(risk).alias("risk"))
+
+
+def best_samples(samples: DataFrame, source: str, score: str, order: str) -> DataFrame:
+    """Each source's sample of the highest score, the first on ties."""
+    return samples.groupBy(source).agg(F.max_by(F.struct("*"), F.struct(F.col(score), (-F.col(order)).alias("_o"))).alias("_x")).select("_x.*")
+
+
+def regressions(before: DataFrame, after: DataFrame, key: str, count: str) -> DataFrame:
+    """(key, antes, despues, recovered, regression): counts of both parsers; a source that one lacks counts zero there."""
+    both = before.select(key, F.col(count).alias("antes")).join(after.select(key, F.col(count).alias("despues")), key, "full").na.fill(0, ["antes", "despues"])
+    return both.withColumn("recovered", (F.col("antes") == 0) & (F.col("despues") > 0)).withColumn("regression", (F.col("antes") > 0) & (F.col("despues") == 0))
+
+
+def progress(items: DataFrame, started: str, as_of: str) -> DataFrame:
+    """One row: total, done, elapsed seconds and the seconds left at that pace; null before the first is done."""
+    done = F.count_if(F.col("status").isin("success", "error"))
+    rows = items.agg(F.count("*").alias("total"), done.alias("done"), F.min(started).alias("_from"))
+    elapsed = F.unix_timestamp(F.lit(as_of).cast("timestamp")) - F.unix_timestamp(F.col("_from").cast("timestamp"))
+    left = F.when(F.col("done") > 0, F.round(elapsed / F.col("done") * (F.col("total") - F.col("done"))).cast("long"))
+    return rows.select("total", "done", elapsed.alias("elapsed"), left.alias("eta"))
+
+
+def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
+    """A report's first rows as a Markdown table; for reports of few rows, whose length is their feature."""
+    line = lambda values: "| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in values) + " |"
+    return "\n".join([f"# {title}", "", line(df.columns), line("-" for _ in df.columns), *(line(r) for r in df.limit(rows).collect())]) + "\n"

@@ -113,3 +113,76 @@ def named_clusters(df: DataFrame, most: int = 3) -> DataFrame:
     name = F.coalesce(F.nullif(F.col("ciudad"), F.lit("")), F.nullif(F.col("barrio"), F.lit("")), F.lit("Zona"))
     groups = df.groupBy(name.alias("name")).agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
     return groups.where("n > 1").orderBy("first_id").limit(most)
+
+
+def api_filter(df: DataFrame, operacion: str | None = None, tipo: str | None = None, ciudad: str | None = None, barrio: str | None = None, precio_min: int | None = None, precio_max: int | None = None, moneda: str | None = None, ambientes: int | None = None, dormitorios: int | None = None) -> DataFrame:
+    """The read API's filters: operation and type in lower case, currency in upper, parts of city and neighbourhood without regard to case; empty and zero values ask nothing.
+
+    With an upper price bound, the lower one is the given or 0, so negative prices are out.
+    """
+    for column, value in (("operacion", operacion and operacion.lower()), ("tipo", tipo and tipo.lower()), ("moneda", moneda and moneda.upper()), ("ambientes", ambientes), ("dormitorios", dormitorios)):
+        if value:
+            df = df.where(F.col(column) == value)
+    for column, value in (("ciudad", ciudad), ("barrio", barrio)):
+        if value:
+            df = df.where(F.contains(F.lower(column), F.lit(value.lower())))
+    if precio_max:
+        return df.where(F.col("precio").between(precio_min or 0, precio_max))
+    return df.where(F.col("precio") >= precio_min) if precio_min else df
+
+
+def page_filter(model: DataFrame, f: dict, as_of: str) -> DataFrame:
+    """The search page's filters over its model: equal values, least and most values, areas only where they are known, and flags that are set.
+
+    Keys: operation, propertyType, currency, province, city, neighborhood; minPrice, maxPrice, minRooms, minBedrooms, minBathrooms; min/maxTotalArea,
+    min/maxCoveredArea; hasGarage, hasRealImage, hasCoordinates, recentlyPublished, mortgageEligible, onlyAvailable; query. None and 'all' ask nothing.
+    """
+    c = F.col
+    for name in ("operation", "propertyType", "currency", "province", "city", "neighborhood"):
+        if f.get(name) not in (None, "all"):
+            model = model.where(c(name) == f[name])
+    for name, column in (("Price", "price"), ("Rooms", "rooms"), ("Bedrooms", "bedrooms"), ("Bathrooms", "bathrooms")):
+        if f.get(f"min{name}") is not None:
+            model = model.where(c(column) >= f[f"min{name}"])
+        if f.get(f"max{name}") is not None:
+            model = model.where(c(column) <= f[f"max{name}"])
+    for name, column in (("TotalArea", "totalArea"), ("CoveredArea", "coveredArea")):
+        if f.get(f"min{name}") is not None:
+            model = model.where((c(column) <= 0) | (c(column) >= f[f"min{name}"]))
+        if f.get(f"max{name}") is not None:
+            model = model.where((c(column) <= 0) | (c(column) <= f[f"max{name}"]))
+    flags = {
+        "hasGarage": lambda: c("garages") > 0, "hasRealImage": lambda: c("hasRealImage"), "hasCoordinates": lambda: has_coordinates("latitude", "longitude"), "mortgageEligible": lambda: c("mortgageEligible"),
+        "recentlyPublished": lambda: F.coalesce("publishedAt", "createdAt") > F.lit(as_of).cast("timestamp") - F.make_interval(days=F.lit(30)), "onlyAvailable": lambda: ~c("status").isin(*UNAVAILABLE),
+    }
+    for name, rule in flags.items():
+        if f.get(name):
+            model = model.where(rule())
+    if f.get("query"):
+        text = F.concat_ws(" ", *(x for x in ("title", "description", "address", "neighborhood", "city", "province", "agencyName", "propertyType", "operation") if x in model.columns))
+        model = model.where(matches_all(text, f["query"]))
+    return model
+
+
+def page(df: DataFrame, order: list[Column], visible: int) -> tuple[DataFrame, bool]:
+    """(the first ``visible`` rows, whether there are more): one row more is sought, nothing is counted."""
+    more = df.orderBy(*order).limit(visible + 1).count() > visible
+    return df.orderBy(*order).limit(visible), more
+
+
+def cascading_values(df: DataFrame, levels: list[str], chosen: dict[str, str]) -> DataFrame:
+    """(level, value): distinct non-empty values of each level among the rows that fit the choices of the levels above it."""
+    out = None
+    for n, level in enumerate(levels):
+        rows = df
+        for above in levels[:n]:
+            if above in chosen:
+                rows = rows.where(F.col(above) == chosen[above])
+        part = rows.where(F.coalesce(F.col(level), F.lit("")) != "").select(F.lit(level).alias("level"), F.col(level).alias("value")).distinct()
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def neighbourhoods(df: DataFrame, name: str, order: str, most: int = 1000) -> DataFrame:
+    """Distinct neighbourhoods of the first rows that have one; the row cap is the endpoint's own."""
+    return df.where(F.col(name).isNotNull()).orderBy(order).limit(most).select(name).distinct().orderBy(name)

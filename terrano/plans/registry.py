@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from terrano.plans import listing_queries, listing_sql, place_queries, place_sql
+from terrano.plans import listing_queries, listing_sql, place_queries, place_sql, value_queries
 
-QUERIES = {**listing_queries.QUERIES, **place_queries.QUERIES}
-SQL = {**listing_sql.SQL, **place_sql.SQL}
+QUERIES = {**listing_queries.QUERIES, **place_queries.QUERIES, **value_queries.QUERIES}
+SQL = {**listing_sql.SQL, **place_sql.SQL, **value_queries.SQL}
 
 __all__ = ["QUERIES", "SQL"]
