@@ -127,15 +127,15 @@ def agency_name(url: Column, joined: Column, default: str = DEFAULT_AGENCY) -> C
     return F.coalesce(known, F.nullif(shown_text(joined), F.lit("")), F.lit(default))
 
 
-def map_view(listings: DataFrame, agencies: DataFrame) -> DataFrame:
+def map_view(listings: DataFrame, agencies: DataFrame, test_hosts: tuple[str, ...] = ("localhost", "example.com")) -> DataFrame:
     """The map's view: listings that have a point and no test address, with their agency's contacts and main picture.
 
-    A listing without URL fails the test of its address, like the rest of what is unknown.
+    ``test_hosts``: parts of addresses that only tests have; a site adds its own. A listing without URL fails the test of its address, like the rest of what is unknown.
     """
     a = agencies.select(F.col("id").alias("inmobiliaria_id"), F.col("nombre").alias("inmobiliaria_nombre"), F.col("web").alias("inmobiliaria_web"), F.col("telefono_principal").alias("inmobiliaria_telefono"), F.col("email_principal").alias("inmobiliaria_email"))
     test = F.lower("url")
     here = F.col("latitud").isNotNull() & F.col("longitud").isNotNull()
-    for part in ("inmocapital.test", "localhost", "example.com"):
+    for part in test_hosts:
         here = here & ~F.contains(test, F.lit(part))
     rows = listings.where(here).join(a, "inmobiliaria_id", "left").withColumn("imagen_principal_real", I.view_main(F.col("imagenes")))
     rows = rows.withColumn("tiene_imagen_real", F.col("imagen_principal_real").isNotNull())
