@@ -45,7 +45,7 @@ FEATURES = (1 << HASH_BITS) + STATS * LEVELS + len(METADATA) * META_LEVELS
 _COUNT = re.compile(rb"[.!?]")
 _UPPER, _LOWER, _DIGITS, _MARKS = bytes(range(65, 91)), bytes(range(97, 123)), bytes(range(48, 58)), b"#$%&*!|=<>{}_~@/"
 #: Words whose hashes a worker keeps at once.
-_KEPT_WORDS = 500_000
+_KEPT_WORDS = 100_000
 
 
 def fold(doc_id: Column) -> Column:
@@ -236,7 +236,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", threshold: floa
 
         return of
 
-    return with_arrow_columns(docs, SCORES, make, drop=() if keep_text else (text,))
+    return with_arrow_columns(docs, SCORES, make, drop=() if keep_text else (text,), rows=128)
 
 
 def accepted(docs: DataFrame, machine: Machine, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
