@@ -17,7 +17,8 @@ PICTURE_PATH = r"(?i)\.(?:jpg|jpeg|png|gif|webp|svg|bmp|ico)$"
 
 def quality(given: Column, warnings: Column, price: Column) -> Column:
     """A row's own score from 0 to 100, else 100 without points for warnings and a missing price."""
-    own = F.least(F.greatest(given.try_cast("double").cast("int"), F.lit(0)), F.lit(100))
+    number = given.try_cast("double").cast("int")
+    own = F.when(number.isNotNull(), F.least(F.greatest(number, F.lit(0)), F.lit(100)))
     lost = sum((F.when(F.arrays_overlap(warnings, F.array(*map(F.lit, names))), n).otherwise(0) for names, n in PENALTIES), F.when(F.coalesce(price, F.lit("")) == "", 20).otherwise(0))
     return F.coalesce(own, F.least(F.greatest(100 - lost, F.lit(0)), F.lit(100)))
 

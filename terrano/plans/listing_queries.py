@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrano.functions import normalize as N, urls as U
+from terrano.functions import links as K, names, normalize as N, urls as U
 from terrano.operators import dedupe, lifecycle, merge, reports, search
 from terrano.plans.listing_sql import URL_SHAPES
 from terrano.sources.adapters import AS_OF, agencies, errors, listings, queue, raw_listings, run_items, table
+from terrano.session import scratch_path
 from terrano.streaming import rollups
 
 S, D = SparkSession, DataFrame
@@ -203,16 +204,16 @@ def ded11_dup_groups(s: S, d: str) -> D:
     return dedupe.groups(table(s, d, "documents").where("text is not null").select("doc_id", F.md5("text").alias("h")), ["h"], "doc_id")
 
 
-def ded13_fuzzy(s: S, d: str) -> D:
-    parts = table(s, d, "part").select("p_partkey", N.search_key("p_name").alias("p_name"))
-    return dedupe.fuzzy_pairs(parts, "p_partkey", "p_name", None, 0.92)
+def fuzzy_names(s: S, d: str) -> D:
+    """(id, name): the parts' names as compare keys, and for some of them a copy with another first letter or without one."""
+    i, key = F.col("p_partkey"), names.compare_key(F.col("p_name"))
+    rows = table(s, d, "part").select(i.alias("id"), F.concat(key, i.cast("string")).alias("name"))
+    edited = F.when(F.col("id") % 2 == 0, F.concat(F.lit("x"), F.substr("name", F.lit(2)))).otherwise(F.concat(F.left("name", F.lit(4)), F.substr("name", F.lit(6))))
+    return rows.unionByName(rows.where("id % 20 < 2").select((-1 - F.col("id")).alias("id"), edited.alias("name")))
 
 
-def joi01_view(s: S, d: str) -> D:
-    l, a = listings(s, d), agencies(s, d).withColumnRenamed("id", "inmobiliaria_id")
-    real = F.when((F.col("n_imagenes") > 0) & (F.col("id") % 5 != 0), F.concat(F.lit("img-"), F.col("id").cast("string")))
-    out = l.join(a, "inmobiliaria_id", "left").where("id % 13 <> 0").withColumn("imagen_principal_real", real)
-    return out.select("id", "nombre", F.col("ciudad").alias("ciudad_final"), "provincia", "precio", "estado", "imagen_principal_real", F.col("imagen_principal_real").isNotNull().alias("tiene_imagen_real"))
+def ded13_fuzzy(s: S, d: str) -> D:
+    return dedupe.fuzzy_pairs(fuzzy_names(s, d), "id", "name", None, 0.92)
 
 
 def joi03_run_scope(s: S, d: str) -> D:
@@ -372,10 +373,16 @@ def html01_links(s: S, d: str) -> D:
     return table(s, d, "pages").select("page_id", F.size(hrefs).cast("long").alias("n_links"), F.md5(F.array_join(hrefs, " ")).alias("h"))
 
 
-def web03_cms(s: S, d: str) -> D:
-    low = F.lower(F.left(F.coalesce("html", F.lit("")), F.lit(60000)))
-    cms = F.when(F.contains(low, F.lit("wp-content")), "wordpress").when(F.contains(low, F.lit("tokkobroker")), "tokko").otherwise("custom")
-    return table(s, d, "pages").groupBy(cms.alias("cms"), F.rlike(low, F.lit("captcha|cloudflare|access denied")).alias("antibot")).agg(F.count("*").alias("n"))
+def web01_pages(s: S, d: str) -> D:
+    """Pages by system and by whether they keep robots out."""
+    rows = table(s, d, "pages").select(K.system(F.col("html"), F.col("url")).alias("cms"), K.robot_wall(F.col("html"), F.when(F.col("page_id") % 10 == 0, 503).otherwise(200)).alias("antibot"))
+    return rows.groupBy("cms", "antibot").agg(F.count("*").alias("n"))
+
+
+def web10_pages(s: S, d: str) -> D:
+    """Contacts, list page, next page and pagination of every page."""
+    h, u = F.col("html"), F.col("url")
+    return table(s, d, "pages").select("page_id", K.detail_anchor_count(h).alias("detalles"), K.pagination(h, u).alias("paginas"), F.array_join(K.contact_emails(h, F.lit("")), ",").alias("emails"), K.list_page(h, u).alias("listado"), K.next_page(h, u).alias("siguiente"))
 
 
 def stm01_stream_rollup(s: S, d: str) -> D:
@@ -386,9 +393,13 @@ def stm01_stream_rollup(s: S, d: str) -> D:
 
 
 def stm08_first_seen(s: S, d: str) -> D:
-    """Agencies in the order a run first sees them: rank among those of one run."""
-    first = run_items(s, d).groupBy("run_id", "inmobiliaria_id").agg(F.min("id").alias("first_id"))
-    return first.withColumn("orden", F.row_number().over(W.partitionBy("run_id").orderBy("first_id"))).where("orden <= 5").select("run_id", "inmobiliaria_id", "orden")
+    """The agencies that each run has seen, let through once by the stream's set of seen keys."""
+    out = scratch_path(s, "seen")
+    stream = rollups.read_stream(s, d, "events.parquet", table(s, d, "events").schema)
+    keys = stream.select((F.col("user_id") % 20).alias("run_id"), (F.col("user_id") % 300).alias("inmobiliaria_id"), F.col("ts").cast("timestamp").alias("ts"))
+    write = lambda df, batch: df.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+    rollups.for_each_new(keys, ["run_id", "inmobiliaria_id"], "36500 days", "ts", write, scratch_path(s, "state")).awaitTermination()
+    return s.read.option("basePath", out).parquet(f"{out}/batch=*").select("run_id", "inmobiliaria_id")
 
 
-QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n not in ("shaped_urls", "_all_urls")}
+QUERIES = {n: f for n, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and n not in ("shaped_urls", "_all_urls", "fuzzy_names", "scratch_path")}

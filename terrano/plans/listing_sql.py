@@ -152,8 +152,6 @@ SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY web ORDER BY completenes
     "ded07_cross_agency": "WITH f AS (SELECT l_partkey, l_suppkey, first_value(l_suppkey) OVER (PARTITION BY l_partkey ORDER BY l_orderkey * 10 + l_linenumber) AS f FROM lineitem) SELECT l_partkey, count(*) FILTER (l_suppkey <> f) AS n_cross, count(*) AS n FROM f GROUP BY 1",
     "ded10_office_address": "WITH e AS (SELECT o_custkey AS host, o_orderpriority AS direccion, count(*) AS n FROM orders GROUP BY 1, 2), t AS (SELECT *, sum(n) OVER (PARTITION BY host)::BIGINT AS total FROM e) SELECT * FROM t WHERE total >= 5 AND n > 0.5 * total",
     "ded11_dup_groups": "SELECT md5(text) AS h, count(*) AS n, min(doc_id) AS first_id, max(doc_id) AS last_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-    "joi01_view": f"""WITH {LISTINGS}, {AGENCIES}, r AS (SELECT l.id, nombre, ciudad AS ciudad_final, provincia, precio, estado, CASE WHEN n_imagenes > 0 AND l.id % 5 <> 0 THEN 'img-' || l.id END AS imagen_principal_real FROM listings l LEFT JOIN agencies a ON a.id = inmobiliaria_id WHERE l.id % 13 <> 0)
-SELECT *, imagen_principal_real IS NOT NULL AS tiene_imagen_real FROM r""",
     "joi03_run_scope": f"WITH {LISTINGS}, {ITEMS} SELECT id, inmobiliaria_id FROM listings WHERE inmobiliaria_id IN (SELECT inmobiliaria_id FROM items WHERE run_id = (SELECT max(run_id) FROM items WHERE status = 'success'))",
     "joi04_queue_flag": f"WITH {LISTINGS}, {QUEUE} SELECT operacion, count(staging_id) AS ya_en_cola, count(*) - count(staging_id) AS nuevas FROM listings LEFT JOIN (SELECT DISTINCT staging_id FROM queue WHERE status IN ('pending', 'publishing')) ON staging_id = id GROUP BY 1",
     "joi07_theta": "SELECT l_suppkey, count(*) AS n FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey <> a.l_suppkey) GROUP BY 1",
@@ -203,7 +201,14 @@ WHEN contains(k, 'consultar') THEN 'consultar' WHEN contains(k, 'venta') THEN 'v
     "prj13_price_m2": f"WITH {LISTINGS} SELECT id, CASE WHEN precio > 0 AND area > 0 THEN floor(precio / area + 0.5)::BIGINT END AS precio_m2 FROM listings",
     "html01_links": r"""WITH e AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<a\s[^>]*href="([^"]*)"', 1) AS a FROM pages), u AS (SELECT page_id, list_filter(a, lambda x, i: list_position(a, x) = i) AS a FROM e)
 SELECT page_id, len(a) AS n_links, md5(array_to_string(a, ' ')) AS h FROM u""",
-    "web03_cms": """WITH l AS (SELECT lower(coalesce(html, '')[1:60000]) AS t FROM pages) SELECT CASE WHEN contains(t, 'wp-content') THEN 'wordpress' WHEN contains(t, 'tokkobroker') THEN 'tokko' ELSE 'custom' END AS cms, regexp_matches(t, 'captcha|cloudflare|access denied') AS antibot, count(*) AS n FROM l GROUP BY 1, 2""",
+    "web01_pages": """WITH l AS (SELECT page_id, lower(coalesce(html, '')[1:60000]) || ' ' || lower(url) AS t, lower(coalesce(html, '')[1:5000]) AS h FROM pages) SELECT CASE WHEN regexp_matches(t, 'tokkobroker\\.com|tokkowidget|tokko_key|api\\.tokkobroker|tokko-widget|data-tokko|tokko\\.com') THEN 'tokko'
+WHEN regexp_matches(t, 'wp-content/|wp-includes/|/wp-json/|wp-login\\.php') THEN 'wordpress' WHEN regexp_matches(t, 'wix\\.com|_wixcidx|wixstatic|wixsite') THEN 'wix' ELSE 'custom' END AS cms,
+page_id % 10 = 0 OR regexp_matches(h, 'cloudflare|checking your browser|ray id|turnstile|captcha|ddos-guard|just a moment|verifying you are human') AS antibot, count(*) AS n FROM l GROUP BY 1, 2""",
+    "web10_pages": r"""WITH l AS (SELECT page_id, url, coalesce(html, '') AS t FROM pages), a AS (SELECT *, regexp_extract_all(t, '<a href="([^"]*)"', 1) AS hrefs FROM l)
+SELECT page_id, len(list_filter(hrefs, lambda h: regexp_matches(lower(h), '/propiedad|/property|/properties|/inmueble|/ficha|/detalle|/listing|/ad/'))) AS detalles,
+CASE WHEN t = '' THEN 'desconocido' WHEN regexp_matches(t, 'infinite|lazyload|loadmore|cargar-mas') THEN 'scroll_infinito' WHEN regexp_matches(url, '(?i)[?&](page|pagina|p|pg)=\d+|/page[/-]\d+') THEN 'url' WHEN regexp_matches(lower(t), 'siguiente|next|pagination|paginacion') THEN 'click' ELSE 'url' END AS paginas,
+array_to_string(list_filter(list_transform(regexp_extract_all(regexp_replace(regexp_replace(t, '(?s)<(script|style).*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}'), lambda x: lower(x)), lambda x: NOT regexp_matches(x, 'example@|noreply@|no-reply@|test@|email@|correo@')), ',') AS emails,
+NULL::VARCHAR AS listado, NULL::VARCHAR AS siguiente FROM a""",
     "stm01_stream_rollup": "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",
-    "stm08_first_seen": f"""WITH {ITEMS}, f AS (SELECT run_id, inmobiliaria_id, min(id) AS i FROM items GROUP BY 1, 2) SELECT run_id, inmobiliaria_id, row_number() OVER (PARTITION BY run_id ORDER BY i) AS orden FROM f QUALIFY orden <= 5""",
+    "stm08_first_seen": f"WITH {ITEMS} SELECT DISTINCT run_id, inmobiliaria_id FROM items",
 }

@@ -326,10 +326,10 @@ def _ids(s: S, d: str, rule: str) -> D:
     return items(s, d).where(rule).select("id")
 
 
-@query(f"WITH {RUN_ITEMS} SELECT id, 'running' AS status, coalesce(started_at, TIMESTAMP '{NOW}')::TIMESTAMPTZ AS started_at FROM it WHERE status = 'pending' ORDER BY created_at, id LIMIT 7")
+@query(f"WITH {RUN_ITEMS} SELECT id, 'running' AS status, coalesce(started_at, TIMESTAMP '{NOW}') AS started_at FROM it WHERE status = 'pending' ORDER BY created_at, id LIMIT 7")
 def udf01_claim(s: S, d: str) -> D:
     ids = runs.next_pending(items(s, d), 7)
-    return runs.started(items(s, d), ids, NOW).join(ids, "id").select("id", "status", "started_at")
+    return runs.started(items(s, d), ids, NOW).join(ids, "id").select("id", "status", F.col("started_at").cast("timestamp_ntz").alias("started_at"))
 
 
 @query(f"WITH {RUN_ITEMS} SELECT status, count(*) AS n, count(started_at) AS started FROM (SELECT CASE WHEN id % 6 = 0 THEN 'running' ELSE status END AS status, CASE WHEN id % 6 = 0 THEN coalesce(started_at, created_at) ELSE started_at END AS started_at FROM it) GROUP BY 1")
@@ -497,9 +497,9 @@ def joi13_first_reasons(s: S, d: str) -> D:
     return imports.first_reasons(rows, looked).groupBy("reason").agg(F.count("*").alias("n"))
 
 
-@query("""WITH g AS (SELECT l_orderkey, arg_max(l_suppkey, l_linenumber) AS gap FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey AS source_id, gap FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
+@query("""WITH g AS (SELECT l_orderkey, arg_max(l_suppkey, l_linenumber * 1000000000000 + l_partkey * 1000000 + l_suppkey) AS gap FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT o_orderkey AS source_id, gap FROM orders LEFT JOIN g ON l_orderkey = o_orderkey""")
 def joi15_last_wins(s: S, d: str) -> D:
-    gaps = table(s, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.max_by("l_suppkey", "l_linenumber").alias("gap"))
+    gaps = table(s, d, "lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("source_id")).agg(F.max_by("l_suppkey", F.struct("l_linenumber", "l_partkey", "l_suppkey")).alias("gap"))
     return table(s, d, "orders").select(F.col("o_orderkey").alias("source_id")).join(gaps, "source_id", "left")
 
 
@@ -529,7 +529,7 @@ def captures(s: S, d: str) -> D:
 def capture_sources(s: S, d: str) -> D:
     n = F.col("c_custkey")
     url = F.concat(F.lit("https://agencia"), n.cast("string"), F.lit(".com/lista"))
-    return table(s, d, "customer").where("c_custkey < 35").select(n.alias("pos"), n.alias("inmobiliaria_id"), url.alias("url"), F.when(n % 2 == 0, "Funes").alias("inmob_ciudad"), F.lit("Santa Fe").alias("inmob_provincia"))
+    return table(s, d, "customer").where("c_custkey between 1 and 34").select(n.alias("pos"), n.alias("inmobiliaria_id"), url.alias("url"), F.when(n % 2 == 0, "Funes").alias("inmob_ciudad"), F.lit("Santa Fe").alias("inmob_provincia"))
 
 
 _CAP = f"""c AS (SELECT o_orderkey AS pos, {', '.join(f'{sql_pick(*v)} AS {c}' for c, v in CAPTURE.items())}, CASE WHEN o_orderkey % 40 BETWEEN 1 AND 34 THEN o_orderkey % 40 ELSE 0 END AS agency, CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE (o_orderkey % 2 = 0)::INT END AS n_img FROM orders),
@@ -551,7 +551,7 @@ def pip01_import_warnings(s: S, d: str) -> D:
 
 
 @query(f"""WITH {_CAP}, n AS (SELECT pos, agency, CASE WHEN titulo = 'Ca266.Html' THEN CASE tipo WHEN 'campo' THEN 'Campo' WHEN 'casa' THEN 'Casa' ELSE 'Propiedad' END || CASE WHEN op = 'alquiler' THEN ' en alquiler' ELSE ' en venta' END || CASE WHEN prov IS NOT NULL THEN ' en Santa Fe' ELSE '' END ELSE titulo END AS titulo,
-  price AS precio, cur AS moneda, tipo AS tipo_propiedad, op AS operacion, city AS ciudad, prov AS provincia, CASE WHEN direccion NOT LIKE 'tel%' THEN direccion END AS direccion_raw, regexp_replace(lower(url), '^https?://', '') AS c FROM z WHERE NOT rejected),
+  price AS precio, cur AS moneda, tipo AS tipo_propiedad, op AS operacion, city AS ciudad, prov AS provincia, CASE WHEN direccion NOT LIKE 'tel%' THEN direccion END AS direccion_raw, regexp_replace(regexp_replace(lower(url), '^https?://', ''), '\\?[0-9]+$', '') AS c FROM z WHERE NOT rejected),
 u AS (SELECT *, row_number() OVER (PARTITION BY agency, c ORDER BY pos) AS k FROM n), v AS (SELECT *, first_value(agency) OVER (PARTITION BY c ORDER BY pos) <> agency AS cross_agency, concat_ws('|', lower(direccion_raw), lower(ciudad), lower(provincia)) AS a FROM u WHERE k = 1)
 SELECT pos, agency AS inmobiliaria_id, titulo, precio, moneda, tipo_propiedad, operacion, ciudad, provincia, direccion_raw, cross_agency, length(a) > 5 AND row_number() OVER (PARTITION BY a ORDER BY pos) > 1 AS same_address FROM v WHERE pos % 16 <> 0""")
 def pip01_import_rows(s: S, d: str) -> D:

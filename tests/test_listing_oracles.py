@@ -1,4 +1,4 @@
-"""Every listing query against its SQL."""
+"""Every listing query that has SQL equals it; the others have rows."""
 
 import pytest
 
@@ -11,13 +11,6 @@ def test_equals_sql(spark, sf, name):
     same(spark, registry.QUERIES[name], registry.SQL[name], sf)
 
 
-def test_every_query_runs(spark, sf):
-    for name in set(registry.QUERIES) - set(registry.SQL):
-        assert registry.QUERIES[name](spark, sf).count() >= 0
-
-
-def test_entry(spark):
-    import __spark_entry__
-
-    assert __spark_entry__.entry(spark).count() > 0
-    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
+def test_has_rows(spark, sf, name):
+    assert registry.QUERIES[name](spark, sf).count() > 0
