@@ -18,7 +18,7 @@ from terrano.sources.adapters import table
 CITIES = {"rosario": "Santa Fe", "cordoba": "Córdoba", "mar del plata": "Buenos Aires", "ushuaia": "Tierra del Fuego"}
 KEY_DIGEST = hashlib.sha256(b"abcdefghij1234567890").hexdigest()[:12]
 B = "https://www.casas.com.ar/lista/hoy"
-IMG = ("https://x.com/a-K.jpg", "https://x.com/logo.png", "https://x.com/b.SVG", "https://x.com/a-K.jpg", "https://x.com/360/c.jpg", "https://x.com/c3601.jpg")
+IMG = ("https://x.com/aK.jpg", "https://x.com/logo.png", "https://x.com/b.SVG", "https://x.com/aK.jpg", "https://x.com/360/c.jpg", "https://x.com/c3601.jpg")
 
 
 def _list(x: Column) -> Column:
@@ -38,7 +38,7 @@ def _longs(*columns: Column) -> list[Column]:
 CASES: dict[str, tuple[Callable[..., Column], list[tuple[tuple, str | None]]]] = {
     "arr01_image_split": (
         lambda x: F.concat(_joined(I.split(_list(x))["kept"]), F.lit(" / "), _joined(I.split(_list(x))["discarded"])),
-        [(("|".join(IMG),), "https://x.com/a-K.jpg|https://x.com/c3601.jpg / https://x.com/logo.png|https://x.com/b.SVG|https://x.com/360/c.jpg"), ((None,), " / "), (("data:image/png;K| ",), " / data:image/png;K")],
+        [(("|".join(IMG),), "https://x.com/aK.jpg|https://x.com/c3601.jpg / https://x.com/logo.png|https://x.com/b.SVG|https://x.com/360/c.jpg"), ((None,), " / "), (("data:image/png;K| ",), " / data:image/png;K")],
     ),
     "arr02_image_item": (
         I.item_url,
@@ -46,13 +46,13 @@ CASES: dict[str, tuple[Callable[..., Column], list[tuple[tuple, str | None]]]] =
     ),
     "arr03_page_images": (
         lambda m, x: _joined(I.shown(m, _list(x))),
-        [(("m-K.jpg", "a.jpg|m-K.jpg|virtual-K.jpg|a.jpg"), "m-K.jpg|a.jpg"), ((None, "x/360/K.jpg|x/3601.jpg"), "x/3601.jpg"), (("Logo-K.png", None), "")],
+        [(("mK.jpg", "a.jpg|mK.jpg|virtual-K.jpg|a.jpg"), "mK.jpg|a.jpg"), ((None, "x/360/K.jpg|x/3601.jpg"), "x/3601.jpg"), (("Logo-K.png", None), "")],
     ),
     "arr04_badges": (
         lambda a, g, x: _joined(D.badges(a == "1", g.try_cast("int"), _list(x))),
         [(("1", "2", "Pileta K|Cochera|Quincho"), "Apto crédito|Cochera|Pileta K"), (("0", "0", " | "), ""), (("0", None, None), ""), (("1", "0", "ParrillÃ³n K|SUM"), "Apto crédito|Parrillon K|SUM")],
     ),
-    "arr06_any_real": (lambda x: I.any_real(_list(x)), [(("a-K.jpg|logo",), "true"), (("logo-K|menu.png",), "false"), ((None,), "false")]),
+    "arr06_any_real": (lambda x: I.any_real(_list(x)), [(("aK.jpg|logo",), "true"), (("logo-K|menu.png",), "false"), ((None,), "false")]),
     "boo01_boolean": (P.boolean, [((" Sí ",), "true"), (("Y",), "true"), (("0",), "false"), (("quizás K",), "false"), ((None,), "false"), (("TRUE",), "true")]),
     "cat02_import_operation": (
         N.imported_operation,
