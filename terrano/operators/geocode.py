@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrano.functions import addresses as A
+from terrano.functions import addresses as A, places as L
+from terrano.functions.normalize import clean
 
 RANK = {"high": 3, "medium": 2, "low": 1}
 
@@ -97,3 +98,35 @@ def geocoding_status(lat: Column, lon: Column, address: Column, city: Column, pr
     """done with a point, skipped if only the place is known, else pending."""
     blank = lambda x: F.coalesce(x, F.lit("")) == ""
     return F.when(lat.isNotNull() & lon.isNotNull(), "done").when(blank(address) & ~(blank(city) & blank(province)), "skipped").otherwise("pending")
+
+
+def geocoder_rows(staging: DataFrame) -> DataFrame:
+    """Staging rows as the geocoder takes them: the address without labels and title openings, place by the row, else by the words of its URL."""
+    place = L.place_of_context(F.lit(None).cast("string"), F.lit(None).cast("string"), L.url_words(F.col("url")))
+    rows = staging.withColumns({"_place": place, "direccion": A.geocoding_text(F.col("direccion_normalizada"))})
+    return rows.withColumns({"ciudad": F.coalesce(clean(F.col("ciudad")), "_place.city"), "provincia": F.coalesce(clean(F.col("provincia")), "_place.province"), "pais": F.coalesce(clean(F.col("pais")), F.lit("Argentina"))}).drop("_place")
+
+
+def geocoded(staging: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``staging`` with geocoding_status (done, failed, skipped), latitud and longitud. lookup: query, status, latitud, longitud, precision_geocoding, one row a query.
+
+    Rows whose address is garbage or not safe are skipped without a query; of a row's spellings the first found counts, and its point
+    must lie in the country and the city's box.
+    """
+    rows = geocoder_rows(staging)
+    fields = {"direccion": F.col("direccion"), "direccion_limpia": F.col("direccion"), "direccion_geocoding_limpia": F.col("direccion"), "titulo": F.col("titulo"), "barrio": F.col("barrio")}
+    made = A.prepared(fields, F.col("ciudad"), F.col("provincia"), F.col("pais"))
+    rows = rows.withColumn("_ready", F.when(~A.is_garbage(F.col("direccion")), made))
+    ask = rows.where("_ready.readiness = 'geocoding_ready_safe'").select("id", F.posexplode(A.query_variants(F.col("_ready.query"))).alias("_n", "query"))
+    found = ask.join(lookup, "query").groupBy("id").agg(F.min_by(F.struct("status", "latitud", "longitud"), F.struct(F.when(F.col("status") == "success", 0).otherwise(1), "_n")).alias("_x"))
+    asked = ask.select("id", F.lit(True).alias("_asked")).distinct()
+    out = rows.drop("latitud", "longitud", "_ready").join(asked, "id", "left").join(found, "id", "left")
+    good = F.coalesce((F.col("_x.status") == "success") & A.coordinates_fit(F.col("_x.latitud"), F.col("_x.longitud"), F.col("ciudad"), F.col("provincia"), F.col("pais")), F.lit(False))
+    state = F.when(F.col("_asked").isNull(), "skipped").when(good, "done").otherwise("failed")
+    return out.withColumns({"geocoding_status": state, "latitud": F.when(good, F.col("_x.latitud")), "longitud": F.when(good, F.col("_x.longitud"))}).drop("_asked", "_x")
+
+
+def new_results(results: DataFrame, cache: DataFrame) -> DataFrame:
+    """Results whose listing and query the cache lacks. Both: propiedad_id, direccion_geocoding."""
+    keys = ["propiedad_id", "direccion_geocoding"]
+    return results.join(cache.select(*keys).distinct(), keys, "left_anti")

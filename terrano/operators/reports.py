@@ -186,3 +186,19 @@ def markdown(df: DataFrame, title: str, rows: int = 200) -> str:
     """A report's first rows as a Markdown table; for reports of few rows, whose length is their feature."""
     line = lambda values: "| " + " | ".join("" if v is None else str(v).replace("|", "\\|") for v in values) + " |"
     return "\n".join([f"# {title}", "", line(df.columns), line("-" for _ in df.columns), *(line(r) for r in df.limit(rows).collect())]) + "\n"
+
+
+def not_loaded(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """Rows (nombre, web) that a table lacks, by site without last slash or by name, both without regard to case; a row that either knows is loaded."""
+    site = lambda c: F.nullif(F.lower(F.rtrim(F.trim(c), F.lit("/"))), F.lit(""))
+    name = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
+    sites, names = (known.select(f.alias(k)).where(F.col(k).isNotNull()).distinct() for f, k in ((site(F.col("web")), "_w"), (name(F.col("nombre")), "_n")))
+    keyed = rows.withColumns({"_w": site(F.col("web")), "_n": name(F.col("nombre"))})
+    return keyed.join(sites, "_w", "left_anti").join(names, "_n", "left_anti").drop("_w", "_n")
+
+
+def membership_audit(df: DataFrame, unique: str, key: str, members: DataFrame) -> DataFrame:
+    """One row: total, repetidos (rows beyond the first of a value that should be unique), fuera (rows whose key another table lacks)."""
+    repeated = df.groupBy(unique).agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.sum(F.col("n") - 1).alias("repetidos"))
+    outside = df.join(members.select(key).distinct(), key, "left_anti").agg(F.count("*").alias("fuera"))
+    return repeated.crossJoin(F.broadcast(outside))  # one row each

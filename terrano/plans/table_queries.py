@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrano.functions import display, names, urls as U
-from terrano.operators import dedupe, imports, lifecycle, manifest, merge, publishing, reports, runs, search
+from terrano.operators import dedupe, geocode, imports, lifecycle, manifest, merge, publishing, reports, runs, search
 from terrano.plans.listing_sql import AGENCIES, AS_OF as SQL_AS_OF, ITEMS, LISTINGS, QUEUE, validated
 from terrano.sources.adapters import AS_OF, agencies, listings, queue, raw_listings, run_items, table
 
@@ -617,3 +617,33 @@ def ups07_recleaned(s: S, d: str) -> D:
     name = pick(i, "Norte S.A. CPI 7968", "Este", F.concat(F.lit("Sur "), i.cast("string"), F.lit(" | Mendoza 2196")), "Oeste mat. 123")
     stored = pick(i, "Norte", "x", "Sur", "Oeste")
     return agencies(s, d).select("id", names.recleaned(name, stored).alias("nuevo")).where("nuevo is not null")
+
+
+@query(f"""WITH {AGENCIES}, w AS (SELECT id, CASE WHEN id % 4 <> 0 THEN 'https://a' || (id % 90) || '.com' END AS web, lower(trim(nombre)) AS n FROM agencies)
+SELECT id FROM w WHERE NOT (web IS NOT NULL AND web IN (SELECT web FROM w WHERE id % 7 = 0 AND web IS NOT NULL)) AND n NOT IN (SELECT n FROM w WHERE id % 5 = 0)""")
+def joi12_missing(s: S, d: str) -> D:
+    i = F.col("id")
+    rows = agencies(s, d).select("id", F.when(i % 4 != 0, F.concat(F.lit("https://a"), i % 90, F.lit(".com/"))).alias("web"), "nombre")
+    return reports.not_loaded(rows, rows.where("id % 7 = 0").select(F.upper("web").alias("web"), F.lit(None).cast("string").alias("nombre")).unionByName(rows.where("id % 5 = 0").select(F.lit(None).cast("string").alias("web"), F.upper("nombre").alias("nombre")))).select("id")
+
+
+GEO_ADDRESSES = ("Mitre 1250", "Inicio propiedades", "Ver fotos", None, "Pellegrini 1420, Rosario", "Calle 12")
+
+
+def _geo(s: S, d: str) -> tuple[D, D]:
+    i = F.col("o_orderkey")
+    rows = table(s, d, "orders").select(i.alias("id"), pick(i, *GEO_ADDRESSES).alias("direccion_normalizada"), F.lit("Casa").alias("titulo"), F.lit(None).cast("string").alias("barrio"), pick(i, "Rosario", "Rosario", None).alias("ciudad"), F.lit("Santa Fe").alias("provincia"), F.lit(None).cast("string").alias("pais"), F.lit("https://x.com/p/1").alias("url"))
+    lookup = s.range(1).select(F.explode(F.array(*map(F.lit, ("Mitre 1250, Rosario, Santa Fe, Argentina", "Pellegrini 1420, Rosario, Santa Fe, Argentina")))).alias("query"))
+    lookup = lookup.select("query", F.lit("success").alias("status"), F.when(F.col("query").startswith("Mitre"), -32.95).otherwise(-40.0).alias("latitud"), F.lit(-60.65).alias("longitud"), F.lit("exact").alias("precision_geocoding"))
+    return rows, lookup
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 3 <> 2 THEN 'done' WHEN o_orderkey % 6 = 4 AND o_orderkey % 3 <> 2 THEN 'failed' ELSE 'skipped' END AS geocoding_status,
+CASE WHEN o_orderkey % 6 = 0 THEN -32.95::DOUBLE END AS latitud FROM orders""")
+def pip03_geocode(s: S, d: str) -> D:
+    return geocode.geocoded(*_geo(s, d)).select("id", "geocoding_status", "latitud")
+
+
+@query(f"WITH {LISTINGS}, g AS (SELECT count(*) AS n FROM listings GROUP BY inmobiliaria_id HAVING count(*) > 1) SELECT (SELECT count(*) FROM listings) AS total, (SELECT sum(n - 1)::BIGINT FROM g) AS repetidos, (SELECT count(*) FROM listings WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)) AS fuera")
+def agg19_uniqueness(s: S, d: str) -> D:
+    return reports.membership_audit(listings(s, d), "inmobiliaria_id", "id", table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")))

@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from terrano.functions import addresses as A, agencies as G, display as D, images as I, links as K, names as M, normalize as N, parsing as P, places as L, urls as U
+from terrano.functions import addresses as A, cards as Cd, display as D, images as I, links as K, names as M, normalize as N, parsing as P, places as L, urls as U
 from terrano.operators import manifest, reports
 from terrano.sources.adapters import table
 
@@ -281,6 +281,48 @@ CASES: dict[str, tuple[Callable[..., Column], list[tuple[tuple, str | None]]]] =
 }
 
 
+def _fields(x: Column, *of: str) -> Column:
+    return F.concat_ws("/", *(F.coalesce(x[k].cast("string"), F.lit("-")) for k in of))
+
+
+CASES |= {
+    "flt25_list_page": (
+        Cd.is_list_page,
+        [(("https://x.com/propiedad/casa-K", '<i class="card">' * 20), "false"), (("https://x.com/ventas/", ""), "true"), (("https://x.com/a/b/ventas", ""), "false"), (("https://x.com/lista?idprop=7", '<i class="card">' * 20), "false"), (("https://x.com/lista", '<i class="big card">' * 9 + "<i class='listing-item'>" * 7), "true"),
+         (("https://x.com/lista", '<i class="cards">' * 20), "false"), ((None, None), "false")],
+    ),
+    "str26_profile": (
+        lambda x: _fields(Cd.profile(x), "publica_desde", "nivel", "calificaciones", "avisos_compra", "avisos_alquiler"),
+        [(("Norte Publica  desde 2015 Nivel 3 Ver 12 calificaciones 1.204 Avisos compra 1 Aviso alquiler",), "2015/3/12/1204/1"), (("Sur K",), "-/-/-/-/-"), ((None,), "-/-/-/-/-")],
+    ),
+    "str32_slug": (
+        lambda u: _fields(Cd.slug(u), "title", "address", "neighbourhood", "operation"),
+        [(("https://x.com/p/4567-Casa-en-Venta-san-martin-1250-barrio-norte?a=K",), "Casa En Venta San Martin Barrio Norte/San Martin Barrio 1250/Barrio Norte/venta"), (("https://x.com/alquiler/lote-funes",), "Lote Funes/Funes/Funes/alquiler"), (("https://x.com/p/4567",), "4567/-/-/-"),
+         (("https://x.com/depto-roca-centro/",), "Depto Roca Centro/Roca Centro/Roca Centro/-")],
+    ),
+    "str33_number_near": (
+        lambda x: Cd.number_near(x, "dorm|habit"),
+        [(("3 dormitorios y 2 baños",), "3"), (("Dormitorios: 4",), "4"), (("habitaciones por planta en total 5",), None), (("K dorm",), "K"), ((None,), None)],
+    ),
+    "str34_features": (
+        lambda l, v: _fields(Cd.features(_list(l), _list(v)), "dormitorios", "banos", "ambientes", "metros", "tipo"),
+        [(("Dormitorios|Baños|Sup. total|Tipo|Dorm.", "3 amplios|2|120 m2|Casa|9"), "3/2/-/120/casa"), (("Superficie|Metros cubiertos|Tipología|Inmueble", "5|80|raro|PH"), "-/-/-/80/departamento"), (("Habitaciones|Ambientes", "cero|K"), "-/-/K/-/-"), ((None, None), "-/-/-/-/-")],
+    ),
+    "str39_registry_row": (
+        lambda *x: F.coalesce(_fields(Cd.registry_row(F.array(*x)), "matricula", "nombre", "direccion", "telefono", "email", "estado"), F.lit("-")),
+        [(("Ana", "Mat. 0K7", "", "  Norte  K ", "(2000)\nMitre 1K\nRosario", "0341 4123456\nA@B.co"), "0K7/Norte K/Mitre 1K/03414123456/a@b.co/activo"), (("Baja desde 2K", "9", "", "", "", "341-4123456"), "9///3414123456//baja"), (("x", "sin", "", "y", "", ""), "-/-/-/-/-/-")],
+    ),
+    "prj10_directory_agency": (
+        lambda *x: _fields(Cd.directory_agency(dict(zip(("nombre", "web", "telefono", "telefono_principal", "ciudad", "pais", "rating", "resenas", "fecha_scrapeo"), x, strict=True))), "nombre", "web", "telefono_principal", "ciudad", "pais", "rating", "resenas", "ultimo_scrapeo"),
+        [((" Norte K ", "https://n.com/", " ", "341", "", None, "4,5", "1.20K", "2024-01-02T03"), "Norte K/https://n.com/341/-/Argentina/4.5/120K/2024-01-02T03"), ((" ", "w", "1", "2", "c", "p", "1", "2", "x"), "-/-/-/-/-/-/-/-"), (("Sur", None, "1", "2", "Funes", "Uruguay", "x", "x", "a@b"), "Sur/-/1/Funes/Uruguay/-/-/-")],
+    ),
+    "prj15_directory_payload": (
+        lambda n, u, l: _fields(Cd.directory_payload(n, u, l), "nombre", "nombre_normalizado", "metadata"),
+        [(("Constitución  K".encode().decode("latin-1"), "u", " 3 "), 'Constitución K/constitucion K/{"nivel":3,"revision_notas":"mojibake_corregido: ConstituciÃ³n K -> Constitución K"}'), (("Norte", "u", "x"), "Norte/norte/{}"), (("Norte", " ", "1"), "-/-/-")],
+    ),
+}
+
+
 def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
     of, shapes = CASES[name]
 
