@@ -55,3 +55,21 @@ def test_stages(spark, sf):
 def test_run_and_items_digest(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
     assert decontaminate.items_digest([]) == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_stages_on_odd_rows(spark, sf):
+    """Nulls, empty texts, repeated rows and empty tables go through every stage; columns stay."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, None, None, None, None), (2, "", "en", "s", 0), (3, "one two three four five six", "en", "s", 27), (3, "one two three four five six", "en", "s", 27), (None, "no id here but words enough", "en", None, 27), (4, "mail a@b.co now", "en", "s", 15)]
+    for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, sf)
+            if name == "packing":
+                assert out.agg({"length": "sum"}).first()[0] == (None if not n else out.select("doc_id", "doc_tokens", "start").where("start = 0").agg({"doc_tokens": "sum"}).first()[0])
+            else:
+                assert out.columns == docs.columns and out.count() <= n
+    near = dict(corpus_pipeline.STAGES)["near_dedup"](spark, spark.createDataFrame(rows, schema), sf)
+    assert sorted(r["doc_id"] or 0 for r in near.collect()) == [0, 1, 2, 3, 3, 4]
+    private = dict(corpus_pipeline.STAGES)["pii"](spark, spark.createDataFrame(rows, schema), sf)
+    assert {(r["doc_id"], r["text"], r["n_chars"]) for r in private.where("doc_id = 4 or text is null").collect()} == {(4, "mail [EMAIL] now", 16), (1, None, None)}
