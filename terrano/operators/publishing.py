@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrano.functions import images as I, parsing as P
+from terrano.functions import images as I, normalize as N, parsing as P
 from terrano.functions.urls import identity_hash
 from terrano.operators import lifecycle
 
@@ -60,6 +60,13 @@ def is_valid(url: Column, title: Column, address: Column, place: Column, kind: C
     return text(url).startswith("http") & (F.length(F.trim(text(title))) >= 3) & ((text(address) != "") | (text(place) != "")) & text(kind).isin(*types) & ((text(currency) == "") | text(currency).isin("ARS", "USD"))
 
 
+def completeness(price: Column, area: Column, address: Column, pictures: Column, operation: Column) -> Column:
+    """0 to 5: a price, an area, an address, a picture and a known operation count one each."""
+    known = F.lower(F.trim(operation)).isin(*N.OPERATIONS, "proyecto")
+    rules = (price.isNotNull(), area.isNotNull(), address != "", F.size(pictures) > 0, known)
+    return sum((F.when(F.coalesce(rule, F.lit(False)), 1).otherwise(0) for rule in rules), F.lit(0))
+
+
 def backoff(attempt: Column, base: float = 1.0, most: float = 30.0, jitter: Column | None = None) -> Column:
     """Seconds to wait before a retry: doubled each time up to ``most``, plus up to a quarter by ``jitter`` from 0 to 1."""
     wait = F.least(F.lit(most), F.lit(base) * F.pow(F.lit(2.0), attempt - 1))

@@ -647,3 +647,61 @@ def pip03_geocode(s: S, d: str) -> D:
 @query(f"WITH {LISTINGS}, g AS (SELECT count(*) AS n FROM listings GROUP BY inmobiliaria_id HAVING count(*) > 1) SELECT (SELECT count(*) FROM listings) AS total, (SELECT sum(n - 1)::BIGINT FROM g) AS repetidos, (SELECT count(*) FROM listings WHERE id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)) AS fuera")
 def agg19_uniqueness(s: S, d: str) -> D:
     return reports.membership_audit(listings(s, d), "inmobiliaria_id", "id", table(s, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("id")))
+
+
+@query(f"WITH {AGENCIES} SELECT id FROM agencies WHERE id % 2 = 0 UNION ALL SELECT id FROM agencies WHERE id % 3 = 0 AND id % 2 <> 0")
+def joi11_insert_missing(s: S, d: str) -> D:
+    rows = agencies(s, d).select("id")
+    return merge.insert_missing(rows.where("id % 2 = 0"), rows.where("id % 3 = 0"), ["id"])
+
+
+@query(f"WITH {QUEUE} SELECT status, count(*) AS n FROM queue WHERE status = 'pending' GROUP BY 1")
+def agg27_backlog(s: S, d: str) -> D:
+    return reports.status_counts(queue(s, d).where("status = 'pending'"), "status")
+
+
+@query(f"WITH {validated()} SELECT id, score AS validation_score FROM v WHERE len(hard) = 0 ORDER BY score DESC, id LIMIT 500")
+def srt01_top_staging(s: S, d: str) -> D:
+    return staging(s, d).where("status = 'staging'").orderBy(F.desc("validation_score"), "id").limit(500).select("id", "validation_score")
+
+
+@query("""WITH b AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1), a AS (SELECT l_suppkey AS k, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT k, b.n AS antes, coalesce(a.n, 0) AS despues FROM b LEFT JOIN a USING (k) ORDER BY b.n - coalesce(a.n, 0) DESC, k LIMIT 25""")
+def srt16_largest_losses(s: S, d: str) -> D:
+    rows = table(s, d, "lineitem").withColumn("k", F.col("l_suppkey"))
+    count = lambda df: df.groupBy("k").agg(F.count("*").alias("n"))
+    return reports.regressions(count(rows), count(rows.where("l_returnflag = 'R'")), "k", "n").orderBy((F.col("antes") - F.col("despues")).desc(), "k").limit(25).select("k", "antes", "despues")
+
+
+@query(f"WITH {AGENCIES} SELECT lower(replace(nombre, '#', ' ')) AS clave, CASE WHEN id % 2 = 0 AND id % 4 = 0 THEN ciudad WHEN id % 3 = 0 THEN provincia END AS ciudad FROM agencies WHERE id % 2 = 0 OR id % 3 = 0")
+def joi14_fill_by_name(s: S, d: str) -> D:
+    rows = agencies(s, d).withColumn("clave", names.name_key(F.col("nombre")))
+    old = rows.where("id % 2 = 0").select("clave", F.when(F.col("id") % 4 == 0, F.col("ciudad")).alias("ciudad"))
+    return merge.fill_missing(old, rows.where("id % 3 = 0").select("clave", F.col("provincia").alias("ciudad")), "clave")
+
+
+@query(f"WITH {AGENCIES} SELECT CASE WHEN id % 2 = 0 THEN 'regression' WHEN id % 3 = 0 THEN 'recovered' WHEN id % 5 = 0 THEN 'control' END AS grupo, count(*) AS n FROM agencies WHERE id % 2 = 0 OR id % 3 = 0 OR id % 5 = 0 GROUP BY 1")
+def set04_first_group(s: S, d: str) -> D:
+    rows = agencies(s, d).select("id")
+    groups = [(name, "id", rows.where(f"id % {m} = 0")) for name, m in (("regression", 2), ("recovered", 3), ("control", 5))]
+    return imports.first_reasons(rows, groups).where("reason is not null").groupBy(F.col("reason").alias("grupo")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey AS propiedad_id, 'q' || (o_orderkey % 3) AS direccion_geocoding FROM orders WHERE o_orderkey % 4 = 0 AND NOT (o_orderkey % 8 = 0 AND o_orderkey % 3 = 1)")
+def joi20_new_results(s: S, d: str) -> D:
+    i = F.col("o_orderkey")
+    rows = table(s, d, "orders").select(i.alias("propiedad_id"), F.concat(F.lit("q"), i % 3).alias("direccion_geocoding"))
+    return geocode.new_results(rows.where("propiedad_id % 4 = 0"), rows.where("propiedad_id % 8 = 0 and direccion_geocoding = 'q1'"))
+
+
+@query("""SELECT o_orderpriority AS fuente, CASE WHEN o_orderkey % 6 = 0 AND o_orderkey % 3 <> 2 THEN 'done' WHEN o_orderkey % 6 = 4 AND o_orderkey % 3 <> 2 THEN 'failed' ELSE 'skipped' END AS geocoding_status, count(*) AS n FROM orders GROUP BY 1, 2""")
+def agg21_status_by_source(s: S, d: str) -> D:
+    rows = geocode.geocoded(*_geo(s, d)).select("id", "geocoding_status")
+    source = table(s, d, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("fuente"))
+    return rows.join(source, "id").groupBy("fuente", "geocoding_status").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PROPS} SELECT id, 5 - (precio IS NULL)::INT - (superficie_total IS NULL)::INT - (direccion IS NULL)::INT - (imagenes IS NULL OR len(imagenes) = 0)::INT - (coalesce(lower(operacion), '') NOT IN ('venta', 'alquiler', 'alquiler_temporario', 'consultar', 'venta_y_alquiler'))::INT AS puntos FROM props")
+def sco03_points(s: S, d: str) -> D:
+    c = F.col
+    return properties(s, d).select("id", publishing.completeness(c("precio"), c("superficie_total"), c("direccion"), c("imagenes"), c("operacion")).alias("puntos"))

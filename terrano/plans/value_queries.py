@@ -10,8 +10,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from terrano.functions import addresses as A, cards as Cd, display as D, images as I, links as K, names as M, normalize as N, parsing as P, places as L, urls as U
-from terrano.operators import manifest, reports
+from terrano.functions import addresses as A, agencies as G, cards as Cd, display as D, images as I, links as K, names as M, normalize as N, pages as Pg, parsing as P, places as L, urls as U
+from terrano.operators import geocode as Gc, manifest, reports
 from terrano.sources.adapters import table
 
 #: Provinces of cities, in the order in which texts are searched.
@@ -323,6 +323,43 @@ CASES |= {
 }
 
 
+PROVINCES = {"santa fe": "Santa Fe", "rosario": "Santa Fe", "salta": "Salta"}
+
+CASES |= {
+    "str18_geocoding_text": (
+        A.geocoding_text,
+        [(("Address: Mitre K",), "Mitre K"), (("Dirección:  Roca 5K",), "Roca 5K"), (("Casa en venta en Mitre K",), "Mitre K"), (("Departamento en alquiler temporario en San Luis K",), "San Luis K"), (("En venta en Roca K",), "Roca K"), ((" ",), None), ((None,), None)],
+    ),
+    "loc08_coordinates_fit": (
+        lambda a, b, c, p, n: A.coordinates_fit(a.try_cast("double"), b.try_cast("double"), c, p, n),
+        [(("-32.95", "-60.65", "Rosario", "Santa Fe", "Argentina"), "true"), (("-40", "-60.65", "ROSARIO", "Santa Fe", None), "false"), (("-40", "-60.65", "Pueblo K", None, None), "true"), (("-10", "-60.65", "Pueblo K", None, None), "false"), ((None, "-60", "Rosario", None, None), "false"),
+         (("-34.9", "-56.2", "Montevideo", None, "Uruguay"), "true")],
+    ),
+    "cat09_class_types": (
+        lambda h: F.concat_ws("/", F.coalesce(Pg.type_of_classes(h), F.lit("-")), F.coalesce(F.nullif(Pg.operation_of_classes(h), F.lit("")), F.lit("-"))),
+        [(('<div class="x tipo-local-comercial operacion-venta">K',), "local/venta"), (('<p class="tipo-raro property_types-ph">K</p>',), "departamento/-"), (("<b class='property_types-raro operacion-alquiler'>",), "otro/alquiler"), (("<p>K</p>",), "-/-"), ((None,), "-/-")],
+    ),
+    "cat11_query_place": (
+        lambda q: F.concat_ws("/", G.place_of_query(q, PROVINCES)["provincia"], G.place_of_query(q, PROVINCES)["barrio"]),
+        [(("inmobiliarias en barrio alto verde santa fe",), "Santa Fe/Alto Verde"), (("casas en salta o rosario",), "Santa Fe/"), (("K",), "/"), ((None,), "/")],
+    ),
+    "cat13_query_category": (G.category_of_query, [(("empresa Constructora K",), "constructora"), (("desarrollos K",), "desarrolladora"), ((None,), "desarrolladora")]),
+    "sco11_precision": (
+        lambda a, k, r: Gc.precision(a, k, r),
+        [(("house", None, None), "exact"), ((None, "Building", "1"), "exact"), (("road", None, None), "street"), ((None, "tertiary", "x"), "street"), (("suburb", "x", "30"), "area"), ((None, "x", "26"), "street"), (("x", None, "25"), "approximate"), ((None, None, None), "approximate")],
+    ),
+    "sco17_site_confirmed": (
+        G.site_confirmed,
+        [(("Norte Propiedades", "https://www.norteprop.com", "", None), "true"), (("Sur Estudio", "https://x.com", "estudio Sur Estudio K", None), "true"), (("Del Valle", "https://x.com", "el valle K", None), "true"), (("Ana", "https://x.com", "llame al 341-412-3456", "+54 341 4123456"), "true"),
+         (("Ana", "https://x.com", "nada K", "123456"), "false"), (("Ana", "x.com", "Bienes Raíces K", None), "true"), ((None, None, None, None), "false")],
+    ),
+    "sco10_enrichment": (
+        lambda w, t, fw, ft, ok: _fields(G.enrichment({"web": w, "ciudad": F.lit("Funes"), "provincia": F.lit(None).cast("string"), "telefono": t, "direccion": F.lit(None).cast("string")}, {"web": fw, "telefono": ft, "direccion": F.lit(None).cast("string")}, ok == "1", F.lit(True)), "confidence", "estado", "web", "telefono"),
+        [(("https://norte.com.ar/K", None, None, "341K", "0"), "80/requiere_revision_enriquecimiento/-/341K"), ((None, None, "https://sur.com/K", "341K", "1"), "100/enriquecido/https://sur.com/K/341K"), ((None, "1", "https://sur.com/K", None, "0"), "20/sin_resultados_enriquecimiento/-/-")],
+    ),
+}
+
+
 def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
     of, shapes = CASES[name]
 
