@@ -90,8 +90,14 @@ def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column | None =
         made = (SequenceMatcher(None, x, y) for x, y in zip(a, b, strict=True))
         return pd.Series([m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0 for m in made])
 
-    own = F.pandas_udf(lambda x: x.map(lambda t: _own_pieces(t, ratio)), "array<string>", F.PandasUDFType.SCALAR)
-    within = F.pandas_udf(lambda x: x.map(lambda t: _pieces_within(t, ratio)), "array<string>", F.PandasUDFType.SCALAR)
+    @F.pandas_udf("array<string>")
+    def own(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: _own_pieces(t, ratio))
+
+    @F.pandas_udf("array<string>")
+    def within(x: pd.Series) -> pd.Series:
+        return x.map(lambda t: _pieces_within(t, ratio))
+
     rows = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(id_column).alias(id_column)).select(id_column, name, (F.lit(0) if block is None else block).alias("_block"))
     short = rows.select("_block", F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("x"), F.explode(own(name)).alias("piece"))
     long = rows.select("_block", F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("y"), F.explode(within(name)).alias("piece"))

@@ -23,14 +23,34 @@ def quality(given: Column, warnings: Column, price: Column) -> Column:
     return F.coalesce(own, F.least(F.greatest(100 - lost, F.lit(0)), F.lit(100)))
 
 
+def prefix_matches(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(_c, _by_prefix): for canonical URLs the first source whose URL begins like theirs, or theirs like its.
+
+    rows: _c; sources: _c, pos, held. Each side's URLs are cut at the lengths that the other side's have, and the pieces meet in equi-joins,
+    so no host's rows are paired.
+    """
+    urls = rows.where("_c <> ''").select("_c").distinct()
+    firsts = sources.where("_c <> ''").groupBy(F.col("_c").alias("_s")).agg(F.min(F.struct("pos", "held")).alias("_x"))
+    lengths = lambda df, c: F.array(*(F.lit(r[0]) for r in df.select(F.length(c)).distinct().orderBy(F.length(c)).collect()))  # noqa: E731  as many as URLs have lengths
+    if not firsts.limit(1).count() or not urls.limit(1).count():
+        return urls.select("_c", F.lit(None).cast(sources.schema["held"].dataType).alias("_by_prefix")).limit(0)
+    cut = lambda c, sizes: F.explode(F.transform(F.filter(sizes, lambda n: n <= F.length(c)), lambda n: F.left(c, n)))
+    longer = urls.select("_c", cut(F.col("_c"), lengths(firsts, "_s")).alias("_s")).join(firsts, "_s").select("_c", "_s", "_x")
+    shorter = firsts.select("_s", "_x", cut(F.col("_s"), lengths(urls, "_c")).alias("_c")).join(urls, "_c").select("_c", "_s", "_x")
+    host = lambda c: F.regexp_extract(c, "^([^/?]*)", 1)  # noqa: E731  x.com is no beginning of x.com.ar
+    return longer.unionByName(shorter).where(host("_c") == host("_s")).groupBy("_c").agg(F.min("_x").alias("_x")).select("_c", F.col("_x.held").alias("_by_prefix"))
+
+
 def resolved(captures: DataFrame, sources: DataFrame) -> DataFrame:
-    """``captures`` with the source of the same canonical URL, the first one listed, else the only one of the host; null if neither."""
+    """``captures`` with the source of the same canonical URL, the first one listed, else the only one of the host, else the first of the host's whose URL begins like theirs or theirs like its; null if none."""
     src = sources.withColumn("_c", U.canonical(F.col("url"))).withColumn("_h", F.regexp_extract("_c", "^([^/?]*)", 1))
     held = F.struct("inmobiliaria_id", "inmob_ciudad", "inmob_provincia")
     exact = src.where("_c <> ''").groupBy("_c").agg(F.min_by(held, "pos").alias("_exact"))
     single = src.where("_h <> ''").groupBy("_h").agg(F.min_by(held, "pos").alias("_single"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
     rows = captures.withColumn("_c", U.canonical(F.col("source_url"))).withColumn("_h", F.regexp_extract("_c", "^([^/?]*)", 1))
-    return rows.join(exact, "_c", "left").join(single, "_h", "left").withColumn("source", F.coalesce("_exact", "_single")).drop("_c", "_h", "_exact", "_single")
+    near = prefix_matches(rows.join(single, "_h", "left_anti"), src.select("_c", "pos", held.alias("held")))
+    found = rows.join(exact, "_c", "left").join(single, "_h", "left").join(near, "_c", "left")
+    return found.withColumn("source", F.coalesce("_exact", "_single", "_by_prefix")).drop("_c", "_h", "_exact", "_single", "_by_prefix")
 
 
 def candidates(captures: DataFrame) -> DataFrame:

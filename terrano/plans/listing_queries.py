@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from terrano.functions import links as K, names, normalize as N, urls as U
-from terrano.operators import dedupe, lifecycle, merge, reports, search
+from terrano.operators import dedupe, imports, lifecycle, merge, reports, search
 from terrano.plans.listing_sql import URL_SHAPES
 from terrano.sources.adapters import AS_OF, agencies, errors, listings, queue, raw_listings, run_items, table
 from terrano.session import scratch_path
@@ -235,12 +235,12 @@ def joi07_theta(s: S, d: str) -> D:
 
 
 def joi08_resolve(s: S, d: str) -> D:
-    """Each page's source: the page of the same canonical URL, else the only one of its host."""
-    pages = table(s, d, "pages").select("page_id", U.canonical(F.col("url")).alias("c"), U.host_key(F.col("url")).alias("h"))
-    sources = pages.where("page_id % 3 = 0").select(F.col("page_id").alias("sid"), "c", "h")
-    exact = sources.groupBy("c").agg(F.min("sid").alias("by_url"))
-    single = sources.groupBy("h").agg(F.min("sid").alias("by_host"), F.count("*").alias("n")).where("n = 1").select("h", "by_host")
-    return pages.join(exact, "c", "left").join(single, "h", "left").select("page_id", F.coalesce("by_url", "by_host").alias("source_id"))
+    """Each URL's source: the one of the same canonical URL, else the only one of its host, else the first of the host whose URL begins alike."""
+    i, u = F.col("page_id"), F.col("url")
+    base = F.regexp_extract(u, "^([^?#]*)", 1)
+    sources = table(s, d, "pages").where("page_id % 3 = 0").select(i.alias("pos"), F.when(i % 2 == 0, F.regexp_replace(base, "/[^/]*$", "")).otherwise(u).alias("url"), i.alias("inmobiliaria_id"), F.lit("").alias("inmob_ciudad"), F.lit("").alias("inmob_provincia"))
+    captures = table(s, d, "pages").select("page_id", F.when(i % 5 == 0, F.regexp_replace(base, "/[^/]*$", "")).otherwise(u).alias("source_url"))
+    return imports.resolved(captures, sources).select("page_id", F.col("source.inmobiliaria_id").alias("source_id"))
 
 
 def joi16_bbox(s: S, d: str) -> D:

@@ -155,8 +155,9 @@ SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY web ORDER BY completenes
     "joi03_run_scope": f"WITH {LISTINGS}, {ITEMS} SELECT id, inmobiliaria_id FROM listings WHERE inmobiliaria_id IN (SELECT inmobiliaria_id FROM items WHERE run_id = (SELECT max(run_id) FROM items WHERE status = 'success'))",
     "joi04_queue_flag": f"WITH {LISTINGS}, {QUEUE} SELECT operacion, count(staging_id) AS ya_en_cola, count(*) - count(staging_id) AS nuevas FROM listings LEFT JOIN (SELECT DISTINCT staging_id FROM queue WHERE status IN ('pending', 'publishing')) ON staging_id = id GROUP BY 1",
     "joi07_theta": "SELECT l_suppkey, count(*) AS n FROM lineitem a WHERE EXISTS (SELECT 1 FROM lineitem b WHERE b.l_partkey = a.l_partkey AND b.l_suppkey <> a.l_suppkey) GROUP BY 1",
-    "joi08_resolve": f"""WITH {urls('SELECT page_id AS id, url FROM pages')}, s AS (SELECT * FROM cu WHERE id % 3 = 0)
-SELECT id AS page_id, coalesce((SELECT min(id) FROM s WHERE s.c = cu.c), (SELECT min(id) FROM s WHERE s.h = cu.h HAVING count(*) = 1)) AS source_id FROM cu""",
+    "joi08_resolve": f"""WITH {urls("SELECT page_id * 2 AS id, CASE WHEN page_id % 5 = 0 THEN regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/[^/]*$', '') ELSE url END AS url FROM pages UNION ALL SELECT page_id * 2 + 1, CASE WHEN page_id % 2 = 0 THEN regexp_replace(regexp_extract(url, '^([^?#]*)', 1), '/[^/]*$', '') ELSE url END FROM pages WHERE page_id % 3 = 0")},
+p AS (SELECT id // 2 AS id, c, h FROM cu WHERE id % 2 = 0), s AS (SELECT id // 2 AS id, c, h FROM cu WHERE id % 2 = 1)
+SELECT id AS page_id, coalesce((SELECT min(id) FROM s WHERE s.c = p.c), (SELECT min(id) FROM s WHERE s.h = p.h HAVING count(*) = 1), (SELECT min(id) FROM s WHERE s.h = p.h AND (starts_with(s.c, p.c) OR starts_with(p.c, s.c)))) AS source_id FROM p""",
     "joi16_bbox": f"WITH {LISTINGS}, b AS (SELECT tipo, min(latitud) AS lo, min(latitud) + 1.0::DOUBLE AS hi FROM listings GROUP BY 1) SELECT tipo, count(*) FILTER (latitud BETWEEN lo AND hi) AS dentro, count(*) FILTER (latitud NOT BETWEEN lo AND hi) AS fuera FROM listings JOIN b USING (tipo) WHERE latitud IS NOT NULL GROUP BY 1",
     "joi21_anti": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey IS NOT NULL)",
     "ups01_merge": f"WITH {LISTINGS} SELECT id, precio, estado FROM listings WHERE id % 3 <> 0 AND id % 2 <> 0 UNION ALL SELECT id, precio + 1, 'activa' FROM listings WHERE id % 2 = 0",

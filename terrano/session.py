@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
+#: Scratch paths given out by this process.
+_made: list[str] = []
+
+
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
     """A session for tests and benchmarks: UTC, AQE on, shuffles sized to the cores."""
     builder = (
@@ -38,7 +42,17 @@ def scratch_path(spark: SparkSession, name: str = "t") -> str:
         base = tempfile.mkdtemp(prefix="spark-") if local else spark.conf.get("spark.sql.warehouse.dir") + "/_scratch"
         if local:
             spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{base}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Deletes what this process wrote below scratch paths, and says how many there were. For when the results that read them are saved."""
+    paths, _made[:] = list(_made), []
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
 
 
 def written(df: DataFrame, name: str = "t") -> DataFrame:

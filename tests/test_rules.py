@@ -169,3 +169,22 @@ def test_payload_and_validity(spark):
     rows = [("http://x", "abc", "", "Centro", "casa", ""), ("ftp://x", "abc", "d", "", "casa", ""), ("http://x", " ab ", "d", "", "casa", ""), ("http://x", "abc", "", None, "casa", ""), ("http://x", "abc", "d", "", "campo", ""), ("http://x", "abc", "d", "", "otro", "EUR")]
     df = spark.createDataFrame(rows, "u string, t string, a string, p string, k string, m string")
     assert [r[0] for r in df.select(publishing.is_valid(*(F.col(c) for c in "utapkm"))).collect()] == [True, False, False, False, False, False]
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from terrano import session
+
+    df = session.written(spark.range(3), "kept")
+    assert df.count() == 3 and session.drop_scratch(spark) >= 1 and session.drop_scratch(spark) == 0
+    with pytest.raises(Exception):
+        session.written(spark.range(3)) and df.count()
+
+
+def test_filter_counter_and_prefixes(spark):
+    from terrano.operators import imports, search
+
+    assert search.Filters(equal={"tipo": "casa"}, at_least={"precio": 1}, area=(40, None), with_images=True, text="x").count() == 5 and search.Filters().count() == 0
+    sources = spark.createDataFrame([("x.com/a", 2, 20), ("x.com/abc", 1, 10), ("y.com", 3, 30)], "_c string, pos int, held int")
+    rows = spark.createDataFrame([("x.com/abcd",), ("x.com/a/z",), ("x.com",), ("z.com",), ("",), ("y.com/1",), ("y.com.ar/1",)], "_c string")
+    assert {r["_c"]: r["_by_prefix"] for r in imports.prefix_matches(rows, sources).collect()} == {"x.com/abcd": 10, "x.com/a/z": 20, "x.com": 10, "y.com/1": 30}
+    assert imports.prefix_matches(rows, sources.limit(0)).count() == 0
