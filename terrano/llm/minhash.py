@@ -328,7 +328,8 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
     held = written(rare_and_buckets(classes, common, max_broadcast), "rare")
     listed = written(estimated(list_pairs(held, list_limit), classes, percent), "listed")
     members = written(held.where(F.size("keys") > 0).select(F.explode("keys").alias("key"), "node"), "members")
-    sizes = members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    # counts are written before they are joined, so that the join is a broadcast or can split a hot bucket
+    sizes = written(members.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), "sizes")
     buckets = members.join(sizes, "key").select("key", F.ceil(F.col("c") / BLOCK).alias("parts"), "node")
     buckets = written(buckets, "buckets")
     any_bucket = buckets.limit(1).count() > 0
@@ -350,6 +351,7 @@ def class_links(classes: DataFrame, bodies_for: Callable[[DataFrame], DataFrame]
             else:
                 sizes = own.groupBy("key", "label").agg(F.count("*").alias("c"))
                 main = sizes.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.count("*").alias("groups")).where("groups > 1")
+                main = written(main, "main")
                 rest = own.join(main, "key").where(F.col("label") != F.col("main")).select("key", "parts", "node", "label")
                 if used is not None:
                     rest = rest.join(used, ["key", "node"], "left_anti")
