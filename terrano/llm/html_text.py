@@ -3,8 +3,8 @@
 Markup is cut into blocks at block-level tags. Pass one rates every block by the density of stop words among
 its words, its length and the share of its text inside links: good, near good, short (undecided), or bad. Its
 place is one more measure: menus, headers, footers, side matter, forms, adverts, notices and comments are bad;
-inside an article or main element what the densities reject is undecided instead, and beside one what they accept
-is bad, unless the article elements hold no block that is good. Pass two gives the undecided the label of their nearest decided neighbours: good if those on both sides
+inside an article or main element what is near good is good and what the densities reject is undecided, and beside
+one what they accept is bad, unless the article elements hold nothing but links. Pass two gives the undecided the label of their nearest decided neighbours: good if those on both sides
 are, near good if one is, else short ones the nearer one's. An article's bounds count as good neighbours. Both passes and the cutting are linear
 in the page.
 
@@ -202,12 +202,12 @@ def _nearest(found: list[Block], rated: list[str], order: range) -> list[tuple[i
 def label(found: list[Block]) -> None:
     """Both passes: sets every block's label to good or bad."""
     rated = [rating(b) for b in found]
-    articles = any(b.inside and not b.out and r != BAD for b, r in zip(found, rated, strict=True))
+    articles = any(b.inside and not b.out and b.linked <= MAX_LINK for b in found)
     for i, b in enumerate(found):
         if b.out or articles and not b.inside:
             rated[i] = BAD
-        elif b.inside and rated[i] == BAD and b.linked <= MAX_LINK:
-            rated[i] = SHORT
+        elif b.inside and b.linked <= MAX_LINK and rated[i] != GOOD:
+            rated[i] = GOOD if rated[i] == NEAR else SHORT
     ahead, back = _nearest(found, rated, range(len(found) - 1, -1, -1)), _nearest(found, rated, range(len(found)))
     for i, b in enumerate(found):
         b.label = rated[i]
