@@ -104,18 +104,16 @@ def test_fuzzy_pairs(spark):
     assert [tuple(r)[:2] for r in dedupe.fuzzy_pairs(df, "id", "name", F.left("name", F.lit(4))).collect()] == [(1, 3)]
 
 
-def test_fuzzy_pairs_equal_brute_force(spark, tmp_path):
+def test_fuzzy_pairs_equal_brute_force(spark):
     from difflib import SequenceMatcher
 
-    from terrano.plans import listing_queries
-
     bases = ["inmobiliaria norte de rosario", "estudio gomez propiedades", "casa del sol", "abcdefghijklmnopqrstuvwxyz 0123456789"]
     names = {n for b in bases for i in range(len(b)) for n in (b, b[:i] + b[i + 1 :], b[:i] + "q" + b[i:], b[:i] + "z" + b[i + 1 :], "la " + b)}
     rows = list(enumerate(sorted({" ".join(n.split()) for n in names})))
     want = {(i, j) for i, a in rows for j, b in rows if i < j and SequenceMatcher(None, a, b).ratio() >= 0.92}
     assert any(rows[i][1][:8] != rows[j][1][:8] for i, j in want)
-    spark.createDataFrame(rows, "p_partkey long, p_name string").write.parquet(f"{tmp_path}/part.parquet")
-    got = [(r["id_a"], r["id_b"]) for r in listing_queries.ded13_fuzzy(spark, str(tmp_path)).collect()]
+    df = spark.createDataFrame(rows, "id long, name string")
+    got = [(r["id_a"], r["id_b"]) for r in dedupe.fuzzy_pairs(df, "id", "name", None, 0.92).collect()]
     assert sorted(got) == sorted(want)
 
 
