@@ -36,6 +36,18 @@ def texts(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
+def within_bytes(rows: list[bytes], size: int) -> Iterator[list[bytes]]:
+    """The same texts in lists of at most ``size`` bytes, or of one text."""
+    at, total = 0, 0
+    for i, row in enumerate(rows):
+        if total + len(row) > size and i > at:
+            yield rows[at:i]
+            at, total = i, 0
+        total += len(row)
+    if at < len(rows):
+        yield rows[at:]
+
+
 def with_arrow_columns(
     df: DataFrame,
     schema: T.StructType,

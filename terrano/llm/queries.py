@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrano.llm import decontaminate, fingerprint, html_text, minhash, packing, pii, quality, token_counts, tool_calls, url_filter
+from terrano.llm import bpe, decontaminate, fingerprint, html_text, minhash, packing, pii, quality, token_counts, tool_calls, url_filter
 from terrano.session import scratch_path
 
 LICENSE_LINE = "Licensed under the Apache License, Version 2.0."
@@ -83,7 +83,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (quality.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, token_counts_native, op3_tool_calls, op4_packing, op5_fingerprint, op6_pii, op7_minhash, op8_url_filter, op9_html_text, op10_quality)}
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, token_counts_native, op3_tool_calls, op4_packing, op5_fingerprint, op6_pii, op7_minhash, op8_url_filter, op9_html_text, op10_quality, op11_bpe)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(%s, '[^\x20\x09-\x0D]+')"
