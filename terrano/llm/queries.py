@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from terrano.llm import bpe, decontaminate, fingerprint, html_text, minhash, packing, pii, quality, token_counts, tool_calls, url_filter
+from terrano.llm import bpe, conversation_repair, decontaminate, fill_middle, fingerprint, html_text, minhash, packing, pii, quality, token_counts, tool_calls, url_filter
 from terrano.session import scratch_path
 
 LICENSE_LINE = "Licensed under the Apache License, Version 2.0."
@@ -87,7 +89,19 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, token_counts_native, op3_tool_calls, op4_packing, op5_fingerprint, op6_pii, op7_minhash, op8_url_filter, op9_html_text, op10_quality, op11_bpe)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations")
+    found = conversation_repair.digests(conversation_repair.damaged(rows)).withColumnRenamed("conv_id", "_c")
+    every = rows.select("conv_id").distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("_c")), "left").drop("_c")
+    return out.fillna(0).fillna("", ["audit"]).fillna(hashlib.sha256(b"").hexdigest(), ["repaired_sha256"])
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.digests(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, token_counts_native, op3_tool_calls, op4_packing, op5_fingerprint, op6_pii, op7_minhash, op8_url_filter, op9_html_text, op10_quality, op11_bpe, op12_conversation_repair, op13_fill_middle)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = r"regexp_extract_all(%s, '[^\x20\x09-\x0D]+')"
@@ -105,7 +119,60 @@ def _alike(b: str, n: str) -> str:
     return _ALIKE.format(a="s", b=b, n=n.format(a="s", b=b))
 
 
+_UNITS = r"regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+')"
+
+
+def _draw(i: int) -> str:
+    return f"('0x' || substr(h, {8 * i - 7}, 8))::BIGINT"
+
+
+def _way(x: str, cost: str, edit: str, line: str) -> str:
+    """One edit behind the way ``x`` (a struct of cost, edits and turns), or NULL."""
+    return f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{edit}', 'r': {x}.r || {line}}} END"
+
+
+_USER, _ASSISTANT = "['user:']", "['assistant:']"
+_TWO_IN = "CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + 10, 'a': {x}.a || 'II', 'r': {x}.r || ['user:', 'assistant:']}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+_REPAIR = rf"""
+WITH RECURSIVE plain AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+k AS (SELECT *, xor(list_reduce(list_transform(range(0, len(s) + 1), lambda i: CASE WHEN i = 0 THEN 4294967295 ELSE ascii(substr(s, i, 1)) END::UBIGINT),
+  lambda c, b: list_reduce(list_transform(range(9), lambda i: CASE WHEN i = 0 THEN xor(c, b) ELSE 0 END::UBIGINT), lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END::UBIGINT))), 4294967295::UBIGINT) % 20 AS k FROM plain),
+dam AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k, range(2) AS c(n) WHERE k <> 0 AND (n = 0 OR k = 3)),
+pos AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM dam),
+f AS (SELECT *, left(role, 1) AS s, role || ':' || text AS line, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair,
+  CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 'truncated' ELSE '' END AS fault FROM pos),
+st AS (SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': []::VARCHAR[]}} AS b0, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS b1, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS b2, NULL::STRUCT(c BIGINT, a VARCHAR, r VARCHAR[]) AS b3 FROM f
+  UNION ALL
+  SELECT conv_id, i, {_way("b0", "2", "D", "[]::VARCHAR[]")},
+    {_least(_way("b1", "2", "D", "[]::VARCHAR[]"), f"CASE WHEN s = 's' AND stays THEN {_way('b0', 'more', 'K', '[line]')} END")},
+    {_least(_way("m2", "2", "D", "[]::VARCHAR[]"), *(f"CASE WHEN s = 'u' AND stays THEN {_way(x, 'more', 'K', '[line]')} END" for x in ("b0", "b1", "m3")), *(f"CASE WHEN stays THEN {_way(x, 'more + 1', 'R', "['user:' || text]")} END" for x in ("b0", "b1", "m3")))},
+    {_least(_way("m3", "2", "D", "[]::VARCHAR[]"), f"CASE WHEN s = 'a' AND stays THEN {_way('m2', 'more', 'K', '[line]')} END", f"CASE WHEN stays THEN {_way('m2', 'more + 1', 'R', "['assistant:' || text]")} END")}
+  FROM (SELECT f.conv_id, f.i, s, line, text, fault NOT IN ('blank', 'duplicate') AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, b0, b1,
+      {_least("b2", *(_way(x, "5", "I", _USER) for x in ("b0", "b1", "b3")))} AS m2,
+      {_least("b3", _way("b2", "5", "I", _ASSISTANT), _TWO_IN.format(x="b0"), _TWO_IN.format(x="b1"))} AS m3
+    FROM st JOIN f ON f.conv_id IS NOT DISTINCT FROM st.conv_id AND f.i = st.i + 1)),
+best AS (SELECT st.conv_id, {_least("b0", "b3", _way("b2", "5", "I", _ASSISTANT), _TWO_IN.format(x="b1"))} AS b FROM st JOIN (SELECT DISTINCT conv_id, n FROM f) e ON e.conv_id IS NOT DISTINCT FROM st.conv_id AND e.n = st.i),
+g AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(b.c, 0) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(array_to_string(b.r, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
 SQL = {
+    "op12_conversation_repair": _REPAIR,
+    "op13_fill_middle": rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, {_UNITS} AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+c AS (SELECT *, len(u) AS n, t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR {_draw(3)} % 100 >= 50 AS plain, {_draw(4)} % 100 < 80 AS spm, {_draw(1)} % (len(u) + 1) AS x, {_draw(2)} % (len(u) + 1) AS y FROM d),
+p AS (SELECT *, array_to_string(u[1:least(x, y)], '') AS prefix, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') AS middle, array_to_string(u[greatest(x, y) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN spm THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+  sha256(CASE WHEN plain THEN t WHEN spm THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     "op1_decontaminate": rf"""
 WITH words AS (SELECT row_number() OVER () AS u, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT item_id, w, least(13, len(w)) AS n FROM (SELECT item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark)),
