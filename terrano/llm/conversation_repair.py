@@ -183,7 +183,7 @@ TABLE = "array<array<struct<cost: long, rank: int>>>"
 SUMS = "rows long, distinct_turns long, first_turn long, last_turn long, blank long, duplicate long, truncated long, illegal long, first_initial string, last_initial string"
 
 
-def blocks(faulty: DataFrame) -> DataFrame:
+def blocks(faulty: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row a block (BLOCK), written: stretches of one conversation in order, ``part`` and ``block`` giving theirs."""
     spark = faulty.sparkSession
     kind = dict(faulty.dtypes)["conv_id"]
@@ -204,7 +204,7 @@ def blocks(faulty: DataFrame) -> DataFrame:
             texts_type = pa.list_(pa.string())
             types = [batch.column("conv_id").type, pa.int32(), pa.int64(), pa.list_(pa.int64()), texts_type, texts_type, pa.list_(pa.int64()), texts_type]
             for conv, *row in zip(batch.column("conv_id").to_pylist(), *(batch.column(n).to_pylist() for n in names), strict=True):
-                if held and (conv != now or len(held) == BLOCK_ROWS or chars + len(row[2]) > BLOCK_CHARS):
+                if held and (conv != now or len(held) == block_rows or chars + len(row[2]) > BLOCK_CHARS):
                     yield made()
                     block, held, chars = block + 1, [], 0
                 now = conv
@@ -231,7 +231,14 @@ def block_edits(kinds: tuple, first: int, last: int) -> tuple[tuple[int, str, st
     return tuple(WAYS[k][s, t] for k, s, t in zip(kinds, states, states[1:], strict=False))
 
 
-_short_table, _short_edits = lru_cache(1 << 15)(block_table), lru_cache(1 << 15)(block_edits)
+@lru_cache(1 << 15)
+def _short_table(kinds: tuple) -> list:
+    return block_table(kinds)
+
+
+@lru_cache(1 << 15)
+def _short_edits(kinds: tuple, first: int, last: int) -> tuple[tuple[int, str, str], ...]:
+    return block_edits(kinds, first, last)
 
 
 def _as_rows(made: list) -> list:
@@ -279,9 +286,9 @@ def _legal(a: str, b: str) -> bool:
     return a + b in ("su", "ua", "au")
 
 
-def _node(children: DataFrame) -> DataFrame:
+def _node(children: DataFrame, fan: int) -> DataFrame:
     """One level of the tree: (conv_id, node) -> the children in order."""
-    return children.groupBy("conv_id", F.floor(F.col("at") / FAN).cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("at", "table"))).alias("children"))
+    return children.groupBy("conv_id", F.floor(F.col("at") / fan).cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("at", "table"))).alias("children"))
 
 
 def placed(sums: DataFrame) -> DataFrame:
@@ -293,10 +300,10 @@ def placed(sums: DataFrame) -> DataFrame:
     return sums.join(bases, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("part") == F.col("_p"))).withColumn("at", F.col("_base") + F.col("block")).drop("_c", "_p", "_base")
 
 
-def planned(sums: DataFrame) -> DataFrame:
+def planned(sums: DataFrame, fan: int = FAN) -> DataFrame:
     """part, block, start, end: the state before and behind every block of ``placed`` summaries.
 
-    Levels are written; each has a ``FAN``-th of the rows of the one below, and there are as many as the longest conversation needs.
+    Levels are written; each has a ``fan``-th of the rows of the one below, and there are as many as the longest conversation needs.
     """
     kind = sums.schema["conv_id"].dataType.simpleString()
     levels = [sums.select("conv_id", "part", "block", "at", "table")]
@@ -309,7 +316,7 @@ def planned(sums: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("node"), pa.array(made, node)], ["conv_id", "at", "table"])
 
     while levels[-1].where("at > 0").limit(1).count():
-        nodes.append(written(_node(levels[-1]), "nodes"))
+        nodes.append(written(_node(levels[-1], fan), "nodes"))
         levels.append(written(nodes[-1].mapInArrow(up, f"conv_id {kind}, at long, table {TABLE}"), "level"))
 
     def top(batches):
@@ -395,17 +402,17 @@ def counted(sums: DataFrame) -> DataFrame:
     return both.groupBy("conv_id").agg(F.coalesce(gaps, F.lit(0)).alias("gaps"), *(F.sum(n).alias(n) for n in ("blank", "duplicate", "truncated")), F.sum(F.col("illegal") + illegal).alias("illegal"))
 
 
-def prepared(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def prepared(rows: DataFrame, block_rows: int, fan: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Blocks, their placed summaries, and the plan."""
-    made = blocks(with_faults(lines(rows)))
+    made = blocks(with_faults(lines(rows)), block_rows)
     sums = written(placed(written(summaries(made), "sums")), "placed")
-    plan = written(planned(sums).join(sums.select("part", "block", "at", "blocks"), ["part", "block"]), "plan")
+    plan = written(planned(sums, fan).join(sums.select("part", "block", "at", "blocks"), ["part", "block"]), "plan")
     return made, sums, plan
 
 
-def repair(rows: DataFrame) -> DataFrame:
+def repair(rows: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """conv_id, at, place, role, text: the repaired turns; ``at`` and ``place`` give their order in the conversation."""
-    made, _, plan = prepared(rows)
+    made, _, plan = prepared(rows, block_rows, fan)
     out = edited(made, broadcast_within(plan, MAX_BROADCAST_PLAN))
     return out.select("conv_id", "at", F.posexplode(F.arrays_zip("roles", "texts")).alias("place", "t")).select("conv_id", "at", "place", F.col("t.roles").alias("role"), F.col("t.texts").alias("text"))
 
@@ -414,12 +421,12 @@ def _text(roles: str, texts: str) -> Column:
     return F.array_join(F.transform(F.arrays_zip(roles, texts), lambda t: F.concat(t[roles], F.lit(":"), t[texts])), "\n")
 
 
-def digests(rows: DataFrame) -> DataFrame:
+def digests(rows: DataFrame, block_rows: int = BLOCK_ROWS, fan: int = FAN) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every conversation of ``rows``.
 
     Conversations of one block are digested where they stand; longer ones are dealt by conversation and streamed in order.
     """
-    made, sums, plan = prepared(rows)
+    made, sums, plan = prepared(rows, block_rows, fan)
     kind = made.schema["conv_id"].dataType.simpleString()
     short = edited(made, broadcast_within(plan.where("blocks = 1"), MAX_BROADCAST_PLAN))
     short = short.select("conv_id", "cost", "audit", F.sha2(_text("roles", "texts"), 256).alias("repaired_sha256"))

@@ -153,21 +153,18 @@ COLUMNS = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit"
 
 
 @pytest.mark.parametrize(("rows_of", "fan"), [(512, 256), (3, 2), (1, 3)])
-def test_repair_equals_all_ways(spark, monkeypatch, rows_of, fan):
+def test_repair_equals_all_ways(spark, rows_of, fan):
     """Also with blocks of a few rows and low fans, so that conversations span blocks, parts and levels."""
-    monkeypatch.setattr(repair, "BLOCK_ROWS", rows_of)
-    monkeypatch.setattr(repair, "FAN", fan)
-    monkeypatch.setattr(repair, "SHORT", 4)
     pick = random.Random(11)
     rows = [r for conv in range(60) for r in random_rows(pick, pick.randrange(1, 9), conv)] + random_rows(pick, 300, None) + random_rows(pick, 90, 77)
     frame = spark.createDataFrame(rows, TURNS).withColumn("cost", F.lit("clash"))
-    got = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in repair.digests(frame).collect()}
+    got = {r["conv_id"]: tuple(r[c] for c in COLUMNS) for r in repair.digests(frame, rows_of, fan).collect()}
     want = {c: plain_repair([r[1:] for r in rows if r[0] == c]) for c in {r[0] for r in rows}}
     assert got.keys() == want.keys()
     for c in want:
         assert got[c] == want[c], (c, [r for r in rows if r[0] == c])
     if rows_of == 3:
-        turns = sorted(((r["conv_id"] or -1, r["at"], r["place"], r["role"], r["text"]) for r in repair.repair(frame).collect()))
+        turns = sorted(((-1 if r["conv_id"] is None else r["conv_id"], r["at"], r["place"], r["role"], r["text"]) for r in repair.repair(frame, rows_of, fan).collect()))
         for c, w in want.items():
             assert sha("\n".join(f"{r}:{t}" for d, _, _, r, t in turns if d == (-1 if c is None else c))) == w[-1]
         assert repair.digests(frame.limit(0)).count() == 0
