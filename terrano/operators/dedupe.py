@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from terrano.operators.components import components
 from terrano.session import written
 
 
@@ -56,10 +60,14 @@ def groups(df: DataFrame, keys: list[str], id_column: str) -> DataFrame:
 
 
 def _cuts(length: int, ratio: float) -> tuple[list[int], int]:
-    """Bounds of the pieces of a shorter name, and how many characters a pair at the ratio may leave unmatched: fewer than pieces."""
+    """Bounds of the pieces of a shorter name, and how many characters a pair at the ratio may leave unmatched.
+
+    Twice as many pieces as a pair may spoil: each unmatched character spoils one at most, so of any ``free + 1`` pieces one is whole.
+    """
     longest = int(length * (2 / ratio - 1) + 1e-6)
     free = int((1 - ratio) * (length + longest) + 1e-6)
-    return [k * length // (free + 1) for k in range(free + 2)], free
+    n = min(length, 2 * (free + 1))
+    return [k * length // n for k in range(n + 1)], free
 
 
 def _own_pieces(x: str, ratio: float) -> list[str]:
@@ -77,12 +85,19 @@ def _pieces_within(x: str, ratio: float) -> list[str]:
     return list(out)
 
 
-def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column | None = None, ratio: float = 0.92) -> DataFrame:
+#: Names that one part of a piece's list holds.
+PIECE_PART = 1000
+
+
+def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column | None = None, ratio: float = 0.92, part: int = PIECE_PART) -> DataFrame:
     """Pairs of different names (of one block, if given) that reach a Ratcliff-Obershelp ratio, with the first id of each name.
 
-    Equal names count once, so copies make no pairs. A pair at the ratio leaves few characters unmatched, so of one
-    piece more than that in the shorter name, one stands whole in the longer near its place: only such pairs are compared.
+    Equal names count once, so copies make no pairs. A pair at the ratio leaves few characters unmatched, so of the pieces
+    of the shorter name all but few stand whole in the longer near their place; of any one more than that, one does. Each name
+    is listed under its rarest pieces only, so a word that a third of all names share lists none that has other pieces;
+    lists of more than ``part`` names are split, and who looks there looks into each part. Empty and null names make no pairs.
     """
+
     @F.pandas_udf("double")
     def alike(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher
@@ -90,18 +105,26 @@ def fuzzy_pairs(df: DataFrame, id_column: str, name: str, block: Column | None =
         made = (SequenceMatcher(None, x, y) for x, y in zip(a, b, strict=True))
         return pd.Series([m.ratio() if m.real_quick_ratio() >= ratio and m.quick_ratio() >= ratio else 0.0 for m in made])
 
-    @F.pandas_udf("array<string>")
-    def own(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: _own_pieces(t, ratio))
+    @F.pandas_udf("struct<pieces: array<string>, needed: int>")
+    def own(x: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"pieces": x.map(lambda t: _own_pieces(t, ratio)), "needed": x.map(lambda t: _cuts(len(t), ratio)[1] + 1)})
 
     @F.pandas_udf("array<string>")
     def within(x: pd.Series) -> pd.Series:
         return x.map(lambda t: _pieces_within(t, ratio))
 
-    rows = df.where(F.col(name).isNotNull()).groupBy(name).agg(F.min(id_column).alias(id_column)).select(id_column, name, (F.lit(0) if block is None else block).alias("_block"))
-    short = rows.select("_block", F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("x"), F.explode(own(name)).alias("piece"))
-    long = rows.select("_block", F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("y"), F.explode(within(name)).alias("piece"))
-    met = short.join(long, ["_block", "piece"]).where("x.id <> y.id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = df.where(F.col(name).isNotNull() & (F.col(name) != "")).groupBy(name).agg(F.min(id_column).alias(id_column)).select(F.struct(F.col(id_column).alias("id"), F.col(name).alias("name")).alias("x"), (F.lit(0) if block is None else block).alias("_block"))
+    rows = written(rows, "names")
+    pieces = written(rows.withColumn("_own", own("x.name")).select("_block", "x", F.col("_own.needed").alias("needed"), F.explode("_own.pieces").alias("piece")), "pieces")
+    counts = pieces.groupBy("_block", "piece").agg(F.count(F.lit(1)).alias("c"))
+    rarest = F.row_number().over(W.partitionBy("_block", "x").orderBy("c", "piece"))
+    listed = written(pieces.join(counts, ["_block", "piece"]).withColumn("_n", rarest).where("_n <= needed").select("_block", "piece", "x"), "listed")
+    parts = listed.groupBy("_block", "piece").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
+    parts = written(parts, "parts")  # the largest list is the greatest number of parts
+    dealt = listed.join(parts, ["_block", "piece"]).withColumn("_part", F.pmod(F.xxhash64("x"), F.col("parts")).cast("int")).drop("parts")
+    looking = rows.select("_block", F.col("x").alias("y"), F.explode(within("x.name")).alias("piece")).join(parts, ["_block", "piece"])
+    looking = looking.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    met = dealt.join(looking, ["_block", "piece", "_part"]).where("x.id <> y.id").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = met.select(F.col("a.id").alias("id_a"), F.col("a.name").alias("name_a"), F.col("b.id").alias("id_b"), F.col("b.name").alias("name_b")).withColumn("ratio", alike("name_a", "name_b"))
     return pairs.where(F.col("ratio") >= ratio).select("id_a", "id_b", "ratio")
 
@@ -140,27 +163,75 @@ def changed(df: DataFrame, stored: str, value: Column) -> DataFrame:
     return df.withColumn("nuevo", value).where(~F.col("nuevo").eqNullSafe(F.col(stored)))
 
 
-def unseen(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+def _settled(left: DataFrame, keys: list[str], order: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that certainly stay, rows that are still open): the first for all their keys stay, those that share a key with these go."""
+    firsts = left
+    for k in keys:
+        first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
+        firsts = firsts.join(first, k, "left")
+    mine = F.lit(True)
+    for k in keys:
+        mine = mine & (F.col(k).isNull() | (F.col(order) == F.col(f"_first_{k}")))
+    stays = written(firsts.where(mine).select(order, *keys), "stays")
+    left = left.join(stays.select(order), order, "left_anti")
+    for k in keys:
+        left = left.join(stays.where(F.col(k).isNotNull()).select(k).distinct(), k, "left_anti")
+    return stays, written(left.select(order, *keys), "left")
+
+
+def _in_turn(left: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The rows of ``left`` that stay, each component of rows that share keys read once in order.
+
+    A component's task holds the keys of rows that stayed until their last row has passed, so a chain of any length needs no memory.
+    """
+    kind = dict(left.dtypes)[order]
+    ends = left
+    for n, k in enumerate(keys):
+        bounds = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_from{n}"), F.max(order).alias(f"_to{n}"))
+        ends = ends.join(bounds, k, "left")
+    ends = written(ends, "ends")
+    links = None
+    for n in range(len(keys)):
+        more = ends.where(F.col(f"_from{n}") < F.col(order)).select(F.col(order).alias("a"), F.col(f"_from{n}").alias("b"))
+        links = more if links is None else links.unionByName(more)
+    placed = ends.join(components(links).select(F.col("id").alias(order), "component"), order, "left").withColumn("component", F.coalesce("component", order))
+    rows = placed.repartition("component").sortWithinPartitions("component", order)
+
+    def run(batches):
+        now, held, ending = None, set(), []  # ending: a heap of (last row, key)
+        for batch in batches:
+            columns = {c: batch.column(c).to_pylist() for c in ("component", order, *keys, *(f"_to{n}" for n in range(len(keys))))}
+            stay = []
+            for i, (component, at) in enumerate(zip(columns["component"], columns[order], strict=True)):
+                if component != now:
+                    now, held, ending = component, set(), []
+                while ending and ending[0][0] < at:
+                    held.discard(heapq.heappop(ending)[1:])
+                own = [(columns[f"_to{n}"][i], n, columns[k][i]) for n, k in enumerate(keys) if columns[k][i] is not None]
+                if not any(o[1:] in held for o in own):
+                    stay.append(at)
+                    for o in own:
+                        held.add(o[1:])
+                        heapq.heappush(ending, o)
+            yield pa.RecordBatch.from_arrays([pa.array(stay, batch.column(order).type)], [order])
+
+    return rows.mapInArrow(run, f"`{order}` {kind}")
+
+
+def unseen(df: DataFrame, keys: list[str], order: str, rounds: int = 2) -> DataFrame:
     """Rows in order, each unless one of its keys was on a row kept before it; null keys meet nothing.
 
-    Rounds: undecided rows that come first for all their keys stay, rows that share a key with these go. A round decides at
-    least the first undecided row, usually nearly all.
+    Nearly all rows are decided by a few rounds of set operations (a round settles every key's first row and what shares a
+    key with one that stays, so keys that many rows share are gone at once). What is left falls into components of rows
+    that share keys; these are independent, and each is read once in order. ``order``: whole numbers without ties.
     """
-    left = df.select(order, *keys)
-    kept = None
-    while True:
-        left = written(left, "left")
-        if not left.limit(1).count():
-            return df.join(kept, order, "left_semi") if kept is not None else df
-        firsts = left
-        for k in keys:
-            first = left.where(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first_{k}"))
-            firsts = firsts.join(first, k, "left")
-        mine = F.lit(True)
-        for k in keys:
-            mine = mine & (F.col(k).isNull() | (F.col(order) == F.col(f"_first_{k}")))
-        stays = written(firsts.where(mine).select(order, *keys), "stays")
-        kept = stays.select(order) if kept is None else kept.union(stays.select(order))
-        left = left.join(stays.select(order), order, "left_anti")
-        for k in keys:
-            left = left.join(stays.where(F.col(k).isNotNull()).select(k), k, "left_anti")
+    left, kept = written(df.select(order, *keys), "left"), []
+    for _ in range(rounds):
+        stays, left = _settled(left, keys, order)
+        kept.append(stays.select(order))
+    if left.limit(1).count():
+        kept.append(written(_in_turn(left, keys, order), "kept"))
+    every = kept[0]
+    for k in kept[1:]:
+        every = every.unionByName(k)
+    return df.join(every, order, "left_semi")
