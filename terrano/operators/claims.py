@@ -28,6 +28,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from terrano.operators.dedupe import first_wins
 from terrano.session import broadcast_within
 
 ENTRY = "id long, kind string, owner string, at timestamp, attempts int"
@@ -35,6 +36,11 @@ ENTRY = "id long, kind string, owner string, at timestamp, attempts int"
 MAX_BROADCAST_CLAIM = 1_000_000
 
 
+def _held(queue: DataFrame, held: DataFrame) -> DataFrame:
+    """The rows of the queue that ``held`` (id, attempts) names, with the log's attempts in place of their own."""
+    return queue.drop("attempts", "owner", "claimed_at").join(broadcast_within(held, MAX_BROADCAST_CLAIM), "id").dropDuplicates(["id"])
+
+
 class Claims:
     """The log of claims in ``folder``."""
 
@@ -86,18 +92,21 @@ class Claims:
         """The last version, 0 for a new log."""
         return max((int(n) for n in self._names("versions") if n.isdigit()), default=0)
 
-    def _snapshot(self, upto: int) -> int:
-        """The last folded version that is not behind ``upto``, 0 if there is none."""
-        return max((int(n.removesuffix(".done")) for n in self._names("folded") if n.endswith(".done") and int(n.removesuffix(".done")) <= upto), default=0)
+    def _snapshot(self, upto: int) -> tuple[int, str]:
+        """The last folded version that is not behind ``upto`` and its table; 0 if there is none. Files that nobody has filled yet do not count."""
+        for n in sorted((int(n) for n in self._names("folded") if n.isdigit() and int(n) <= upto), reverse=True):
+            if path := self._content(f"folded/{n:012d}"):
+                return n, path
+        return 0, ""
 
     def states(self, upto: int | None = None) -> DataFrame:
         """ENTRY and version: the last entry of every row that was ever claimed."""
         upto = self.version() if upto is None else upto
-        base = self._snapshot(upto)
+        base, folded = self._snapshot(upto)
         paths = {v: e["path"] for v in range(base + 1, upto + 1) if (e := self._entry(v))}
         parts = [self.spark.createDataFrame([], ENTRY).withColumn("version", F.lit(0).cast("long"))]
         if base:
-            parts.append(self.spark.read.schema(f"{ENTRY}, version long").parquet(f"{self.folder}/folded/{base:012d}"))
+            parts.append(self.spark.read.schema(f"{ENTRY}, version long").parquet(folded))
         for v, path in paths.items():
             parts.append(self.spark.read.schema(ENTRY).parquet(path).withColumn("version", F.lit(v).cast("long")))
         every = parts[0]
@@ -108,13 +117,10 @@ class Claims:
     def compact(self) -> int:
         """Folds all versions so far into one table, and says which. Doing it twice, or by two runs, changes nothing."""
         upto = self.version()
-        if upto and not self._exists(f"folded/{upto:012d}.done"):
+        if upto > self._snapshot(upto)[0]:
             path = f"{self.folder}/attempts/{uuid.uuid4().hex}"
             self.states(upto).write.parquet(path)
-            if not self._exists(f"folded/{upto:012d}"):
-                self._fs.mkdirs(self._fs_path(f"{self.folder}/folded"))
-                self._fs.rename(self._fs_path(path), self._fs_path(f"{self.folder}/folded/{upto:012d}"))
-            self._create(f"folded/{upto:012d}.done", "done")
+            self._create(f"folded/{upto:012d}", path)
         return upto
 
     # --- entries
@@ -134,9 +140,8 @@ class Claims:
     def _pick(self, queue: DataFrame, n: int, owner: str, as_of: str, order: list[str | Column], version: int) -> DataFrame:
         held = self.states(version)
         free = queue.where(F.col("id").isNotNull()).join(held.select("id", F.col("kind").alias("_kind"), F.col("attempts").alias("_attempts")), "id", "left")
-        free = free.where("_kind is null or _kind = 'back'").orderBy(*order, "id").limit(n)
-        # of equal ids one entry; the limit's rows are as many as the caller works on
-        return free.groupBy("id").agg(F.coalesce(F.max("_attempts"), F.lit(0)).alias("attempts")).select("id", F.lit("claim").alias("kind"), F.lit(owner).alias("owner"), F.lit(as_of).cast("timestamp").alias("at"), "attempts")
+        free = first_wins(free.where("_kind is null or _kind = 'back'"), ["id"], [F.col(o) if isinstance(o, str) else o for o in order])
+        return free.orderBy(*order, "id").limit(n).select("id", F.lit("claim").alias("kind"), F.lit(owner).alias("owner"), F.lit(as_of).cast("timestamp").alias("at"), F.coalesce("_attempts", F.lit(0)).alias("attempts"))
 
     def claim(self, queue: DataFrame, n: int, owner: str, as_of: str, order: list[str | Column]) -> DataFrame:
         """The first ``n`` rows of ``queue`` (pending rows with ``id``) that nobody holds; from now on ``owner`` does."""
@@ -145,7 +150,7 @@ class Claims:
             proposed = self.propose(self._pick(queue, n, owner, as_of, order, version), version)
             mine = self.spark.read.schema(ENTRY).parquet(proposed[1])
             if not proposed[2] or self.commit(proposed):
-                return queue.join(broadcast_within(mine.select("id", "attempts"), MAX_BROADCAST_CLAIM), "id").dropDuplicates(["id"]).withColumns({"owner": F.lit(owner), "claimed_at": F.lit(as_of).cast("timestamp")})
+                return _held(queue, mine.select("id", "attempts")).withColumns({"owner": F.lit(owner), "claimed_at": F.lit(as_of).cast("timestamp")})
 
     def _follow(self, change) -> int:
         """Commits the rows that ``change`` makes of the states, again from the start whenever another was quicker; how many there were."""
@@ -167,3 +172,24 @@ class Claims:
         now = F.lit(as_of).cast("timestamp")
         old = (F.col("kind") == "claim") & (F.col("at") < now - F.make_interval(mins=F.lit(minutes))) & (F.col("attempts") < most)
         return self._follow(lambda states: states.where(old).select("id", F.lit("back").alias("kind"), "owner", now.alias("at"), (F.col("attempts") + 1).alias("attempts")))
+
+
+def until_empty(claims: Claims, queue: DataFrame, n: int, owner: str, as_of: str, order: list[str | Column], handle, most: int | None = None) -> int:
+    """Claims ``n`` rows after another and has them handled until nothing is left, or ``most`` times; how many batches were handled.
+
+    ``handle(rows, batch)`` gets the claim's version as batch and must give the same result when it is called again: what
+    this owner holds from a run that was stopped is handled once more, under the same number, before anything new is claimed.
+    """
+    handled = 0
+    while most is None or handled < most:
+        mine = claims.states().where((F.col("kind") == "claim") & (F.col("owner") == owner))
+        batch = mine.agg(F.min("version")).first()[0]
+        if batch is None:
+            if not claims.claim(queue, n, owner, as_of, order).limit(1).count():
+                return handled
+            continue
+        held = mine.where(F.col("version") == batch).select("id", "attempts")
+        handle(_held(queue, held), batch)
+        claims.finish(held, owner, as_of)
+        handled += 1
+    return handled

@@ -21,8 +21,8 @@ def running_total(df: DataFrame, order: list[str], value: Column, name: str) ->
         starts.append((r["_range"], before))
         before += r["n"] or 0
     inside = F.coalesce(F.sum(value).over(W.partitionBy("_range").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    first = F.broadcast(spark.createDataFrame(starts, "_range int, _before long"))
-    return ranges.withColumn(name, inside).join(first, "_range").withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+    first = F.broadcast(spark.createDataFrame(starts, "_range int, _range_from long"))
+    return ranges.withColumn(name, inside).join(first, "_range").withColumn(name, (F.col(name) + F.col("_range_from")).cast("long")).drop("_range", "_range_from")
 
 
 def select_greedily(rows: DataFrame, reason: Column, key: str, taken: DataFrame, limit: int, order: str) -> DataFrame:
