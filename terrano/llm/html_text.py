@@ -4,13 +4,19 @@ Markup is cut into blocks at block-level tags. Pass one rates every block by the
 its words, its length and the share of its text inside links: good, near good, short (undecided), or bad. Its
 place is one more measure: menus, headers, footers, side matter, forms, adverts, notices and comments are bad;
 inside an article or main element what is near good is good and what the densities reject is undecided, and beside
-one what they accept is bad, unless the article elements hold nothing but links. Pass two gives the undecided the label of their nearest decided neighbours: good if those on both sides
+one what they accept is bad, unless the article elements hold nothing but links. There links speak against a block
+only if it is a list of them: several anchors with little between, or one of several such blocks in a row; a linked title
+or paragraph is part of its article.
+
+On pages in whose blocks the known stop words hardly occur, another language's, a block is prose by what all languages
+share: sentence marks, the last at its end, in some number for its length, few links, and words that do not just repeat.
+Writing without spaces counts two characters as a word. Pass two gives the undecided the label of their nearest decided neighbours: good if those on both sides
 are, near good if one is, else short ones the nearer one's. An article's bounds count as good neighbours. Both passes and the cutting are linear
 in the page.
 
 Defined cases: null or empty html gives '' and 0; unclosed or stray tags are tolerated; text outside any
-block element forms blocks of its own; a page without article is judged by densities alone; equal pages
-get equal texts; input columns that clash with results are replaced.
+block element forms blocks of its own; a page without article is judged by densities alone, in a language without
+known stop words by the signs of prose; equal pages get equal texts; input columns that clash with results are replaced.
 """
 
 from __future__ import annotations
@@ -48,6 +54,14 @@ TOLD_NAMES = re.compile(r"(?i)(?:^|\s)(?:has|with|no|without|is)[_-]\S+")
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 MIN_WORDS, LONG_WORDS, LOW_STOP, HIGH_STOP, MAX_LINK = 10, 25, 0.10, 0.25, 0.5
 GOOD, NEAR, SHORT, BAD = "good", "near", "short", "bad"
+#: Anchors that make a block a list of links, and mostly linked blocks in a row that make one.
+LIST_LINKS = 3
+#: Prose: at most so much of it in links, a sentence mark for so many words at most and at least, so many different ones of a hundred words.
+PROSE_LINK, FEWEST_MARKS, MOST_MARKS, VARIETY = 0.2, 40, 2, 30
+_MARKS = re.compile(r"[.!?\u2026\u3002\uff01\uff1f\uff0e\u0964\u06d4\u061f\u1362\u104b]+")
+_MARK_AT_END = re.compile(_MARKS.pattern + r"[\s\"'\u00bb\u201d\u2019\u300d\u300f)\]]*$")
+#: Letters of writing without spaces between words.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\U00020000-\U0003ffff]")
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^<>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.S
@@ -72,24 +86,32 @@ def _skips(tag: str, attributes: str) -> bool:
 
 
 class Block:
-    __slots__ = ("text", "words", "linked", "stops", "inside", "out", "label")
+    __slots__ = ("text", "words", "linked", "anchors", "stops", "prose", "inside", "out", "label")
 
-    def __init__(self, parts: list[tuple[str, bool]], inside: int, out: bool) -> None:
+    def __init__(self, parts: list[tuple[str, int]], inside: int, out: bool) -> None:
         self.text = " ".join("".join(p for p, _ in parts).split())
         words = _LETTERS.findall(self.text.lower())
-        self.words, self.stops = len(words), sum(w in STOP_WORDS for w in words)
+        unspaced = len(_UNSPACED.findall(self.text))
+        self.words, self.stops = max(len(words), unspaced // 2), sum(w in STOP_WORDS for w in words)
         self.linked = len(" ".join("".join(p for p, a in parts if a).split())) / max(1, len(self.text))
+        self.anchors = len({a for _, a in parts if a})
+        marks = len(_MARKS.findall(self.text))
+        various = len(set(_UNSPACED.findall(self.text) if unspaced > len(words) else words))
+        self.prose = (
+            self.words >= MIN_WORDS and self.linked <= PROSE_LINK and MOST_MARKS * marks <= self.words <= FEWEST_MARKS * marks
+            and 100 * various >= VARIETY * min(100, self.words) and _MARK_AT_END.search(self.text) is not None
+        )
         self.inside, self.out, self.label = inside, out, ""
 
 
 def blocks(page: str) -> list[Block]:
     """The page's non-empty blocks in order. ``inside``: number of the article or main element around, or 0."""
     out: list[Block] = []
-    parts: list[tuple[str, bool]] = []
+    parts: list[tuple[str, int]] = []  # text, the number of the anchor around it or 0
     stack: list[tuple[str, bool, bool]] = []  # tag, starts a skipped part, starts an article
     opened: Counter[str] = Counter()  # tags on the stack
     held: list[int] = []  # places on the stack of skipped parts that no article can be in
-    skipped = articles = links = breaks = number = 0
+    skipped = articles = links = anchor = breaks = number = 0
     raw_until = ""
 
     def flush() -> None:
@@ -106,11 +128,11 @@ def blocks(page: str) -> list[Block]:
             token = m[0]
             if raw_until or token[0] == "<" and len(token) > 1:
                 if not raw_until and token.startswith("<![CDATA["):
-                    parts.append((token[9:].removesuffix("]]>"), links > 0))
+                    parts.append((token[9:].removesuffix("]]>"), anchor if links else 0))
                 continue
             if not token.isspace():
                 breaks = 0
-            parts.append((entities.unescape(token) if "&" in token else token, links > 0))
+            parts.append((entities.unescape(token) if "&" in token else token, anchor if links else 0))
             continue
         tag = tag.lower()
         if raw_until:
@@ -125,7 +147,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag == "br":
             breaks += 1
-            parts.append((" ", False))
+            parts.append((" ", 0))
             if breaks > 1:
                 flush()
             continue
@@ -155,7 +177,8 @@ def blocks(page: str) -> list[Block]:
             skipped += skip
             if skip and tag in HOLDERS:
                 held.append(len(stack))
-            links += tag == "a"
+            if tag == "a":
+                links, anchor = links + 1, anchor + 1
             opened[tag] += 1
             stack.append((tag, skip, starts))
         elif opened[tag]:
@@ -173,8 +196,8 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def rating(b: Block) -> str:
-    """A block by its own measures: GOOD, NEAR (good), SHORT (undecided) or BAD."""
+def rating(b: Block, foreign: bool = False) -> str:
+    """A block by its own measures: GOOD, NEAR (good), SHORT (undecided) or BAD. ``foreign``: on a page without known stop words."""
     density = b.stops / max(1, b.words)
     if b.linked > MAX_LINK:
         return BAD if b.words else SHORT
@@ -182,11 +205,23 @@ def rating(b: Block) -> str:
         return BAD if b.linked > 0 and not b.inside else SHORT
     if density >= HIGH_STOP:
         return GOOD
-    if density >= LOW_STOP:
+    if density >= LOW_STOP or foreign and b.prose:
         return GOOD if b.words > LONG_WORDS else NEAR
     return BAD
 
 
+def lists_of_links(found: list[Block]) -> list[bool]:
+    """Whether each block is mostly links and a list of them, or one of several such blocks in a row."""
+    out = [b.linked > MAX_LINK and b.anchors >= LIST_LINKS for b in found]
+    at = 0
+    for i in range(len(found) + 1):
+        if i == len(found) or found[i].linked <= MAX_LINK or found[i].inside != found[at].inside:
+            if i - at >= LIST_LINKS:
+                out[at:i] = [True] * (i - at)
+            at = i if i < len(found) and found[i].linked > MAX_LINK else i + 1
+    return out
+
+
 def _nearest(found: list[Block], rated: list[str], order: range) -> list[tuple[int, str] | None]:
     """For each block the nearest one before it, in the order given, that is decided and of the same part of the page."""
     out: list[tuple[int, str] | None] = [None] * len(found)
@@ -201,12 +236,14 @@ def _nearest(found: list[Block], rated: list[str], order: range) -> list[tuple[i
 
 def label(found: list[Block]) -> None:
     """Both passes: sets every block's label to good or bad."""
-    rated = [rating(b) for b in found]
+    told = [b for b in found if not b.out and b.linked <= MAX_LINK and b.words >= MIN_WORDS]
+    foreign = sum(b.stops for b in told) < LOW_STOP * sum(b.words for b in told)
+    rated, listed = [rating(b, foreign) for b in found], lists_of_links(found)
     articles = any(b.inside and not b.out and b.linked <= MAX_LINK for b in found)
     for i, b in enumerate(found):
         if b.out or articles and not b.inside:
             rated[i] = BAD
-        elif b.inside and b.linked <= MAX_LINK and rated[i] != GOOD:
+        elif b.inside and not listed[i] and rated[i] != GOOD:
             rated[i] = GOOD if rated[i] == NEAR else SHORT
     ahead, back = _nearest(found, rated, range(len(found) - 1, -1, -1)), _nearest(found, rated, range(len(found)))
     for i, b in enumerate(found):

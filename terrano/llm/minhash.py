@@ -393,8 +393,8 @@ def bodies_of(docs: DataFrame, classes: DataFrame, needed: DataFrame, doc_id: st
     return written(found.mapInArrow(run, "node binary, set binary"), "bodies")
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", list_limit: int = LIST_LIMIT, max_broadcast: int = MAX_BROADCAST_VALUES, percent: int = PERCENT) -> DataFrame:
-    """One row for each document: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", list_limit: int = LIST_LIMIT, max_broadcast: int = MAX_BROADCAST_VALUES, percent: int = PERCENT, with_hash: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_shingles, component_id, kept; ``with_hash``: and text_hash, xxhash64 of the text."""
     sets = written(sketches(docs, doc_id, text), "sets")
     named = sets.where(F.col("node").isNotNull() & F.col("id").isNotNull())
     repeats = named.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").limit(1).count() > 0
@@ -405,13 +405,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     near = classes.select("node", F.col("rep.id").alias("rep")).join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label"))
     lowest = near.groupBy("label").agg(F.min("rep").alias("component_id"))
     of_class = near.join(lowest, "label").select("node", "component_id")
-    own = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("node")).alias("node"))
+    own = sets.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.col("node")).alias("node"), *([F.col("h").alias("text_hash")] if with_hash else []))
     out = join_hot(own, of_class, "node", classes.select("node", "c"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), *(["text_hash"] if with_hash else [])).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that stay, with all columns: the smallest id of each component; of rows that repeat an id, all."""
-    gone = near_duplicates(docs, doc_id, text, **options).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col(doc_id).cast("long") == F.col("_gone"), "left_anti")
+    """The documents that stay, with all columns: those that hold the smallest id of their component, and what has no id, words or text.
+
+    Rows that repeat an id are judged each by its own text: one stays if its text's component begins with its id.
+    """
+    judged = near_duplicates(docs, doc_id, text, with_hash=True, **options).where(~F.col("kept"))
+    gone = judged.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (F.col(doc_id).cast("long") == F.col("_gone")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")

@@ -352,9 +352,42 @@ def test_html_rules_on_pages_without_articles(spark, monkeypatch):
     assert measured()[0] < precision - 0.005  # the second pass matters
     monkeypatch.undo()
     monkeypatch.setattr(html_text, "STOP_WORDS", frozenset())
+    assert measured()[0] > 0.95  # where no stop words are known, the signs of prose take in no more of what is none
+    monkeypatch.setattr(html_text, "MOST_MARKS", 10**9)
     assert measured()[1] < 0.5  # and so do the stop words
 
 
+PROSE = {
+    "ru": ["Вчера утром комитет собрался в старом здании у реки, чтобы обсудить план на следующий год.", "Жители долго спорили о новой дороге, и многие говорили, что она пройдёт слишком близко к лесу!", "Решение отложили до весны, когда вода спадёт и станет ясно, сколько это будет стоить."],
+    "it": ["Ieri mattina i cittadini hanno discusso per ore davanti alla vecchia stazione, senza trovare alcun accordo.", "Secondo gli esperti servono almeno dieci anni affinché quei boschi tornino verdi come prima.", "Nessuno sa dire quando arriveranno i soldi promessi dal governo."],
+    "ja": ["昨日の朝、委員会は川のそばの古い建物に集まり、来年の計画について話し合った。", "住民は新しい道路について長い間議論し、多くの人が森に近すぎると言った。", "決定は水が引いて費用が分かる春まで延期されることになった。"],
+}
+MENU = "<ul>" + "".join(f"<li><a href='/{i}'>Раздел {i}</a></li>" for i in range(6)) + "</ul>"
+
+
+@pytest.mark.parametrize("lang", sorted(PROSE))
+def test_html_prose_in_other_languages(lang):
+    page = f"<html><body>{MENU}<div>{'</div><div>'.join(PROSE[lang])}</div><div>Foto Foto Foto Foto Foto Foto Foto Foto Foto Foto Foto Foto</div>{MENU}</body></html>"
+    assert html_text.main_text(page).split("\n") == PROSE[lang]
+
+
+def test_html_links_in_articles():
+    good = "<p>The house is on the hill and it was there for all of the years that we were in the town.</p>"
+    linked = "<p><a href='/r'>Full report of the committee on the river and the town</a></p>"
+    page = f"<article><h1><a href='/x'>The title of the story</a></h1>{good}{linked}{good}</article>"
+    assert html_text.main_text(page).split("\n")[::2] == ["The title of the story", "Full report of the committee on the river and the town"]
+    assert len(html_text.main_text(page).split("\n")) == 4
+    assert html_text.main_text(f"<article>{good}{linked * 3}{good}</article>").count("\n") == 1  # three in a row are a list
+    alone = "<article><h2><a href='/x'>Only a linked line</a></h2></article>"
+    assert html_text.main_text(alone) in ("", "Only a linked line")
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    a, b = "one two three four five six seven", "something else that nobody has said before now"
+    docs = spark.createDataFrame([(1, a, "x"), (5, a, "y"), (5, b, "z"), (6, None, "n"), (7, "", "e")], "doc_id long, text string, _hash string")
+    assert sorted((r["doc_id"], r["_hash"]) for r in minhash.keep_first(docs).collect()) == [(1, "x"), (5, "z"), (6, "n"), (7, "e")]
+
+
 def test_html_inside_articles():
     junk = "<p>" + " ".join(f"<a href={i}>tag{i}</a>" for i in range(12)) + "</p>"
     words = "<p>Qzx wvut srqp onml kjih gfed cba zyx wvu tsr qpo nml.</p>"
