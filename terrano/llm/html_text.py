@@ -203,9 +203,9 @@ def rating(b: Block, foreign: bool = False) -> str:
         return BAD if b.words else SHORT
     if b.words < MIN_WORDS:
         return BAD if b.linked > 0 and not b.inside else SHORT
-    if density >= HIGH_STOP:
+    if density >= HIGH_STOP or foreign and b.prose:
         return GOOD
-    if density >= LOW_STOP or foreign and b.prose:
+    if density >= LOW_STOP:
         return GOOD if b.words > LONG_WORDS else NEAR
     return BAD
 

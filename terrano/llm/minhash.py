@@ -417,5 +417,8 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **op
     Rows that repeat an id are judged each by its own text: one stays if its text's component begins with its id.
     """
     judged = near_duplicates(docs, doc_id, text, with_hash=True, **options).where(~F.col("kept"))
-    gone = judged.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, (F.col(doc_id).cast("long") == F.col("_gone")) & (F.xxhash64(text) == F.col("_hash")), "left_anti")
+    gone = "_gone"
+    while gone in docs.columns:
+        gone += "_"
+    own = F.struct(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"))
+    return docs.join(judged.select(F.struct("doc_id", "text_hash").alias(gone)).distinct(), own == F.col(gone), "left_anti")
