@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terrano.functions import images as I, normalize as N, parsing as P, places as L, urls as U
 from terrano.operators.dedupe import cross_owner, first_wins
+from terrano.session import written
 
 #: Points that warnings take from a row without a score of its own.
 PENALTIES = ((("missing_location",), 15), (("missing_type", "invalid_type"), 15), (("missing_images",), 10), (("invalid_price", "invalid_currency"), 20), (("invalid_operation",), 20))
@@ -152,6 +153,6 @@ def first_reasons(rows: DataFrame, lookups: list[tuple[str, str, DataFrame]]) ->
 
 def imported(captures: DataFrame, sources: DataFrame, known_hashes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(raw rows to add, warnings by capture) of an import: sources resolved, rows checked and made, copies and known rows left out."""
-    made = candidates(resolved(captures, sources))
+    made = written(candidates(resolved(captures, sources)), "candidates")  # some fifty expressions a row, read several times below
     rows = new_rows(marked(made.where(~F.col("rejected"))), known_hashes)
     return rows, made.select("pos", F.explode("warnings").alias("issue_type"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from terrano.functions import display, names, urls as U
 from terrano.operators import dedupe, geocode, imports, lifecycle, manifest, merge, publishing, reports, runs, search
 from terrano.plans.listing_sql import AGENCIES, AS_OF as SQL_AS_OF, ITEMS, LISTINGS, QUEUE, validated
+from terrano.session import written
 from terrano.sources.adapters import AS_OF, agencies, listings, queue, raw_listings, run_items, table
 
 S, D = SparkSession, DataFrame
@@ -113,9 +114,9 @@ def prj04_search_model(s: S, d: str) -> D:
 
 
 @query(f"""WITH {MODEL} SELECT id, price, rooms, "totalArea", status FROM m WHERE operation IN ('venta') AND currency = 'USD' AND price >= 20000 AND price <= 400000 AND rooms >= 0 AND bathrooms >= 0 AND ("totalArea" <= 0 OR "totalArea" >= 20) AND ("coveredArea" <= 0 OR "coveredArea" <= 140)
-AND "hasRealImage" AND status NOT IN ('vendida', 'alquilada', 'no_detectada_en_ultimo_scraping') AND (contains(lower(title), 'casa') OR contains("propertyType", 'casa'))""")
+AND "hasRealImage" AND status NOT IN ('vendida', 'alquilada', 'no_detectada_en_ultimo_scraping') AND (contains(lower(title), 'departamento') OR contains("propertyType", 'departamento'))""")
 def flt03_page_filters(s: S, d: str) -> D:
-    f = {"operation": "venta", "currency": "USD", "propertyType": "all", "minPrice": 20000, "maxPrice": 400000, "minRooms": 0, "minBathrooms": 0, "minTotalArea": 20, "maxCoveredArea": 140, "hasRealImage": True, "hasCoordinates": True, "onlyAvailable": True, "query": "CASÁ"}
+    f = {"operation": "venta", "currency": "USD", "propertyType": "all", "minPrice": 20000, "maxPrice": 400000, "minRooms": 0, "minBathrooms": 0, "minTotalArea": 20, "maxCoveredArea": 140, "hasRealImage": True, "hasCoordinates": True, "onlyAvailable": True, "query": "DEPARTAMÉNTO"}
     model = display.search_model(view(s, d)).drop("description", "address", "neighborhood", "city", "province", "agencyName")
     return search.page_filter(model, f, AS_OF).select("id", "price", "rooms", "totalArea", "status")
 
@@ -146,9 +147,9 @@ def flt34_by_id(s: S, d: str) -> D:
     return properties(s, d).where("id = 33").limit(1).select("id", "titulo", "precio")
 
 
-@query(f"WITH {PROPS} SELECT id, url FROM props WHERE estado = 'activa' AND starts_with(url, 'https://norte.com/')")
+@query(f"WITH {PROPS} SELECT id, url FROM props WHERE estado = 'activa' AND starts_with(url, 'https://casas.com.ar/')")
 def flt37_active_urls(s: S, d: str) -> D:
-    return properties(s, d).where((F.col("estado") == "activa") & F.col("url").startswith("https://norte.com/")).select("id", "url")
+    return properties(s, d).where((F.col("estado") == "activa") & F.col("url").startswith("https://casas.com.ar/")).select("id", "url")
 
 
 @query(f"WITH {PROPS} SELECT id FROM props WHERE ciudad IS NULL OR provincia IS NULL")
@@ -556,7 +557,7 @@ u AS (SELECT *, row_number() OVER (PARTITION BY agency, c ORDER BY pos) AS k FRO
 x AS (SELECT *, length(a) > 5 AND row_number() OVER (PARTITION BY a ORDER BY pos) > 1 AS same_address FROM v)
 SELECT pos, agency AS inmobiliaria_id, titulo, precio, moneda, tipo_propiedad, operacion, ciudad, provincia, direccion_raw, cross_agency, same_address FROM x WHERE pos % 16 <> 0""")
 def pip01_import_rows(s: S, d: str) -> D:
-    made = imports.candidates(imports.resolved(captures(s, d), capture_sources(s, d))).where(~F.col("rejected"))
+    made = written(imports.candidates(imports.resolved(captures(s, d), capture_sources(s, d))), "candidates").where(~F.col("rejected"))
     rows = imports.marked(made)
     known = rows.where("pos % 16 = 0").select("hash_dedup")
     return imports.new_rows(rows, known).select("pos", "inmobiliaria_id", "titulo", "precio", "moneda", "tipo_propiedad", "operacion", "ciudad", "provincia", "direccion_raw", "cross_agency", "same_address")
