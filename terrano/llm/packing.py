@@ -10,10 +10,14 @@ has the place of any quantum: deficits carry across windows and partitions witho
 is left of each queue below a quantum is packed end to end behind all quanta, so only the last window can
 be short.
 
+A window holds the mixture as closely as its quanta are fine: of S queues each lacks or exceeds its target by a
+third of a quantum on average. So the quantum is chosen from the number of queues, as the largest power of two
+at which these thirds come to ``DEVIATION`` of a window, but ``FINEST`` tokens at least and ``COARSEST`` at
+most: with 20 queues of a 1024-token window 8 tokens. With more than about a hundred queues no window can hold them all in
+proportion; then proportions hold over as many windows as ``FINEST`` asks for.
+
 Up to ``max_held`` queues every task holds all totals and finds places by the closed form; beyond that the
-quanta are ranked by a distributed sort on the same rounds. Both give the same windows. A window of 1024
-tokens holds four quanta, so no single window can hold more than four sources: proportions hold over
-rounds, not inside every window, where there are more.
+quanta are ranked by a distributed sort on the same rounds. Both give the same windows.
 
 Defined cases: a null text counts as empty (one end id); a null source is the queue ''; weights are
 numbers of any kind and need not sum to one; queues of weight 0, and those that given weights do not name,
@@ -40,7 +44,9 @@ from terrano.llm.arrow_map import slices
 from terrano.session import broadcast_within, written
 
 WINDOW = 1024
-QUANTUM = 256
+COARSEST, FINEST = 256, 4
+#: Tokens of a window that may lie off its target proportions on average, as a share of the window.
+DEVIATION = 0.1
 END_ID = 0
 #: Queues up to which each task holds all totals.
 MAX_HELD_QUEUES = 4096
@@ -67,6 +73,14 @@ def encoder(path: str) -> tiktoken.Encoding:
     return _encoders[path]
 
 
+def quantum_for(queues: int, window: int = WINDOW) -> int:
+    """Tokens of a quantum for so many queues: a power of two that divides the window."""
+    quantum = 1
+    while quantum * 2 <= COARSEST and window % (quantum * 2) == 0 and (quantum * 2 <= FINEST or quantum * 2 * queues <= 3 * DEVIATION * window):
+        quantum *= 2
+    return quantum
+
+
 def token_ids(enc: tiktoken.Encoding, text: str) -> list[int]:
     """Ids as the tokenizers library gives them without added special tokens."""
     return enc.encode(text, allowed_special="all") if _SPECIAL in text else enc.encode_ordinary(text)
@@ -109,7 +123,7 @@ def whole_weights(weights: dict[str, float]) -> dict[str, int]:
 class Schedule:
     """Where each quantum of each queue goes. ``totals``: tokens by queue; ``weights``: target proportions, by default the totals' own."""
 
-    def __init__(self, totals: dict[str, int], window: int = WINDOW, quantum: int = QUANTUM, weights: dict[str, float] | None = None) -> None:
+    def __init__(self, totals: dict[str, int], window: int = WINDOW, quantum: int = COARSEST, weights: dict[str, float] | None = None) -> None:
         if window % quantum:
             raise ValueError("the quantum must divide the window")
         self.names = sorted(totals)
@@ -221,7 +235,7 @@ def pack(
     docs: DataFrame,
     vocabulary: str | None = None,
     window: int = WINDOW,
-    quantum: int = QUANTUM,
+    quantum: int | None = None,
     weights: dict[str, float] | None = None,
     max_broadcast: int = MAX_BROADCAST_TOTALS,
     with_ids: bool = False,
@@ -230,7 +244,7 @@ def pack(
     source: str = "source",
     max_held: int = MAX_HELD_QUEUES,
 ) -> DataFrame:
-    """One row per piece (PIECES; with ``ids`` array if asked for).
+    """One row per piece (PIECES; with ``ids`` array if asked for). ``quantum``: by default chosen from the number of queues.
 
     Tokenised once and written; at most ``max_held`` totals by queue reach the driver.
     """
@@ -238,6 +252,7 @@ def pack(
     sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "totals")
     by_queue = sums.groupBy("queue").agg(F.sum("n").alias("n"))
     held = by_queue.limit(max_held + 1).collect()  # bounded
+    quantum = quantum or quantum_for(len(held), window)
     before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = tokens.join(broadcast_within(base, max_broadcast), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")

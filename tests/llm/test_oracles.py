@@ -56,7 +56,29 @@ def test_windows_hold_the_mixture(spark, sf):
     ahead = wide.cumsum().to_numpy() - filled[:, None] * share.to_numpy()[None]
     behind = -ahead[:-10]
     # a queue lacks at most half a quantum after a round, and what the round under way still owes it
-    assert behind.max() <= packing.QUANTUM / 2 + (share.to_numpy()[None] * packing.WINDOW).max() + packing.QUANTUM
+    quantum = packing.quantum_for(wide.shape[1])
+    assert behind.max() <= quantum / 2 + (share.to_numpy()[None] * packing.WINDOW).max() + quantum
+
+
+def test_every_window_holds_the_mixture(spark):
+    """Window by window: the tokens that lie off their source's target, over full windows of all sources' quanta."""
+    from terrano.llm import packing
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pieces = packing.pack(docs).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "sequence_id").agg(F.sum("length").alias("n")).toPandas()
+    wide = pieces.pivot(index="sequence_id", columns="source", values="n").fillna(0).sort_index()
+    wide = wide[wide.sum(axis=1) == packing.WINDOW].iloc[:-1]
+    share = (wide.sum() / wide.to_numpy().sum()).to_numpy()
+    off = np.abs(wide.to_numpy() / packing.WINDOW - share[None]).sum(axis=1)
+    assert wide.shape[1] > 10 and off.mean() < packing.DEVIATION and off.max() < 0.3
+
+
+@pytest.mark.parametrize(("queues", "window"), [(1, 1024), (2, 1024), (20, 1024), (500, 1024), (20, 1000), (3, 7)])
+def test_quantum_divides_the_window(queues, window):
+    from terrano.llm import packing
+
+    quantum = packing.quantum_for(queues, window)
+    assert window % quantum == 0 and 1 <= quantum <= packing.COARSEST and (quantum <= packing.FINEST or quantum * queues <= 3 * packing.DEVIATION * window)
 
 
 def test_token_counts_equal_a_recount(spark, sf):
