@@ -34,13 +34,13 @@ NOT_AGENCY_STARTS = (
 )
 #: Property types by their names, whole.
 TYPE_NAMES = {
-    "departamento": "departamento, depto, ph, departamento interno, departamentointerno, monoambiente, piso, apt, flat",
-    "casa": "casa, chalet, casa quinta, quinta, casas, duplex, dúplex, triplex, tríplex",
-    "terreno": "terreno, lote, loteo, parcela, solar, terrenos/lotes, terrenos",
-    "local": "local, local comercial, negocio, locales",
-    "oficina": "oficina, oficina comercial, office, oficinas",
-    "cochera": "cochera, garage, garaje, cocheras",
-    "galpon": "galpon, galpón, galpones",
+    "departamento": ("departamento", "depto", "ph", "departamento interno", "departamentointerno", "monoambiente", "piso", "apt", "flat"),
+    "casa": ("casa", "chalet", "casa quinta", "quinta", "casas", "duplex", "dúplex", "triplex", "tríplex"),
+    "terreno": ("terreno", "lote", "loteo", "parcela", "solar", "terrenos/lotes", "terrenos"),
+    "local": ("local", "local comercial", "negocio", "locales"),
+    "oficina": ("oficina", "oficina comercial", "office", "oficinas"),
+    "cochera": ("cochera", "garage", "garaje", "cocheras"),
+    "galpon": ("galpon", "galpón", "galpones"),
 }
 GARBLED = "[ÃÂ�]"
 #: Garbled letters that the search page replaces, in order.
@@ -153,7 +153,7 @@ def type_name(x: Column) -> Column:
     low = F.lower(F.trim(F.coalesce(x, F.lit(""))))
     out = F.lit("otro")
     for kind, names in TYPE_NAMES.items():
-        out = F.when(low.isin(*names.split(", ")), kind).otherwise(out)
+        out = F.when(low.isin(*names), kind).otherwise(out)
     return out
 
 

@@ -9,14 +9,14 @@ from pyspark.sql import Column, functions as F
 #: Canonical operations, and the words for them in captured listings.
 OPERATIONS = ("venta", "alquiler", "alquiler_temporario", "consultar", "venta_y_alquiler")
 OPERATION_WORDS = {
-    "venta": "venta, sale, sell, compra, en venta, for sale",
-    "alquiler": "alquiler, alq, rent, rental, arrendamiento, locacion, locación, en alquiler, for rent",
-    "alquiler_temporario": "temporario, temporal, temporaria, alquiler temporario, alquiler temporal, vacation, turistico, turístico, por dia, por día, por semana, short term",
+    "venta": ("venta", "sale", "sell", "compra", "en venta", "for sale"),
+    "alquiler": ("alquiler", "alq", "rent", "rental", "arrendamiento", "locacion", "locación", "en alquiler", "for rent"),
+    "alquiler_temporario": ("temporario", "temporal", "temporaria", "alquiler temporario", "alquiler temporal", "vacation", "turistico", "turístico", "por dia", "por día", "por semana", "short term"),
 }
 IMPORT_OPERATION_WORDS = {
-    "venta": "venta, en venta, sale, for sale",
-    "alquiler": "alquiler, en alquiler, alq, rent, for rent",
-    "alquiler_temporario": "temporario, temporal, temporaria, alquiler temporario, alquiler temporal, por dia, por día, por semana, short term",
+    "venta": ("venta", "en venta", "sale", "for sale"),
+    "alquiler": ("alquiler", "en alquiler", "alq", "rent", "for rent"),
+    "alquiler_temporario": ("temporario", "temporal", "temporaria", "alquiler temporario", "alquiler temporal", "por dia", "por día", "por semana", "short term"),
 }
 SALE_WORDS, RENT_WORDS = "venta|sale|sell|compra", "alquiler|rent"
 #: How captured prices and areas are written. A sign needs a letter or digit behind it to tell of dollars.
@@ -93,10 +93,10 @@ def locale_number(x: Column) -> Column:
     return F.when(F.contains(t, F.lit(",")), F.replace(F.replace(t, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(t).try_cast("double")
 
 
-def _worded(key: Column, words: dict[str, str]) -> Column:
+def _worded(key: Column, words: dict[str, tuple[str, ...]]) -> Column:
     known = F.when(key.isin(*OPERATIONS), key)
     for to, names in words.items():
-        known = known.when(key.isin(*names.split(", ")), to)
+        known = known.when(key.isin(*names), to)
     return known
 
 
