@@ -1,11 +1,14 @@
 """Token totals by source, language and tokenizer version, kept up to date by signed deltas.
 
 A ledger is a folder of batches. Each batch holds changes of documents (the count that is revoked and the
-count that now holds), in buckets of their ids, and the additive deltas of the totals. A batch counts once its
-marker exists, which is created last and only if absent; writing a batch again under the same id replaces what an interrupted
-try left and is ignored after the marker. Totals are the sums of all committed deltas, so they never need
-the documents again. A commit reads the state of the buckets it touches only; compact() folds all batches
-so far into one snapshot, which later commits and totals start from.
+count that now holds), sorted by buckets of their ids, and the additive deltas of the totals. Every try to commit a
+batch writes into a folder of its own, and nothing is ever overwritten; a batch counts once its marker exists, which is
+created last, only if absent, and names the try that counts. So a second writer of a batch, or one that dies on
+the way, changes nothing. A marker that its writer never filled stands for no try; after ``PATIENCE`` seconds the next
+writer sets another beside it, and of several the last that names a try holds. Totals are the sums of all committed
+deltas, so they never need the documents again. A commit reads the row groups of the buckets it touches only, and
+there are many more of these than a batch of some documents touches; compact() folds all batches so far into one
+snapshot, which later commits and totals start from.
 
 Defined cases: null source or language are groups of their own; a null text has no tokens but counts as a
 document; a delete of an unknown document changes nothing; a revision of an unknown one inserts it; a
@@ -16,6 +19,8 @@ the changes are ignored; an empty batch commits and adds nothing.
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -30,8 +35,10 @@ GROUPS = ["source", "lang", "tokenizer_version"]
 CHANGE = "doc_id long, tokenizer_version string, source string, lang string, n_tokens long"
 STATE = CHANGE + ", gone boolean, bucket int, batch int"
 DELTA = "source string, lang string, tokenizer_version string, d_docs long, d_tokens long, batch int"
-#: Folders that a batch's changes are dealt to by hash of the document id.
-BUCKETS = 16
+#: Buckets of document ids, by hash; files are sorted by them.
+BUCKETS = 4096
+#: Seconds after which a marker without content counts as left behind.
+PATIENCE = 10.0
 
 #: Native tokenizers by version.
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {
@@ -74,33 +81,62 @@ class Ledger:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _path(self, kind: str, batch: int | None = None) -> str:
-        return f"{self.root}/{kind}" + (f"/batch={batch}" if batch is not None else "")
+    def _path(self, kind: str, batch: int | None = None, attempt: str | None = None) -> str:
+        return f"{self.root}/{kind}" + (f"/batch={batch}" if batch is not None else "") + (f"/try={attempt}" if attempt else "")
 
     def _fs(self, path: str):
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _named(self, kind: str) -> list[int]:
-        fs, p = self._fs(self._path(kind))
-        return sorted(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(p)) if fs.exists(p) else []
+    def _said(self, path: str) -> str:
+        fs, p = self._fs(path)
+        stream = fs.open(p)
+        try:
+            return bytes(stream.readAllBytes()).decode()
+        finally:
+            stream.close()
 
-    def _mark(self, kind: str, batch: int) -> None:
-        """Creates the marker; fails if it is there, so of two writers of a batch one counts."""
-        fs, p = self._fs(self._path(kind, batch))
-        fs.create(p, False).close()
+    def _named(self, kind: str) -> dict[int, str]:
+        """The try of each batch that counts, by batch in ascending order."""
+        fs, p = self._fs(self._path(kind))
+        names = sorted(tuple(map(int, s.getPath().getName().split("=")[1].split("."))) for s in fs.listStatus(p)) if fs.exists(p) else []
+        return {batch: said for batch, n in names if (said := self._said(f"{self._path(kind)}/batch={batch}.{n}"))}
+
+    def _mark(self, kind: str, batch: int, attempt: str) -> bool:
+        """Whether this try of the batch is the one that counts; false if another was first."""
+        for n in range(1 << 30):
+            name = f"{self._path(kind)}/batch={batch}.{n}"
+            fs, p = self._fs(name)
+            try:
+                out = fs.create(p, False)
+            except Exception as e:  # the file system's own exception, wrapped
+                if "AlreadyExists" not in str(e) and "already exists" not in str(e).lower():
+                    raise
+                until = time.monotonic() + PATIENCE
+                while not self._said(name) and time.monotonic() < until:
+                    time.sleep(0.05)
+                if self._said(name):
+                    return False
+                continue
+            out.write(attempt.encode())
+            out.close()
+            return True
+        return False
 
     def committed(self) -> list[int]:
-        """Ids of the batches that count: one marker each."""
-        return self._named("markers")
+        """Ids of the batches that count."""
+        return list(self._named("markers"))
 
     def _read(self, kind: str, schema: str) -> DataFrame:
         """The latest snapshot and the batches after it."""
-        base = self._named("snapshot-markers")[-1:]
-        paths = [self._path(f"snapshot-{kind}", b) for b in base] + [self._path(kind, b) for b in self.committed() if not base or b > base[0]]
-        if not paths:
+        names = [x.split()[0] for x in schema.split(", ")]
+        base = list(self._named("snapshot-markers").items())[-1:]
+        later = [(b, t) for b, t in self._named("markers").items() if not base or b > base[0][0]]
+        parts = [
+            self.spark.read.schema(schema).option("basePath", self._path(k)).parquet(*(self._path(k, b, t) for b, t in which)).select(*names) for k, which in ((f"snapshot-{kind}", base), (kind, later)) if which
+        ]
+        if not parts:
             return self.spark.createDataFrame([], schema)
-        parts = [self.spark.read.schema(schema).option("basePath", self._path(k)).parquet(*ps) for k in (f"snapshot-{kind}", kind) if (ps := [p for p in paths if p.startswith(self._path(k) + "/")])]
         return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
     def current(self, buckets: list[int] | None = None) -> DataFrame:
@@ -120,22 +156,25 @@ class Ledger:
     def _bucket() -> Column:
         return F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
+    def _sorted(self, changes: DataFrame) -> DataFrame:
+        """With bucket, in files of ranges of buckets: readers skip the row groups of others."""
+        return changes.withColumn("bucket", self._bucket()).repartitionByRange(int(self.spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+
     def compact(self) -> bool:
         """Fold all committed batches into a snapshot; False if there is none since the last."""
-        done, last = self.committed(), self._named("snapshot-markers")[-1:]
+        done, last = self.committed(), list(self._named("snapshot-markers"))[-1:]
         if not done or last and last[0] >= done[-1]:
             return False
-        rows = self.current().select("*", F.lit(False).alias("gone"), self._bucket())
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(self._path("snapshot-changes", done[-1]))
+        attempt = uuid.uuid4().hex
+        self._sorted(self.current().select("*", F.lit(False).alias("gone"))).write.parquet(self._path("snapshot-changes", done[-1], attempt))
         sums = self.totals().select(*GROUPS, F.col("n_docs").alias("d_docs"), F.col("n_tokens").alias("d_tokens"))
-        sums.write.mode("overwrite").parquet(self._path("snapshot-deltas", done[-1]))
-        self._mark("snapshot-markers", done[-1])
-        return True
+        sums.write.parquet(self._path("snapshot-deltas", done[-1], attempt))
+        return self._mark("snapshot-markers", done[-1], attempt)
 
     def commit(self, batch: int, upserts: DataFrame | None = None, deletes: DataFrame | None = None) -> bool:
         """Apply a batch once. upserts: CHANGE rows, inserts or revised counts; deletes: (doc_id, tokenizer_version), or doc_id alone for all versions.
 
-        False if the batch was committed before. Batches are applied in ascending order of id.
+        False if the batch was committed before, or meanwhile by another. Batches are applied in ascending order of id.
         """
         done = self.committed()
         if batch in done:
@@ -157,8 +196,9 @@ class Ledger:
             parts.append(old.select(*KEYS, "source", "lang", F.lit(0).cast("long").alias("n_tokens"), F.lit(True).alias("gone")))
         new = parts[0] if parts else self.spark.createDataFrame([], CHANGE + ", gone boolean")
         new = new.unionByName(parts[1]) if len(parts) > 1 else new
-        path = self._path("changes", batch)
-        new.withColumn("bucket", self._bucket()).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        attempt = uuid.uuid4().hex
+        path = self._path("changes", batch, attempt)
+        self._sorted(new).write.parquet(path)
         new = self.spark.read.schema(CHANGE + ", gone boolean, bucket int").parquet(path)
         added = new.where(~F.col("gone")).select(*GROUPS, F.lit(1).alias("d"), "n_tokens")
         if done and parts:
@@ -166,6 +206,5 @@ class Ledger:
             revoked = self.current(touched).join(new.select(*KEYS), KEYS, "left_semi")
             added = added.union(revoked.select(*GROUPS, F.lit(-1).alias("d"), (-F.col("n_tokens")).alias("n_tokens")))
         sums = added.groupBy(*GROUPS).agg(F.sum("d").cast("long").alias("d_docs"), F.sum("n_tokens").alias("d_tokens"))
-        sums.write.mode("overwrite").parquet(self._path("deltas", batch))
-        self._mark("markers", batch)
-        return True
+        sums.write.parquet(self._path("deltas", batch, attempt))
+        return self._mark("markers", batch, attempt)

@@ -4,7 +4,9 @@ Calls meet results in a hash join on conversation and identifier. Each call gets
 (turn, depth) that is greater than that of every call it depends on: its own turn, unless it depends on a
 later call, whose key it then follows. Only calls with such late dependencies move: each follows the
 dependency that binds it, chains of these are followed by doubling pointers, and whoever stands on a
-circle of them is on a cycle and gets no key, so both long chains and cycles settle in logarithmic rounds.
+circle of them is on a cycle and gets no key, so chains of late dependencies and cycles settle in logarithmic rounds.
+A chain of ordinary dependencies behind a late one does not: there each round moves the next call, so it takes as
+many rounds as it has calls.
 Arguments are parsed to VARIANT and checked against a schema by name and JSON type, and each call is written
 as JSON with sorted keys at every level and no spaces.
 

@@ -455,6 +455,27 @@ def test_ledger(spark, odd):
     assert total()[("s", "en", "words-1")] == (2, 3) and ledger.current().where("doc_id in (8, 900)").count() == 0
 
 
+def test_ledger_with_a_second_writer(spark, monkeypatch):
+    """One that has read the state before a batch was committed, and dies or comes second, changes nothing; a marker left empty is passed over."""
+    change = lambda n: spark.createDataFrame([(1, "w", "s", "en", n), (2, "w", "s", "en", n)], token_counts.CHANGE)
+    root = scratch_path(spark, "ledger")
+    one, two = token_counts.Ledger(spark, root), token_counts.Ledger(spark, root)
+    total = lambda: [(r["n_docs"], r["n_tokens"]) for r in one.totals().collect()]
+    mark = two._mark
+    monkeypatch.setattr(two, "_mark", lambda *a: one.commit(0, upserts=change(15)) and mark(*a))  # commits between its data and its marker
+    assert not two.commit(0, upserts=change(999)) and total() == [(2, 30)]
+    monkeypatch.setattr(two, "committed", lambda: [])
+    monkeypatch.setattr(two, "_mark", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        two.commit(0, upserts=change(7))
+    assert total() == [(2, 30)] and one.current().count() == 2
+    monkeypatch.setattr(token_counts, "PATIENCE", 0.1)
+    fs, p = one._fs(f"{root}/markers/batch=1.0")
+    fs.create(p, False).close()
+    assert one.committed() == [0] and one.commit(1, deletes=spark.createDataFrame([(2,)], "doc_id long")) and total() == [(1, 15)]
+    assert one.compact() and not one.compact() and not one.commit(1, upserts=change(3)) and total() == [(1, 15)]
+
+
 def test_ledger_equals_a_recount(spark):
     """Random batches, compacted now and then: totals equal those of the state, and the state what a plain dictionary holds."""
     rng, held = np.random.default_rng(5), {}
