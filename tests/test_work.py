@@ -7,7 +7,7 @@ import threading
 import pytest
 from pyspark.sql import functions as F
 
-from terrano.operators import claims, components, dedupe, feeds, ordered
+from terrano.operators import boxes, claims, components, dedupe, feeds, ordered
 from terrano.plans import work_queries
 from terrano.session import scratch_path
 from terrano.streaming import rollups
@@ -212,3 +212,20 @@ def test_seen_keys_expire(spark):
         df.write.mode("append").parquet(folder)
         rollups.for_each_new(spark.readStream.schema(df.schema).parquet(folder), ["key"], "2 hours", "at", lambda new, b: new.write.mode("overwrite").parquet(f"{out}/batch={b}"), state).awaitTermination()
     assert sorted((r["key"], r["run"]) for r in spark.read.schema("key string, run int").parquet(f"{out}/batch=*").collect()) == [("a", 0), ("a", 3), ("b", 0), ("c", 1), ("d", 2)]
+
+
+def test_points_within_boxes_equal_brute_force(spark):
+    """Boxes from points to the whole world, crossed and missing bounds, points on edges; broadcast and shuffled."""
+    pick = random.Random(4)
+    at = lambda: round(pick.uniform(-90, 90) * 64) / 64  # noqa: E731  often on the edges of cells
+    made = []
+    for i in range(120):
+        y, x, size = at(), at(), pick.choice([0, 1 / 64, 0.5, 3, 40, 200])
+        made.append((i, y, y + size, x, x + pick.choice([0, size, size / 3])))
+    made += [(500, -90.0, 90.0, -180.0, 180.0), (501, 5.0, 1.0, 0.0, 1.0), (502, None, 1.0, 0.0, 1.0)]
+    points = [(i, at(), at()) for i in range(300)] + [(i + 1000, b[1], b[4]) for i, b in enumerate(made[:100])] + [(2000, None, 1.0)]
+    want = sorted((p[0], b[0]) for p in points for b in made if p[1] is not None and b[1] is not None and b[1] <= p[1] <= b[2] and b[3] <= p[2] <= b[4])
+    frames = spark.createDataFrame(points, "id long, latitud double, longitud double"), spark.createDataFrame(made, "box long, south double, north double, west double, east double")
+    for bound in (1000, 0):
+        assert sorted((r["id"], r["box"]) for r in boxes.within_boxes(*frames, max_broadcast=bound).collect()) == want
+    assert boxes.within_boxes(frames[0], frames[1].limit(0)).count() == 0 and len(want) > 300
