@@ -252,7 +252,7 @@ def pack(
     sums = written(tokens.groupBy("queue", "part").agg(F.sum("n").alias("n")), "totals")
     by_queue = sums.groupBy("queue").agg(F.sum("n").alias("n"))
     held = by_queue.limit(max_held + 1).collect()  # bounded
-    quantum = quantum or quantum_for(len(held), window)
+    quantum = quantum or quantum_for(len(held) if len(held) <= max_held else by_queue.count(), window)
     before = W.partitionBy("queue").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     base = sums.select("queue", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     placed = tokens.join(broadcast_within(base, max_broadcast), ["queue", "part"]).select("doc_id", "queue", (F.col("base") + F.col("at")).alias("at"), "n", "ids")
