@@ -11,15 +11,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from terrano.functions import agencies as G, cards as Cd, display as D, images as I, links as K, names as M, normalize as N, pages as Pg, parsing as P, places as L, urls as U
 from terrano.operators import geocode as Gc, manifest, publishing
+from terrano.plans import value_queries
 from terrano.sources.adapters import table
 
 #: Name: (table, its id, inputs as SQL, function of these, the result as DuckDB SQL over inputs of the same names).
 CASES: dict[str, tuple[str, str, dict[str, str], Callable[..., Column], str]] = {}
+#: Name: result of the captured shapes (value_queries) as SQL that gives the columns' type. These queries read every order's shape besides the columns.
+SHAPES: dict[str, str] = {}
 CITIES = {"rosario": "Santa Fe", "cordoba": "Córdoba", "mar del plata": "Buenos Aires", "ushuaia": "Tierra del Fuego"}
 _SPACE = r"[\s\x0b\x85\xa0 -     　]"
 
 
-def case(name: str, of_table: str, inputs: dict[str, str], function: Callable[..., Column], result: str) -> None:
+def case(name: str, of_table: str, inputs: dict[str, str], function: Callable[..., Column], result: str, shapes: str | None = None) -> None:
+    if shapes:
+        SHAPES[name] = shapes
     ids = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "customer": "c_custkey", "supplier": "s_suppkey"}
     CASES[name] = (of_table, ids[of_table], inputs, function, result)
 
@@ -107,7 +112,8 @@ case("sco11_precision", "part", {"a": "CASE p_size % 4 WHEN 0 THEN 'house' WHEN
 case("jsn01_object", "events", {"x": "CASE WHEN event_id % 4 = 0 THEN concat('[', props, ']') WHEN event_id % 4 = 1 THEN substring(props, 1, length(props) - 1) ELSE props END"}, lambda x: F.to_json(P.json_object(x)), "CASE WHEN event_id % 4 < 2 THEN '{}' ELSE replace(x, ' ', '') END")
 case("jsn02_merge", "events", {"x": "props", "v": "event_type"}, lambda x, v: P.merged_json(x, {"a": v, "z": F.lit(1)}), "'{\"a\":\"' || v || '\",\"k\":' || json_extract_string(x, '$.k') || ',\"z\":1}'")
 case("jsn03_without_empty", "events", {"x": "concat('{\"e\": \"\", \"n\": null, \"l\": [], \"t\": \"', event_type, '\", ', substring(props, 2))"}, lambda x: F.array_join(F.transform(F.array_sort(F.map_entries(P.without_empty(x))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), "'k=' || json_extract_string(props, '$.k') || ',t=\"' || event_type || '\"'")
-case("arr02_image_item", "pages", {"x": "CASE WHEN page_id % 3 = 0 THEN concat('\"', url, '\"') WHEN page_id % 3 = 1 THEN concat('{\"url\": \"\", \"src\": \" ', url, ' \"}') ELSE concat('[\"', url, '\"]') END"}, I.item_url, "CASE WHEN page_id % 3 < 2 THEN url END")
+case("arr02_image_item", "pages", {"x": "CASE page_id % 9 WHEN 0 THEN concat('\"', url, '\"') WHEN 1 THEN concat('{\"url\": \"\", \"src\": \" ', url, ' \"}') WHEN 2 THEN concat('[\"', url, '\"]') WHEN 3 THEN concat('{\"src\": null, \"href\": \"', url, '\", \"image\": \"i\"}') WHEN 4 THEN concat('{\"image\": \"', url, '\"}') WHEN 5 THEN concat('{\"url\": \"', url, '\", \"src\": \"s\"}') WHEN 6 THEN concat('{\"url\": \"', url) WHEN 7 THEN CAST(page_id AS string) END"}, I.item_url,
+     "CASE WHEN page_id % 9 IN (0, 1, 3, 4, 5) THEN url END", "result")
 
 # addresses
 case("url02_site", "pages", {"x": "CASE WHEN page_id % 2 = 0 THEN concat(' ', upper(url), '//') ELSE regexp_replace(url, '^https?://', '') END"}, M.site, "regexp_replace(rtrim(CASE WHEN page_id % 2 = 0 THEN lower(trim(x)) ELSE 'https://' || replace(lower(trim(x)), ' ', '') END, '/'), '^(https?://)www\\.', '\\1')")
@@ -152,7 +158,11 @@ def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(s: SparkSession, d: str) -> DataFrame:
         rows = table(s, d, of_table).select(F.col(key).alias("id"), *(F.expr(x).alias(f"_{n}") for n, x in inputs.items()))
-        return rows.select("id", function(*(F.col(f"_{n}") for n in inputs)).alias("result"))
+        rows = rows.select("id", function(*(F.col(f"_{n}") for n in inputs)).alias("result"))
+        if name not in SHAPES:
+            return rows
+        shapes = value_queries.QUERIES[name](s, d).select("id", F.expr(SHAPES[name]).alias("result"))
+        return rows.withColumn("origin", F.lit("columns")).unionByName(shapes.withColumn("origin", F.lit("shapes")))
 
     query.__name__ = name
     return query
@@ -166,7 +176,10 @@ def _duck(x: str) -> str:
 
 def sql_of(name: str) -> str:
     of_table, key, inputs, _, result = CASES[name]
-    return f"SELECT {key} AS id, {result} AS result FROM (SELECT *, {', '.join(f'{_duck(x)} AS {n}' for n, x in inputs.items())} FROM {of_table})"
+    rows = f"SELECT {key} AS id, {result} AS result FROM (SELECT *, {', '.join(f'{_duck(x)} AS {n}' for n, x in inputs.items())} FROM {of_table})"
+    if name not in SHAPES:
+        return rows
+    return f"SELECT *, 'columns' AS origin FROM ({rows}) UNION ALL SELECT id, {_duck(SHAPES[name])} AS result, 'shapes' AS origin FROM ({value_queries.SQL[name]})"
 
 
 QUERIES = {name: query_of(name) for name in CASES}
