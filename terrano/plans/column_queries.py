@@ -37,6 +37,20 @@ def _squeezed(x: str) -> str:
     return f"nullif(trim(regexp_replace({x}, '\\s+', ' ', 'g')), '')"
 
 
+def _texts(values) -> str:
+    return ", ".join("NULL" if v is None else f"'{v}'" for v in values)
+
+
+def _picked(key: str, values) -> str:
+    """One of several texts by a key, as SQL that both engines read."""
+    return f"element_at(array({_texts(values)}), CAST({key} % {len(values)} + 1 AS int))"
+
+
+def _told(key: str, values) -> str:
+    """The result that goes with the text picked by the key."""
+    return f"[{_texts(values)}][{key} % {len(values)} + 1]"
+
+
 _PLAIN = "strip_accents(lower({}))"
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 _SITE = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
@@ -48,6 +62,14 @@ _MAILS = f"list_filter({_MAILS}, lambda e, i: list_position({_MAILS}, e) = i)"
 _PART = "concat(p_name, ' ', p_brand, ' ', CASE WHEN p_partkey % 4 = 0 THEN 'en Venta' WHEN p_partkey % 4 = 1 THEN 'Alquiler' WHEN p_partkey % 4 = 2 THEN p_type ELSE 'Compra' END, ' ', CAST(p_size AS string))"
 _CLERK = "concat(CASE c_custkey % 5 WHEN 0 THEN 'Inmobiliaria ' WHEN 1 THEN 'Estudio ' WHEN 2 THEN 'Depto ' WHEN 3 THEN 'CASA ' ELSE '  ' END, c_mktsegment, ' - ', c_name)"
 
+#: Operations as imports write them, and what they are.
+_OPERATIONS = (
+    ("En  Venta", "venta"), (" ALQ", "alquiler"), ("Consultar", "consultar"), ("por día", "alquiler_temporario"), ("compra", None), ("For Sale", "venta"), ("sale", "venta"), ("VENTA", "venta"),
+    ("en alquiler ", "alquiler"), ("Rent", "alquiler"), ("for  rent", "alquiler"), ("Temporario", "alquiler_temporario"), ("temporal", "alquiler_temporario"), ("temporaria", "alquiler_temporario"), ("Alquiler  Temporario", "alquiler_temporario"), ("alquiler temporal", "alquiler_temporario"),
+    ("POR DIA", "alquiler_temporario"), ("por semana", "alquiler_temporario"), ("short  term", "alquiler_temporario"), ("alquiler_temporario", "alquiler_temporario"), ("venta_y_alquiler", "venta_y_alquiler"), ("alquiler", "alquiler"), ("venta casa", None), (" ", None),
+    ("vacation", None), (None, None), ("permuta", None),
+)
+
 # texts
 case("str05_name_key", "part", {"x": "concat(p_name, '  &-', p_brand)"}, M.name_key, "trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g'))")
 case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
@@ -68,7 +90,8 @@ case("tel02_first_phone", "events", {"x": "concat('tel ', CASE WHEN event_id % 3
 case("tel03_chat_url", "events", {"x": "concat('+54 ', CAST(user_id * 997 AS string), '-', CAST(event_id AS string))"}, D.chat_url, "CASE WHEN len(regexp_replace(x, '\\D', '', 'g')) >= 8 THEN 'https://wa.me/' || regexp_replace(x, '\\D', '', 'g') END")
 case("typ01_own_type", "part", {"x": "concat(' ', p_type, '  ', p_name)"}, P.own_type, _squeezed("lower(x)"))
 case("cat04_operation_in_text", "part", {"x": _PART}, N.operation_in_text, "CASE WHEN contains(lower(x), 'alquiler') THEN 'alquiler' WHEN contains(lower(x), 'venta') THEN 'venta' END")
-case("cat02_import_operation", "part", {"x": "CASE p_partkey % 5 WHEN 0 THEN 'En  Venta' WHEN 1 THEN ' ALQ' WHEN 2 THEN 'Consultar' WHEN 3 THEN 'por día' ELSE p_type END"}, N.imported_operation, "['venta', 'alquiler', 'consultar', 'alquiler_temporario', NULL][p_partkey % 5 + 1]")
+case("cat02_import_operation", "part", {"x": f"CASE WHEN p_partkey % 5 = 4 THEN p_type ELSE {_picked('p_partkey', [x for x, _ in _OPERATIONS])} END"}, N.imported_operation,
+     "CASE WHEN p_partkey % 5 <> 4 THEN " + _told("p_partkey", [y for _, y in _OPERATIONS]) + " END", "result")
 case("cat05_type_name", "part", {"x": "CASE WHEN p_partkey % 3 = 0 THEN concat(' ', upper(CASE WHEN p_size % 2 = 0 THEN 'Lote' ELSE 'Chalet' END), ' ') ELSE p_name END"}, M.type_name, "CASE WHEN p_partkey % 3 <> 0 THEN 'otro' WHEN p_size % 2 = 0 THEN 'terreno' ELSE 'casa' END")
 case("cat07_page_type", "customer", {"x": _CLERK}, D.property_type, "CASE WHEN contains(lower(x), 'depart') THEN 'departamento' WHEN contains(lower(x), 'casa') THEN 'casa' WHEN contains(lower(x), 'terreno') OR contains(lower(x), 'lote') THEN 'terreno' WHEN contains(lower(x), 'oficina') THEN 'oficina' WHEN contains(lower(x), 'local') THEN 'local' ELSE 'otro' END")
 case("cat08_page_status", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN 'Activa' WHEN 'F' THEN concat('Vendida ', CAST(o_orderkey AS string)) ELSE 'PAUSADA' END"}, D.status, "CASE o_orderstatus WHEN 'O' THEN 'activa' WHEN 'F' THEN 'vendida' ELSE 'pausada' END")
@@ -170,7 +193,7 @@ def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _duck(x: str) -> str:
     """An input as DuckDB writes it."""
-    out = x.replace("array(", "list_value(").replace("\\'", "''").replace(" AS string)", " AS VARCHAR)").replace("sha2(", "_sha(").replace("make_interval(0, 0, 0, 0, 0, 0, user_id)", "to_seconds(user_id)")
+    out = x.replace("element_at(array(", "list_extract(list_value(").replace("array(", "list_value(").replace("\\'", "''").replace(" AS string)", " AS VARCHAR)").replace("sha2(", "_sha(").replace("make_interval(0, 0, 0, 0, 0, 0, user_id)", "to_seconds(user_id)")
     return out.replace("_sha(CAST(page_id AS VARCHAR), 256)", "sha256(page_id::VARCHAR)")
 
 

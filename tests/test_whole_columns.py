@@ -8,6 +8,7 @@ from terrano.sources.adapters import table
 #: Name: (table of the columns, conditions that some row of the columns meets each).
 WHOLE = {
     "arr02_image_item": ("pages", ["id % 9 = 3 AND result LIKE 'http%'", "id % 9 = 4 AND result LIKE 'http%'", "id % 9 = 6 AND result IS NULL", "id % 9 = 8 AND result IS NULL"]),
+    "cat02_import_operation": ("part", ["result = 'venta_y_alquiler'", "result = 'consultar'", "id % 27 = 5 AND result = 'venta'", "id % 27 = 18 AND result = 'alquiler_temporario'", "id % 27 = 22 AND result IS NULL"]),
 }
 
 
