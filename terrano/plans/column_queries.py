@@ -70,6 +70,16 @@ _OPERATIONS = (
     ("vacation", None), (None, None), ("permuta", None),
 )
 
+#: Types by their whole names, and what they are.
+_TYPES = (
+    ("departamento", "departamento"), ("Depto", "departamento"), (" PH ", "departamento"), ("departamento interno", "departamento"), ("DepartamentoInterno", "departamento"), ("monoambiente", "departamento"), ("PISO", "departamento"), ("apt", "departamento"),
+    ("flat", "departamento"), ("Casa", "casa"), ("CHALET", "casa"), ("casa quinta", "casa"), ("quinta", "casa"), ("casas", "casa"), ("duplex", "casa"), ("DÚPLEX", "casa"),
+    ("triplex", "casa"), ("tríplex", "casa"), ("terreno", "terreno"), ("LOTE", "terreno"), ("loteo", "terreno"), ("parcela", "terreno"), ("solar", "terreno"), ("Terrenos/Lotes", "terreno"),
+    ("terrenos", "terreno"), ("local", "local"), ("Local Comercial", "local"), ("negocio", "local"), ("locales", "local"), ("oficina", "oficina"), ("oficina comercial", "oficina"), ("Office", "oficina"),
+    ("oficinas", "oficina"), ("cochera", "cochera"), ("garage", "cochera"), ("GARAJE", "cochera"), ("cocheras", "cochera"), ("galpon", "galpon"), ("GALPÓN", "galpon"), ("galpones", "galpon"),
+    ("casa alta", "otro"), ("casas quinta", "otro"), ("lotes", "otro"), ("ph.", "otro"), ("galpón nuevo", "otro"), (None, "otro"),
+)
+
 # texts
 case("str05_name_key", "part", {"x": "concat(p_name, '  &-', p_brand)"}, M.name_key, "trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g'))")
 case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
@@ -92,7 +102,8 @@ case("typ01_own_type", "part", {"x": "concat(' ', p_type, '  ', p_name)"}, P.own
 case("cat04_operation_in_text", "part", {"x": _PART}, N.operation_in_text, "CASE WHEN contains(lower(x), 'alquiler') THEN 'alquiler' WHEN contains(lower(x), 'venta') THEN 'venta' END")
 case("cat02_import_operation", "part", {"x": f"CASE WHEN p_partkey % 5 = 4 THEN p_type ELSE {_picked('p_partkey', [x for x, _ in _OPERATIONS])} END"}, N.imported_operation,
      "CASE WHEN p_partkey % 5 <> 4 THEN " + _told("p_partkey", [y for _, y in _OPERATIONS]) + " END", "result")
-case("cat05_type_name", "part", {"x": "CASE WHEN p_partkey % 3 = 0 THEN concat(' ', upper(CASE WHEN p_size % 2 = 0 THEN 'Lote' ELSE 'Chalet' END), ' ') ELSE p_name END"}, M.type_name, "CASE WHEN p_partkey % 3 <> 0 THEN 'otro' WHEN p_size % 2 = 0 THEN 'terreno' ELSE 'casa' END")
+case("cat05_type_name", "part", {"x": f"CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ' ' || CASE WHEN p_size % 2 = 0 THEN upper({_picked('p_partkey', [x for x, _ in _TYPES])}) ELSE {_picked('p_partkey', [x for x, _ in _TYPES])} END || ' ' END"}, M.type_name,
+     "CASE WHEN p_partkey % 3 = 0 THEN 'otro' ELSE " + _told("p_partkey", [y for _, y in _TYPES]) + " END", "result")
 case("cat07_page_type", "customer", {"x": _CLERK}, D.property_type, "CASE WHEN contains(lower(x), 'depart') THEN 'departamento' WHEN contains(lower(x), 'casa') THEN 'casa' WHEN contains(lower(x), 'terreno') OR contains(lower(x), 'lote') THEN 'terreno' WHEN contains(lower(x), 'oficina') THEN 'oficina' WHEN contains(lower(x), 'local') THEN 'local' ELSE 'otro' END")
 case("cat08_page_status", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN 'Activa' WHEN 'F' THEN concat('Vendida ', CAST(o_orderkey AS string)) ELSE 'PAUSADA' END"}, D.status, "CASE o_orderstatus WHEN 'O' THEN 'activa' WHEN 'F' THEN 'vendida' ELSE 'pausada' END")
 case("cat13_query_category", "customer", {"x": "concat('empresa ', CASE WHEN c_nationkey % 2 = 0 THEN 'CONSTRUCTORA ' ELSE '' END, c_mktsegment)"}, G.category_of_query, "CASE WHEN c_nationkey % 2 = 0 THEN 'constructora' ELSE 'desarrolladora' END")
