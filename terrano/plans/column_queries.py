@@ -80,6 +80,9 @@ _TYPES = (
     ("casa alta", "otro"), ("casas quinta", "otro"), ("lotes", "otro"), ("ph.", "otro"), ("galpón nuevo", "otro"), (None, "otro"),
 )
 
+_KEY = "strip_accents(lower(trim(coalesce(x, ''))))"
+_TYPE_WORDS = _picked("c_custkey", ("Departamento", "CASA quinta", "ph", " PH ", "Propiedad Horizontal", "Terreno", "Lote", "Oficina", "Local u oficina", "LOCAL", "Casa y lote", "Depto", "Terreno u oficina", "Depártamento", "Phoenix", "Quinta", None))
+
 # texts
 case("str05_name_key", "part", {"x": "concat(p_name, '  &-', p_brand)"}, M.name_key, "trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g'))")
 case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
@@ -104,7 +107,8 @@ case("cat02_import_operation", "part", {"x": f"CASE WHEN p_partkey % 5 = 4 THEN
      "CASE WHEN p_partkey % 5 <> 4 THEN " + _told("p_partkey", [y for _, y in _OPERATIONS]) + " END", "result")
 case("cat05_type_name", "part", {"x": f"CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ' ' || CASE WHEN p_size % 2 = 0 THEN upper({_picked('p_partkey', [x for x, _ in _TYPES])}) ELSE {_picked('p_partkey', [x for x, _ in _TYPES])} END || ' ' END"}, M.type_name,
      "CASE WHEN p_partkey % 3 = 0 THEN 'otro' ELSE " + _told("p_partkey", [y for _, y in _TYPES]) + " END", "result")
-case("cat07_page_type", "customer", {"x": _CLERK}, D.property_type, "CASE WHEN contains(lower(x), 'depart') THEN 'departamento' WHEN contains(lower(x), 'casa') THEN 'casa' WHEN contains(lower(x), 'terreno') OR contains(lower(x), 'lote') THEN 'terreno' WHEN contains(lower(x), 'oficina') THEN 'oficina' WHEN contains(lower(x), 'local') THEN 'local' ELSE 'otro' END")
+case("cat07_page_type", "customer", {"x": f"CASE WHEN c_custkey % 2 = 0 THEN {_CLERK} WHEN c_custkey % 4 = 1 THEN {_TYPE_WORDS} ELSE {_TYPE_WORDS} || ' ' || c_name END"}, D.property_type,
+     f"CASE WHEN contains({_KEY}, 'depart') THEN 'departamento' WHEN contains({_KEY}, 'casa') THEN 'casa' WHEN {_KEY} = 'ph' OR contains({_KEY}, 'propiedad horizontal') THEN 'ph' WHEN contains({_KEY}, 'terreno') OR contains({_KEY}, 'lote') THEN 'terreno' WHEN contains({_KEY}, 'oficina') THEN 'oficina' WHEN contains({_KEY}, 'local') THEN 'local' ELSE 'otro' END", "result")
 case("cat08_page_status", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN 'Activa' WHEN 'F' THEN concat('Vendida ', CAST(o_orderkey AS string)) ELSE 'PAUSADA' END"}, D.status, "CASE o_orderstatus WHEN 'O' THEN 'activa' WHEN 'F' THEN 'vendida' ELSE 'pausada' END")
 case("cat13_query_category", "customer", {"x": "concat('empresa ', CASE WHEN c_nationkey % 2 = 0 THEN 'CONSTRUCTORA ' ELSE '' END, c_mktsegment)"}, G.category_of_query, "CASE WHEN c_nationkey % 2 = 0 THEN 'constructora' ELSE 'desarrolladora' END")
 case("mig01_states", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN 'activo' WHEN 'F' THEN 'inactivo' ELSE lower(substring(o_orderpriority, 3)) END"}, D.migrated_state, "CASE x WHEN 'activo' THEN 'activa' WHEN 'inactivo' THEN 'desconocida' ELSE x END")

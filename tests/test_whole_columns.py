@@ -10,6 +10,7 @@ WHOLE = {
     "arr02_image_item": ("pages", ["id % 9 = 3 AND result LIKE 'http%'", "id % 9 = 4 AND result LIKE 'http%'", "id % 9 = 6 AND result IS NULL", "id % 9 = 8 AND result IS NULL"]),
     "cat02_import_operation": ("part", ["result = 'venta_y_alquiler'", "result = 'consultar'", "id % 27 = 5 AND result = 'venta'", "id % 27 = 18 AND result = 'alquiler_temporario'", "id % 27 = 22 AND result IS NULL"]),
     "cat05_type_name": ("part", [f"result = '{kind}'" for kind in ("departamento", "casa", "terreno", "local", "oficina", "cochera", "galpon", "otro")]),
+    "cat07_page_type": ("customer", [f"result = '{kind}'" for kind in ("departamento", "casa", "ph", "terreno", "oficina", "local", "otro")]),
 }
 
 
