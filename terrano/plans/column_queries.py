@@ -83,6 +83,8 @@ _TYPES = (
 _KEY = "strip_accents(lower(trim(coalesce(x, ''))))"
 _TYPE_WORDS = _picked("c_custkey", ("Departamento", "CASA quinta", "ph", " PH ", "Propiedad Horizontal", "Terreno", "Lote", "Oficina", "Local u oficina", "LOCAL", "Casa y lote", "Depto", "Terreno u oficina", "Depártamento", "Phoenix", "Quinta", None))
 
+_STATES = _picked("o_orderkey", ("Activa", "Vendida", "PAUSADA", "reservado", "no_detectada vend", "Alquilado", "no detectada", "desconocida", None, "nueva", "vendida y alquilada", "Reservada o pausada", "NO_DETECTADA", "Desconocido", "Véndida"))
+
 # texts
 case("str05_name_key", "part", {"x": "concat(p_name, '  &-', p_brand)"}, M.name_key, "trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g'))")
 case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
@@ -109,7 +111,8 @@ case("cat05_type_name", "part", {"x": f"CASE WHEN p_partkey % 3 = 0 THEN p_name
      "CASE WHEN p_partkey % 3 = 0 THEN 'otro' ELSE " + _told("p_partkey", [y for _, y in _TYPES]) + " END", "result")
 case("cat07_page_type", "customer", {"x": f"CASE WHEN c_custkey % 2 = 0 THEN {_CLERK} WHEN c_custkey % 4 = 1 THEN {_TYPE_WORDS} ELSE {_TYPE_WORDS} || ' ' || c_name END"}, D.property_type,
      f"CASE WHEN contains({_KEY}, 'depart') THEN 'departamento' WHEN contains({_KEY}, 'casa') THEN 'casa' WHEN {_KEY} = 'ph' OR contains({_KEY}, 'propiedad horizontal') THEN 'ph' WHEN contains({_KEY}, 'terreno') OR contains({_KEY}, 'lote') THEN 'terreno' WHEN contains({_KEY}, 'oficina') THEN 'oficina' WHEN contains({_KEY}, 'local') THEN 'local' ELSE 'otro' END", "result")
-case("cat08_page_status", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN 'Activa' WHEN 'F' THEN concat('Vendida ', CAST(o_orderkey AS string)) ELSE 'PAUSADA' END"}, D.status, "CASE o_orderstatus WHEN 'O' THEN 'activa' WHEN 'F' THEN 'vendida' ELSE 'pausada' END")
+case("cat08_page_status", "orders", {"x": f"CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderstatus WHEN 'O' THEN 'Activa' WHEN 'F' THEN concat('Vendida ', CAST(o_orderkey AS string)) ELSE 'PAUSADA' END ELSE {_STATES} || ' ' || o_orderpriority END"}, D.status,
+     f"CASE WHEN contains({_KEY}, 'paus') THEN 'pausada' WHEN contains({_KEY}, 'reserv') THEN 'reservada' WHEN contains({_KEY}, 'vend') AND NOT contains({_KEY}, 'no_detect') THEN 'vendida' WHEN contains({_KEY}, 'alquil') THEN 'alquilada' WHEN contains({_KEY}, 'no_detect') OR contains({_KEY}, 'no detect') THEN 'no_detectada_en_ultimo_scraping' WHEN contains({_KEY}, 'descon') THEN 'desconocida' ELSE 'activa' END", "result")
 case("cat13_query_category", "customer", {"x": "concat('empresa ', CASE WHEN c_nationkey % 2 = 0 THEN 'CONSTRUCTORA ' ELSE '' END, c_mktsegment)"}, G.category_of_query, "CASE WHEN c_nationkey % 2 = 0 THEN 'constructora' ELSE 'desarrolladora' END")
 case("mig01_states", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN 'activo' WHEN 'F' THEN 'inactivo' ELSE lower(substring(o_orderpriority, 3)) END"}, D.migrated_state, "CASE x WHEN 'activo' THEN 'activa' WHEN 'inactivo' THEN 'desconocida' ELSE x END")
 case("flt22_not_agency", "customer", {"x": "concat(CASE c_custkey % 5 WHEN 0 THEN 'Barrio Privado ' WHEN 1 THEN 'Hamburguesería ' WHEN 2 THEN 'Calle 24 ' WHEN 3 THEN 'Calleja ' ELSE 'Inmobiliaria ' END, c_name)"}, M.not_an_agency, "c_custkey % 5 < 3")

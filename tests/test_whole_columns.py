@@ -11,6 +11,7 @@ WHOLE = {
     "cat02_import_operation": ("part", ["result = 'venta_y_alquiler'", "result = 'consultar'", "id % 27 = 5 AND result = 'venta'", "id % 27 = 18 AND result = 'alquiler_temporario'", "id % 27 = 22 AND result IS NULL"]),
     "cat05_type_name": ("part", [f"result = '{kind}'" for kind in ("departamento", "casa", "terreno", "local", "oficina", "cochera", "galpon", "otro")]),
     "cat07_page_type": ("customer", [f"result = '{kind}'" for kind in ("departamento", "casa", "ph", "terreno", "oficina", "local", "otro")]),
+    "cat08_page_status": ("orders", [f"result = '{state}'" for state in ("activa", "pausada", "reservada", "vendida", "alquilada", "no_detectada_en_ultimo_scraping", "desconocida")]),
 }
 
 
