@@ -180,8 +180,8 @@ case("web05_total", "pages", {"h": "concat('<h2>', 1 + page_id % 900, ' propieda
 case("web02_site_key", "pages", {"h": "concat(html, CASE WHEN page_id % 2 = 0 THEN concat('<script>api_key = \"', sha2(CAST(page_id AS string), 256), '\"</script>') ELSE '' END)"}, K.site_key, "CASE WHEN page_id % 2 = 0 THEN sha256(left(sha256(page_id::VARCHAR), 50)) END")
 case("web03_list_page", "pages", {"h": "concat('<nav><a href=\"/nosotros\">N</a>', CASE WHEN page_id % 2 = 0 THEN '<a href=\"/propiedades\">P</a>' ELSE '' END, '</nav>', html, '<p><a href=\"/buscar/', page_id, '\">b</a></p>')", "u": "url"}, K.list_page, f"{_SITE} || CASE WHEN page_id % 2 = 0 THEN '/propiedades' ELSE '/buscar/' || page_id END")
 case("flt23_robot_wall", "pages", {"h": "concat(CASE WHEN page_id % 5 = 0 THEN '<p>Just a moment...</p>' ELSE '' END, html)", "s": "CAST(CASE WHEN page_id % 3 = 0 THEN 403 ELSE 200 END AS int)"}, K.robot_wall, "page_id % 3 = 0 OR " + _any("lower(left(h, 5000))", K.ROBOT_WALLS))
-case("flt24_block", "pages", {"s": "CAST(CASE page_id % 5 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 502 ELSE 200 END AS int)", "h": "concat(html, CASE WHEN page_id % 5 = 3 THEN '<p><b>Access</b> denied</p>' ELSE '<script>access denied</script>' END)", "n": "CAST(0 AS int)"}, lambda s, h, n: K.block_reason(s, h, n, ("access denied", "cf-challenge")),
-     "['HTTP 403 Forbidden', 'HTTP 429 Too Many Requests', 'HTTP 502 Server Error', 'Texto de bloqueo detectado: ''access denied''', NULL][page_id % 5 + 1]")
+case("flt24_block", "pages", {"s": "CAST(CASE page_id % 13 WHEN 0 THEN 403 WHEN 1 THEN 429 WHEN 2 THEN 502 WHEN 5 THEN NULL WHEN 6 THEN 500 WHEN 7 THEN 404 ELSE 200 END AS int)", "h": "CASE WHEN page_id % 13 < 12 THEN html || CASE page_id % 13 WHEN 3 THEN '<p><b>Access</b> denied</p>' WHEN 5 THEN '<p>CF-Challenge</p>' WHEN 7 THEN '<p>Captcha</p>' WHEN 8 THEN '<p>captcha</p>' WHEN 9 THEN '<noscript><p>captcha</p></noscript>' WHEN 10 THEN '<p>captcha, access denied</p>' WHEN 11 THEN '<style>.captcha{color:red}</style>' ELSE '<script>access denied</script>' END END", "n": "CAST(CASE page_id % 13 WHEN 8 THEN 2 WHEN 10 THEN 2 WHEN 3 THEN 3 ELSE 0 END AS int)"}, lambda s, h, n: K.block_reason(s, h, n, ("access denied", "cf-challenge")),
+     "['HTTP 403 Forbidden', 'HTTP 429 Too Many Requests', 'HTTP 502 Server Error', 'Texto de bloqueo detectado: ''access denied''', NULL, 'Texto de bloqueo detectado: ''cf-challenge''', 'HTTP 500 Server Error', 'Captcha activo sin cards visibles', NULL, NULL, 'Texto de bloqueo detectado: ''access denied''', NULL, NULL][page_id % 13 + 1]", "result")
 case("flt36_retryable", "pages", {"x": "concat('HTTP ', CASE page_id % 4 WHEN 0 THEN '429' WHEN 1 THEN '503' WHEN 2 THEN '403' ELSE '404' END, ' ', url)"}, K.retryable_block, "page_id % 4 < 2")
 case("cat09_class_types", "pages", {"h": "concat(CASE page_id % 3 WHEN 0 THEN '<div class=\"x tipo-local-comercial operacion-venta\">' WHEN 1 THEN '<p class=\"property_types-ph operacion-alquiler\">' ELSE '' END, html)"},
      lambda h: F.concat_ws("/", F.coalesce(Pg.type_of_classes(h), F.lit("-")), F.coalesce(F.nullif(Pg.operation_of_classes(h), F.lit("")), F.lit("-"))), "['local/venta', 'departamento/alquiler', '-/-'][page_id % 3 + 1]")

@@ -12,6 +12,7 @@ WHOLE = {
     "cat05_type_name": ("part", [f"result = '{kind}'" for kind in ("departamento", "casa", "terreno", "local", "oficina", "cochera", "galpon", "otro")]),
     "cat07_page_type": ("customer", [f"result = '{kind}'" for kind in ("departamento", "casa", "ph", "terreno", "oficina", "local", "otro")]),
     "cat08_page_status": ("orders", [f"result = '{state}'" for state in ("activa", "pausada", "reservada", "vendida", "alquilada", "no_detectada_en_ultimo_scraping", "desconocida")]),
+    "flt24_block": ("pages", ["result LIKE 'Captcha%'", "result LIKE '%cf-challenge%'", "result = 'HTTP 500 Server Error'", "id % 13 = 8 AND result IS NULL", "id % 13 = 12 AND result IS NULL"]),
 }
 
 
