@@ -85,6 +85,13 @@ _TYPE_WORDS = _picked("c_custkey", ("Departamento", "CASA quinta", "ph", " PH ",
 
 _STATES = _picked("o_orderkey", ("Activa", "Vendida", "PAUSADA", "reservado", "no_detectada vend", "Alquilado", "no detectada", "desconocida", None, "nueva", "vendida y alquilada", "Reservada o pausada", "NO_DETECTADA", "Desconocido", "Véndida"))
 
+#: Words put before hosts, and the places they tell.
+_HOSTS = (
+    ("www.tandil-", "Tandil/Buenos Aires"), ("salta.mendoza.", ""), ("", ""), ("Cafayate.", "Cafayate/Salta"), ("inmo-ushuaia-", "Ushuaia/Tierra del Fuego"), ("bariloche", "San Carlos de Bariloche/Río Negro"), ("ana@neuquen-", "Neuquén/Neuquén"), ("resistencia.", "Resistencia/Chaco"),
+    ("necochea-", "Necochea/Buenos Aires"), ("OLAVARRIA.", "Olavarría/Buenos Aires"), ("chivilcoy-", "Chivilcoy/Buenos Aires"), ("tandil.ushuaia.", ""), ("formosa.", "Formosa/Formosa"), ("www.posadas-", "Posadas/Misiones"), ("jujuy.", "San Salvador de Jujuy/Jujuy"), ("tucuman-", "San Miguel de Tucumán/Tucumán"),
+    ("sal.ta.", "Salta/Salta"), ("mendoza-", "Mendoza/Mendoza"), ("córdoba-", "Córdoba/Córdoba"), ("la-pampa-", "La Pampa"), ("Chubut.", "Chubut"), ("casas.com/tandil/", ""),
+)
+
 # texts
 case("str05_name_key", "part", {"x": "concat(p_name, '  &-', p_brand)"}, M.name_key, "trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g'))")
 case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
@@ -171,7 +178,8 @@ case("url11_click_urls", "pages", {"x": "concat('window.open(\\'', url, '\\'); f
 case("cat14_operation_of_url", "pages", {"x": "concat(url, CASE WHEN page_id % 3 = 0 THEN '&Rent' ELSE '' END)"}, U.operation_of_url, "CASE WHEN regexp_matches(lower(x), 'alquiler|rent') THEN 'alquiler' ELSE 'venta' END")
 case("flt13_prohibited", "pages", {"x": "CASE page_id % 4 WHEN 0 THEN concat('https://m.Facebook.com/', page_id) WHEN 1 THEN concat('https://my', 'facebook.com/', page_id) ELSE url END"}, manifest.prohibited, "page_id % 4 = 0")
 case("flt20_detail_url", "pages", {"x": f"concat(regexp_extract(url, '^([a-zA-Z]+://[^/?#]+)', 1), CASE page_id % 6 WHEN 0 THEN '/propiedad/casa-' WHEN 1 THEN '/propiedades/venta/' WHEN 2 THEN '/ver?idprop=' WHEN 3 THEN '/contacto?id=' WHEN 4 THEN '/x/casa-en-venta-1' ELSE '/a/b/' END, page_id)", "b": "url"}, K.is_detail, "page_id % 6 IN (0, 2, 4)")
-case("joi18_host_place", "pages", {"u": "regexp_replace(url, '://', CASE page_id % 3 WHEN 0 THEN '://www.tandil-' WHEN 1 THEN '://salta.mendoza.' ELSE '://' END)"}, lambda u: F.concat_ws("/", L.place_of_host(u)["city"], L.place_of_host(u)["province"]), "CASE WHEN page_id % 3 = 0 THEN 'Tandil/Buenos Aires' ELSE '' END")
+case("joi18_host_place", "pages", {"u": f"regexp_replace(url, '://', concat('://', {_picked('page_id', [x for x, _ in _HOSTS])}))"}, lambda u: F.concat_ws("/", L.place_of_host(u)["city"], L.place_of_host(u)["province"]),
+     "CASE WHEN regexp_matches(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://') THEN " + _told("page_id", [y for _, y in _HOSTS]) + " ELSE '' END", "result")
 case("loc10_agency_name", "pages", {"u": "CASE WHEN page_id % 3 = 0 THEN concat('https://www.pagliaropropiedades.com.ar/', page_id) ELSE url END", "n": "CASE WHEN page_id % 2 = 0 THEN concat(' Norte ', page_id) END"}, D.agency_name, "CASE WHEN page_id % 3 = 0 THEN 'Juan I. Pagliaro Propiedades' WHEN page_id % 2 = 0 THEN 'Norte ' || page_id ELSE 'Agencia sin nombre' END")
 
 # pages

@@ -14,6 +14,7 @@ WHOLE = {
     "cat08_page_status": ("orders", [f"result = '{state}'" for state in ("activa", "pausada", "reservada", "vendida", "alquilada", "no_detectada_en_ultimo_scraping", "desconocida")]),
     "flt24_block": ("pages", ["result LIKE 'Captcha%'", "result LIKE '%cf-challenge%'", "result = 'HTTP 500 Server Error'", "id % 13 = 8 AND result IS NULL", "id % 13 = 12 AND result IS NULL"]),
     "jsn02_merge": ("events", ["id % 5 = 1 AND result LIKE '%,\"b\":{\"c\":[1,\"x\"],\"d\":%'", "id % 5 = 2 AND result NOT LIKE '%\"k\"%'", "id % 5 = 3 AND result NOT LIKE '%\"k\"%'", "result LIKE '{\"a\":null%'", "length(result) - length(replace(result, chr(92), '')) = 1"]),
+    "joi18_host_place": ("pages", [f"result = '{place}'" for _, place in column_queries._HOSTS]),
 }
 
 
