@@ -133,7 +133,8 @@ case("jsn04_aliases", "part", {"a": "CASE WHEN p_partkey % 3 = 0 THEN p_name ELS
 
 # numbers
 case("num04_rating", "part", {"x": "replace(CAST(CAST(p_size AS decimal(6, 2)) / 8 AS string), '.', ',')"}, P.rating, "CASE WHEN p_size / 8 <= 5 THEN round_even(p_size / 8, 1) END")
-case("num04_reviews", "part", {"x": "concat('(', CAST(p_size AS string), '.', CAST(p_partkey AS string), ') ', p_type)"}, P.review_count, "(p_size || '' || p_partkey)::BIGINT")
+case("num04_reviews", "part", {"x": "CASE p_partkey % 7 WHEN 1 THEN p_name WHEN 2 THEN NULL WHEN 3 THEN concat(CAST(p_size AS string), ' reseñas de ', p_brand) WHEN 4 THEN concat('9.223.372.036.854.775.80', CAST(p_size % 10 AS string)) WHEN 5 THEN concat(CAST(p_partkey AS string), ' opiniones') WHEN 6 THEN '' ELSE concat('(', CAST(p_size AS string), '.', CAST(p_partkey AS string), ') ', p_type) END"}, P.review_count,
+     "TRY_CAST(nullif(regexp_replace(x, '[^0-9]', '', 'g'), '') AS BIGINT)", "CAST(result AS bigint)")
 case("num05_int32", "orders", {"x": "CAST(o_orderkey * 1000003 AS string)"}, P.int32, "CASE WHEN o_orderkey * 1000003 <= 2147483647 THEN o_orderkey * 1000003 END")
 case("num07_price_label", "orders", {"n": "CAST(floor(floor(o_totalprice) * (o_orderkey % 3) / CASE WHEN o_orderkey % 5 = 0 THEN 100 ELSE 1 END) AS bigint)", "c": "CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'ARS' END"}, D.price_label,
      "CASE WHEN n > 0 THEN c || ' ' || CASE WHEN n < 10000 THEN n::VARCHAR ELSE replace(format('{:,}', n), ',', '.') END ELSE 'Consultar precio' END")
