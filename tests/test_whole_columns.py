@@ -16,6 +16,7 @@ WHOLE = {
     "jsn02_merge": ("events", ["id % 5 = 1 AND result LIKE '%,\"b\":{\"c\":[1,\"x\"],\"d\":%'", "id % 5 = 2 AND result NOT LIKE '%\"k\"%'", "id % 5 = 3 AND result NOT LIKE '%\"k\"%'", "result LIKE '{\"a\":null%'", "length(result) - length(replace(result, chr(92), '')) = 1"]),
     "joi18_host_place": ("pages", [f"result = '{place}'" for _, place in column_queries._HOSTS]),
     "num04_reviews": ("part", ["id % 7 = 1 AND result IS NULL", "id % 7 = 2 AND result IS NULL", "id % 7 = 4 AND result IS NULL", "id % 7 = 4 AND result > 9223372036854775799", "id % 7 = 5 AND result = id"]),
+    "num05_int32": ("orders", ["result = 2147483647", "result = -2147483648", "id % 7 = 2 AND result < 0", "id % 7 = 3 AND result IS NULL", "id % 7 = 4 AND result IS NULL", "id % 7 = 1 AND result IS NULL"]),
 }
 
 
