@@ -93,7 +93,7 @@ _HOSTS = (
 )
 
 # texts
-case("str05_name_key", "part", {"x": "concat(p_name, '  &-', p_brand)"}, M.name_key, "trim(regexp_replace(strip_accents(lower(x)), '[^a-z0-9]+', ' ', 'g'))")
+case("str05_name_key", "part", {"x": _picked("p_partkey", ("", "  Ñandú & Cía. ", "São-Paulo_", "ÁÉÍÓÚ Ü ", "¡Ölçü! ", "ñÑ", None)) + " || p_name || '  &-' || p_brand"}, M.name_key, "trim(regexp_replace(strip_accents(lower(coalesce(x, ''))), '[^a-z0-9]+', ' ', 'g'))", "result")
 case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
 case("str08_display_name", "part", {"x": "concat(' ', p_name, ' (', p_brand, ')  & ', p_type)"}, M.display_name, "array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '[^\\w\\s&]', '', 'g')), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(left(w, 1)) || lower(w[2:])), '')")
 case("str09_capitalised", "customer", {"x": _CLERK}, M.capitalised, "array_to_string(list_transform(string_split(" + _squeezed("lower(x)") + ", ' '), lambda w: upper(left(w, 1)) || w[2:]), ' ')")

@@ -17,6 +17,7 @@ WHOLE = {
     "joi18_host_place": ("pages", [f"result = '{place}'" for _, place in column_queries._HOSTS]),
     "num04_reviews": ("part", ["id % 7 = 1 AND result IS NULL", "id % 7 = 2 AND result IS NULL", "id % 7 = 4 AND result IS NULL", "id % 7 = 4 AND result > 9223372036854775799", "id % 7 = 5 AND result = id"]),
     "num05_int32": ("orders", ["result = 2147483647", "result = -2147483648", "id % 7 = 2 AND result < 0", "id % 7 = 3 AND result IS NULL", "id % 7 = 4 AND result IS NULL", "id % 7 = 1 AND result IS NULL"]),
+    "str05_name_key": ("part", ["result LIKE 'nandu cia %'", "result LIKE 'sao paulo %'", "result LIKE 'aeiou u %'", "result LIKE 'olcu %'", "result LIKE 'nn%'", "result = ''"]),
 }
 
 
