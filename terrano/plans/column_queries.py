@@ -92,9 +92,20 @@ _HOSTS = (
     ("sal.ta.", "Salta/Salta"), ("mendoza-", "Mendoza/Mendoza"), ("córdoba-", "Córdoba/Córdoba"), ("la-pampa-", "La Pampa"), ("Chubut.", "Chubut"), ("casas.com/tandil/", ""),
 )
 
+#: Beginnings of names, and what their keys keep.
+_NAMES = (
+    ("Inmobiliaria ", ""), ("Estudio ", "estudio"), ("Depto ", "depto"), ("CASA ", "casa"), ("  ", ""), ("Bienes Raíces ", ""), ("Real Estate ", ""), ("Brokers ", "brokers"),
+    ("Broker ", ""), ("Negocios & ", ""), ("Propiedades ", ""), ("López_", "lopez_"), (None, None),
+)
+#: Endings of names, and what their keys keep.
+_FORMS = (
+    ("", ""), (" S.A.", ""), (" SRL", ""), (" S.R.L.", ""), (" sas", ""), (" SAC", ""), (" S.A.S.", "s"), (" Sala", "sala"),
+)
+
 # texts
 case("str05_name_key", "part", {"x": _picked("p_partkey", ("", "  Ñandú & Cía. ", "São-Paulo_", "ÁÉÍÓÚ Ü ", "¡Ölçü! ", "ñÑ", None)) + " || p_name || '  &-' || p_brand"}, M.name_key, "trim(regexp_replace(strip_accents(lower(coalesce(x, ''))), '[^a-z0-9]+', ' ', 'g'))", "result")
-case("str06_compare_key", "customer", {"x": _CLERK}, M.compare_key, r"regexp_replace(regexp_replace(lower(trim(x)), '\binmobiliaria\b', '', 'g'), '[^a-z0-9_]', '', 'g')")
+case("str06_compare_key", "customer", {"x": f"{_picked('c_custkey', [x for x, _ in _NAMES])} || c_mktsegment || ' - ' || c_name || {_picked('c_custkey', [x for x, _ in _FORMS])}"}, M.compare_key,
+     _told("c_custkey", [y for _, y in _NAMES]) + " || regexp_replace(lower(c_mktsegment || c_name), '[^a-z0-9_]', '', 'g') || " + _told("c_custkey", [y for _, y in _FORMS]), "result")
 case("str08_display_name", "part", {"x": "concat(' ', p_name, ' (', p_brand, ')  & ', p_type)"}, M.display_name, "array_to_string(list_transform(regexp_extract_all(trim(regexp_replace(regexp_replace(x, '\\s+', ' ', 'g'), '[^\\w\\s&]', '', 'g')), '[A-Za-z]+|[^A-Za-z]+'), lambda w: upper(left(w, 1)) || lower(w[2:])), '')")
 case("str09_capitalised", "customer", {"x": _CLERK}, M.capitalised, "array_to_string(list_transform(string_split(" + _squeezed("lower(x)") + ", ' '), lambda w: upper(left(w, 1)) || w[2:]), ' ')")
 case("str10_neighbourhood", "orders", {"x": "concat(CASE o_orderkey % 3 WHEN 0 THEN ' MicroCentro' WHEN 1 THEN 'constitucion ' ELSE substring(o_orderpriority, 3) END, '')"}, M.neighbourhood,
