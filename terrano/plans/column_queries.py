@@ -102,6 +102,13 @@ _FORMS = (
     ("", ""), (" S.A.", ""), (" SRL", ""), (" S.R.L.", ""), (" sas", ""), (" SAC", ""), (" S.A.S.", "s"), (" Sala", "sala"),
 )
 
+#: Endings of names, and what is left of them without licence numbers.
+_LICENCES = (
+    (" CPI 7968", ""), (" | Mendoza 2196", ""), (" Prop.", " Prop"), (" C.P.I. 7968", ""), (" CUCICBA 1234", ""), (" C.M.C.P.S.I. 123", ""), (" CSI 6250", ""), (" Mat. 0336", ""),
+    (" col 123456", ""), (" REG.6250", ""), (" Colegiado 777", ""), (" Matrícula 4321", ""), (" matricula 4321 y CPI 7968", " y"), (" desde  1978", ""), (" (abc 6250)", ""), (" (CSI 6250) Sur", " () Sur"),
+    (" | 1 y 2 Ambientes", ""), (" S.A.", " S.A."), (" Col 999 Norte", " Norte"), (" Mat. 12", " Mat. 12"), (" CPI 1234567", " CPI 1234567"), (" - ", ""), (None, None),
+)
+
 # texts
 case("str05_name_key", "part", {"x": _picked("p_partkey", ("", "  Ñandú & Cía. ", "São-Paulo_", "ÁÉÍÓÚ Ü ", "¡Ölçü! ", "ñÑ", None)) + " || p_name || '  &-' || p_brand"}, M.name_key, "trim(regexp_replace(strip_accents(lower(coalesce(x, ''))), '[^a-z0-9]+', ' ', 'g'))", "result")
 case("str06_compare_key", "customer", {"x": f"{_picked('c_custkey', [x for x, _ in _NAMES])} || c_mktsegment || ' - ' || c_name || {_picked('c_custkey', [x for x, _ in _FORMS])}"}, M.compare_key,
@@ -112,8 +119,7 @@ case("str10_neighbourhood", "orders", {"x": "concat(CASE o_orderkey % 3 WHEN 0 T
      "CASE lower(trim(x)) WHEN 'microcentro' THEN 'Centro' WHEN 'constitucion' THEN 'Constitución' ELSE array_to_string(list_transform(string_split(" + _squeezed("lower(x)") + ", ' '), lambda w: upper(left(w, 1)) || w[2:]), ' ') END")
 case("str11_last_part", "customer", {"x": _CLERK}, M.last_part, _squeezed("string_split(x, '-')[-1]"))
 case("str12_street_part", "part", {"x": "concat(p_name, ', Local ', CAST(p_size AS string), ' - ', p_type)"}, M.street_part, "trim(regexp_replace(regexp_replace(string_split(x, '-')[1], '(?i)\\blocal\\b', '', 'g'), '[\\s,]+', ' ', 'g'))")
-case("str14_licence", "supplier", {"x": "concat(s_name, CASE WHEN s_suppkey % 3 = 0 THEN ' CPI 7968' WHEN s_suppkey % 3 = 1 THEN ' | Mendoza 2196' ELSE ' Prop.' END)"}, M.without_licence,
-     "CASE s_suppkey % 3 WHEN 2 THEN regexp_replace(x, '\\.$', '') ELSE regexp_replace(x, ' (CPI 7968|\\| Mendoza 2196)$', '') END")
+case("str14_licence", "supplier", {"x": "s_name || " + _picked("s_suppkey", [x for x, _ in _LICENCES])}, M.without_licence, "s_name || " + _told("s_suppkey", [y for _, y in _LICENCES]), "result")
 case("str31_truncated", "documents", {"x": "text"}, lambda x: P.truncated(x, 300), f"left(nullif(regexp_replace(regexp_replace(coalesce(x, ''), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g'), ''), 300)")
 case("str33_number_near", "part", {"x": "concat(CASE WHEN p_partkey % 2 = 0 THEN concat(CAST(p_size AS string), ' ') ELSE '' END, 'dormitorios: ', CAST(p_size + 1 AS string))"}, lambda x: Cd.number_near(x, "dorm|habit"), "CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END")
 case("str35_spaced_key", "customer", {"x": _CLERK}, M.spaced_key, r"trim(regexp_replace(regexp_replace(lower(trim(x)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))")

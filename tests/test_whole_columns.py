@@ -19,6 +19,7 @@ WHOLE = {
     "num05_int32": ("orders", ["result = 2147483647", "result = -2147483648", "id % 7 = 2 AND result < 0", "id % 7 = 3 AND result IS NULL", "id % 7 = 4 AND result IS NULL", "id % 7 = 1 AND result IS NULL"]),
     "str05_name_key": ("part", ["result LIKE 'nandu cia %'", "result LIKE 'sao paulo %'", "result LIKE 'aeiou u %'", "result LIKE 'olcu %'", "result LIKE 'nn%'", "result = ''"]),
     "str06_compare_key": ("customer", ["id % 13 = 5 AND result NOT LIKE '%raices%'", "id % 13 = 6 AND result NOT LIKE 'real%'", "result LIKE 'brokers%'", "result LIKE 'lopez__%'", "id % 8 = 2 AND result NOT LIKE '%srl'", "result LIKE '%sala'", "result IS NULL"]),
+    "str14_licence": ("supplier", [f"id % {len(column_queries._LICENCES)} = {i} AND result " + ("IS NULL" if left is None else f"LIKE 'Supplier#_________{left}'") for i, (_, left) in enumerate(column_queries._LICENCES)]),
 }
 
 
