@@ -51,6 +51,10 @@ def _told(key: str, values) -> str:
     return f"[{_texts(values)}][{key} % {len(values)} + 1]"
 
 
+#: UTF-8 read as Latin-1, as Spark and as DuckDB write it.
+_AS_LATIN = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
+_BYTES = ("c", "chr(192 + unicode(c) // 64) || chr(128 + unicode(c) % 64)", "chr(224 + unicode(c) // 4096) || chr(128 + unicode(c) // 64 % 64) || chr(128 + unicode(c) % 64)", "chr(240 + unicode(c) // 262144) || chr(128 + unicode(c) // 4096 % 64) || chr(128 + unicode(c) // 64 % 64) || chr(128 + unicode(c) % 64)")
+_DUCK_AS_LATIN = "array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) < 128 THEN {} WHEN unicode(c) < 2048 THEN {} WHEN unicode(c) < 65536 THEN {} ELSE {} END), '')".format(*_BYTES)
 _PLAIN = "strip_accents(lower({}))"
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 _SITE = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
@@ -124,7 +128,8 @@ case("str31_truncated", "documents", {"x": "text"}, lambda x: P.truncated(x, 300
 case("str33_number_near", "part", {"x": "concat(CASE WHEN p_partkey % 2 = 0 THEN concat(CAST(p_size AS string), ' ') ELSE '' END, 'dormitorios: ', CAST(p_size + 1 AS string))"}, lambda x: Cd.number_near(x, "dorm|habit"), "CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END")
 case("str35_spaced_key", "customer", {"x": _CLERK}, M.spaced_key, r"trim(regexp_replace(regexp_replace(lower(trim(x)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))")
 case("str16_page_text", "documents", {"x": "substring(text, 1)"}, lambda x: F.sha2(M.shown_text(x), 256), f"sha256(regexp_replace(coalesce(x, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g'))")
-case("str15_garbled", "documents", {"x": "text"}, lambda x: F.sha2(M.regarbled(x), 256), "CASE WHEN x IS NOT NULL THEN sha256(x) END")
+case("str15_garbled", "documents", {"x": f"CASE doc_id % 3 WHEN 0 THEN {_AS_LATIN} WHEN 1 THEN 'Ãxx ' || text ELSE text END"}, lambda x: F.sha2(M.regarbled(x), 256),
+     "sha256(CASE WHEN doc_id % 3 = 0 AND text <> '' AND len(regexp_extract_all(text, '[ÃÂ�]')) < len(regexp_extract_all(x, '[ÃÂ�]')) THEN text ELSE x END)", "sha2(result, 256)")
 case("tel02_first_phone", "events", {"x": "concat('tel ', CASE WHEN event_id % 3 = 0 THEN '(11) ' WHEN event_id % 3 = 1 THEN '011 ' ELSE 'x' END, CAST(1000 + user_id % 9000 AS string), '-', CAST(1000 + event_id % 9000 AS string), ' ', event_type)"}, M.first_phone, "CASE WHEN event_id % 3 < 2 THEN '+5411' || (1000 + user_id % 9000) || (1000 + event_id % 9000) END")
 case("tel03_chat_url", "events", {"x": "concat('+54 ', CAST(user_id * 997 AS string), '-', CAST(event_id AS string))"}, D.chat_url, "CASE WHEN len(regexp_replace(x, '\\D', '', 'g')) >= 8 THEN 'https://wa.me/' || regexp_replace(x, '\\D', '', 'g') END")
 case("typ01_own_type", "part", {"x": "concat(' ', p_type, '  ', p_name)"}, P.own_type, _squeezed("lower(x)"))
@@ -239,8 +244,8 @@ def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
 def _duck(x: str) -> str:
     """An input as DuckDB writes it."""
-    out = x.replace("element_at(array(", "list_extract(list_value(").replace("array(", "list_value(").replace("\\'", "''").replace(" AS string)", " AS VARCHAR)").replace("sha2(", "_sha(").replace("make_interval(0, 0, 0, 0, 0, 0, user_id)", "to_seconds(user_id)")
-    return out.replace("_sha(CAST(page_id AS VARCHAR), 256)", "sha256(page_id::VARCHAR)")
+    out = x.replace(_AS_LATIN, _DUCK_AS_LATIN).replace("element_at(array(", "list_extract(list_value(").replace("array(", "list_value(").replace("\\'", "''").replace(" AS string)", " AS VARCHAR)").replace("sha2(", "_sha(").replace("make_interval(0, 0, 0, 0, 0, 0, user_id)", "to_seconds(user_id)")
+    return out.replace("_sha(CAST(page_id AS VARCHAR), 256)", "sha256(page_id::VARCHAR)").replace("_sha(result, 256)", "sha256(result)")
 
 
 def sql_of(name: str) -> str:
