@@ -41,6 +41,12 @@ def _texts(values) -> str:
     return ", ".join("NULL" if v is None else f"'{v}'" for v in values)
 
 
+def _replaced(x: str, pairs) -> str:
+    for old, new in pairs:
+        x = f"replace({x}, '{old}', '{new}')"
+    return x
+
+
 def _picked(key: str, values) -> str:
     """One of several texts by a key, as SQL that both engines read."""
     return f"element_at(array({_texts(values)}), CAST({key} % {len(values)} + 1 AS int))"
@@ -55,6 +61,9 @@ def _told(key: str, values) -> str:
 _AS_LATIN = "decode(encode(text, 'UTF-8'), 'ISO-8859-1')"
 _BYTES = ("c", "chr(192 + unicode(c) // 64) || chr(128 + unicode(c) % 64)", "chr(224 + unicode(c) // 4096) || chr(128 + unicode(c) // 64 % 64) || chr(128 + unicode(c) % 64)", "chr(240 + unicode(c) // 262144) || chr(128 + unicode(c) // 4096 % 64) || chr(128 + unicode(c) // 64 % 64) || chr(128 + unicode(c) % 64)")
 _DUCK_AS_LATIN = "array_to_string(list_transform(regexp_extract_all(text, '(?s).'), lambda c: CASE WHEN unicode(c) < 128 THEN {} WHEN unicode(c) < 2048 THEN {} WHEN unicode(c) < 65536 THEN {} ELSE {} END), '')".format(*_BYTES)
+#: Letters and phrases whose UTF-8 was read as Windows' Latin-1, and how they are shown, in order.
+_MISREAD = {letter: "".join(bytes([b]).decode("latin-1" if b in (0x81, 0x8D) else "cp1252") for b in letter.encode()) for letter in "áéíóúñÁÉÍÓÚÑ"}
+_SHOWN = (("Apto crÃ©dito", "Apto crédito"), ("Propiedad sin tÃ\u00adtulo", "Propiedad sin título"), ("Propiedad sin tÃtulo", "Propiedad sin título"), *zip(_MISREAD.values(), "aeiounAEIOUN", strict=True))
 _PLAIN = "strip_accents(lower({}))"
 _TITLE = "regexp_extract(html, '<title>([^<]*)', 1)"
 _SITE = "regexp_extract(url, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)', 1)"
@@ -127,7 +136,8 @@ case("str14_licence", "supplier", {"x": "s_name || " + _picked("s_suppkey", [x f
 case("str31_truncated", "documents", {"x": "text"}, lambda x: P.truncated(x, 300), f"left(nullif(regexp_replace(regexp_replace(coalesce(x, ''), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g'), ''), 300)")
 case("str33_number_near", "part", {"x": "concat(CASE WHEN p_partkey % 2 = 0 THEN concat(CAST(p_size AS string), ' ') ELSE '' END, 'dormitorios: ', CAST(p_size + 1 AS string))"}, lambda x: Cd.number_near(x, "dorm|habit"), "CASE WHEN p_partkey % 2 = 0 THEN p_size ELSE p_size + 1 END")
 case("str35_spaced_key", "customer", {"x": _CLERK}, M.spaced_key, r"trim(regexp_replace(regexp_replace(lower(trim(x)), '[^\w\s]', '', 'g'), '\s+', ' ', 'g'))")
-case("str16_page_text", "documents", {"x": "substring(text, 1)"}, lambda x: F.sha2(M.shown_text(x), 256), f"sha256(regexp_replace(coalesce(x, ''), '^{_SPACE}+|{_SPACE}+$', '', 'g'))")
+case("str16_page_text", "documents", {"x": f"CASE doc_id % 5 WHEN 0 THEN ' PeÃ³n ' || {_replaced('text', _MISREAD.items())} || ' Apto crÃ©dito ' WHEN 1 THEN {_AS_LATIN} WHEN 2 THEN 'Propiedad sin tÃtulo ' || text WHEN 3 THEN 'Propiedad sin tÃ' || chr(173) || 'tulo ' || text ELSE text END"}, lambda x: F.sha2(M.shown_text(x), 256),
+     f"sha256(regexp_replace({_replaced("coalesce(x, '')", _SHOWN)}, '^{_SPACE}+|{_SPACE}+$', '', 'g'))", "sha2(result, 256)")
 case("str15_garbled", "documents", {"x": f"CASE doc_id % 3 WHEN 0 THEN {_AS_LATIN} WHEN 1 THEN 'Ãxx ' || text ELSE text END"}, lambda x: F.sha2(M.regarbled(x), 256),
      "sha256(CASE WHEN doc_id % 3 = 0 AND text <> '' AND len(regexp_extract_all(text, '[ÃÂ�]')) < len(regexp_extract_all(x, '[ÃÂ�]')) THEN text ELSE x END)", "sha2(result, 256)")
 case("tel02_first_phone", "events", {"x": "concat('tel ', CASE WHEN event_id % 3 = 0 THEN '(11) ' WHEN event_id % 3 = 1 THEN '011 ' ELSE 'x' END, CAST(1000 + user_id % 9000 AS string), '-', CAST(1000 + event_id % 9000 AS string), ' ', event_type)"}, M.first_phone, "CASE WHEN event_id % 3 < 2 THEN '+5411' || (1000 + user_id % 9000) || (1000 + event_id % 9000) END")

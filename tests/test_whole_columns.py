@@ -21,6 +21,7 @@ WHOLE = {
     "str06_compare_key": ("customer", ["id % 13 = 5 AND result NOT LIKE '%raices%'", "id % 13 = 6 AND result NOT LIKE 'real%'", "result LIKE 'brokers%'", "result LIKE 'lopez__%'", "id % 8 = 2 AND result NOT LIKE '%srl'", "result LIKE '%sala'", "result IS NULL"]),
     "str14_licence": ("supplier", [f"id % {len(column_queries._LICENCES)} = {i} AND result " + ("IS NULL" if left is None else f"LIKE 'Supplier#_________{left}'") for i, (_, left) in enumerate(column_queries._LICENCES)]),
     "str15_garbled": ("documents", ["id % 3 = 0 AND text RLIKE '[^\\x00-\\x7f]' AND result = sha2(text, 256)", "id % 3 = 1 AND result = sha2('Ãxx ' || text, 256)"]),
+    "str16_page_text": ("documents", ["id % 5 = 0 AND result = sha2('Peon ' || translate(text, 'áéíóúñÁÉÍÓÚÑ', 'aeiounAEIOUN') || ' Apto crédito', 256)", "id % 5 = 2 AND result = sha2('Propiedad sin título ' || rtrim(text), 256)", "id % 5 = 3 AND result = sha2('Propiedad sin título ' || rtrim(text), 256)"]),
 }
 
 
