@@ -18,11 +18,15 @@ from terrano.sources.adapters import table
 CASES: dict[str, tuple[str, str, dict[str, str], Callable[..., Column], str]] = {}
 #: Name: result of the captured shapes (value_queries) as SQL that gives the columns' type. These queries read every order's shape besides the columns.
 SHAPES: dict[str, str] = {}
+#: Name: inputs and result of a second pass over the same rows, for branches that the columns' own values do not reach.
+BRANCHES: dict[str, tuple[dict[str, str], str]] = {}
 CITIES = {"rosario": "Santa Fe", "cordoba": "Córdoba", "mar del plata": "Buenos Aires", "ushuaia": "Tierra del Fuego"}
 _SPACE = r"[\s\x0b\x85\xa0 -     　]"
 
 
-def case(name: str, of_table: str, inputs: dict[str, str], function: Callable[..., Column], result: str, shapes: str | None = None) -> None:
+def case(name: str, of_table: str, inputs: dict[str, str], function: Callable[..., Column], result: str, shapes: str | None = None, branches: tuple[dict[str, str], str] | None = None) -> None:
+    if branches:
+        BRANCHES[name] = branches
     if shapes:
         SHAPES[name] = shapes
     ids = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey", "orders": "o_orderkey", "events": "event_id", "customer": "c_custkey", "supplier": "s_suppkey"}
@@ -148,8 +152,9 @@ case("cat02_import_operation", "part", {"x": f"CASE WHEN p_partkey % 5 = 4 THEN
      "CASE WHEN p_partkey % 5 <> 4 THEN " + _told("p_partkey", [y for _, y in _OPERATIONS]) + " END", "result")
 case("cat05_type_name", "part", {"x": f"CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE ' ' || CASE WHEN p_size % 2 = 0 THEN upper({_picked('p_partkey', [x for x, _ in _TYPES])}) ELSE {_picked('p_partkey', [x for x, _ in _TYPES])} END || ' ' END"}, M.type_name,
      "CASE WHEN p_partkey % 3 = 0 THEN 'otro' ELSE " + _told("p_partkey", [y for _, y in _TYPES]) + " END", "result")
-case("cat07_page_type", "customer", {"x": f"CASE WHEN c_custkey % 2 = 0 THEN {_CLERK} WHEN c_custkey % 4 = 1 THEN {_TYPE_WORDS} ELSE {_TYPE_WORDS} || ' ' || c_name END"}, D.property_type,
-     f"CASE WHEN contains({_KEY}, 'depart') THEN 'departamento' WHEN contains({_KEY}, 'casa') THEN 'casa' WHEN {_KEY} = 'ph' OR contains({_KEY}, 'propiedad horizontal') THEN 'ph' WHEN contains({_KEY}, 'terreno') OR contains({_KEY}, 'lote') THEN 'terreno' WHEN contains({_KEY}, 'oficina') THEN 'oficina' WHEN contains({_KEY}, 'local') THEN 'local' ELSE 'otro' END", "result")
+case("cat07_page_type", "customer", {"x": _CLERK}, D.property_type, "CASE WHEN contains(lower(x), 'depart') THEN 'departamento' WHEN contains(lower(x), 'casa') THEN 'casa' WHEN contains(lower(x), 'terreno') OR contains(lower(x), 'lote') THEN 'terreno' WHEN contains(lower(x), 'oficina') THEN 'oficina' WHEN contains(lower(x), 'local') THEN 'local' ELSE 'otro' END", "result",
+     ({"x": f"CASE WHEN c_custkey % 2 = 0 THEN {_CLERK} WHEN c_custkey % 4 = 1 THEN {_TYPE_WORDS} ELSE {_TYPE_WORDS} || ' ' || c_name END"},
+      f"CASE WHEN contains({_KEY}, 'depart') THEN 'departamento' WHEN contains({_KEY}, 'casa') THEN 'casa' WHEN {_KEY} = 'ph' OR contains({_KEY}, 'propiedad horizontal') THEN 'ph' WHEN contains({_KEY}, 'terreno') OR contains({_KEY}, 'lote') THEN 'terreno' WHEN contains({_KEY}, 'oficina') THEN 'oficina' WHEN contains({_KEY}, 'local') THEN 'local' ELSE 'otro' END"))
 case("cat08_page_status", "orders", {"x": f"CASE WHEN o_orderkey % 2 = 0 THEN CASE o_orderstatus WHEN 'O' THEN 'Activa' WHEN 'F' THEN concat('Vendida ', CAST(o_orderkey AS string)) ELSE 'PAUSADA' END ELSE {_STATES} || ' ' || o_orderpriority END"}, D.status,
      f"CASE WHEN contains({_KEY}, 'paus') THEN 'pausada' WHEN contains({_KEY}, 'reserv') THEN 'reservada' WHEN contains({_KEY}, 'vend') AND NOT contains({_KEY}, 'no_detect') THEN 'vendida' WHEN contains({_KEY}, 'alquil') THEN 'alquilada' WHEN contains({_KEY}, 'no_detect') OR contains({_KEY}, 'no detect') THEN 'no_detectada_en_ultimo_scraping' WHEN contains({_KEY}, 'descon') THEN 'desconocida' ELSE 'activa' END", "result")
 case("cat13_query_category", "customer", {"x": "concat('empresa ', CASE WHEN c_nationkey % 2 = 0 THEN 'CONSTRUCTORA ' ELSE '' END, c_mktsegment)"}, G.category_of_query, "CASE WHEN c_nationkey % 2 = 0 THEN 'constructora' ELSE 'desarrolladora' END")
@@ -241,12 +246,16 @@ def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
     of_table, key, inputs, function, _ = CASES[name]
 
     def query(s: SparkSession, d: str) -> DataFrame:
-        rows = table(s, d, of_table).select(F.col(key).alias("id"), *(F.expr(x).alias(f"_{n}") for n, x in inputs.items()))
-        rows = rows.select("id", function(*(F.col(f"_{n}") for n in inputs)).alias("result"))
+        def of(inputs: dict[str, str]) -> DataFrame:
+            rows = table(s, d, of_table).select(F.col(key).alias("id"), *(F.expr(x).alias(f"_{n}") for n, x in inputs.items()))
+            return rows.select("id", function(*(F.col(f"_{n}") for n in inputs)).alias("result"))
+
+        rows = of(inputs)
         if name not in SHAPES:
             return rows
         shapes = value_queries.QUERIES[name](s, d).select("id", F.expr(SHAPES[name]).alias("result"))
-        return rows.withColumn("origin", F.lit("columns")).unionByName(shapes.withColumn("origin", F.lit("shapes")))
+        out = rows.withColumn("origin", F.lit("columns")).unionByName(shapes.withColumn("origin", F.lit("shapes")))
+        return out.unionByName(of(BRANCHES[name][0]).withColumn("origin", F.lit("branches"))) if name in BRANCHES else out
 
     query.__name__ = name
     return query
@@ -260,10 +269,15 @@ def _duck(x: str) -> str:
 
 def sql_of(name: str) -> str:
     of_table, key, inputs, _, result = CASES[name]
-    rows = f"SELECT {key} AS id, {result} AS result FROM (SELECT *, {', '.join(f'{_duck(x)} AS {n}' for n, x in inputs.items())} FROM {of_table})"
+
+    def of(inputs: dict[str, str], result: str) -> str:
+        return f"SELECT {key} AS id, {result} AS result FROM (SELECT *, {', '.join(f'{_duck(x)} AS {n}' for n, x in inputs.items())} FROM {of_table})"
+
+    rows = of(inputs, result)
     if name not in SHAPES:
         return rows
-    return f"SELECT *, 'columns' AS origin FROM ({rows}) UNION ALL SELECT id, {_duck(SHAPES[name])} AS result, 'shapes' AS origin FROM ({value_queries.SQL[name]})"
+    out = f"SELECT *, 'columns' AS origin FROM ({rows}) UNION ALL SELECT id, {_duck(SHAPES[name])} AS result, 'shapes' AS origin FROM ({value_queries.SQL[name]})"
+    return f"{out} UNION ALL SELECT *, 'branches' AS origin FROM ({of(*BRANCHES[name])})" if name in BRANCHES else out
 
 
 QUERIES = {name: query_of(name) for name in CASES}

@@ -31,8 +31,9 @@ def test_whole_job(spark, sf, name):
     sf = sf.replace("sf0.001", "sf0.01") if of == "supplier" else sf  # ten suppliers do not hold every ending
     key = column_queries.CASES[name][1]
     got = registry.QUERIES[name](spark, sf).cache()
-    rows = got.where("origin = 'columns'").join(table(spark, sf, of).withColumnRenamed(key, "id"), "id")
-    assert rows.count() == table(spark, sf, of).count()
+    rows = got.where("origin <> 'shapes'").join(table(spark, sf, of).withColumnRenamed(key, "id"), "id")
+    for origin in ("columns", "branches")[: 1 + (name in column_queries.BRANCHES)]:
+        assert rows.where(column_queries.F.col("origin") == origin).count() == table(spark, sf, of).count()
     assert [c for c in conditions if rows.where(c).isEmpty()] == []
     shapes = got.where("origin = 'shapes'")
     assert shapes.count() == table(spark, sf, "orders").count() == shapes.select("id").distinct().count()
