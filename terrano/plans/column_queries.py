@@ -197,8 +197,9 @@ case("sco11_precision", "part", {"a": "CASE p_size % 4 WHEN 0 THEN 'house' WHEN
 
 # objects
 case("jsn01_object", "events", {"x": "CASE WHEN event_id % 4 = 0 THEN concat('[', props, ']') WHEN event_id % 4 = 1 THEN substring(props, 1, length(props) - 1) ELSE props END"}, lambda x: F.to_json(P.json_object(x)), "CASE WHEN event_id % 4 < 2 THEN '{}' ELSE replace(x, ' ', '') END")
-case("jsn02_merge", "events", {"x": "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('{\"b\": {\"d\": ', CAST(user_id AS string), ', \"c\": [1, \"x\"]}, \"a\": 9, ', substring(props, 2)) WHEN 2 THEN concat('[', props, ']') WHEN 3 THEN substring(props, 1, length(props) - 1) END", "v": "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN concat('q\"', event_type) ELSE event_type END"}, lambda x, v: P.merged_json(x, {"a": v, "z": F.lit(1)}),
-     "'{\"a\":' || CASE event_id % 7 WHEN 0 THEN 'null' WHEN 1 THEN '\"q\\\"' || event_type || '\"' ELSE '\"' || event_type || '\"' END || CASE WHEN event_id % 5 = 1 THEN ',\"b\":{\"c\":[1,\"x\"],\"d\":' || user_id || '}' ELSE '' END || CASE WHEN event_id % 5 < 2 THEN ',\"k\":' || json_extract_string(props, '$.k') ELSE '' END || ',\"z\":1}'", "result")
+case("jsn02_merge", "events", {"x": "props", "v": "event_type"}, lambda x, v: P.merged_json(x, {"a": v, "z": F.lit(1)}), "'{\"a\":\"' || v || '\",\"k\":' || json_extract_string(x, '$.k') || ',\"z\":1}'", "result",
+     ({"x": "CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN concat('{\"b\": {\"d\": ', CAST(user_id AS string), ', \"c\": [1, \"x\"]}, \"a\": 9, ', substring(props, 2)) WHEN 2 THEN concat('[', props, ']') WHEN 3 THEN substring(props, 1, length(props) - 1) END", "v": "CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 7 = 1 THEN concat('q\"', event_type) ELSE event_type END"},
+      "'{\"a\":' || CASE event_id % 7 WHEN 0 THEN 'null' WHEN 1 THEN '\"q\\\"' || event_type || '\"' ELSE '\"' || event_type || '\"' END || CASE WHEN event_id % 5 = 1 THEN ',\"b\":{\"c\":[1,\"x\"],\"d\":' || user_id || '}' ELSE '' END || CASE WHEN event_id % 5 < 2 THEN ',\"k\":' || json_extract_string(props, '$.k') ELSE '' END || ',\"z\":1}'"))
 case("jsn03_without_empty", "events", {"x": "concat('{\"e\": \"\", \"n\": null, \"l\": [], \"t\": \"', event_type, '\", ', substring(props, 2))"}, lambda x: F.array_join(F.transform(F.array_sort(F.map_entries(P.without_empty(x))), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","), "'k=' || json_extract_string(props, '$.k') || ',t=\"' || event_type || '\"'")
 case("arr02_image_item", "pages", {"x": "CASE page_id % 9 WHEN 0 THEN concat('\"', url, '\"') WHEN 1 THEN concat('{\"url\": \"\", \"src\": \" ', url, ' \"}') WHEN 2 THEN concat('[\"', url, '\"]') WHEN 3 THEN concat('{\"src\": null, \"href\": \"', url, '\", \"image\": \"i\"}') WHEN 4 THEN concat('{\"image\": \"', url, '\"}') WHEN 5 THEN concat('{\"url\": \"', url, '\", \"src\": \"s\"}') WHEN 6 THEN concat('{\"url\": \"', url) WHEN 7 THEN CAST(page_id AS string) END"}, I.item_url,
      "CASE WHEN page_id % 9 IN (0, 1, 3, 4, 5) THEN url END", "result")
