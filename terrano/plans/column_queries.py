@@ -173,8 +173,9 @@ case("num04_rating", "part", {"x": "replace(CAST(CAST(p_size AS decimal(6, 2)) /
 case("num04_reviews", "part", {"x": "concat('(', CAST(p_size AS string), '.', CAST(p_partkey AS string), ') ', p_type)"}, P.review_count, "(p_size || '' || p_partkey)::BIGINT", "CAST(result AS bigint)",
      ({"x": "CASE p_partkey % 7 WHEN 1 THEN p_name WHEN 2 THEN NULL WHEN 3 THEN concat(CAST(p_size AS string), ' reseñas de ', p_brand) WHEN 4 THEN concat('9.223.372.036.854.775.80', CAST(p_size % 10 AS string)) WHEN 5 THEN concat(CAST(p_partkey AS string), ' opiniones') WHEN 6 THEN '' ELSE concat('(', CAST(p_size AS string), '.', CAST(p_partkey AS string), ') ', p_type) END"},
       "TRY_CAST(nullif(regexp_replace(x, '[^0-9]', '', 'g'), '') AS BIGINT)"))
-case("num05_int32", "orders", {"x": "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('x ', CAST(o_orderkey AS string)) WHEN 2 THEN CAST(-o_orderkey * 1000003 AS string) WHEN 3 THEN CAST(2147483648 - o_orderkey % 2 AS string) WHEN 4 THEN CAST(-2147483648 - o_orderkey % 2 AS string) ELSE CAST(o_orderkey * 1000003 AS string) END"}, P.int32,
-     "CASE WHEN TRY_CAST(x AS BIGINT) BETWEEN -2147483648 AND 2147483647 THEN TRY_CAST(x AS INTEGER) END", "CAST(result AS int)")
+case("num05_int32", "orders", {"x": "CAST(o_orderkey * 1000003 AS string)"}, P.int32, "CASE WHEN o_orderkey * 1000003 <= 2147483647 THEN o_orderkey * 1000003 END", "CAST(result AS int)",
+     ({"x": "CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN concat('x ', CAST(o_orderkey AS string)) WHEN 2 THEN CAST(-o_orderkey * 1000003 AS string) WHEN 3 THEN CAST(2147483648 - o_orderkey % 2 AS string) WHEN 4 THEN CAST(-2147483648 - o_orderkey % 2 AS string) ELSE CAST(o_orderkey * 1000003 AS string) END"},
+      "CASE WHEN TRY_CAST(x AS BIGINT) BETWEEN -2147483648 AND 2147483647 THEN TRY_CAST(x AS INTEGER) END"))
 case("num07_price_label", "orders", {"n": "CAST(floor(floor(o_totalprice) * (o_orderkey % 3) / CASE WHEN o_orderkey % 5 = 0 THEN 100 ELSE 1 END) AS bigint)", "c": "CASE WHEN o_orderkey % 2 = 0 THEN 'USD' ELSE 'ARS' END"}, D.price_label,
      "CASE WHEN n > 0 THEN c || ' ' || CASE WHEN n < 10000 THEN n::VARCHAR ELSE replace(format('{:,}', n), ',', '.') END ELSE 'Consultar precio' END")
 case("num08_import_currency", "orders", {"x": "CASE o_orderstatus WHEN 'O' THEN ' u$s' WHEN 'F' THEN 'Pesos' ELSE concat(' ', substring(o_orderpriority, 3)) END"}, P.import_currency, "CASE o_orderstatus WHEN 'O' THEN 'USD' WHEN 'F' THEN 'ARS' ELSE " + _squeezed("upper(x)") + " END")
