@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from terrano.session import broadcast_within, written
+from terrano.session import broadcast_within, join_hot, written
 
 #: Degrees of the finest cells; each level's are twice as wide.
 FINEST = 1 / 64
@@ -34,3 +34,18 @@ def within_boxes(points: DataFrame, boxes: DataFrame, lat: str = "latitud", lon:
     met = placed.join(broadcast_within(cells, max_broadcast), ["_level", "_y", "_x"])
     held = F.col(lat).between(F.col("south"), F.col("north")) & F.col(lon).between(F.col("west"), F.col("east"))
     return met.where(held).select(*points.columns, "box")
+
+
+def count_boxes(points: DataFrame, boxes: DataFrame, lat: str = "latitud", lon: str = "longitud", max_broadcast: int = MAX_BROADCAST_BOXES) -> DataFrame:
+    """``points`` that boxes hold, with how many (n), the first and the last of them (first_box, last_box).
+
+    Points of one place are in the same boxes, and boxes of the same bounds hold the same points: each place meets each bounds once,
+    so copies of either make no pairs. A place that many points share is joined by broadcast.
+    """
+    bounds = boxes.groupBy("south", "north", "west", "east").agg(F.count("*").alias("_n"), F.min("box").alias("_first"), F.max("box").alias("_last"))
+    classes = bounds.select("south", "north", "west", "east", F.struct("_n", "_first", "_last").alias("box"))
+    placed = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull()).withColumn("_place", F.struct(F.col(lat).alias("y"), F.col(lon).alias("x")))
+    places = written(placed.groupBy("_place").agg(F.count("*").alias("c")), "places")
+    met = within_boxes(places.select("_place", F.col("_place.y").alias(lat), F.col("_place.x").alias(lon)), classes, lat, lon, max_broadcast)
+    counted = written(met.groupBy("_place").agg(F.sum("box._n").alias("n"), F.min("box._first").alias("first_box"), F.max("box._last").alias("last_box")), "counted")
+    return join_hot(placed, counted, "_place", places).where("n is not null").drop("_place")

@@ -229,3 +229,18 @@ def test_points_within_boxes_equal_brute_force(spark):
     for bound in (1000, 0):
         assert sorted((r["id"], r["box"]) for r in boxes.within_boxes(*frames, max_broadcast=bound).collect()) == want
     assert boxes.within_boxes(frames[0], frames[1].limit(0)).count() == 0 and len(want) > 300
+
+
+def test_places_and_bounds_meet_once(spark):
+    """Copies of boxes and of points are counted without a pair for each: 3,000 of both, of one place and one bounds, beside others."""
+    met = []
+    pairs = boxes.within_boxes
+    rows = spark.range(3000).select(F.col("id").alias("box"), *(F.lit(x).alias(c) for c, x in (("south", 0.0), ("north", 1.0), ("west", 0.0), ("east", 1.0))))
+    rows = rows.unionByName(spark.createDataFrame([(5000, 0.5, 2.0, 0.5, 2.0), (5001, None, 1.0, 0.0, 1.0), (5002, 0.5, 2.0, 0.5, 2.0)], "box long, south double, north double, west double, east double"))
+    points = spark.range(3000).select("id", F.lit(0.25).alias("latitud"), F.lit(0.25).alias("longitud"))
+    points = points.unionByName(spark.createDataFrame([(4000, 0.75, 1.0), (4001, 1.5, 1.5), (4002, 9.0, 9.0), (4003, None, 1.0)], "id long, latitud double, longitud double"))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(boxes, "within_boxes", lambda *a, **k: met.append(pairs(*a, **k)) or met[-1])
+        got = {r["id"]: (r["n"], r["first_box"], r["last_box"]) for r in boxes.count_boxes(points, rows).collect()}
+    assert met[0].count() == 4
+    assert got == {i: (3000, 0, 2999) for i in range(3000)} | {4000: (3002, 0, 5002), 4001: (2, 5000, 5002)}
