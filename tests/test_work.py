@@ -244,3 +244,23 @@ def test_places_and_bounds_meet_once(spark):
         got = {r["id"]: (r["n"], r["first_box"], r["last_box"]) for r in boxes.count_boxes(points, rows).collect()}
     assert met[0].count() == 4
     assert got == {i: (3000, 0, 2999) for i in range(3000)} | {4000: (3002, 0, 5002), 4001: (2, 5000, 5002)}
+
+
+@pytest.mark.parametrize("ratio", [0.92, 0.8, 0.6])
+def test_fuzzy_pairs_of_digests_and_numbered_names_equal_brute_force(spark, ratio):
+    """Names that meet by variants, by pieces and, where a pair may leave more unmatched than a short name has, all of them; blocks keep apart."""
+    from difflib import SequenceMatcher
+
+    pick = random.Random(11)
+    digest = lambda n: "".join(pick.choice("0123456789abcdef") for _ in range(n))
+    names = [digest(n) for n in (32, 32, 32, 33, 40, 40)] + [f"{w}{k}" for w in ("largering", "hotbolt") for k in pick.sample(range(10000, 10400), 25)] + [digest(pick.randrange(1, 6)) for _ in range(12)]
+    for n in list(names):
+        edited = n
+        for _ in range(pick.randrange(1, 4)):
+            at = pick.randrange(len(edited) or 1)
+            edited = pick.choice([edited[:at] + edited[at + 1 :], edited[:at] + "z" + edited[at:], edited[:at] + "y" + edited[at + 1 :]])
+        names.append(edited)
+    rows = [(i, n) for i, n in enumerate(dict.fromkeys(n for n in names if n))]
+    want = {(i, j): SequenceMatcher(None, a, b).ratio() for i, a in rows for j, b in rows if i < j and i % 2 == j % 2 and SequenceMatcher(None, a, b).ratio() >= ratio}
+    got = dedupe.fuzzy_pairs(spark.createDataFrame(rows, "id long, name string"), "id", "name", F.col("id") % 2, ratio).collect()
+    assert len(want) > 10 and {(r["id_a"], r["id_b"]): r["ratio"] for r in got} == want and len(got) == len(want)
