@@ -264,3 +264,12 @@ def test_fuzzy_pairs_of_digests_and_numbered_names_equal_brute_force(spark, rati
     want = {(i, j): SequenceMatcher(None, a, b).ratio() for i, a in rows for j, b in rows if i < j and i % 2 == j % 2 and SequenceMatcher(None, a, b).ratio() >= ratio}
     got = dedupe.fuzzy_pairs(spark.createDataFrame(rows, "id long, name string"), "id", "name", F.col("id") % 2, ratio).collect()
     assert len(want) > 10 and {(r["id_a"], r["id_b"]): r["ratio"] for r in got} == want and len(got) == len(want)
+
+
+def test_names_are_listed_and_sought_in_few_places():
+    """A digest looks into a hundred lists, not seven hundred, and a numbered name meets only what is left of it without the unmatched characters."""
+    digest, numbered = "0123456789abcdef" * 2, "largering12345"
+    meeting = dedupe._Meeting([13, 14, 32, 33], 0.92)
+    assert len(meeting.looks(digest)) <= 100 and [len(p) for p in meeting.pieces(digest)] == [6, 12]
+    assert len(meeting.looks(numbered)) <= 28 and meeting.pieces(numbered) == [[], []]
+    assert set(meeting.variants("largering12345")) & set(meeting.looks("largering12385")) and not set(meeting.variants("largering12345")) & set(meeting.looks("largering12486"))
