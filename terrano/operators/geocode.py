@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from terrano.functions import addresses as A, places as L
 from terrano.functions.normalize import clean
+from terrano.session import join_hot, written
 
 RANK = {"high": 3, "medium": 2, "low": 1}
 
@@ -107,23 +108,39 @@ def geocoder_rows(staging: DataFrame) -> DataFrame:
     return rows.withColumns({"ciudad": F.coalesce(clean(F.col("ciudad")), "_place.city"), "provincia": F.coalesce(clean(F.col("provincia")), "_place.province"), "pais": F.coalesce(clean(F.col("pais")), F.lit("Argentina"))}).drop("_place")
 
 
-def geocoded(staging: DataFrame, lookup: DataFrame) -> DataFrame:
+#: What a row's address, place and queries are made of; rows by which their results are broadcast.
+GEOCODED_FROM = ("direccion_normalizada", "titulo", "barrio", "ciudad", "provincia", "pais", "url")
+MAX_BROADCAST_TEXTS = 20_000
+
+
+def geocoded(staging: DataFrame, lookup: DataFrame, max_broadcast: int = MAX_BROADCAST_TEXTS) -> DataFrame:
     """``staging`` with geocoding_status (done, failed, skipped), latitud and longitud. lookup: query, status, latitud, longitud, precision_geocoding, one row a query.
 
     Rows whose address is garbage or not safe are skipped without a query; of a row's spellings the first found counts, and its point
-    must lie in the country and the city's box.
+    must lie in the country and the city's box. Rows of the same texts have the same result: each text is prepared once, in as
+    many tasks as shuffles have, and its result joined to its rows, by broadcast where there are few texts or many rows have it.
     """
-    rows = geocoder_rows(staging)
+    tasks = int(staging.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = staging.withColumn("_texts", F.struct(*GEOCODED_FROM))
+    counts = written(keyed.groupBy("_texts").agg(F.count("*").alias("c")), "texts")
+    rows = geocoder_rows(counts.repartition(tasks, "_texts").select("_texts", "_texts.*"))
     fields = {"direccion": F.col("direccion"), "direccion_limpia": F.col("direccion"), "direccion_geocoding_limpia": F.col("direccion"), "titulo": F.col("titulo"), "barrio": F.col("barrio")}
     made = A.prepared(fields, F.col("ciudad"), F.col("provincia"), F.col("pais"))
     rows = rows.withColumn("_ready", F.when(~A.is_garbage(F.col("direccion")), made))
-    ask = rows.where("_ready.readiness = 'geocoding_ready_safe'").select("id", F.posexplode(A.query_variants(F.col("_ready.query"))).alias("_n", "query"))
-    found = ask.join(lookup, "query").groupBy("id").agg(F.min_by(F.struct("status", "latitud", "longitud"), F.struct(F.when(F.col("status") == "success", 0).otherwise(1), "_n")).alias("_x"))
-    asked = ask.select("id", F.lit(True).alias("_asked")).distinct()
-    out = rows.drop("latitud", "longitud", "_ready").join(asked, "id", "left").join(found, "id", "left")
+    queries = F.when(F.col("_ready.readiness") == "geocoding_ready_safe", A.query_variants(F.col("_ready.query")))
+    rows = written(rows.select("_texts", "direccion", "ciudad", "provincia", "pais", queries.alias("_queries")), "prepared")
+    ask = rows.select("_texts", F.posexplode("_queries").alias("_n", "query"))
+    found = ask.join(lookup, "query").groupBy("_texts").agg(F.min_by(F.struct("status", "latitud", "longitud"), F.struct(F.when(F.col("status") == "success", 0).otherwise(1), "_n")).alias("_x"))
+    out = rows.join(found, "_texts", "left")
     good = F.coalesce((F.col("_x.status") == "success") & A.coordinates_fit(F.col("_x.latitud"), F.col("_x.longitud"), F.col("ciudad"), F.col("provincia"), F.col("pais")), F.lit(False))
-    state = F.when(F.col("_asked").isNull(), "skipped").when(good, "done").otherwise("failed")
-    return out.withColumns({"geocoding_status": state, "latitud": F.when(good, F.col("_x.latitud")), "longitud": F.when(good, F.col("_x.longitud"))}).drop("_asked", "_x")
+    state = F.when(F.coalesce(F.size("_queries") < 1, F.lit(True)), "skipped").when(good, "done").otherwise("failed")
+    point = F.when(good, F.col("_x.latitud")).alias("latitud"), F.when(good, F.col("_x.longitud")).alias("longitud")
+    results = written(out.select("_texts", F.struct("direccion", "ciudad", "provincia", "pais", state.alias("geocoding_status"), *point).alias("_of")), "results")
+    few = results.limit(max_broadcast + 1).count() <= max_broadcast
+    joined = keyed.join(F.broadcast(results), "_texts") if few else join_hot(keyed, results, "_texts", counts)
+    new = ("direccion", "ciudad", "provincia", "pais", "geocoding_status", "latitud", "longitud")
+    kept = [c for c in staging.columns if c not in ("latitud", "longitud")]
+    return joined.select(*(F.col(f"_of.{c}").alias(c) if c in new else F.col(c) for c in [*kept, *(c for c in new if c not in kept)]))
 
 
 def new_results(results: DataFrame, cache: DataFrame) -> DataFrame:

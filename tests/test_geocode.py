@@ -110,3 +110,21 @@ def test_precision(spark):
     rows = [("house", None, None, "exact"), ("x", "residential", None, "street"), ("city", None, None, "area"), (None, None, "27", "street"), (None, None, "a", "approximate"), (None, None, None, "approximate")]
     df = spark.createDataFrame(rows, "a string, k string, r string, want string")
     assert df.where(geocode.precision(F.col("a"), F.col("k"), F.col("r")) != F.col("want")).count() == 0
+
+
+def test_each_text_is_geocoded_once(spark, monkeypatch):
+    """Rows of the same texts share one preparation, rows of the same id keep their own results; by broadcast and by a shuffle."""
+    texts = [("Mitre 1250", "Casa", None, "Rosario", "Santa Fe", None, "https://x.com/p/1"), ("Ver fotos", "Casa", None, "Rosario", "Santa Fe", None, "https://x.com/p/1"), ("Pellegrini 1420", "Casa", None, "Rosario", "Santa Fe", None, "https://x.com/p/1"), (None,) * 6 + ("https://x.com",)]
+    schema = "id long, " + ", ".join(f"{c} string" for c in geocode.GEOCODED_FROM)
+    rows = spark.createDataFrame([(i // 2, *texts[i % 4]) for i in range(400)], schema)
+    lookup = spark.createDataFrame([("Mitre 1250, Rosario, Santa Fe, Argentina", "success", -32.95, -60.65, "exact"), ("Pellegrini 1420, Rosario, Santa Fe, Argentina", "error", None, None, None)], "query string, status string, latitud double, longitud double, precision_geocoding string")
+    kept, write = {}, geocode.written
+    monkeypatch.setattr(geocode, "written", lambda df, name: kept.setdefault(name, []).append(write(df, name)) or kept[name][-1])
+    states = {"Mitre 1250": ("done", -32.95), "Ver fotos": ("skipped", None), "Pellegrini 1420": ("failed", None), None: ("skipped", None)}
+    for bound in (1000, 0):
+        got = geocode.geocoded(rows, lookup, max_broadcast=bound)
+        assert got.columns == [*rows.columns, "direccion", "geocoding_status", "latitud", "longitud"]
+        got = got.collect()
+        assert sorted(r["id"] for r in got) == [i // 2 for i in range(400)]
+        assert all((r["geocoding_status"], r["latitud"]) == states[r["direccion_normalizada"]] for r in got)
+    assert [df.count() for df in kept["prepared"]] == [4, 4]
