@@ -227,15 +227,29 @@ def site_key(html: Column) -> Column:
     return F.sha2(F.coalesce(*(F.nullif(k, F.lit("")) for k in (by_id, by_name, by_script))), 256)
 
 
+#: An address; what stands in addresses that are samples.
+MAIL = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
+SAMPLE_MAILS = ("example@", "noreply@", "no-reply@", "test@", "email@", "correo@", "info@info", "admin@admin")
+
+
+def _good_emails(all_: Column) -> Column:
+    return F.filter(all_, lambda e: F.rlike(e, F.lit(f"^{MAIL}$")) & ~_any(e, SAMPLE_MAILS))
+
+
+def _written_emails(html: Column) -> Column:
+    return F.transform(F.regexp_extract_all(F.coalesce(text_of(html), F.lit("")), F.lit(MAIL), 0), F.lower)
+
+
+def mentioned_emails(html: Column) -> Column:
+    """Addresses of the text in its order, each as often as it stands there. Sample addresses are left out."""
+    return _good_emails(_written_emails(html))
+
+
 def contact_emails(html: Column, domain: Column) -> Column:
     """Distinct addresses: of mail links, then of the text; those of the site's own domain before others. Sample addresses are left out."""
-    samples = ("example@", "noreply@", "no-reply@", "test@", "email@", "correo@", "info@info", "admin@admin")
-    mail = r"[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}"
     linked = F.transform(F.filter(attributes(html, "a", "href"), lambda h: h.startswith("mailto:")), lambda h: F.lower(F.trim(F.substring_index(F.replace(h, F.lit("mailto:"), F.lit("")), "?", 1))))
-    written = F.transform(F.regexp_extract_all(F.coalesce(text_of(html), F.lit("")), F.lit(mail), 0), F.lower)
-    good = lambda e: F.rlike(e, F.lit(f"^{mail}$")) & ~_any(e, samples)
     own = lambda e: F.coalesce((domain != "") & F.contains(e, domain), F.lit(False))
-    return let(F.array_distinct(F.filter(F.concat(linked, written), good)), lambda all_: F.concat(F.filter(all_, own), F.filter(all_, lambda e: ~own(e))))
+    return let(F.array_distinct(_good_emails(F.concat(linked, _written_emails(html)))), lambda all_: F.concat(F.filter(all_, own), F.filter(all_, lambda e: ~own(e))))
 
 
 def contact_phones(html: Column) -> Column:
