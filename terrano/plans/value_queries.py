@@ -365,7 +365,12 @@ def query_of(name: str) -> Callable[[SparkSession, str], DataFrame]:
 
     def query(s: SparkSession, d: str) -> DataFrame:
         i, n = F.col("o_orderkey"), len(shapes)
-        pick = lambda j: F.replace(F.element_at(F.array(*(F.lit(v[j]).cast("string") for v, _ in shapes)), (i % n + 1).cast("int")), F.lit("K"), i.cast("string"))
+
+        def pick(j: int) -> Column:
+            text = F.element_at(F.array(*(F.lit(v[j]).cast("string") for v, _ in shapes)), (i % n + 1).cast("int"))
+            keyed = [k for k, (v, _) in enumerate(shapes) if "K" in (v[j] or "")]  # only these are searched for it
+            return F.when((i % n).isin(*keyed), F.replace(text, F.lit("K"), i.cast("string"))).otherwise(text)
+
         rows = table(s, d, "orders").select(i.alias("id"), *(pick(j).alias(f"_{j}") for j in range(len(shapes[0][0]))))
         return rows.select("id", of(*(F.col(f"_{j}") for j in range(len(shapes[0][0])))).cast("string").alias("result"))
 

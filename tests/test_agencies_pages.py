@@ -56,3 +56,17 @@ def test_reports_on_empty_tables(spark):
     assert tuple(reports.audit(empty, {"x": F.col("id") > 0}).first()) == (0, 0)
     assert reports.before_after(empty, empty, "id", "nuevas").count() == 0
     assert reports.enrichment_stats(empty, F.lit(1), F.lit(True), F.lit(True)).first()["total"] == 0
+
+
+def test_systems_of_long_pages_are_sought_in_one_pass(spark):
+    """The first 60,000 characters and the address, in the order of the list; odd letters, nulls, copies, bytes that are no text."""
+    from terrano.functions import links as K
+
+    far, near = "é" * 60_000, "é" * 59_993
+    rows = [(far + "wix.com", "x", "custom"), (near + "WIX.com", "x", "wix"), (near + "wIX.comx", "https://tokko.com", "tokko"), ("x" * 300_000 + "wix.com", None, "custom"), ("x" * 50_000 + "wix.com" + "x" * 300_000, None, "wix"), (near + "-WIX.com", None, "custom"), ("wİx.com", "WEBFLOW.com", "webflow"), (None, None, "custom"), ("", "https://a.inmoweb.com.ar", "inmoweb"), ("<b>squarespace.com wp-login.php</b>", "", "wordpress")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows * 3)], "i int, html string, url string, want string")
+    assert [(r["got"], r["i"]) for r in df.select("i", "want", K.system(F.col("html"), F.col("url")).alias("got")).where("got <> want or got is null").collect()] == []
+    broken = spark.range(1).select(F.expr("cast(concat(X'FF', cast('wp-content/' as binary)) as string)").alias("html"))
+    assert broken.select(K.system(F.col("html"), F.lit(None).cast("string"))).first()[0] == "wordpress"
+    plan = df.select(K.system(F.col("html"), F.col("url")).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" not in plan and "contains" not in plan.lower()
